@@ -1,8 +1,8 @@
 """Queries and DuckDB SQL of the corpus operators."""
 
-from . import lines, mixing, quality
+from . import bpe, lines, mixing, quality
 
-MODULES = [lines, mixing, quality]
+MODULES = [bpe, lines, mixing, quality]
 
 
 def queries() -> dict:
