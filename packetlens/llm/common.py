@@ -25,3 +25,12 @@ def words(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, also inside higher-order functions."""
     return F.transform(F.array(value), body).getItem(0)
+
+
+#: Rows of at most this many 32-byte ids, about 10 MB, may be broadcast.
+SMALL_ROWS = 300_000
+
+
+def sized(ids: DataFrame) -> DataFrame:
+    """A list of ids with a broadcast hint if its counted rows allow it; otherwise it joins by a shuffle."""
+    return F.broadcast(ids) if ids.count() <= SMALL_ROWS else ids
