@@ -4,8 +4,8 @@ For each host, the share of its pages that contain a line. Lines above the boile
 minimum number of pages, so that hosts with a few pages keep their text) are dropped from every page of
 the host. Counting sends a 128-bit line key for each distinct line of a page, pre-aggregated in each task,
 so a hot line or host costs one row a task; the lines found are at most (mean distinct lines of a page) /
-ratio for each host. They are regrouped to one row a host and joined to the pages; Spark broadcasts that
-side if its measured size allows and else splits skewed hosts.
+ratio for each host. They are regrouped to one row a host and joined to the pages: that side is
+broadcast if its measured size allows; else Spark splits skewed hosts.
 
 Defined results: lines are split at newlines and compared whole; lines without a character other than
 ASCII white space are neither counted nor dropped. A null text stays null; a null host is a host of its
@@ -18,10 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, table
+from .common import OWN, settle, table
 
 RATIO = 0.1
 LEAST_PAGES = 5
+#: The lines to drop are broadcast up to this measured size; beyond it the join shuffles by host.
+SMALL_BYTES = 10 << 20
 
 
 def _has_word(line: Column) -> Column:
@@ -46,7 +48,9 @@ def boilerplate(df: DataFrame, host: str = "source", text: str = "text", ratio:
 
 def line_dedup(df: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, counts: bool = False) -> DataFrame:
     """``df`` without boilerplate lines; with ``counts``, n_lines and n_dropped are added."""
-    drop = boilerplate(df, host, text, ratio, least_pages).select(F.col("host").alias(OWN + "host"), F.col("keys").alias(OWN + "keys"))
+    drop = settle(boilerplate(df, host, text, ratio, least_pages).select(F.col("host").alias(OWN + "host"), F.col("keys").alias(OWN + "keys")))
+    size = drop.agg(F.coalesce(F.sum(64 + 32 * F.size(OWN + "keys")), F.lit(0))).first()[0]
+    drop = F.broadcast(drop) if size <= SMALL_BYTES else drop
     joined = df.join(drop, df[host].eqNullSafe(drop[OWN + "host"]), "left")
     lines = F.split(F.col(text), "\n")
     # the keys that this page has, found by hashing, are few; only then lines are tested against them
