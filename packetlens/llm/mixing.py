@@ -10,7 +10,7 @@ each bucket and task. The per-source tables (one row a source) are the only glob
 Defined results: a null text has size 0; sources are ordered by code point with null last and get the
 weights in turn. Documents with equal ids share a hash and are taken together. An empty table, or one
 without words, gives targets of 0. A null id is hashed like an empty string. Columns of the input other
-than id, text and source are not read.
+than id, text and source are not read; ``mixed_rows`` passes them through.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import OWN, settle, table, words
+from .common import OWN, settle, sized, table, words
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -31,13 +31,13 @@ def doc_hash(doc_id: Column) -> Column:
     return F.conv(digits, 16, 10).cast("long")
 
 
-def source_targets(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def source_targets(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """One row a source: source, source_size, target.
 
     Water level: with sources in order of cap / weight, the first one whose cap the common level does not
     reach sets the level; those before it get their cap, all others weight * level.
     """
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sums = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     w = F.element_at(F.array(*[F.lit(x).cast("long") for x in weights]), (rank % len(weights) + 1).cast("int"))
     every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -57,7 +57,7 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
     return filled.select("source", "source_size", F.when(F.col("at.n").isNull() | (F.col("n") < F.col("at.n")), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
-def hash_thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
+def hash_thresholds(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """targets with ``epochs`` (whole passes) and ``threshold``: hashes below it are taken once more.
 
     The state has for each source the start of its open bucket, the words below it and whether a bucket is
@@ -70,7 +70,7 @@ def hash_thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
         .withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
         .withColumns({"base": F.lit(0).cast("long"), "below": F.lit(0).cast("long"), "open": F.lit(True)})
     )
-    state, rows = settle(state), sized
+    state, rows = settle(state), docs
     for level in range(LEVELS):
         unit, last = 16 ** (LEVEL_HEX * (LEVELS - 1 - level)), level == LEVELS - 1
         keyed = rows.withColumn("bucket", F.expr(f"h div {unit}"))
@@ -97,20 +97,35 @@ def hash_thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return state.select("source", "source_size", "target", "epochs", F.col("base").alias("threshold"))
 
 
+def mixing_plan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> tuple[DataFrame, DataFrame]:
+    """The sized documents (doc_id, source, size, h) and one row a source with target, epochs and threshold."""
+    sized_docs = settle(df.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.size(words(F.col(text))).cast("long").alias("size"), doc_hash(F.col(doc_id)).alias("h")))
+    return sized_docs, hash_thresholds(sized_docs, source_targets(sized_docs, weights, max_epochs)).withColumnRenamed("source", OWN + "s")
+
+
+def _copies(h: Column) -> Column:
+    return F.col("epochs") + (h < F.col("threshold")).cast("long")
+
+
 def mix_sources(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """One row a document: doc_id, source, size, source_size, target, copies (times taken), taken (words)."""
-    sized = df.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.size(words(F.col(text))).cast("long").alias("size"), doc_hash(F.col(doc_id)).alias("h"))
-    sized = settle(sized)
-    plan = hash_thresholds(sized, source_targets(sized, weights, max_epochs))
-    plan = plan.withColumnRenamed("source", OWN + "s")
-    copies = F.col("epochs") + (F.col("h") < F.col("threshold")).cast("long")
+    docs, plan = mixing_plan(df, doc_id, text, source, weights, max_epochs)
     return (
-        sized.join(plan, sized["source"].eqNullSafe(F.col(OWN + "s")))
-        .withColumn("copies", copies)
+        docs.join(sized(plan), docs["source"].eqNullSafe(F.col(OWN + "s")))
+        .withColumn("copies", _copies(F.col("h")))
         .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
     )
 
 
+def mixed_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """``df`` as the mix takes it: rows left out, kept or repeated. The texts are not shuffled."""
+    _, plan = mixing_plan(df, doc_id, text, source, weights, max_epochs)
+    plan = sized(plan.select(OWN + "s", F.col("epochs").alias(OWN + "e"), F.col("threshold").alias(OWN + "t")))
+    copies = F.col(OWN + "e") + (doc_hash(F.col(doc_id)) < F.col(OWN + "t")).cast("long")
+    rows = df.join(plan, F.col(source).cast("string").eqNullSafe(F.col(OWN + "s"))).withColumn(OWN + "n", copies).where(F.col(OWN + "n") > 0)
+    return rows.withColumn(OWN + "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col(OWN + "n")))).select(*df.columns)
+
+
 def op3_mix_sources(spark, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
