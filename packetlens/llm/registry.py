@@ -1,8 +1,8 @@
 """Queries and DuckDB SQL of the corpus operators."""
 
-from . import bpe, jaccard, lines, mixing, quality
+from . import bpe, jaccard, lines, mixing, quality, secrets, urls
 
-MODULES = [bpe, jaccard, lines, mixing, quality]
+MODULES = [bpe, jaccard, lines, mixing, quality, secrets, urls]
 
 
 def queries() -> dict:
