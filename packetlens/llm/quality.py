@@ -116,7 +116,7 @@ def verdict(rules: list[Rule] = RULES) -> Column:
     """The table as one expression over the counters; a ratio without a denominator passes."""
 
     def passes(r: Rule) -> Column:
-        ratio = F.col(r.over).cast("double") / F.col(r.under)
+        ratio = F.try_divide(F.col(r.over).cast("double"), F.col(r.under))
         tests = ([ratio >= r.least] if r.least is not None else []) + ([ratio <= r.most] if r.most is not None else [])
         return (F.col(r.under) == 0) | reduce(lambda a, b: a & b, tests)
 
