@@ -5,19 +5,23 @@
 2. *Outer regions.* The outer pivots are single shingles. {s} is at distance below 1 of the sets that have s
    and at exactly 1 of all others, so a set's region windows are its shingles. Under any one global order of the
    shingles a linked pair shares one among the first n - ceil(3n/4) + 1 of each set: a set is replicated to
-   these windows only. The order is rarest first: shingles counted often in the first pass come last, by
-   a logarithmic class of their count, so common lines and passages open no regions for texts that merely
-   quote them. Regions with one set vanish.
-3. *Inner regions.* In each region sets become pivots, 1, then 4, 16, ... of them. Every other set of the
-   region is compared with the pivots; sets within 1/4 of a pivot are linked to it and so to each other: no
-   pair among them is looked at. Pivots leave the region. A set of pivot q's inner region stays only if some
-   set outside it is inside its triangle window, d(B, q) <= d(A, q) + 1/4. The rest joins again until no
-   region is left. Most comparisons end at an upper bound of the overlap (shared window shingles plus what
-   can lie behind them); the others intersect the whole sets.
+   these windows only. The order is rarest first: shingles that a counting pass met in more than MANY sets come
+   last, by a logarithmic class of their count, so common lines and passages open no regions for texts that merely
+   quote them and regions stay small. (It counts the shingles of the windows under plain hash order exactly,
+   others from two sets in a chunk of texts on; a wrong rank costs time, never a link.) Since linked sizes differ by
+   a factor of 3/4 at most, a region falls into size classes of that width, each with its own sets and those of the
+   class below. Regions with one set vanish.
+3. *Inner regions.* In each region sets become pivots, 1, then 6, 36, ... of them, of different components as
+   far as links are known. Every other set of the region is compared with the pivots of other components; sets
+   within 1/4 of a pivot are linked to it and so to each other: no pair among them is looked at. Pivots
+   leave the region, and a region of one component vanishes. A set near a pivot q stays only if some set of another
+   component is inside its triangle window, d(B, q) <= d(A, q) + 1/4. The rest joins again until no region is
+   left. Most comparisons end at an upper bound of the overlap (shared window shingles, or first their number,
+   plus what can lie behind them); the others intersect the whole sets.
 4. *Components* of the links by alternating large and small stars.
 
 Nothing about all documents comes to the driver; the only broadcasts are the frequent shingles, at most
-2**21 since a shingle needs 1 / 2**21 of all occurrences, and id lists after their rows are counted.
+2**22 since a shingle needs 1 / 2**22 of all occurrences, and id lists after their rows are counted.
 
 Defined results: a null or wordless text has an empty set, links with nothing and is its own component.
 Fewer than five words are one shingle. Repeated rows and rows with equal ids are one class each; the
@@ -27,6 +31,7 @@ component id is the smallest id, nulls aside, of the component. Columns other th
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,10 +43,11 @@ from .common import settle, ship, sized, table
 
 WORDS = 5
 PERCENT = 75
-MANY = 32
-MOST_FREQUENT = 1 << 21
+MANY = 16
+MOST_FREQUENT = 1 << 22
+PIVOTS_TIMES = 6
 CHUNK = 1 << 22
-LOCAL_LEAST = 3
+ROWS_AT_ONCE = 1 << 16
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -132,49 +138,47 @@ def window_size(n):
 
 
 def _scan(kind: str):
-    """First pass: a row (doc_id, n, key) for each text, and (s, c) for shingles met often in a chunk."""
-    schema = pa.schema([("s", pa.int64()), ("c", pa.int64())])
+    """First pass: doc_id, n, key of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, size, seen = [], 0, set()
-
-        def counted(ids: pa.Array | None, n: list, keys: list) -> pa.RecordBatch:
-            nonlocal sets, size, seen
-            s = c = np.empty(0, np.int64)
-            if sets and (ids is None or size > CHUNK):
-                s, c = np.unique(np.concatenate(sets), return_counts=True)
-                s, c = s[c >= LOCAL_LEAST].view(np.int64), c[c >= LOCAL_LEAST]
-                sets, size, seen = [], 0, set()
-            m = len(n)
-            pad = lambda k, t: pa.nulls(k, t)
-            id_type = ids.type if ids is not None else id_kind
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([ids if ids is not None else pad(0, id_type), pad(len(s), id_type)]),
-                    pa.concat_arrays([pa.array(n, pa.int64()), pad(len(s), pa.int64())]),
-                    pa.concat_arrays([pa.array(keys, pa.binary()), pad(len(s), pa.binary())]),
-                    pa.concat_arrays([pad(m, pa.int64()), pa.array(s, pa.int64())]),
-                    pa.concat_arrays([pad(m, pa.int64()), pa.array(c, pa.int64())]),
-                ],
-                ["doc_id", "n", "key", *[f.name for f in schema][:2]],
-            )
-
-        id_kind = pa.int64()
         for batch in batches:
-            id_kind, n, keys = batch.column(0).type, [], []
-            for row in range(batch.num_rows):
-                s = shingle_set(_raw(batch.column(1), row))
-                n.append(len(s))
-                keys.append(key := digest(s))
-                if key not in seen:
-                    seen.add(key)
-                    sets.append(s)
-                    size += len(s)
-            yield counted(batch.column(0), n, keys)
-        if sets:
-            yield counted(None, [], [])
+            sets = [shingle_set(_raw(batch.column(1), row)) for row in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary())], ["doc_id", "n", "key"])
+
+    return run, f"doc_id {kind}, n long, key binary"
 
-    return run, f"doc_id {kind}, n long, key binary, s long, c long"
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counting pass: (s, c) for the windows' shingles, and for others met twice in a chunk."""
+    chunk, inner, filled, seen = np.empty(CHUNK, np.uint64), np.zeros(CHUNK, bool), 0, set()
+
+    def counted() -> Iterator[pa.RecordBatch]:
+        order = np.argsort(chunk[:filled])
+        values, window = chunk[order], inner[order]
+        first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+        n = np.diff(np.append(first, filled))
+        take = (n > 1) | np.logical_or.reduceat(window, first)
+        s, c = values[first[take]].view(np.int64), n[take]
+        for i in range(0, len(s), ROWS_AT_ONCE):
+            yield pa.RecordBatch.from_arrays([pa.array(s[i : i + ROWS_AT_ONCE]), pa.array(c[i : i + ROWS_AT_ONCE], pa.int64())], ["s", "c"])
+
+    for batch in batches:
+        for row in range(batch.num_rows):
+            s = shingle_set(_raw(batch.column(0), row))
+            if not len(s) or (key := digest(s)) in seen:
+                continue
+            seen.add(key)
+            near = window_size(len(s))
+            for i in range(0, len(s), CHUNK):
+                part = s[i : i + CHUNK]
+                if filled + len(part) > CHUNK:
+                    yield from counted()
+                    filled, seen = 0, {key}
+                chunk[filled : filled + len(part)] = part
+                inner[filled : filled + len(part)] = np.arange(i, i + len(part)) < near
+                filled += len(part)
+    if filled:
+        yield from counted()
 
 
 def _windows(frequent):
@@ -184,7 +188,7 @@ def _windows(frequent):
         often, level = frequent.value
         seen: set[bytes] = set()
         for batch in batches:
-            parts, keys, counts, size = [], [], [], 0
+            parts, keys, sizes, counts, size = [], [], [], [], 0
             for row in range(batch.num_rows):
                 s = shingle_set(_raw(batch.column(0), row))
                 if not len(s) or (key := digest(s)) in seen:
@@ -197,20 +201,22 @@ def _windows(frequent):
                         s = s[np.argsort(rank, kind="stable")]
                 parts.append(s[: window_size(len(s))])
                 keys.append(key)
+                sizes.append(len(s))
                 counts.append(len(parts[-1]))
                 size += counts[-1]
                 if size > 1 << 18:
-                    yield _pairs(parts, keys, counts)
-                    parts, keys, counts, size = [], [], [], 0
+                    yield _pairs(parts, keys, sizes, counts)
+                    parts, keys, sizes, counts, size = [], [], [], [], 0
             if parts:
-                yield _pairs(parts, keys, counts)
+                yield _pairs(parts, keys, sizes, counts)
 
     return run
 
 
-def _pairs(parts: list, keys: list, counts: list) -> pa.RecordBatch:
-    at = pa.array(np.repeat(np.arange(len(keys)), counts))
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(keys, pa.binary()).take(at)], ["s", "key"])
+def _pairs(parts: list, keys: list, sizes: list, counts: list) -> pa.RecordBatch:
+    at = np.repeat(np.arange(len(keys)), counts)
+    cols = [pa.array(np.concatenate(parts).view(np.int64)), pa.array(keys, pa.binary()).take(pa.array(at)), pa.array(np.array(sizes, np.int32)[at])]
+    return pa.RecordBatch.from_arrays(cols, ["s", "key", "n"])
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,31 +265,38 @@ def _enough(inter: Column, total: Column) -> Column:
 def jaccard_links(df: DataFrame, scan: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Links (a, b) between set digests that connect all sets at distance 1/4 or less."""
     spark = df.sparkSession
-    often = scan.where("s IS NOT NULL").groupBy("s").agg(F.sum("c").alias("c"))
+    counts = df.select(F.col(text).alias("text")).mapInArrow(_count, "s long, c long").repartition("s").groupBy("s").agg(F.sum("c").alias("c"))
     total = scan.agg(F.sum("n")).first()[0] or 0
-    least = max(MANY, total // MOST_FREQUENT)
-    found = often.where(F.col("c") >= least).toPandas()
-    values, counts = found["s"].to_numpy(np.int64).view(np.uint64), found["c"].to_numpy(np.float64)
+    found = counts.where(F.col("c") > max(MANY, total // MOST_FREQUENT)).toPandas()
+    values, times = found["s"].to_numpy(np.int64).view(np.uint64), found["c"].to_numpy(np.float64)
     order = np.argsort(values)
-    frequent = spark.sparkContext.broadcast((values[order], np.log2(np.maximum(counts[order], 1)).astype(np.int8)))
-
-    pairs = df.select(F.col(text).alias("text")).mapInArrow(_windows(frequent), "s long, key binary")
-    region = Window.partitionBy("s")
-    members = pairs.repartition("s").dropDuplicates(["s", "key"]).withColumn("m", F.count(F.lit(1)).over(region)).where("m > 1")
-    members = settle(members.select("s", "key", "m", F.lit(None).cast("binary").alias("home")))
-    points = scan.where("n > 0").groupBy("key").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc"))
-    info = settle(members.groupBy("key").agg(F.collect_list("s").alias("shared")).join(points, "key"))
+    frequent = spark.sparkContext.broadcast((values[order], np.log2(np.maximum(times[order], 1)).astype(np.int8)))
+
+    pairs = df.select(F.col(text).alias("text")).mapInArrow(_windows(frequent), "s long, key binary, n int")
+    shingle, region = Window.partitionBy("s"), Window.partitionBy("s", "c")
+    shared = pairs.repartition("s").dropDuplicates(["s", "key"]).withColumn("m", F.count(F.lit(1)).over(shingle)).where("m > 1").drop("m")
+    size_class = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / PERCENT) * (1 + 1e-9))).cast("int")
+    classed = shared.withColumn("class", size_class).withColumn("c", F.explode(F.array(F.col("class"), F.col("class") + 1))).withColumn("own", F.col("class") == F.col("c"))
+    classed = classed.withColumn("m", F.count(F.lit(1)).over(region)).withColumn("owns", F.sum(F.col("own").cast("int")).over(region)).where("m > 1 AND owns > 0")
+    members = settle(classed.select("s", "c", "key", "n", "own", F.col("key").alias("label")))
+    points = scan.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc"))
+    info = settle(members.groupBy("key").agg(F.collect_set("s").alias("shared")).join(points, "key"))
+    degree = sized(settle(info.select(F.col("key").alias("k"), F.size("shared").alias("degree"))))
     links = None
     pivots = 1
     while True:
-        ranked = members.withColumn("pivot", F.row_number().over(region.orderBy(F.col("home").isNotNull(), "key")) <= pivots)
-        chosen = ranked.withColumn("ps", F.collect_list(F.when(F.col("pivot"), F.struct("key", "home"))).over(region)).withColumn("p", F.explode("ps"))
-        beside = (F.col("key") != F.col("p.key")) & (~F.col("pivot") | (F.col("key") > F.col("p.key"))) & ~F.coalesce(F.col("home") == F.col("p.home"), F.lit(False))
-        compared = chosen.where(beside).select("s", "m", F.col("key").alias("a"), F.col("p.key").alias("b"), "pivot", F.col("home").alias("old"))
-        edges = compared.select("a", "b").distinct()
+        first = members.withColumn("turn", F.row_number().over(Window.partitionBy("s", "c", "label").orderBy(~F.col("own"), "key"))) if links is not None else members.withColumn("turn", F.lit(1))
+        ranked = first.withColumn("pivot", F.row_number().over(region.orderBy("turn", ~F.col("own"), "key")) <= pivots)
+        edges = _beside(ranked, region).select("a", "b", "an", "bn").distinct()
+        for side in "ab":
+            edges = edges.join(degree.select(F.col("k").alias(side), F.col("degree").alias(f"{side}d")), side)
+        behind = F.ceil(F.greatest("an", "bn") * PERCENT / 100) - 1  # overlap outside of the windows, at most
+        edges = settle(edges.select("a", "b", "an", "bn", (F.least("ad", "bd") + behind).alias("most")))
+        hopeless = edges.where(~_enough(F.col("most"), F.col("an") + F.col("bn")))
+        edges = edges.where(_enough(F.col("most"), F.col("an") + F.col("bn"))).drop("most")
         for side in "ab":
-            edges = edges.join(info.select(F.col("key").alias(side), F.col("shared").alias(f"{side}s"), F.col("n").alias(f"{side}n"), F.col("doc").alias(f"{side}doc")), side)
-        most = F.least(F.size(F.array_intersect("as", "bs")) + F.ceil(F.greatest("an", "bn") * PERCENT / 100) - 1, "an", "bn")
+            edges = edges.join(info.select(F.col("key").alias(side), F.col("shared").alias(f"{side}s"), F.col("doc").alias(f"{side}doc")), side)
+        most = F.least(F.size(F.array_intersect("as", "bs")) + behind, "an", "bn")
         edges = settle(edges.select("a", "b", "an", "bn", "adoc", "bdoc", most.alias("most")))
         close = edges.where(_enough(F.col("most"), F.col("an") + F.col("bn")))
         wanted = close.select(F.col("adoc").alias("doc"), F.col("a").alias("key")).union(close.select("bdoc", "b")).distinct()
@@ -294,24 +307,54 @@ def jaccard_links(df: DataFrame, scan: DataFrame, doc_id: str, text: str) -> Dat
         exact = close.select("a", "b", "an", "bn").join(whole.select(F.col("key").alias("a"), F.col("items").alias("ai")), "a").join(whole.select(F.col("key").alias("b"), F.col("items").alias("bi")), "b")
         exact = settle(exact.select("a", "b", "an", "bn", F.size(F.array_intersect("ai", "bi")).cast("long").alias("inter")))
         linked = exact.where(_enough(F.col("inter"), F.col("an") + F.col("bn"))).select("a", "b")
-        links = linked if links is None else links.union(linked)
-        # what is left of the regions: distances (or lower bounds of them), homes, triangle windows
-        over = F.coalesce("inter", "most")
-        far = edges.join(exact.select("a", "b", "inter"), ["a", "b"], "left").withColumn("d", 1 - over / (F.col("an") + F.col("bn") - over))
-        far = far.withColumn("near", _enough(F.col("inter"), F.col("an") + F.col("bn"))).select("a", "b", "d", F.coalesce("near", F.lit(False)).alias("near"))
-        rest = compared.where(~F.col("pivot") & (F.col("m") > pivots + 1)).join(far, ["a", "b"])
-        mine = Window.partitionBy("s", "a")
-        rest = rest.withColumn("home", F.min(F.when(F.col("near"), F.struct("d", "b"))).over(mine))
-        outside = F.min(F.when(F.col("home").isNull() | (F.col("home.b") != F.col("b")), F.col("d"))).over(Window.partitionBy("s", "b"))
-        rest = rest.withColumn("outside", outside)
-        # a set with a home has left its group's other sets behind; one without is outside of all
-        stays = F.col("home").isNull() | ((F.col("home.b") == F.col("b")) & (F.col("outside") <= F.col("home.d") + (100 - PERCENT) / 100 + 1e-9))
-        again = rest.where(stays).groupBy("s", F.col("a").alias("key")).agg(F.coalesce(F.first("home.b"), F.first("old")).alias("home"))
-        again = again.withColumn("m", F.count(F.lit(1)).over(region)).withColumn("one", F.coalesce(F.min("home").over(region) == F.max("home").over(region), F.lit(False)) & (F.count("home").over(region) == F.col("m")))
-        members = settle(again.where("m > 1 AND NOT one").select("s", "key", "m", "home"))
+        links = settle(linked if links is None else links.union(linked))
+        bounds = edges.select("a", "b", "most").union(hopeless.select("a", "b", F.least("most", "an", "bn")))
+        members = settle(_rest(ranked, region, _labels(links), bounds, exact))
         if members.isEmpty():
             return links
-        pivots *= 4
+        pivots *= PIVOTS_TIMES
+
+
+def _paired(ranked: DataFrame, region) -> DataFrame:
+    """Each set of a region beside each pivot."""
+    pivot = F.collect_list(F.when(F.col("pivot"), F.struct("key", "n", "own", "label"))).over(region)
+    pairs = ranked.withColumn("ps", pivot).withColumn("p", F.explode("ps"))
+    return pairs.select("s", "c", "pivot", "label", "own", F.col("key").alias("a"), F.col("n").alias("an"), F.col("p.key").alias("b"), F.col("p.n").alias("bn"), F.col("p.own").alias("bown"), F.col("p.label").alias("blabel"))
+
+
+def _beside(ranked: DataFrame, region) -> DataFrame:
+    """The pairs to compare: of different components, sizes that can link, one of them of the region's own class."""
+    fits = 100 * F.least("an", "bn") >= PERCENT * F.greatest("an", "bn")
+    return _paired(ranked, region).where((~F.col("pivot") | (F.col("a") > F.col("b"))) & (F.col("label") != F.col("blabel")) & (F.col("own") | F.col("bown")) & fits)
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    """(a, b): for each linked set the least set within two links, as far as these show. Equal labels are connected."""
+    ends = links.select("a", "b").union(links.select("b", "a")).union(links.select("a", "a")).union(links.select("b", "b")).toDF("a", "b")
+    low = ends.groupBy("a").agg(F.min("b").alias("m"))
+    step = low.select(F.col("a").alias("m"), F.col("m").alias("b"))
+    return sized(settle(low.join(step, "m").select("a", "b").where("a != b")))
+
+
+def _rest(ranked: DataFrame, region, roots: DataFrame, bounds: DataFrame, exact: DataFrame) -> DataFrame:
+    """What is left of the regions after a round: distances (or lower bounds of them), homes, triangle windows."""
+    total = F.col("an") + F.col("bn")
+    now = ranked.join(roots, ranked["key"] == roots["a"], "left").withColumn("label", F.coalesce("b", "key")).drop("a", "b", "turn")
+    rest = F.when(~F.col("pivot"), F.col("label"))
+    alive = now.withColumn("low", F.min(rest).over(region)).withColumn("high", F.max(rest).over(region)).withColumn("owns", F.max(F.when(~F.col("pivot"), F.col("own"))).over(region))
+    alive = alive.where("low != high AND owns")
+    pairs = _paired(alive, region).where(~F.col("pivot"))
+    known = sized(settle(bounds.join(exact.select("a", "b", "inter"), ["a", "b"], "left")))
+    pairs = pairs.join(known, ["a", "b"], "left")
+    over = F.coalesce("inter", "most", F.least("an", "bn"))  # neither: sizes too far apart to link
+    pairs = pairs.withColumn("d", F.when(F.col("own") | F.col("bown"), 1 - over / (total - over)).otherwise(0.0))
+    near = F.coalesce(_enough(F.col("inter"), total), F.lit(False))
+    pairs = pairs.withColumn("home", F.min(F.when(near, F.struct("d", "b"))).over(Window.partitionBy("s", "c", "a")))
+    pairs = pairs.withColumn("outside", F.min(F.when(F.col("label") != F.col("blabel"), F.col("d"))).over(Window.partitionBy("s", "c", "b")))
+    stays = F.col("home").isNull() | ((F.col("home.b") == F.col("b")) & (F.col("outside") <= F.col("home.d") + (100 - PERCENT) / 100 + 1e-9))
+    left = pairs.where(stays).groupBy("s", "c", F.col("a").alias("key")).agg(F.first("an").alias("n"), F.first("own").alias("own"), F.first("label").alias("label"))
+    left = left.withColumn("low", F.min("label").over(region)).withColumn("high", F.max("label").over(region)).withColumn("owns", F.max("own").over(region))
+    return left.where("low != high AND owns").select("s", "c", "key", "n", "own", "label")
 
 
 def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -319,9 +362,8 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     spark = df.sparkSession
     ship(spark)
     run, schema = _scan(df.schema[doc_id].dataType.simpleString())
-    scan = settle(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema))
-    docs = scan.where("key IS NOT NULL").select("doc_id", "n", "key")
-    roots = components(jaccard_links(df, scan, doc_id, text))
+    docs = settle(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema))
+    roots = components(jaccard_links(df, docs, doc_id, text))
     points = docs.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("low"))
     rooted = points.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
