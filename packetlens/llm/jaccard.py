@@ -1,6 +1,6 @@
 """Exact n-gram Jaccard self-join in the metric space of shingle sets (distance d = 1 - J, links at d <= 1/4).
 
-1. *Sets.* One pass hashes each whole text's distinct 5-word shingles to 64 bits and names the set by a
+1. *Sets.* A pass hashes each whole text's distinct 5-word shingles to 64 bits and names the set by a
    128-bit digest; exact copies are one point of the space from here on.
 2. *Outer regions.* The outer pivots are single shingles. {s} is at distance below 1 of the sets that have s
    and at exactly 1 of all others, so a set's region windows are its shingles. Under any one global order of the
@@ -16,7 +16,7 @@
    within 1/4 of a pivot are linked to it and so to each other: no pair among them is looked at. Pivots
    leave the region, and a region of one component vanishes. A set near a pivot q stays only if some set of another
    component is inside its triangle window, d(B, q) <= d(A, q) + 1/4. The rest joins again until no region is
-   left. Most comparisons end at an upper bound of the overlap (shared window shingles, or first their number,
+   left. Sets that have too few window shingles from the region's on to be linked there leave at once. Most comparisons end at an upper bound of the overlap (shared window shingles, or first their number,
    plus what can lie behind them); the others intersect the whole sets.
 4. *Components* of the links by alternating large and small stars.
 
@@ -138,47 +138,52 @@ def window_size(n):
 
 
 def _scan(kind: str):
-    """First pass: doc_id, n, key of each text."""
+    """First pass, rows (r, doc_id, n, key, c): the texts (r spreads them, c is 1), and counts c of shingles r.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(_raw(batch.column(1), row)) for row in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary())], ["doc_id", "n", "key"])
-
-    return run, f"doc_id {kind}, n long, key binary"
+    The windows' shingles are counted exactly, others if a chunk of texts has them twice.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, inner, filled, seen = np.empty(CHUNK, np.uint64), np.zeros(CHUNK, bool), 0, set()
+        id_type = pa.int64()
+        names = ["r", "doc_id", "n", "key", "c"]
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            order = np.argsort(chunk[:filled])
+            values, window = chunk[order], inner[order]
+            first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+            n = np.diff(np.append(first, filled))
+            take = (n > 1) | np.logical_or.reduceat(window, first)
+            s, c = values[first[take]].view(np.int64), n[take]
+            for i in range(0, len(s), ROWS_AT_ONCE):
+                part = s[i : i + ROWS_AT_ONCE]
+                none = [pa.nulls(len(part), t) for t in (id_type, pa.int64(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(part), *none, pa.array(c[i : i + ROWS_AT_ONCE], pa.int64())], names)
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counting pass: (s, c) for the windows' shingles, and for others met twice in a chunk."""
-    chunk, inner, filled, seen = np.empty(CHUNK, np.uint64), np.zeros(CHUNK, bool), 0, set()
-
-    def counted() -> Iterator[pa.RecordBatch]:
-        order = np.argsort(chunk[:filled])
-        values, window = chunk[order], inner[order]
-        first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-        n = np.diff(np.append(first, filled))
-        take = (n > 1) | np.logical_or.reduceat(window, first)
-        s, c = values[first[take]].view(np.int64), n[take]
-        for i in range(0, len(s), ROWS_AT_ONCE):
-            yield pa.RecordBatch.from_arrays([pa.array(s[i : i + ROWS_AT_ONCE]), pa.array(c[i : i + ROWS_AT_ONCE], pa.int64())], ["s", "c"])
-
-    for batch in batches:
-        for row in range(batch.num_rows):
-            s = shingle_set(_raw(batch.column(0), row))
-            if not len(s) or (key := digest(s)) in seen:
-                continue
-            seen.add(key)
-            near = window_size(len(s))
-            for i in range(0, len(s), CHUNK):
-                part = s[i : i + CHUNK]
-                if filled + len(part) > CHUNK:
-                    yield from counted()
-                    filled, seen = 0, {key}
-                chunk[filled : filled + len(part)] = part
-                inner[filled : filled + len(part)] = np.arange(i, i + len(part)) < near
-                filled += len(part)
-    if filled:
-        yield from counted()
+        for batch in batches:
+            id_type, n, keys = batch.column(0).type, [], []
+            for row in range(batch.num_rows):
+                s = shingle_set(_raw(batch.column(1), row))
+                n.append(len(s))
+                keys.append(key := digest(s))
+                if not len(s) or key in seen:
+                    continue
+                seen.add(key)
+                near = window_size(len(s))
+                for i in range(0, len(s), CHUNK):
+                    part = s[i : i + CHUNK]
+                    if filled + len(part) > CHUNK:
+                        yield from counted()
+                        filled, seen = 0, {key}
+                    chunk[filled : filled + len(part)] = part
+                    inner[filled : filled + len(part)] = np.arange(i, i + len(part)) < near
+                    filled += len(part)
+            spread = np.random.default_rng(len(keys)).integers(-(2**63), 2**63 - 1, len(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(spread), batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(np.ones(len(n), np.int64))], names)
+        if filled:
+            yield from counted()
+
+    return run, f"r long, doc_id {kind}, n long, key binary, c long"
 
 
 def _windows(frequent):
@@ -215,8 +220,9 @@ def _windows(frequent):
 
 def _pairs(parts: list, keys: list, sizes: list, counts: list) -> pa.RecordBatch:
     at = np.repeat(np.arange(len(keys)), counts)
-    cols = [pa.array(np.concatenate(parts).view(np.int64)), pa.array(keys, pa.binary()).take(pa.array(at)), pa.array(np.array(sizes, np.int32)[at])]
-    return pa.RecordBatch.from_arrays(cols, ["s", "key", "n"])
+    behind = np.concatenate([np.arange(c, 0, -1, dtype=np.int32) for c in counts])  # window shingles from this one on
+    cols = [pa.array(np.concatenate(parts).view(np.int64)), pa.array(keys, pa.binary()).take(pa.array(at)), pa.array(np.array(sizes, np.int32)[at]), pa.array(behind)]
+    return pa.RecordBatch.from_arrays(cols, ["s", "key", "n", "after"])
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,67 +271,90 @@ def _enough(inter: Column, total: Column) -> Column:
 def jaccard_links(df: DataFrame, scan: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Links (a, b) between set digests that connect all sets at distance 1/4 or less."""
     spark = df.sparkSession
-    counts = df.select(F.col(text).alias("text")).mapInArrow(_count, "s long, c long").repartition("s").groupBy("s").agg(F.sum("c").alias("c"))
-    total = scan.agg(F.sum("n")).first()[0] or 0
-    found = counts.where(F.col("c") > max(MANY, total // MOST_FREQUENT)).toPandas()
-    values, times = found["s"].to_numpy(np.int64).view(np.uint64), found["c"].to_numpy(np.float64)
+    docs = scan.where("key IS NOT NULL")
+    total = docs.agg(F.sum("n")).first()[0] or 0
+    found = scan.where(F.col("key").isNull() & (F.col("c") > max(MANY, total // MOST_FREQUENT))).select("r", "c").toPandas()
+    values, times = found["r"].to_numpy(np.int64).view(np.uint64), found["c"].to_numpy(np.float64)
     order = np.argsort(values)
     frequent = spark.sparkContext.broadcast((values[order], np.log2(np.maximum(times[order], 1)).astype(np.int8)))
 
-    pairs = df.select(F.col(text).alias("text")).mapInArrow(_windows(frequent), "s long, key binary, n int")
     shingle, region = Window.partitionBy("s"), Window.partitionBy("s", "c")
-    shared = pairs.repartition("s").dropDuplicates(["s", "key"]).withColumn("m", F.count(F.lit(1)).over(shingle)).where("m > 1").drop("m")
+    rows = df.select(F.col(text).alias("text")).mapInArrow(_windows(frequent), "s long, key binary, n int, after int").repartition("s")
+    many = lambda x: x.withColumn("m", F.count(F.lit(1)).over(shingle)).where("m > 1").drop("m")
+    base = settle(many(many(rows).dropDuplicates(["s", "key"])))
+    points = docs.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc"))
+    info = settle(base.groupBy("key").agg(F.collect_list("s").alias("shared")).join(points, "key"))
+    degree = sized(settle(info.select("key", F.size("shared").alias("degree"))))
     size_class = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / PERCENT) * (1 + 1e-9))).cast("int")
-    classed = shared.withColumn("class", size_class).withColumn("c", F.explode(F.array(F.col("class"), F.col("class") + 1))).withColumn("own", F.col("class") == F.col("c"))
-    classed = classed.withColumn("m", F.count(F.lit(1)).over(region)).withColumn("owns", F.sum(F.col("own").cast("int")).over(region)).where("m > 1 AND owns > 0")
-    members = settle(classed.select("s", "c", "key", "n", "own", F.col("key").alias("label")))
-    points = scan.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc"))
-    info = settle(members.groupBy("key").agg(F.collect_set("s").alias("shared")).join(points, "key"))
-    degree = sized(settle(info.select(F.col("key").alias("k"), F.size("shared").alias("degree"))))
+    classed = base.join(degree, "key").withColumn("class", size_class).withColumn("c", F.explode(F.array(F.col("class"), F.col("class") + 1)))
+    classed = classed.select("s", "c", "key", "n", "after", "degree", (F.col("class") == F.col("c")).alias("own"), F.col("key").alias("label"))
+    members = _able(_able(classed.repartition("s", "c"), region), region)
     links = None
     pivots = 1
     while True:
-        first = members.withColumn("turn", F.row_number().over(Window.partitionBy("s", "c", "label").orderBy(~F.col("own"), "key"))) if links is not None else members.withColumn("turn", F.lit(1))
-        ranked = first.withColumn("pivot", F.row_number().over(region.orderBy("turn", ~F.col("own"), "key")) <= pivots)
-        edges = _beside(ranked, region).select("a", "b", "an", "bn").distinct()
-        for side in "ab":
-            edges = edges.join(degree.select(F.col("k").alias(side), F.col("degree").alias(f"{side}d")), side)
-        behind = F.ceil(F.greatest("an", "bn") * PERCENT / 100) - 1  # overlap outside of the windows, at most
-        edges = settle(edges.select("a", "b", "an", "bn", (F.least("ad", "bd") + behind).alias("most")))
-        hopeless = edges.where(~_enough(F.col("most"), F.col("an") + F.col("bn")))
-        edges = edges.where(_enough(F.col("most"), F.col("an") + F.col("bn"))).drop("most")
+        # the fuller a set's windows are with shared shingles, the more central it is
+        best = [~F.col("own"), (F.col("degree") / F.col("n")).desc(), F.col("key")]
+        turn = F.lit(1) if links is None else F.row_number().over(Window.partitionBy("s", "c", "label").orderBy(*best))
+        ranked = members.withColumn("turn", turn).withColumn("pivot", F.row_number().over(region.orderBy("turn", *best)) <= pivots)
+        total = F.col("an") + F.col("bn")
+        edges = _paired(ranked, region, _viable).where(~F.col("pivot") | (F.col("a") > F.col("b"))).select("a", "b", "an", "bn").distinct()
         for side in "ab":
             edges = edges.join(info.select(F.col("key").alias(side), F.col("shared").alias(f"{side}s"), F.col("doc").alias(f"{side}doc")), side)
-        most = F.least(F.size(F.array_intersect("as", "bs")) + behind, "an", "bn")
+        most = F.least(F.size(F.array_intersect("as", "bs")) + _behind(F.col("an"), F.col("bn")), "an", "bn")
         edges = settle(edges.select("a", "b", "an", "bn", "adoc", "bdoc", most.alias("most")))
-        close = edges.where(_enough(F.col("most"), F.col("an") + F.col("bn")))
-        wanted = close.select(F.col("adoc").alias("doc"), F.col("a").alias("key")).union(close.select("bdoc", "b")).distinct()
-        wanted = sized(settle(wanted))
+        close = edges.where(_enough(F.col("most"), total))
+        wanted = sized(settle(close.select(F.col("adoc").alias("doc"), F.col("a").alias("key")).union(close.select("bdoc", "b")).distinct()))
         texts = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-        whole = texts.join(wanted, texts["id"].eqNullSafe(wanted["doc"])).select("text", "key").mapInArrow(_whole, "key binary, items array<long>").dropDuplicates(["key"])
-        whole = settle(whole)
+        whole = settle(texts.join(wanted, texts["id"].eqNullSafe(wanted["doc"])).select("text", "key").mapInArrow(_whole, "key binary, items array<long>").dropDuplicates(["key"]))
         exact = close.select("a", "b", "an", "bn").join(whole.select(F.col("key").alias("a"), F.col("items").alias("ai")), "a").join(whole.select(F.col("key").alias("b"), F.col("items").alias("bi")), "b")
         exact = settle(exact.select("a", "b", "an", "bn", F.size(F.array_intersect("ai", "bi")).cast("long").alias("inter")))
-        linked = exact.where(_enough(F.col("inter"), F.col("an") + F.col("bn"))).select("a", "b")
+        linked = exact.where(_enough(F.col("inter"), total)).select("a", "b")
         links = settle(linked if links is None else links.union(linked))
-        bounds = edges.select("a", "b", "most").union(hopeless.select("a", "b", F.least("most", "an", "bn")))
-        members = settle(_rest(ranked, region, _labels(links), bounds, exact))
+        members = settle(_rest(ranked, region, _labels(links), edges.select("a", "b", "most"), exact)).repartition("s", "c")
         if members.isEmpty():
             return links
         pivots *= PIVOTS_TIMES
 
 
-def _paired(ranked: DataFrame, region) -> DataFrame:
-    """Each set of a region beside each pivot."""
-    pivot = F.collect_list(F.when(F.col("pivot"), F.struct("key", "n", "own", "label"))).over(region)
-    pairs = ranked.withColumn("ps", pivot).withColumn("p", F.explode("ps"))
-    return pairs.select("s", "c", "pivot", "label", "own", F.col("key").alias("a"), F.col("n").alias("an"), F.col("p.key").alias("b"), F.col("p.n").alias("bn"), F.col("p.own").alias("bown"), F.col("p.label").alias("blabel"))
+def _behind(an: Column, bn: Column) -> Column:
+    """What two sets can share outside of their windows, at most."""
+    return F.ceil(F.greatest(an, bn) * PERCENT / 100) - 1
+
+
+def _able(members: DataFrame, region) -> DataFrame:
+    """Members that can have a link in their region by their sizes and their number of shared window shingles.
+
+    A pair needs to meet only in the region of its first common shingle; what its windows share is then at or after it.
+    A link of sizes n and x needs more than g(x) = 3/7 (n + x) - 3/4 max(n, x) shared ones. g rises up to n and falls
+    from there, so the region's smallest and largest size (within the factor of a link) tell the least need.
+    """
+    n = F.col("n").cast("double")
+
+    def need(x: Column) -> Column:
+        return PERCENT * (n + x) / (100 + PERCENT) - F.greatest(n, x) * PERCENT / 100
+
+    low = F.greatest(F.col("low").cast("double"), n * PERCENT / 100)
+    high = F.least(F.col("high").cast("double"), n * 100 / PERCENT)
+    one = members.withColumn("low", F.min("n").over(region)).withColumn("high", F.max("n").over(region))
+    one = one.where(F.least("degree", "after") > F.least(need(low), need(high)) - 1e-6).drop("low", "high")
+    live = one.withColumn("m", F.count(F.lit(1)).over(region)).withColumn("owns", F.max("own").over(region))
+    live = live.withColumn("low", F.min("label").over(region)).withColumn("high", F.max("label").over(region))
+    return live.where("m > 1 AND owns AND low != high").drop("m", "owns", "low", "high")
+
+
+def _viable(p: Column) -> Column:
+    """The pair is to be compared: other component, sizes that can link, one of the region's own class, shared windows enough."""
+    n, total = F.col("n"), F.col("n") + p["n"]
+    fits = 100 * F.least(n, p["n"]) >= PERCENT * F.greatest(n, p["n"])
+    return (F.col("key") != p["key"]) & (F.col("label") != p["label"]) & (F.col("own") | p["own"]) & fits & _enough(F.least(F.col("degree"), p["degree"], F.col("after"), p["after"]) + _behind(n, p["n"]), total)
 
 
-def _beside(ranked: DataFrame, region) -> DataFrame:
-    """The pairs to compare: of different components, sizes that can link, one of them of the region's own class."""
-    fits = 100 * F.least("an", "bn") >= PERCENT * F.greatest("an", "bn")
-    return _paired(ranked, region).where((~F.col("pivot") | (F.col("a") > F.col("b"))) & (F.col("label") != F.col("blabel")) & (F.col("own") | F.col("bown")) & fits)
+def _paired(ranked: DataFrame, region, which) -> DataFrame:
+    """Each set of a region beside those of its pivots that ``which`` takes."""
+    pivots = F.collect_list(F.when(F.col("pivot"), F.struct("key", "n", "own", "label", "degree", "after"))).over(region)
+    pairs = ranked.withColumn("ps", pivots).withColumn("p", F.explode(F.filter("ps", which)))
+    sides = [F.col("key").alias("a"), F.col("n").alias("an"), "after", F.col("degree").alias("ad"), *[F.col(f"p.{c}").alias(x) for c, x in (("key", "b"), ("n", "bn"), ("degree", "bd"), ("own", "bown"), ("label", "blabel"))]]
+    return pairs.select("s", "c", "pivot", "label", "own", *sides)
 
 
 def _labels(links: DataFrame) -> DataFrame:
@@ -343,18 +372,17 @@ def _rest(ranked: DataFrame, region, roots: DataFrame, bounds: DataFrame, exact:
     rest = F.when(~F.col("pivot"), F.col("label"))
     alive = now.withColumn("low", F.min(rest).over(region)).withColumn("high", F.max(rest).over(region)).withColumn("owns", F.max(F.when(~F.col("pivot"), F.col("own"))).over(region))
     alive = alive.where("low != high AND owns")
-    pairs = _paired(alive, region).where(~F.col("pivot"))
+    pairs = _paired(alive, region, lambda p: ~F.col("pivot"))
     known = sized(settle(bounds.join(exact.select("a", "b", "inter"), ["a", "b"], "left")))
     pairs = pairs.join(known, ["a", "b"], "left")
-    over = F.coalesce("inter", "most", F.least("an", "bn"))  # neither: sizes too far apart to link
-    pairs = pairs.withColumn("d", F.when(F.col("own") | F.col("bown"), 1 - over / (total - over)).otherwise(0.0))
+    over = F.coalesce("inter", "most", F.least(F.least("ad", "bd") + _behind(F.col("an"), F.col("bn")), "an", "bn"))
+    pairs = pairs.withColumn("d", 1 - over / (total - over))
     near = F.coalesce(_enough(F.col("inter"), total), F.lit(False))
     pairs = pairs.withColumn("home", F.min(F.when(near, F.struct("d", "b"))).over(Window.partitionBy("s", "c", "a")))
     pairs = pairs.withColumn("outside", F.min(F.when(F.col("label") != F.col("blabel"), F.col("d"))).over(Window.partitionBy("s", "c", "b")))
     stays = F.col("home").isNull() | ((F.col("home.b") == F.col("b")) & (F.col("outside") <= F.col("home.d") + (100 - PERCENT) / 100 + 1e-9))
-    left = pairs.where(stays).groupBy("s", "c", F.col("a").alias("key")).agg(F.first("an").alias("n"), F.first("own").alias("own"), F.first("label").alias("label"))
-    left = left.withColumn("low", F.min("label").over(region)).withColumn("high", F.max("label").over(region)).withColumn("owns", F.max("own").over(region))
-    return left.where("low != high AND owns").select("s", "c", "key", "n", "own", "label")
+    left = pairs.where(stays).groupBy("s", "c", F.col("a").alias("key")).agg(F.first("an").alias("n"), F.first("after").alias("after"), F.first("ad").alias("degree"), F.first("own").alias("own"), F.first("label").alias("label"))
+    return _able(left, region)
 
 
 def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -362,8 +390,11 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     spark = df.sparkSession
     ship(spark)
     run, schema = _scan(df.schema[doc_id].dataType.simpleString())
-    docs = settle(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema))
-    roots = components(jaccard_links(df, docs, doc_id, text))
+    scan = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    summed = scan.repartition("r").groupBy("r", "doc_id", "n", "key").agg(F.sum("c").alias("c"))
+    scan = settle(summed.where(F.col("key").isNotNull() | (F.col("c") > MANY)))
+    docs = scan.where("key IS NOT NULL").select("doc_id", "n", "key", F.explode(F.sequence(F.lit(1).cast("long"), "c"))).drop("col")
+    roots = components(jaccard_links(df, scan, doc_id, text))
     points = docs.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("low"))
     rooted = points.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
