@@ -539,3 +539,22 @@ def test_lines_are_dropped_by_site(spark, edge, nothing):
     assert len(out) == len(data) and out[3].text == " \nown 3" and out[3].n_dropped == 1 and out[3].keys == 1
     assert out[101].text == "menu\nfoot" and out[203].text == "" and out[211].text == "rare" and out[300].text is None
     assert lines.line_dedup(nothing).count() == 0 and Counter(r.text for r in lines.line_dedup(edge).collect()) == Counter(t for _, t, _ in EDGE)
+
+
+# --- plans --------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["op3_mix_sources", "op4_quality_rules", "op6_license_scan", "op10_line_dedup"])
+def test_native_operators_run_no_python(spark, sf, name):
+    plan = registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_quality_rules_are_a_narrow_projection(spark, sf):
+    plan = quality.op4_quality_rules(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+
+
+def test_operators_read_only_their_columns(spark, sf):
+    plan = bpe.op1_byte_bpe(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
