@@ -145,7 +145,7 @@ def stream_ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_aggregated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file stream of packets aggregated by hour, in update-free complete form."""
+    """A file stream of packets aggregated by hour, in complete mode."""
     source, out = shared_path(spark, "packets"), shared_path(spark, "windows")
     packets(spark, sf_dir).select(*PACKET_COLUMNS).write.parquet(source)
     schema = spark.read.parquet(source).schema
