@@ -1,14 +1,14 @@
 """Exact n-gram Jaccard self-join in the metric space of shingle sets (distance d = 1 - J, links at d <= 1/4).
 
 1. *Sets.* A pass hashes each whole text's distinct 5-word shingles to 64 bits and names the set by a
-   128-bit digest; exact copies are one point of the space from here on.
+   88-bit digest; exact copies are one point of the space from here on.
 2. *Outer regions.* The outer pivots are single shingles. {s} is at distance below 1 of the sets that have s
    and at exactly 1 of all others, so a set's region windows are its shingles. Under any one global order of the
    shingles a linked pair shares one among the first n - ceil(3n/4) + 1 of each set: a set is replicated to
-   these windows only. The order is rarest first: shingles that a counting pass met in more than MANY sets come
+   these windows only. The order is rarest first: shingles that the first pass met more than MANY times come
    last, by a logarithmic class of their count, so common lines and passages open no regions for texts that merely
-   quote them and regions stay small. (It counts the shingles of the windows under plain hash order exactly,
-   others from two sets in a chunk of texts on; a wrong rank costs time, never a link.) Since linked sizes differ by
+   quote them and regions stay small. (It counts what a chunk of texts has twice or more; a wrong rank costs
+   time, never a link.) Since linked sizes differ by
    a factor of 3/4 at most, a region falls into size classes of that width, each with its own sets and those of the
    class below. Regions with one set vanish.
 3. *Inner regions.* In each region sets become pivots, 1, then 6, 36, ... of them, of different components as
@@ -16,12 +16,13 @@
    within 1/4 of a pivot are linked to it and so to each other: no pair among them is looked at. Pivots
    leave the region, and a region of one component vanishes. A set near a pivot q stays only if some set of another
    component is inside its triangle window, d(B, q) <= d(A, q) + 1/4. The rest joins again until no region is
-   left. Sets that have too few window shingles from the region's on to be linked there leave at once. Most comparisons end at an upper bound of the overlap (shared window shingles, or first their number,
-   plus what can lie behind them); the others intersect the whole sets.
+   left. Sets that have too few window shingles from the region's on to be linked there leave at once. Pairs
+   whose sets share too few window shingles with any other are no links; the others intersect their whole sets.
 4. *Components* of the links by alternating large and small stars.
 
 Nothing about all documents comes to the driver; the only broadcasts are the frequent shingles, at most
-2**22 since a shingle needs 1 / 2**22 of all occurrences, and id lists after their rows are counted.
+2**22 since a shingle needs 1 / 2**22 of all occurrences, and
+lists of ids and sets after their size is measured.
 
 Defined results: a null or wordless text has an empty set, links with nothing and is its own component.
 Fewer than five words are one shingle. Repeated rows and rows with equal ids are one class each; the
@@ -46,6 +47,9 @@ PERCENT = 75
 MANY = 16
 MOST_FREQUENT = 1 << 22
 PIVOTS_TIMES = 6
+DIGEST_BYTES = 11
+#: Whole sets are broadcast up to this measured size; beyond it their joins shuffle.
+SMALL_BYTES = 10 << 20
 CHUNK = 1 << 22
 ROWS_AT_ONCE = 1 << 16
 
@@ -124,7 +128,7 @@ def shingle_set(raw: np.ndarray) -> np.ndarray:
 
 
 def digest(s: np.ndarray) -> bytes:
-    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+    return hashlib.blake2b(s.tobytes(), digest_size=DIGEST_BYTES).digest()
 
 
 def _raw(texts: pa.Array, row: int) -> np.ndarray:
@@ -138,23 +142,19 @@ def window_size(n):
 
 
 def _scan(kind: str):
-    """First pass, rows (r, doc_id, n, key, c): the texts (r spreads them, c is 1), and counts c of shingles r.
-
-    The windows' shingles are counted exactly, others if a chunk of texts has them twice.
-    """
+    """First pass, rows (r, doc_id, n, key, c): the texts (r spreads them, c is 1), and counts c of shingles r that a chunk of texts has twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, inner, filled, seen = np.empty(CHUNK, np.uint64), np.zeros(CHUNK, bool), 0, set()
+        chunk, filled, seen = np.empty(CHUNK, np.uint64), 0, set()
         id_type = pa.int64()
         names = ["r", "doc_id", "n", "key", "c"]
 
         def counted() -> Iterator[pa.RecordBatch]:
-            order = np.argsort(chunk[:filled])
-            values, window = chunk[order], inner[order]
+            values = chunk[:filled]
+            values.sort()
             first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
             n = np.diff(np.append(first, filled))
-            take = (n > 1) | np.logical_or.reduceat(window, first)
-            s, c = values[first[take]].view(np.int64), n[take]
+            s, c = values[first[n > 1]].view(np.int64), n[n > 1]
             for i in range(0, len(s), ROWS_AT_ONCE):
                 part = s[i : i + ROWS_AT_ONCE]
                 none = [pa.nulls(len(part), t) for t in (id_type, pa.int64(), pa.binary())]
@@ -169,14 +169,12 @@ def _scan(kind: str):
                 if not len(s) or key in seen:
                     continue
                 seen.add(key)
-                near = window_size(len(s))
                 for i in range(0, len(s), CHUNK):
                     part = s[i : i + CHUNK]
                     if filled + len(part) > CHUNK:
                         yield from counted()
                         filled, seen = 0, {key}
                     chunk[filled : filled + len(part)] = part
-                    inner[filled : filled + len(part)] = np.arange(i, i + len(part)) < near
                     filled += len(part)
             spread = np.random.default_rng(len(keys)).integers(-(2**63), 2**63 - 1, len(keys))
             yield pa.RecordBatch.from_arrays([pa.array(spread), batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(np.ones(len(n), np.int64))], names)
@@ -281,38 +279,41 @@ def jaccard_links(df: DataFrame, scan: DataFrame, doc_id: str, text: str) -> Dat
     shingle, region = Window.partitionBy("s"), Window.partitionBy("s", "c")
     rows = df.select(F.col(text).alias("text")).mapInArrow(_windows(frequent), "s long, key binary, n int, after int").repartition("s")
     many = lambda x: x.withColumn("m", F.count(F.lit(1)).over(shingle)).where("m > 1").drop("m")
-    base = settle(many(many(rows).dropDuplicates(["s", "key"])))
+    base = many(many(rows).dropDuplicates(["s", "key"]))
     points = docs.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc"))
-    info = settle(base.groupBy("key").agg(F.collect_list("s").alias("shared")).join(points, "key"))
-    degree = sized(settle(info.select("key", F.size("shared").alias("degree"))))
     size_class = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / PERCENT) * (1 + 1e-9))).cast("int")
-    classed = base.join(degree, "key").withColumn("class", size_class).withColumn("c", F.explode(F.array(F.col("class"), F.col("class") + 1)))
-    classed = classed.select("s", "c", "key", "n", "after", "degree", (F.col("class") == F.col("c")).alias("own"), F.col("key").alias("label"))
-    members = _able(_able(classed.repartition("s", "c"), region), region)
+    classed = base.withColumn("class", size_class).withColumn("c", F.explode(F.array(F.col("class"), F.col("class") + 1)))
+    classed = classed.select("s", "c", "key", "n", "after", (F.col("class") == F.col("c")).alias("own"), F.col("key").alias("label"), F.col("after").alias("degree"))
+    able = _able(_able(classed, region), region)
+    # one job, so that both parts come from one shuffle: the members of regions, and each set's number of shared window shingles
+    degrees = base.groupBy("key").agg(F.count(F.lit(1)).alias("degree"), F.max("n").alias("n"), F.max("after").alias("after"))
+    stacked = settle(able.drop("label", "degree").unionByName(degrees, allowMissingColumns=True))
+    degree = sized(stacked.where("degree IS NOT NULL").select("key", "degree"))
+    members = stacked.where("degree IS NULL").drop("degree").withColumn("label", F.col("key")).join(degree, "key")
+    members = _able(members.repartition("s", "c"), region)
     links = None
     pivots = 1
     while True:
-        # the fuller a set's windows are with shared shingles, the more central it is
-        best = [~F.col("own"), (F.col("degree") / F.col("n")).desc(), F.col("key")]
+        # the fewer rare shingles a set has before the region's, the more central it is
+        best = [~F.col("own"), (F.col("after") / F.col("n")).desc(), F.col("key")]
         turn = F.lit(1) if links is None else F.row_number().over(Window.partitionBy("s", "c", "label").orderBy(*best))
         ranked = members.withColumn("turn", turn).withColumn("pivot", F.row_number().over(region.orderBy("turn", *best)) <= pivots)
         total = F.col("an") + F.col("bn")
-        edges = _paired(ranked, region, _viable).where(~F.col("pivot") | (F.col("a") > F.col("b"))).select("a", "b", "an", "bn").distinct()
-        for side in "ab":
-            edges = edges.join(info.select(F.col("key").alias(side), F.col("shared").alias(f"{side}s"), F.col("doc").alias(f"{side}doc")), side)
-        most = F.least(F.size(F.array_intersect("as", "bs")) + _behind(F.col("an"), F.col("bn")), "an", "bn")
-        edges = settle(edges.select("a", "b", "an", "bn", "adoc", "bdoc", most.alias("most")))
-        close = edges.where(_enough(F.col("most"), total))
-        wanted = sized(settle(close.select(F.col("adoc").alias("doc"), F.col("a").alias("key")).union(close.select("bdoc", "b")).distinct()))
+        edges = settle(_paired(ranked, region, _viable).where(~F.col("pivot") | (F.col("a") > F.col("b"))).select("a", "b", "an", "bn").distinct())
+        ends = edges.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        wanted = sized(settle(ends.join(points, "key").select("doc", "key")))
         texts = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
         whole = settle(texts.join(wanted, texts["id"].eqNullSafe(wanted["doc"])).select("text", "key").mapInArrow(_whole, "key binary, items array<long>").dropDuplicates(["key"]))
-        exact = close.select("a", "b", "an", "bn").join(whole.select(F.col("key").alias("a"), F.col("items").alias("ai")), "a").join(whole.select(F.col("key").alias("b"), F.col("items").alias("bi")), "b")
+        size = whole.agg(F.coalesce(F.sum(64 + 8 * F.size("items")), F.lit(0))).first()[0]
+        whole = F.broadcast(whole) if size <= SMALL_BYTES else whole
+        exact = edges.join(whole.select(F.col("key").alias("a"), F.col("items").alias("ai")), "a").join(whole.select(F.col("key").alias("b"), F.col("items").alias("bi")), "b")
         exact = settle(exact.select("a", "b", "an", "bn", F.size(F.array_intersect("ai", "bi")).cast("long").alias("inter")))
         linked = exact.where(_enough(F.col("inter"), total)).select("a", "b")
         links = settle(linked if links is None else links.union(linked))
-        members = settle(_rest(ranked, region, _labels(links), edges.select("a", "b", "most"), exact)).repartition("s", "c")
+        members = settle(_rest(ranked, region, _labels(links), exact))
         if members.isEmpty():
             return links
+        members = members.repartition("s", "c")
         pivots *= PIVOTS_TIMES
 
 
@@ -336,7 +337,7 @@ def _able(members: DataFrame, region) -> DataFrame:
     low = F.greatest(F.col("low").cast("double"), n * PERCENT / 100)
     high = F.least(F.col("high").cast("double"), n * 100 / PERCENT)
     one = members.withColumn("low", F.min("n").over(region)).withColumn("high", F.max("n").over(region))
-    one = one.where(F.least("degree", "after") > F.least(need(low), need(high)) - 1e-6).drop("low", "high")
+    one = one.where(F.least("after", "degree") > F.least(need(low), need(high)) - 1e-6).drop("low", "high")
     live = one.withColumn("m", F.count(F.lit(1)).over(region)).withColumn("owns", F.max("own").over(region))
     live = live.withColumn("low", F.min("label").over(region)).withColumn("high", F.max("label").over(region))
     return live.where("m > 1 AND owns AND low != high").drop("m", "owns", "low", "high")
@@ -346,14 +347,14 @@ def _viable(p: Column) -> Column:
     """The pair is to be compared: other component, sizes that can link, one of the region's own class, shared windows enough."""
     n, total = F.col("n"), F.col("n") + p["n"]
     fits = 100 * F.least(n, p["n"]) >= PERCENT * F.greatest(n, p["n"])
-    return (F.col("key") != p["key"]) & (F.col("label") != p["label"]) & (F.col("own") | p["own"]) & fits & _enough(F.least(F.col("degree"), p["degree"], F.col("after"), p["after"]) + _behind(n, p["n"]), total)
+    return (F.col("key") != p["key"]) & (F.col("label") != p["label"]) & (F.col("own") | p["own"]) & fits & _enough(F.least(F.col("after"), p["after"], F.col("degree"), p["degree"]) + _behind(n, p["n"]), total)
 
 
 def _paired(ranked: DataFrame, region, which) -> DataFrame:
     """Each set of a region beside those of its pivots that ``which`` takes."""
-    pivots = F.collect_list(F.when(F.col("pivot"), F.struct("key", "n", "own", "label", "degree", "after"))).over(region)
+    pivots = F.collect_list(F.when(F.col("pivot"), F.struct("key", "n", "own", "label", "after", "degree"))).over(region)
     pairs = ranked.withColumn("ps", pivots).withColumn("p", F.explode(F.filter("ps", which)))
-    sides = [F.col("key").alias("a"), F.col("n").alias("an"), "after", F.col("degree").alias("ad"), *[F.col(f"p.{c}").alias(x) for c, x in (("key", "b"), ("n", "bn"), ("degree", "bd"), ("own", "bown"), ("label", "blabel"))]]
+    sides = [F.col("key").alias("a"), F.col("n").alias("an"), "after", "degree", *[F.col(f"p.{c}").alias(x) for c, x in (("key", "b"), ("n", "bn"), ("label", "blabel"))]]
     return pairs.select("s", "c", "pivot", "label", "own", *sides)
 
 
@@ -365,7 +366,7 @@ def _labels(links: DataFrame) -> DataFrame:
     return sized(settle(low.join(step, "m").select("a", "b").where("a != b")))
 
 
-def _rest(ranked: DataFrame, region, roots: DataFrame, bounds: DataFrame, exact: DataFrame) -> DataFrame:
+def _rest(ranked: DataFrame, region, roots: DataFrame, exact: DataFrame) -> DataFrame:
     """What is left of the regions after a round: distances (or lower bounds of them), homes, triangle windows."""
     total = F.col("an") + F.col("bn")
     now = ranked.join(roots, ranked["key"] == roots["a"], "left").withColumn("label", F.coalesce("b", "key")).drop("a", "b", "turn")
@@ -373,15 +374,14 @@ def _rest(ranked: DataFrame, region, roots: DataFrame, bounds: DataFrame, exact:
     alive = now.withColumn("low", F.min(rest).over(region)).withColumn("high", F.max(rest).over(region)).withColumn("owns", F.max(F.when(~F.col("pivot"), F.col("own"))).over(region))
     alive = alive.where("low != high AND owns")
     pairs = _paired(alive, region, lambda p: ~F.col("pivot"))
-    known = sized(settle(bounds.join(exact.select("a", "b", "inter"), ["a", "b"], "left")))
-    pairs = pairs.join(known, ["a", "b"], "left")
-    over = F.coalesce("inter", "most", F.least(F.least("ad", "bd") + _behind(F.col("an"), F.col("bn")), "an", "bn"))
+    pairs = pairs.join(sized(exact.select("a", "b", "inter")), ["a", "b"], "left")
+    over = F.coalesce("inter", F.least("an", "bn"))  # not compared: what their sizes allow
     pairs = pairs.withColumn("d", 1 - over / (total - over))
     near = F.coalesce(_enough(F.col("inter"), total), F.lit(False))
     pairs = pairs.withColumn("home", F.min(F.when(near, F.struct("d", "b"))).over(Window.partitionBy("s", "c", "a")))
     pairs = pairs.withColumn("outside", F.min(F.when(F.col("label") != F.col("blabel"), F.col("d"))).over(Window.partitionBy("s", "c", "b")))
     stays = F.col("home").isNull() | ((F.col("home.b") == F.col("b")) & (F.col("outside") <= F.col("home.d") + (100 - PERCENT) / 100 + 1e-9))
-    left = pairs.where(stays).groupBy("s", "c", F.col("a").alias("key")).agg(F.first("an").alias("n"), F.first("after").alias("after"), F.first("ad").alias("degree"), F.first("own").alias("own"), F.first("label").alias("label"))
+    left = pairs.where(stays).groupBy("s", "c", F.col("a").alias("key")).agg(F.first("an").alias("n"), F.first("after").alias("after"), F.first("degree").alias("degree"), F.first("own").alias("own"), F.first("label").alias("label"))
     return _able(left, region)
 
 
