@@ -40,9 +40,9 @@ from .common import ship, table
 LEAF = 4
 SMALL = 48
 PIECES_AT_ONCE = 1 << 18
-CACHED_PIECES = 400_000
+CACHED_PIECES = 150_000
 DECODE_LEAF = 4096
-OUT_BYTES = 8 << 20
+OUT_BYTES = 4 << 20
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
