@@ -303,11 +303,11 @@ def jaccard_links(df: DataFrame, scan: DataFrame, doc_id: str, text: str) -> Dat
         ends = edges.select(F.explode(F.array("a", "b")).alias("key")).distinct()
         wanted = sized(settle(ends.join(points, "key").select("doc", "key")))
         texts = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-        whole = settle(texts.join(wanted, texts["id"].eqNullSafe(wanted["doc"])).select("text", "key").mapInArrow(_whole, "key binary, items array<long>").dropDuplicates(["key"]))
+        whole = settle(texts.join(wanted, texts["id"].eqNullSafe(wanted["doc"])).select("text", "key").mapInArrow(_whole, "key binary, items array<long>"))
         size = whole.agg(F.coalesce(F.sum(64 + 8 * F.size("items")), F.lit(0))).first()[0]
         whole = F.broadcast(whole) if size <= SMALL_BYTES else whole
         exact = edges.join(whole.select(F.col("key").alias("a"), F.col("items").alias("ai")), "a").join(whole.select(F.col("key").alias("b"), F.col("items").alias("bi")), "b")
-        exact = settle(exact.select("a", "b", "an", "bn", F.size(F.array_intersect("ai", "bi")).cast("long").alias("inter")))
+        exact = settle(exact.select("a", "b", "an", "bn", F.size(F.array_intersect("ai", "bi")).cast("long").alias("inter")).distinct())  # repeated rows give a set twice
         linked = exact.where(_enough(F.col("inter"), total)).select("a", "b")
         links = settle(linked if links is None else links.union(linked))
         members = settle(_rest(ranked, region, _labels(links), exact))
@@ -353,7 +353,10 @@ def _viable(p: Column) -> Column:
 def _paired(ranked: DataFrame, region, which) -> DataFrame:
     """Each set of a region beside those of its pivots that ``which`` takes."""
     pivots = F.collect_list(F.when(F.col("pivot"), F.struct("key", "n", "own", "label", "after", "degree"))).over(region)
-    pairs = ranked.withColumn("ps", pivots).withColumn("p", F.explode(F.filter("ps", which)))
+    return _sides(ranked.withColumn("ps", pivots).withColumn("p", F.explode(F.filter("ps", which))))
+
+
+def _sides(pairs: DataFrame) -> DataFrame:
     sides = [F.col("key").alias("a"), F.col("n").alias("an"), "after", "degree", *[F.col(f"p.{c}").alias(x) for c, x in (("key", "b"), ("n", "bn"), ("label", "blabel"))]]
     return pairs.select("s", "c", "pivot", "label", "own", *sides)
 
@@ -373,13 +376,19 @@ def _rest(ranked: DataFrame, region, roots: DataFrame, exact: DataFrame) -> Data
     rest = F.when(~F.col("pivot"), F.col("label"))
     alive = now.withColumn("low", F.min(rest).over(region)).withColumn("high", F.max(rest).over(region)).withColumn("owns", F.max(F.when(~F.col("pivot"), F.col("own"))).over(region))
     alive = alive.where("low != high AND owns")
-    pairs = _paired(alive, region, lambda p: ~F.col("pivot"))
+    # only pivots that got a link can be homes; a region without one keeps its other sets as they are
+    linked = exact.where(_enough(F.col("inter"), total))
+    hubs = sized(settle(linked.select(F.explode(F.array("a", "b")).alias("hub")).distinct()))
+    alive = alive.join(hubs, alive["key"] == hubs["hub"], "left").withColumn("pivot_of_links", F.col("pivot") & F.col("hub").isNotNull()).drop("hub")
+    home = F.collect_list(F.when(F.col("pivot_of_links"), F.struct("key", "n", "own", "label", "after", "degree"))).over(region)
+    pairs = _sides(alive.withColumn("ps", home).where(~F.col("pivot")).withColumn("p", F.explode_outer("ps")))
     pairs = pairs.join(sized(exact.select("a", "b", "inter")), ["a", "b"], "left")
     over = F.coalesce("inter", F.least("an", "bn"))  # not compared: what their sizes allow
     pairs = pairs.withColumn("d", 1 - over / (total - over))
     near = F.coalesce(_enough(F.col("inter"), total), F.lit(False))
     pairs = pairs.withColumn("home", F.min(F.when(near, F.struct("d", "b"))).over(Window.partitionBy("s", "c", "a")))
     pairs = pairs.withColumn("outside", F.min(F.when(F.col("label") != F.col("blabel"), F.col("d"))).over(Window.partitionBy("s", "c", "b")))
+    # without a hub beside it, a set has no home and stays
     stays = F.col("home").isNull() | ((F.col("home.b") == F.col("b")) & (F.col("outside") <= F.col("home.d") + (100 - PERCENT) / 100 + 1e-9))
     left = pairs.where(stays).groupBy("s", "c", F.col("a").alias("key")).agg(F.first("an").alias("n"), F.first("after").alias("after"), F.first("degree").alias("degree"), F.first("own").alias("own"), F.first("label").alias("label"))
     return _able(left, region)
