@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import OWN, settle, table
 
-RATIO = 0.1
+RATIO = 0.01
 LEAST_PAGES = 5
 #: The lines to drop are broadcast up to this measured size; beyond it the join shuffles by host.
 SMALL_BYTES = 10 << 20

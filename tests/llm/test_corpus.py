@@ -541,6 +541,15 @@ def test_lines_are_dropped_by_site(spark, edge, nothing):
     assert lines.line_dedup(nothing).count() == 0 and Counter(r.text for r in lines.line_dedup(edge).collect()) == Counter(t for _, t, _ in EDGE)
 
 
+def test_lines_on_a_few_percent_of_a_large_source_are_dropped(spark):
+    data = [(i, f"own {i}" + "\nfoot" * (i < 20) + "\nmenu" * (300 <= i < 350) + "\nquote" * (500 <= i < 508), "big") for i in range(1000)]
+    data += [(1000 + i, f"own {i}" + "\nfoot" * (i < 4), "small") for i in range(50)]
+    out = {r.doc_id: (r.text, r.n_dropped) for r in lines.line_dedup(spark.createDataFrame(data, "doc_id long, text string, source string"), counts=True).collect()}
+    gone = {i for i, (_, n) in out.items() if n}
+    assert len(out) == len(data) and gone == {*range(20), *range(300, 350)} and all(out[i] == (f"own {i}", 1) for i in gone)
+    assert all(out[i] == (text, 0) for i, text, _ in data if i not in gone)
+
+
 # --- plans --------------------------------------------------------------------------------
 
 
