@@ -1,13 +1,17 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text. It matches a template when it contains at least ``CONTAINMENT`` of the
-template's distinct words. The join finds every such pair: words are put in one global order, rarest
+A block is a line of a text, or a window of consecutive words over any number of lines, as long as the template
+divided by ``CONTAINMENT``, so a wrapped notice is found whatever the width. A block matches a template when it
+contains at least ``CONTAINMENT`` of the template's distinct words. The join finds every such pair: words are put in one global order, rarest
 first, by their counts over the whole corpus; a template with o words to find has its first |T| - o + 1 words
 as prefix, a block's words of the template vocabulary likewise, and a matching pair shares a prefix word
 (prefix filter), has at least o vocabulary words (length filter), and at the shared word's positions
 still enough words behind it in both (positional filter). What passes is verified by intersecting the sets.
 
-Only lines with a prefix word leave the scan; the template side is a fixed table of a few hundred rows, so its
+Windows are joined as runs of words: runs overlap so that each window lies in one, a run has the words of its windows,
+so no filter loses a window, and what passes is verified window by window.
+
+Only lines and runs with a prefix word leave the scan; the template side is a fixed table of a few hundred rows, so its
 broadcast does not grow with the data and a line that a third of all texts share joins where it is read.
 Places of the base phrases are found in the text's own row.
 
@@ -74,34 +78,68 @@ def word_order(df: DataFrame, text: str, vocabulary: list[str]) -> dict[str, int
     return {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
 
 
-def license_blocks(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=None, containment: float = CONTAINMENT) -> DataFrame:
-    """One row for each matching block and template: doc_id, text_hash, block, label, template, score."""
-    templates = templates or TEMPLATES
-    sets = [sorted(set(t.split())) for _, t in templates]
-    vocabulary = sorted({w for s in sets for w in s})
-    rank = word_order(df, text, vocabulary)
+def _prefixes(rank: dict[str, int], templates, containment: float) -> list[tuple]:
+    """One row for each template and prefix word; the last column is the length of a window."""
     index = []
-    for i, s in enumerate(sets):
-        s.sort(key=rank.__getitem__)
+    for i, (label, t) in enumerate(templates):
+        s = sorted(set(t.split()), key=rank.__getitem__)
         o = _needed(len(s), containment)
-        index += [(i, templates[i][0], w, pos, o, len(s), s) for pos, w in enumerate(s[: len(s) - o + 1])]
-    spark = df.sparkSession
-    prefix = F.broadcast(spark.createDataFrame(index, "template int, label string, w string, pos int, o int, size int, words array<string>"))
+        index += [(i, label, w, pos, o, len(s), s, math.ceil(len(t.split()) / containment - 1e-9)) for pos, w in enumerate(s[: len(s) - o + 1])]
+    return index
+
+
+def _has_prefix(index: list[tuple]) -> str:
     any_word = "|".join(sorted({row[2] for row in index}))
-    line = rf"(?i)(?<![0-9A-Za-z\x{{80}}-\x{{10FFFF}}])(?:{any_word})(?![0-9A-Za-z\x{{80}}-\x{{10FFFF}}])"
-    lines = F.filter(F.transform(F.split(F.col(text), "\n"), lambda x, i: F.struct(i.alias("block"), x.alias("line"))), lambda x: x["line"].rlike(line))
-    blocks = df.where(F.col(text).rlike(line)).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.explode(lines).alias("b"))
+    return rf"(?i)(?<![0-9A-Za-z\x{{80}}-\x{{10FFFF}}])(?:{any_word})(?![0-9A-Za-z\x{{80}}-\x{{10FFFF}}])"
+
+
+def _pairs(blocks: DataFrame, words: Column, rank: dict[str, int], index: list[tuple]) -> DataFrame:
+    """``blocks`` beside each template of which their ``words`` hold enough, with the overlap; a pair for each prefix word shared."""
+    prefix = F.broadcast(blocks.sparkSession.createDataFrame(index, "template int, label string, w string, pos int, o int, size int, words array<string>, reach int"))
     ranks = F.create_map(*[F.lit(x) for w, r in rank.items() for x in (w, r)])
-    known = F.array_distinct(F.filter(license_words(fold(F.col("b.line"))), lambda w: w.isin(vocabulary)))
+    known = F.array_distinct(F.filter(words, lambda w: w.isin(list(rank))))
     ordered = F.transform(F.sort_array(F.transform(known, lambda w: F.struct(F.element_at(ranks, w).alias("r"), w.alias("w")))), lambda x: x["w"])
-    blocks = blocks.select("doc_id", "text_hash", F.col("b.block").alias("block"), ordered.alias("bw"))
-    at = blocks.select("*", F.size("bw").alias("n"), F.posexplode("bw").alias("j", "w"))
+    at = blocks.withColumn("bw", ordered).select("*", F.size("bw").alias("n"), F.posexplode("bw").alias("j", "w"))
     pairs = at.join(prefix, "w").where("n >= o AND j <= n - o AND 1 + least(size - pos - 1, n - j - 1) >= o")
-    overlap = F.size(F.array_intersect("bw", "words"))
-    hits = pairs.withColumn("overlap", overlap).where("overlap >= o")
+    return pairs.withColumn("overlap", F.size(F.array_intersect("bw", "words"))).where("overlap >= o")
+
+
+def _vocabulary(templates) -> list[str]:
+    return sorted({w for _, t in templates for w in t.split()})
+
+
+def license_blocks(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=None, containment: float = CONTAINMENT, rank: dict[str, int] | None = None) -> DataFrame:
+    """One row for each matching line and template: doc_id, text_hash, block, label, template, score."""
+    templates = templates or TEMPLATES
+    rank = rank or word_order(df, text, _vocabulary(templates))
+    index = _prefixes(rank, templates, containment)
+    line = _has_prefix(index)
+    lines = F.filter(F.transform(F.split(F.col(text), "\n"), lambda x, i: F.struct(i.alias("block"), x.alias("line"))), lambda x: x["line"].rlike(line))
+    blocks = df.where(F.col(text).rlike(line)).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.explode(lines).alias("b"))
+    blocks = blocks.select("doc_id", "text_hash", F.col("b.block").alias("block"), F.col("b.line").alias("line"))
+    hits = _pairs(blocks, license_words(fold(F.col("line"))), rank, index)
     return hits.select("doc_id", "text_hash", "block", "label", "template", (F.col("overlap") / F.col("size")).alias("score")).distinct()
 
 
+def license_windows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=None, containment: float = CONTAINMENT, rank: dict[str, int] | None = None) -> DataFrame:
+    """Rows for each template that a window of a text of several lines matches: doc_id, text_hash, label, template, score (the best of a run)."""
+    templates = templates or TEMPLATES
+    rank = rank or word_order(df, text, _vocabulary(templates))
+    index = _prefixes(rank, templates, containment)
+    step, firsts = max(row[-1] for row in index), sorted({row[2] for row in index})
+
+    def runs(ws: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(ws), F.lit(step))
+        return F.filter(F.transform(starts, lambda i: F.slice(ws, i + 1, 2 * step - 1)), lambda run: F.exists(run, lambda w: w.isin(firsts)))
+
+    docs = df.where(F.col(text).contains("\n") & F.col(text).rlike(_has_prefix(index)))
+    blocks = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.explode(let(license_words(fold(F.col(text))), runs)).alias("run"))
+    found = _pairs(blocks, F.col("run"), rank, index)
+    starts = F.sequence(F.lit(1), F.greatest(F.size("run") - F.col("reach") + 1, F.lit(1)))
+    best = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("run", i, F.col("reach")), F.col("words")))))
+    return found.withColumn("best", best).where("best >= o").select("doc_id", "text_hash", "label", "template", (F.col("best") / F.col("size")).alias("score"))
+
+
 def phrase_places(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with n_words and places array<struct<at, label>> (word positions of the base phrases)."""
     src = F.coalesce(F.col(text), F.lit(""))
@@ -130,7 +168,9 @@ def _joined(labels: Column) -> Column:
 
 def license_scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", containment: float = CONTAINMENT) -> DataFrame:
     """One row a document: n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    hits = license_blocks(df, doc_id, text, containment=containment)
+    rank = word_order(df, text, _vocabulary(TEMPLATES))
+    hits = license_blocks(df, doc_id, text, containment=containment, rank=rank).drop("block")
+    hits = hits.union(license_windows(df, doc_id, text, containment=containment, rank=rank))
     best = hits.groupBy("doc_id", "text_hash").agg(F.collect_set("label").alias("more"), F.max("score").alias("best"))
     best = sized(settle(best.withColumnRenamed("doc_id", "hit_id").withColumnRenamed("text_hash", "hit_hash")))
     docs = phrase_places(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).withColumn("text_hash", F.xxhash64("text")).drop("text")

@@ -317,6 +317,49 @@ def test_license_join_equals_brute_force(spark):
     assert want and got == pytest.approx(want)
 
 
+NOTICES = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal",
+    "gpl": " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by",
+    "bsd": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are met:",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above",
+    "mpl-2": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this",
+}
+
+
+def test_license_finds_wrapped_notices(spark):
+    texts = {}
+    for label, notice in NOTICES.items():
+        texts[label, "wrapped"] = "filler words " * 40 + "\n" + notice + "\n" + "more words " * 40
+        texts[label, "a word a line"] = "\n".join(notice.split())
+        texts[label, "scattered"] = "\n".join(w + " gap" * 9 for w in notice.split())
+    df = spark.createDataFrame([("/".join(k), t) for k, t in texts.items()], "doc_id string, text string")
+    for r in licenses.license_scan(df).collect():
+        label, form = r.doc_id.split("/")
+        assert (label in r.labels.split(",")) == (form != "scattered") and (r.score >= 0.8) == (form != "scattered"), r
+
+
+def test_license_windows_equal_brute_force(spark):
+    rng = np.random.default_rng(66)
+    texts = []
+    for i in range(120):
+        _, t = licenses.TEMPLATES[i % len(licenses.TEMPLATES)]
+        ws = [w.upper() if rng.random() < 0.2 else w for w in t.split() for w in ([w] if rng.random() > 0.1 else [w, "foo"] if rng.random() > 0.5 else [])]
+        ws = ["pad"] * int(rng.integers(0, 90)) + ws + list(rng.choice(licenses._vocabulary(licenses.TEMPLATES), 3)) + ["end"] * int(rng.integers(0, 50))
+        texts.append("".join(w + ("\n" if rng.random() < 0.2 else " ") for w in ws) + "\n")
+    got = {}
+    for r in licenses.license_windows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got[r.doc_id, r.template] = max(r.score, got.get((r.doc_id, r.template), 0))
+    want = {}
+    for i, t in enumerate(texts):
+        ws = t.lower().split()
+        for k, (_, template) in enumerate(licenses.TEMPLATES):
+            own, reach = set(template.split()), int(np.ceil(len(template.split()) / licenses.CONTAINMENT - 1e-9))
+            best = max(len(own & set(ws[a : a + reach])) for a in range(len(ws)))
+            if best >= licenses._needed(len(own), licenses.CONTAINMENT):
+                want[i, k] = best / len(own)
+    assert len(want) > 60 and got == pytest.approx(want)
+
+
 def test_license_phrases_overlap_and_repeat(spark):
     df = spark.createDataFrame([(1, "CC-BY-NC cc by nc. apache License, Version 2 under the mit licenses under-the_mit license"), (1, "x")], "doc_id long, text string")
     out = {r.n_words: r for r in licenses.license_scan(df).collect()}
