@@ -2,8 +2,8 @@
 
 Base patterns stand alone: assignments, access identifiers, long hexadecimal strings. Besides them a text has
 *parts* that say little alone: identifiers (access keys, user or client names), weak secrets (mixed
-strings of 16 or more characters) and endpoints (``scheme://host``). Each part covers the interval of
-``REACH`` characters around it, cut to its scope, a block of lines without an empty line between. An
+strings of 16 or more characters) and endpoints (``scheme://host``). Each part covers its whole scope, a block of
+lines without an empty line between (with a reach, only that many characters around it in the scope). An
 interval join over the sorted ends meets parts of complementary kinds; a weak secret, an identifier or an endpoint
 is reported only if it meets its complement: a secret beside an identifier or an endpoint.
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,6 +30,7 @@ from .common import ship, table
 KINDS = ["assign", "access", "hex", "identifier", "endpoint", "weak_secret"]
 BASE = KINDS[:3]
 LEAST = {"assign": 8, "access": 16, "hex": 32}
+#: Characters around a part, where a caller of ``find_spans`` does not say; the operator has no such bound.
 REACH = 300
 
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -60,17 +62,19 @@ def _mixed(s: str) -> bool:
     return any(c.isdigit() for c in s) and any(c.islower() for c in s) and any(c.isupper() for c in s)
 
 
-def linked_spans(text: str, base: list[Span]) -> list[Span]:
-    """Parts that meet their complement within a scope."""
+def linked_spans(text: str, base: list[Span], reach: int | None = REACH) -> list[Span]:
+    """Parts that meet their complement within a scope; no reach: anywhere in it."""
+    reach = len(text) if reach is None else reach
     endpoints = [(m.start(), m.end(), "endpoint") for m in _ENDPOINT.finditer(text)] if "://" in text else []
     names = [(m.start(), m.end(), "identifier") for m in _IDENTIFIER.finditer(text)] if ":" in text or "=" in text else []
     if not endpoints and not names and not any(kind == "access" for _, _, kind in base):
         return []
     covered = sorted((s, e) for s, e, _ in base + endpoints + names)
+    ends_by = list(accumulate((e for _, e in covered), max))
 
     def free(s: int, e: int) -> bool:
         i = bisect_left(covered, (e,))
-        return i == 0 or max(x[1] for x in covered[max(0, i - 3) : i]) <= s
+        return i == 0 or ends_by[i - 1] <= s
 
     weak = [(m.start(), m.end(), "weak_secret") for m in _WEAK.finditer(text) if _mixed(m[0]) and free(m.start(), m.end())]
     role = {"access": "id", "identifier": "id", "endpoint": "at", "weak_secret": "secret", "assign": "secret", "hex": "secret"}
@@ -79,7 +83,7 @@ def linked_spans(text: str, base: list[Span]) -> list[Span]:
     for s, e, kind in base + endpoints + names + weak:
         scope = bisect_left(cuts, s)
         first = cuts[scope - 1] if scope else 0
-        parts.append((max(first, s - REACH), min(cuts[min(scope, len(cuts) - 1)], e + REACH), s, e, kind, scope))
+        parts.append((max(first, s - reach), min(cuts[min(scope, len(cuts) - 1)], e + reach), s, e, kind, scope))
     # intervals overlap with those that start by its end, less those that end before its start
     lows: dict[tuple[int, str], list[int]] = {}
     highs: dict[tuple[int, str], list[int]] = {}
@@ -96,9 +100,9 @@ def linked_spans(text: str, base: list[Span]) -> list[Span]:
     return out
 
 
-def find_spans(text: str) -> list[Span]:
+def find_spans(text: str, reach: int | None = REACH) -> list[Span]:
     base = base_spans(text)
-    return sorted(base + linked_spans(text, base), key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
+    return sorted(base + linked_spans(text, base, reach), key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
 def secret_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -110,7 +114,7 @@ def secret_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
         for batch in batches:
             ends, found = [0], []
             for value in batch.column(1):
-                found += find_spans(value.as_py() or "")
+                found += find_spans(value.as_py() or "", None)
                 ends.append(len(found))
             s, e, k = zip(*found, strict=True) if found else ((), (), ())
             spans = pa.StructArray.from_arrays([pa.array(k, pa.string()), pa.array(s, pa.int32()), pa.array(e, pa.int32())], ["kind", "start", "end"])
