@@ -11,7 +11,8 @@ its first character, and one more if it has some there already, so none survives
 the text. Roles also escape backslashes and newlines. The loss mask covers assistant texts.
 
 Defined results: a null text is empty, a null role an empty string. Rows of one turn that are equal or tie in
-their sequence number are ordered by role and text and stay messages of their own. Rows with a null
+their sequence number are ordered by role and text and stay messages of their own. A null or unknown kind is a
+message. A regeneration without a sequence number empties its message and discards nothing of later turns. Rows with a null
 conversation form one conversation; null turns come first. Other columns are not read.
 """
 
@@ -92,17 +93,18 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 now, cut, started = (conv, turn), next_cut, True
             if cut is not None and seq is not None and seq < cut:
                 continue  # a regeneration of an earlier turn came later
-            if kind == "message":
-                close()
-                role, text = who or "", [said or ""]
-            elif kind == "delta":
+            if kind == "delta":
                 role = role if role is not None else who or ""
                 text.append(said or "")
             elif kind == "edit":
                 role, text = (role if role is not None else who or ""), [said or ""]
             elif kind == "regenerate":
                 role, text = (role if role is not None else who or ""), []
-                next_cut = seq if next_cut is None else max(next_cut, seq)
+                if seq is not None:
+                    next_cut = seq if next_cut is None else max(next_cut, seq)
+            else:  # a message, also a null or unknown kind
+                close()
+                role, text = who or "", [said or ""]
         if len(out) > 2000:
             yield batch_of(out)
             out.clear()

@@ -136,6 +136,20 @@ def test_chat_events_fold(spark):
     assert chat.format_chats(df.where("false")).count() == 0
 
 
+def test_chat_unknown_kinds_and_regenerations_without_a_number(spark):
+    events = [
+        (1, 0, 1, None, "user", "a"), (1, 0, 2, "note", "user", "b"), (1, 0, 3, "delta", None, "c"), (2, 0, None, "regenerate", "assistant", None), (2, 0, 5, "regenerate", "assistant", None),
+        (2, 1, None, "regenerate", "assistant", None), (2, 1, 4, "message", "user", "gone"), (2, 1, 6, "message", "user", "kept"), (3, 0, 1, "regenerate", "assistant", None),
+        (3, 1, None, "regenerate", "assistant", None), (3, 2, 1, "message", "user", "stays"),
+    ]
+    df = spark.createDataFrame(events, "conv_id long, turn long, seq long, kind string, role string, text string")
+    got = {}
+    for r in chat.format_chats(df).orderBy("conv_id", "part").collect():
+        got.setdefault(r.conv_id, []).append((r.role, chat.unguard(chat._SEGMENT.fullmatch(r.formatted)[2])))
+    assert got[1] == [("user", "a"), ("user", "bc")] and got[2] == [("assistant", ""), ("assistant", ""), ("user", "kept")]
+    assert got[3] == [("assistant", ""), ("assistant", ""), ("user", "stays")]
+
+
 def test_chat_planted_conversation(spark, sf):
     r = chat.op2_chat_format(spark, sf).where("conv_id = -1").first()
     both = "".join(f"{role}\n{chat.PLANTED}\n" for role in ("user", "assistant"))
