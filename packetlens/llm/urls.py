@@ -5,9 +5,10 @@ trained on the URLs that the rules allow and block. A URL without a rule is judg
 their log-likelihoods divided by its length, against a threshold calibrated on labelled URLs that the models
 have not seen (one in five, by hash).
 
-Every labelled URL is counted: n-grams are counted in each Arrow batch, summed by Spark, and the sums come
-to the driver. Characters are folded to 48 symbols, so there are at most 48**4 n-grams of each class whatever
-the input, and the broadcast table of log ratios is 21 MB. Scoring is a narrow map.
+Every labelled URL but the one in five held out for the threshold is counted: n-grams are counted in each Arrow
+batch, summed by Spark, and the sums come to the driver. Bytes are folded to 48 symbols, all non-ASCII bytes and
+rare punctuation to one, so there are at most 48**4 n-grams of each class: what is learned stops growing there,
+and URLs that differ only in such bytes score alike. The broadcast table of log ratios is 21 MB. Scoring is a narrow map.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, fits no rule and scores 0.
 Without allowed or without blocked examples every URL without a rule is allowed. Repeated rows are judged
