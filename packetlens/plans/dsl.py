@@ -39,6 +39,8 @@ _MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct",
 MONTHS = {spelling: i + 1 for i, m in enumerate(_MONTHS) for spelling in (m, m.lower())}
 #: Bits a literal of the field keeps in compatibility mode.
 NARROW = {"frame.len": 16, "proto": 8, "port": 16, "port.src": 16, "port.dst": 16}
+#: Changes of connective in a filter beyond which it compiles to a CASE.
+MANY_CHANGES = 64
 _TOKEN = re.compile(r"&&|\|\||[=!<>~]+|[^\s&|=!<>~]+|[&|]")
 
 
@@ -65,7 +67,7 @@ class And:
     parts: tuple
 
     def canonical(self) -> str:
-        return "(" + " and ".join(p.canonical() for p in self.parts) + ")"
+        return _canonical(self)
 
 
 @dataclass(frozen=True)
@@ -73,7 +75,29 @@ class Or:
     parts: tuple
 
     def canonical(self) -> str:
-        return "(" + " or ".join(p.canonical() for p in self.parts) + ")"
+        return _canonical(self)
+
+
+def chain(node: Node) -> tuple[list[Term], list[type]]:
+    """The terms of a tree and the connectives between them: filters nest to the right, so a tree is a chain, however long."""
+    terms, kinds = [], []
+    while not isinstance(node, Term):
+        if len(node.parts) == 1:
+            node = node.parts[0]
+            continue
+        terms.append(node.parts[0])
+        kinds.append(type(node))
+        node = node.parts[1]
+    return [*terms, node], kinds
+
+
+def _canonical(node: Node) -> str:
+    if not node.parts:
+        return "()"
+    terms, kinds = chain(node)
+    words = {And: " and ", Or: " or "}
+    inner = "".join(f"({t.canonical()}{words[k]}" for t, k in zip(terms, kinds, strict=False)) + terms[-1].canonical() + ")" * len(kinds)
+    return f"({inner})" if len(node.parts) == 1 else inner
 
 
 Node = Term | And | Or
@@ -91,13 +115,17 @@ class _Parser:
         return self.tokens[self.at - 1]
 
     def filter(self) -> Node:
-        left = self.term()
-        if self.at == len(self.tokens):
-            return left
-        token, position = self.next("connective")
-        if token not in CONNECTIVES:
-            raise FilterSyntaxError(f"unknown connective {token!r}", position, CONNECTIVES)
-        return (And if token == "&&" else Or)((left, self.filter()))
+        terms, kinds = [self.term()], []
+        while self.at < len(self.tokens):
+            token, position = self.next("connective")
+            if token not in CONNECTIVES:
+                raise FilterSyntaxError(f"unknown connective {token!r}", position, CONNECTIVES)
+            kinds.append(And if token == "&&" else Or)
+            terms.append(self.term())
+        node = terms.pop()
+        while terms:
+            node = kinds.pop()((terms.pop(), node))
+        return node
 
     def term(self) -> Term:
         names = (*FIELDS, *PROTOCOLS)
@@ -117,6 +145,8 @@ class _Parser:
             if kind == "int":
                 if not (value.isascii() and value.isdigit()):
                     raise ValueError(f"not a number: {value!r}")
+                if len(value.lstrip("0")) > 18:
+                    raise ValueError(f"number with more than 18 digits: {value!r}")
                 return Term(field, op, int(value))
             return Term(field, op, self.time(value, position))
         except ValueError as e:
@@ -152,11 +182,8 @@ def compile_filter(node: Node, compat: bool = False) -> Column:
     ``compat`` reproduces three observable oddities: address ``< > <= >=`` on byte-swapped numbers, literals cut to
     their field's width, and ``frame.time >`` / ``<=`` that work by whole seconds.
     """
-    if isinstance(node, (And, Or)):
-        parts = [compile_filter(p, compat) for p in node.parts]
-        if isinstance(node, And):
-            return reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
-        return reduce(lambda a, b: a | b, parts) if parts else F.lit(True)
+    if not isinstance(node, Term):
+        return _compile_chain(*chain(node), compat) if node.parts else F.lit(True)
     columns, kind, _ = FIELDS[node.field]
     value, op = node.value, node.op
     if kind == "time":
@@ -172,29 +199,66 @@ def compile_filter(node: Node, compat: bool = False) -> Column:
     return reduce(lambda a, b: a | b, sides)
 
 
+def _balanced(parts: list[Column], kind: type) -> Column:
+    while len(parts) > 1:
+        parts = [reduce(lambda a, b: a & b if kind is And else a | b, parts[i : i + 2]) for i in range(0, len(parts), 2)]
+    return parts[0]
+
+
+def _compile_chain(terms: list[Term], kinds: list[type], compat: bool) -> Column:
+    """Runs of one connective become balanced trees; with many changes of connective, one flat CASE decides term by term."""
+    columns = [compile_filter(t, compat) for t in terms]
+    if sum(a is not b for a, b in zip(kinds, kinds[1:], strict=False)) > MANY_CHANGES:
+        case = F
+        for column, kind in zip(columns, kinds, strict=False):
+            known = F.coalesce(column, F.lit(False))
+            case = case.when(~known, False) if kind is And else case.when(known, True)
+        return case.otherwise(columns[-1])
+    out, at = columns[-1], len(kinds)
+    while at:
+        start = at - 1
+        while start and kinds[start - 1] is kinds[at - 1]:
+            start -= 1
+        out, at = _balanced([*columns[start:at], out], kinds[at - 1]), start
+    return out
+
+
 def time_range(node: Node) -> tuple[int | None, int | None] | None:
     """The closed range of epoch microseconds outside which nothing can match (None: open end); None: nothing matches.
 
     And intersects, Or takes the hull, a term without time is the full range. Sound for both modes.
     """
     if isinstance(node, Term):
-        if FIELDS[node.field][1] != "time" or node.op == "!=":
-            return (None, None)
-        second = node.value + 999_999
-        return {"==": (node.value, node.value), "<": (None, node.value), "<=": (None, second), ">": (node.value, None), ">=": (node.value, None)}[node.op]
-    ranges = [time_range(p) for p in node.parts]
-    if isinstance(node, And):
-        low, high = None, None
-        for r in ranges:
-            if r is None:
-                return None
-            low = r[0] if low is None else low if r[0] is None else max(low, r[0])
-            high = r[1] if high is None else high if r[1] is None else min(high, r[1])
-        return None if low is not None and high is not None and low > high else (low, high)
-    live = [r for r in ranges if r is not None]
-    if not live:
-        return None if ranges else (None, None)
-    return (None if any(r[0] is None for r in live) else min(r[0] for r in live), None if any(r[1] is None for r in live) else max(r[1] for r in live))
+        return _term_range(node)
+    if not node.parts:
+        return (None, None)
+    terms, kinds = chain(node)
+    out = _term_range(terms.pop())
+    while terms:
+        r = _term_range(terms.pop())
+        out = _intersection(r, out) if kinds.pop() is And else _hull(r, out)
+    return out
+
+
+def _term_range(term: Term) -> tuple[int | None, int | None]:
+    if FIELDS[term.field][1] != "time" or term.op == "!=":
+        return (None, None)
+    second = term.value + 999_999
+    return {"==": (term.value, term.value), "<": (None, term.value), "<=": (None, second), ">": (term.value, None), ">=": (term.value, None)}[term.op]
+
+
+def _intersection(a: tuple | None, b: tuple | None) -> tuple[int | None, int | None] | None:
+    if a is None or b is None:
+        return None
+    low = a[0] if b[0] is None else b[0] if a[0] is None else max(a[0], b[0])
+    high = a[1] if b[1] is None else b[1] if a[1] is None else min(a[1], b[1])
+    return None if low is not None and high is not None and low > high else (low, high)
+
+
+def _hull(a: tuple | None, b: tuple | None) -> tuple[int | None, int | None] | None:
+    if a is None or b is None:
+        return b if a is None else a
+    return (None if a[0] is None or b[0] is None else min(a[0], b[0]), None if a[1] is None or b[1] is None else max(a[1], b[1]))
 
 
 def date_predicate(node: Node, column: str = "ts_date") -> Column | None:

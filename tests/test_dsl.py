@@ -126,3 +126,31 @@ def test_random_texts_parse_or_raise():
             dsl.parse(" ".join(random.choices(words, k=random.randrange(8))))
         except dsl.FilterSyntaxError:
             pass
+
+
+@pytest.mark.parametrize("text", ["port == 99999999999999999999999", "proto == 1 || frame.len < 1000000000000000000"])
+def test_numbers_out_of_range_are_syntax_errors(text):
+    with pytest.raises(dsl.FilterSyntaxError, match="18 digits"):
+        dsl.parse(text)
+
+
+def decide(terms, kinds, row):
+    """Right-nested, from the last term back."""
+    out = terms[-1](row)
+    for term, kind in zip(reversed(terms[:-1]), reversed(kinds), strict=True):
+        out = (term(row) and out) if kind == "&&" else (term(row) or out)
+    return out
+
+
+@pytest.mark.parametrize("kinds", [["||"] * 600, ["&&", "||"] * 100, (["&&"] * 5 + ["||"] * 3) * 20])
+def test_long_filters(spark, kinds):
+    rng = random.Random(4)
+    lengths = [rng.randrange(40, 1500) for _ in range(len(kinds) + 1)]
+    ops = [rng.choice(["==", "!=", "<"]) for _ in lengths]
+    text = " ".join(f"frame.len {o} {n} {k}" for o, n, k in zip(ops, lengths, [*kinds, ""], strict=True))
+    tree = dsl.parse(text)
+    assert tree.canonical().count("(") == len(kinds) + 1 and dsl.date_predicate(tree) is None
+    test = {"==": lambda n: lambda x: x == n, "!=": lambda n: lambda x: x != n, "<": lambda n: lambda x: x < n}
+    terms = [test[o](n) for o, n in zip(ops, lengths, strict=True)]
+    got = {r.length for r in spark.range(40, 1500, 7).withColumnRenamed("id", "length").where(dsl.compile_filter(tree)).collect()}
+    assert got == {n for n in range(40, 1500, 7) if decide(terms, kinds, n)}
