@@ -43,11 +43,12 @@ class Packets:
         return len(self.src_ip)
 
 
-def _classic(buf: memoryview, order: str, per_us: int) -> tuple[np.ndarray, ...]:
-    link = struct.unpack_from(order + "I", buf, 20)[0] & 0x0FFFFFFF
+def _classic(buf: memoryview, order: str, per_us: int, link: int, at: int = 24, stop: int | None = None) -> tuple[np.ndarray, ...]:
+    """Columns of the whole records that begin at ``at`` or later and before ``stop``; the last item is where the next one begins."""
     head = struct.Struct(order + "I").unpack_from
-    at, end, offsets = 24, len(buf), []
-    while at + 16 <= end:
+    end, offsets = len(buf), []
+    stop = end if stop is None else stop
+    while at < stop and at + 16 <= end:
         size = head(buf, at + 8)[0]
         if at + 16 + size > end:
             break
@@ -58,7 +59,11 @@ def _classic(buf: memoryview, order: str, per_us: int) -> tuple[np.ndarray, ...]
     words = raw[off[:, None] + np.arange(16)].view(np.dtype(order + "u4")).astype(np.int64) if len(off) else np.empty((0, 4), np.int64)
     # per_us is 1000 for microsecond files: sub-second units are microseconds already
     us = words[:, 0] * 1_000_000 + (words[:, 1] if per_us == 1000 else words[:, 1] // 1000)
-    return off + 16, words[:, 2], words[:, 3], us, np.full(len(off), link)
+    return off + 16, words[:, 2], words[:, 3], us, np.full(len(off), link), at
+
+
+def _link(header: bytes | memoryview, order: str) -> int:
+    return struct.unpack_from(order + "I", header, 20)[0] & 0x0FFFFFFF
 
 
 def _pcapng(buf: memoryview) -> tuple[np.ndarray, ...]:
@@ -101,11 +106,71 @@ def read_packets(data: bytes) -> Packets:
     if magic in CLASSIC:
         if len(buf) < 24:
             raise CaptureError("file header is cut off")
-        off, captured, original, us, link = _classic(buf, *CLASSIC[magic])
+        order, per_us = CLASSIC[magic]
+        off, captured, original, us, link, _ = _classic(buf, order, per_us, _link(buf, order))
     elif magic == PCAPNG:
         off, captured, original, us, link = _pcapng(buf)
     else:
         raise CaptureError("neither pcap nor pcapng")
+    return _decoded(buf, off, captured, original, us, link)
+
+
+def can_split(header: bytes) -> bool:
+    return len(header) == 24 and header[:4] in CLASSIC
+
+
+#: Bytes behind a split that its task reads too, and records in a row that must look right where a split begins.
+OVERLAP, IN_A_ROW = 4 << 20, 32
+_YEAR = 366 * 86_400
+
+
+def first_record(header: bytes, seconds: int, data: memoryview, to_end: bool) -> int:
+    """Where the first record at or after the start of ``data`` begins: the first place with records in a row that look right.
+
+    ``seconds`` is the time of the file's first record, ``to_end`` says that ``data`` reaches the file's end. It is a guess
+    that the reader of the split before checks: it gets there record by record.
+    """
+    order, per_us = CLASSIC[header[:4]]
+    longest = max(struct.unpack_from(order + "I", header, 16)[0], 65_535)
+    fields = struct.Struct(order + "IIII").unpack_from
+    limit = 1_000_000 if per_us == 1000 else 1_000_000_000
+
+    def looks_right(at: int) -> bool:
+        for _ in range(IN_A_ROW):
+            if at + 16 > len(data):
+                return to_end
+            sec, part, captured, original = fields(data, at)
+            if part >= limit or captured > longest or captured > original or abs(sec - seconds) > _YEAR:
+                return False
+            at += 16 + captured
+        return True
+
+    raw = np.frombuffer(data[: OVERLAP + 16], np.uint8)
+    for start in range(0, max(0, len(raw) - 15), 1 << 16):
+        part = raw[start : start + (1 << 16) + 15]
+        words = np.stack([part[i : len(part) - 15 + i] for i in range(4, 12)], 1).copy().view(np.dtype(order + "u4"))
+        for at in np.flatnonzero((words[:, 0] < limit) & (words[:, 1] <= longest)):
+            if looks_right(start + int(at)):
+                return start + int(at)
+    if to_end:
+        return len(data)
+    raise CaptureError("no record found where a split begins; read the file whole with splitbytes=0")
+
+
+def read_split(header: bytes, seconds: int, data: bytes, at_start: bool, size: int, to_end: bool) -> Packets:
+    """Packets of the records that begin in the first ``size`` bytes of ``data``, which holds OVERLAP bytes more or the rest of the file."""
+    buf = memoryview(data)
+    order, per_us = CLASSIC[header[:4]]
+    at = 0 if at_start else first_record(header, seconds, buf[:OVERLAP], to_end and len(buf) <= OVERLAP)
+    last = to_end and size >= len(buf)
+    off, captured, original, us, link, end = _classic(buf, order, per_us, _link(header, order), at, None if last else size)
+    if not last and end != size + first_record(header, seconds, buf[size:], to_end):
+        raise CaptureError("a split does not begin where the one before ends; read the file whole with splitbytes=0")
+    return _decoded(buf, off, captured, original, us, link)
+
+
+def _decoded(buf: memoryview, off: np.ndarray, captured: np.ndarray, original: np.ndarray, us: np.ndarray, link: np.ndarray) -> Packets:
+    """Packets of the records whose data begin at ``off``."""
     seen = Counter(records=len(off))
     raw = np.concatenate([np.frombuffer(buf, np.uint8), np.zeros(64, np.uint8)])
     end = off + captured

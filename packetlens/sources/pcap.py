@@ -1,9 +1,9 @@
 """Capture files as Spark tables: batch and streaming data source ``pcap``, and a reader for any store.
 
-``spark.read.format("pcap").load(path)`` gives a partition for each file of a folder, glob or file on a file
-system that executors see. ``read_pcap`` goes through Spark's own ``binaryFile`` reader instead and so
-reaches every store Spark does. Classic captures cannot be split, so parallelism is by file; captures are
-usually rotated.
+``spark.read.format("pcap").load(path)`` reads a folder, glob or file on a file
+system that executors see; classic captures beyond ``splitbytes`` (0: never) are read in parts, whose ends are checked against
+each other. ``read_pcap`` goes through Spark's own ``binaryFile`` reader instead and so
+reaches every store Spark does, a file a task. ``open_captures`` takes the first where it can.
 """
 
 from __future__ import annotations
@@ -19,10 +19,11 @@ from pyspark.sql.types import StructType
 
 from packetlens.plans.session import ship
 from packetlens.schema import PACKET_SCHEMA
-from packetlens.sources.capture import FILE_HEADER, CaptureError, Packets, packet_records, read_packets
+from packetlens.sources.capture import CLASSIC, FILE_HEADER, OVERLAP, CaptureError, Packets, can_split, packet_records, read_packets, read_split
 
 SUFFIXES = (".pcap", ".pcapng", ".cap")
 BATCH = 1 << 20
+SPLIT_BYTES = 64 << 20
 
 ARROW_SCHEMA = pa.schema(
     [("src_ip", pa.int64()), ("dst_ip", pa.int64()), ("src_port", pa.int32()), ("dst_port", pa.int32()), ("proto", pa.int16()), ("length", pa.int32()), ("ts", pa.timestamp("us", tz="UTC"))]
@@ -56,12 +57,36 @@ def capture_files(path: str) -> list[str]:
 
 
 class FilePartition(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    """A capture file, or the records of one that begin in bytes [start, stop)."""
+
+    def __init__(self, path: str, start: int = 0, stop: int = 0):
+        self.path, self.start, self.stop = path, start, stop
+
+
+def splits(path: str, split_bytes: int) -> list[FilePartition]:
+    """A large classic capture in parts of about ``split_bytes``; any other file whole."""
+    size = os.path.getsize(path)
+    n = (size - 24) // split_bytes if split_bytes else 1
+    if n < 2:
+        return [FilePartition(path)]
+    with open(path, "rb") as f:
+        if not can_split(f.read(24)):
+            return [FilePartition(path)]
+    ends = [24 + (size - 24) * i // n for i in range(n)] + [size]
+    return [FilePartition(path, a, b) for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def _read(partition: FilePartition, strict: bool) -> Iterator[pa.RecordBatch]:
     with open(partition.path, "rb") as f:
+        if partition.stop:
+            header, first = f.read(24), f.read(16)
+            f.seek(partition.start)
+            size, end = partition.stop - partition.start, os.fstat(f.fileno()).st_size
+            data = f.read(size + OVERLAP)
+            # a file whose splits do not meet is never skipped: that would lose records
+            seconds = int.from_bytes(first[:4], "little" if CLASSIC[header[:4]][0] == "<" else "big")
+            yield from to_arrow(read_split(header, seconds, data, partition.start == 24, size, partition.start + len(data) >= end))
+            return
         data = f.read()
     try:
         yield from to_arrow(read_packets(data))
@@ -74,35 +99,37 @@ def _read(partition: FilePartition, strict: bool) -> Iterator[pa.RecordBatch]:
 class PcapReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.strict = options["path"], options.get("ignorecorrupt", "false").lower() != "true"
+        self.split_bytes = int(options.get("splitbytes", SPLIT_BYTES))
 
     def partitions(self):
         files = capture_files(self.path)
         if not files:
             raise FileNotFoundError(f"no capture file at {self.path}")
-        return [FilePartition(f) for f in files]
+        return [p for f in files for p in splits(f, self.split_bytes)]
 
     def read(self, partition):
         yield from _read(partition, self.strict)
 
 
 class PcapStreamReader(DataSourceStreamReader):
-    """New files of a folder of rotated captures, in name order; the offset is the last name taken.
+    """New files of a folder of rotated captures, whatever their names; the offset is the folder's list of names.
 
-    Writers must give later files later names and move finished files in.
+    Writers must move finished files in. A file that was removed and comes back is read again.
     """
 
     def __init__(self, options: dict):
         self.path, self.strict = options["path"], options.get("ignorecorrupt", "false").lower() != "true"
+        self.split_bytes = int(options.get("splitbytes", SPLIT_BYTES))
 
     def initialOffset(self):
-        return {"after": ""}
+        return {"names": []}
 
     def latestOffset(self):
-        names = [os.path.basename(f) for f in capture_files(self.path)]
-        return {"after": max(names, default="")}
+        return {"names": [os.path.basename(f) for f in capture_files(self.path)]}
 
     def partitions(self, start, end):
-        return [FilePartition(f) for f in capture_files(self.path) if start["after"] < os.path.basename(f) <= end["after"]]
+        new = set(end["names"]) - set(start["names"])
+        return [p for f in capture_files(self.path) if os.path.basename(f) in new for p in splits(f, self.split_bytes)]
 
     def read(self, partition):
         yield from _read(partition, self.strict)
@@ -178,6 +205,14 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(PcapDataSource)
 
 
+def open_captures(spark: SparkSession, path: str) -> DataFrame:
+    """Packets of the captures at ``path``, in parts of large files where the path allows it."""
+    if "://" in path and not path.startswith("file:"):
+        return read_pcap(spark, path)
+    register(spark)
+    return spark.read.format("pcap").load(path)
+
+
 def read_pcap(spark: SparkSession, path: str) -> DataFrame:
     """Packets of the captures at ``path`` in any store that Spark reads."""
     ship(spark)

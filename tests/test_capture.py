@@ -1,9 +1,11 @@
+import random
 import struct
 
 import pytest
 from conftest import rows
 
 from packetlens.sources import capture
+from packetlens.sources import pcap as pcap_source
 from packetlens.sources.pcap import capture_statistics, read_pcap, register
 from packetlens.streaming.live import stream_ingest, stream_packets
 
@@ -122,3 +124,38 @@ def test_data_source_batch_and_stream(spark, tmp_path):
     assert read_store(spark, store).df.count() == 4
     (folder / "d.pcap").write_bytes(b"broken")
     assert spark.read.format("pcap").option("ignoreCorrupt", "true").load(str(folder)).count() == 4
+
+
+def many_packets(n, seed=5):
+    """Packets of many sizes, some with what looks like a record header inside."""
+    rng, fake = random.Random(seed), struct.pack("<IIII", 1_700_000_000, 5, 40, 40)
+    return [(ether(ipv4(rng.choice([6, 17, 1]), body=ports(rng.randrange(65536), 80, bytes(rng.randrange(0, 900)) + rng.choice([b"", fake, fake * 3]) + rng.randbytes(9)))),) for _ in range(n)]
+
+
+@pytest.mark.parametrize(("order", "nano", "overlap"), [("<", False, 4 << 20), (">", True, 4 << 20), ("<", False, 60_000)])
+def test_splits_give_the_packets_of_the_whole_file(tmp_path, monkeypatch, order, nano, overlap):
+    monkeypatch.setattr(capture, "OVERLAP", overlap)
+    monkeypatch.setattr(pcap_source, "OVERLAP", overlap)
+    path = tmp_path / "a.pcap"
+    path.write_bytes(pcap(many_packets(1500), order=order, nano=nano) + b"\1" * 30)  # and a cut-off record
+    whole = [r for b in pcap_source._read(pcap_source.FilePartition(str(path)), True) for r in b.to_pylist()]
+    for size in (70_000, 200_000):
+        parts = pcap_source.splits(str(path), size)
+        got = [r for p in parts for b in pcap_source._read(p, True) for r in b.to_pylist()]
+        assert len(parts) > 2 and len(whole) == 1500 and got == whole
+    assert len(pcap_source.splits(str(path), 0)) == 1
+
+
+def test_splits_that_do_not_meet_are_an_error(tmp_path, monkeypatch):
+    path = tmp_path / "a.pcap"
+    path.write_bytes(pcap(many_packets(600)))
+    monkeypatch.setattr(capture, "first_record", lambda header, seconds, data, to_end: 7)
+    with pytest.raises(capture.CaptureError, match="splitbytes=0"):
+        list(pcap_source._read(pcap_source.splits(str(path), 50_000)[0], True))
+
+
+def test_split_option(spark, tmp_path):
+    (tmp_path / "a.pcap").write_bytes(pcap(many_packets(900)))
+    register(spark)
+    read = spark.read.format("pcap").option("splitbytes", "60000").load(str(tmp_path))
+    assert read.rdd.getNumPartitions() > 3 and rows(read) == rows(read_pcap(spark, str(tmp_path / "a.pcap")))
