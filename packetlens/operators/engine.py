@@ -61,11 +61,16 @@ class PacketFrame:
         return dsl.parse(self.filter_text, self.zone).canonical()
 
     def aggregate(self, op: str = "sum", field: str = "length", interval: int = SECOND, ordered: bool = True, fill_gaps: bool = False, **how: bool) -> DataFrame:
-        """interval, <op>_<field>: partial sums in the scan's stage, one exchange on the slot, sorted by slot."""
+        """interval, <op>_<field>, sorted by slot.
+
+        Partial sums in the scan's stage and one exchange on the slot; ``count_dist`` takes two, first on slot and value.
+        ``fill_gaps`` adds the empty slots between the first and the last, which it looks up first.
+        """
         out = self.df.groupBy(slot(interval=interval).alias("interval")).agg(aggregate_column(op, field, self.compat, **how))
         if fill_gaps:
-            ends = out.agg(F.min("interval").alias("a"), F.max("interval").alias("b")).where("a IS NOT NULL")
-            out = ends.select(F.explode(F.sequence("a", "b", F.lit(interval).cast("long"))).alias("interval")).join(out, "interval", "left")
+            low, high = self.df.select(slot(interval=interval).alias("s")).agg(F.min("s"), F.max("s")).first()
+            slots = self.df.sparkSession.range(low or 0, 0 if low is None else high + interval, interval)
+            out = slots.withColumnRenamed("id", "interval").join(out, "interval", "left")
         return out.orderBy("interval") if ordered else out
 
     def ordered(self) -> DataFrame:
