@@ -11,13 +11,15 @@ from __future__ import annotations
 import os
 import sys
 
+from pyspark.sql import Observation
+
 from packetlens import metrics
 from packetlens.operators.engine import OPERATORS, SECOND
 from packetlens.plans.dsl import FilterSyntaxError
-from packetlens.plans.store import read_store, write_store
+from packetlens.plans.store import read_store, unreadable, write_store
 from packetlens.schema import AGGREGATE_FIELDS
 from packetlens.sinks.files import pcap_name, print_packets, write_aggregate, write_pcap
-from packetlens.sources.pcap import read_pcap
+from packetlens.sources.pcap import open_captures
 from packetlens.streaming.live import stream_ingest, stream_packets
 
 INGEST = {"output": ("-o", "-out", "-output"), "file": ("-f", "-file"), "live": ("-l", "-live"), "sequential": ("-s", "-sequential"), "benchmark": ("-b", "-benchmark")}
@@ -65,8 +67,8 @@ def ingest(spark, argv: list[str]) -> int:
         return 0
     timer = metrics.Timer()
     with timer.step("ingest"):
-        df, seen = metrics.observed(read_pcap(spark, o["file"]), "ingest")
-        write_store(df, o["output"])
+        seen = Observation("ingest")
+        write_store(open_captures(spark, o["file"]), o["output"], observation=seen)
     size, files = metrics.store_size(spark, o["output"])
     packets = seen.get["rows"]
     if o.get("benchmark"):
@@ -93,6 +95,8 @@ def query(spark, argv: list[str]) -> int:
     try:
         with timer.step("plan"):
             frame = read_store(spark, o["input"], o.get("filter", ""), ignore_corrupt=True)
+            if problem := unreadable(spark, o["input"]):
+                print(f"warning: the result lacks files that cannot be read: {problem}", file=sys.stderr)
     except FilterSyntaxError as e:
         print(e, file=sys.stderr)
         return 1

@@ -27,16 +27,24 @@ def local_session(cpus: int | str = "*", app: str = "packetlens", **conf: str) -
     return builder.getOrCreate()
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's checkpoint folder and go on from there.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder for tables between jobs: the one that the session names in ``spark.checkpoint.dir``.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only where that is unset
-    (tests, a laptop) a temporary folder is used. Reliable checkpoints survive lost executors.
+    Only a local session (tests, a laptop) may leave it unset and gets a temporary folder; on a cluster
+    executors would each write to their own disk, so that is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get(CHECKPOINT_KEY, None) or tempfile.mkdtemp(prefix="packetlens-"))
+        folder = spark.conf.get(CHECKPOINT_KEY, None)
+        if folder is None and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="packetlens-"))
+    return sc.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder and go on from there. Reliable checkpoints survive lost executors."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

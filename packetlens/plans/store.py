@@ -1,41 +1,50 @@
-"""The packet store: Parquet partitioned by UTC date, clustered by host and time.
+"""The packet store: Parquet in batches, partitioned by UTC date, clustered by host and time.
 
-Clustering makes both ends of a conversation compress well and gives row groups tight address and time ranges;
+Every ingest, of files or of a live batch, is one folder ``batch=<name>/ts_date=<date>``. Clustering makes both ends of a
+conversation compress well and gives row groups tight address and time ranges;
 bloom filters answer address equality inside them. Reading adds the date range that a filter implies as an explicit
 partition predicate and leaves the rest to Catalyst and Parquet.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from packetlens.operators.engine import PacketFrame
 from packetlens.operators.flows import host_key
 from packetlens.plans import dsl
-from packetlens.plans.session import CHECKPOINT_KEY
+from packetlens.plans.session import checkpoint_folder
 
-PARTITION = "ts_date"
+PARTITION, BATCH = "ts_date", "batch"
 ROWS_PER_FILE = 50_000_000
+#: Hosts of a date are dealt to so many groups; Spark joins small groups and splits large ones.
+HOST_GROUPS = 16
 
 
-def write_store(df: DataFrame, path: str, mode: str = "append", partitions: int | None = None) -> None:
-    """Write packets: one range shuffle on (date, host), so a busy day or host spreads over tasks by its rows."""
+def write_store(df: DataFrame, path: str, batch: str | None = None, partitions: int | None = None, compression: str = "zstd", observation: Observation | None = None) -> None:
+    """Write packets as one batch of the store; a batch written again replaces itself, a new name appends.
+
+    One shuffle on (date, host group), without a pass that samples, so a source is read once. Adaptive execution
+    splits a busy day or host by its rows and joins small groups. ``compression`` may be "uncompressed";
+    ``observation`` gets the rows and bytes written.
+    """
     utc_date = F.date_from_unix_date(F.expr("CAST(floor(unix_micros(ts) / 86400000000) AS INT)"))
-    keyed = df.withColumn(PARTITION, utc_date).withColumn("host_key", host_key())
-    keys = [PARTITION, "host_key", "ts"]
-    dealt = keyed.repartitionByRange(partitions, *keys) if partitions else keyed.repartitionByRange(*keys)
-    writer = dealt.sortWithinPartitions(*keys).drop("host_key").write.mode(mode).partitionBy(PARTITION)
-    for key, value in store_options().items():
+    keyed = df.withColumn(PARTITION, utc_date).withColumn("host_key", host_key()).withColumn("host_group", F.pmod(F.xxhash64("host_key"), F.lit(HOST_GROUPS)))
+    dealt = keyed.repartition(partitions, PARTITION, "host_group") if partitions else keyed.hint("rebalance", PARTITION, "host_group")
+    if observation is not None:
+        dealt = dealt.observe(observation, F.count(F.lit(1)).alias("rows"), F.sum(F.col("length").cast("long")).alias("bytes"))
+    writer = dealt.sortWithinPartitions(PARTITION, "host_key", "ts").drop("host_key", "host_group").write.mode("overwrite").partitionBy(PARTITION)
+    for key, value in (store_options() | {"compression": compression}).items():
         writer = writer.option(key, value)
-    writer.parquet(path)
+    writer.parquet(f"{path.rstrip('/')}/{BATCH}={batch or uuid.uuid4().hex}")
 
 
 def store_options() -> dict[str, str]:
     return {
-        "compression": "zstd",
         "parquet.writer.version": "v2",
         "parquet.bloom.filter.enabled#src_ip": "true",
         "parquet.bloom.filter.enabled#dst_ip": "true",
@@ -52,13 +61,20 @@ def read_store(spark: SparkSession, path: str, filter_text: str = "", compat: bo
     dates = dsl.date_predicate(dsl.parse(filter_text, zone), PARTITION)
     if dates is not None:
         df = df.where(dates)
-    columns = [c for c in df.columns if c not in (PARTITION, "batch_id")]
+    columns = [c for c in df.columns if c not in (PARTITION, BATCH)]
     return PacketFrame(df.select(*columns), compat=compat).filter(filter_text)
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that the cluster shares; a temporary one where none is set."""
-    import tempfile
+def unreadable(spark: SparkSession, path: str) -> str | None:
+    """A file of the store whose footer Spark cannot read, or what it says; None if all are fine. Reads footers only."""
+    try:
+        spark.read.parquet(path).count()
+    except Exception as e:  # noqa: BLE001  (whatever the reader raises is what is to be reported)
+        found = re.search(r"\S*/part-[^\s\]]+", str(e))
+        return found[0] if found else str(e).strip().splitlines()[0]
+    return None
 
-    base = spark.conf.get(CHECKPOINT_KEY, None) or tempfile.mkdtemp(prefix="packetlens-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that the cluster shares."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

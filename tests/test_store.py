@@ -7,10 +7,12 @@ from conftest import rows
 from packetlens import cli
 from packetlens.metrics import store_size
 from packetlens.operators.engine import PacketFrame
-from packetlens.plans.store import read_store, write_store
+from packetlens.plans.store import read_store, unreadable, write_store
+from packetlens.plans.session import checkpoint_folder
 from packetlens.schema import PACKET_COLUMNS
 from packetlens.sinks.files import csv_name, pcap_name, print_packets, write_aggregate, write_pcap
 from packetlens.sources.pcap import read_pcap
+from packetlens.streaming.live import stream_ingest, stream_packets
 from packetlens.testdata import packets
 
 
@@ -38,12 +40,17 @@ def test_pruning_reaches_the_scan(spark, store):
     assert "Or(EqualTo(src_ip" in pushed and "LessThan(ts" in pushed
 
 
-def test_corrupt_files_are_skipped_when_asked(spark, sf, tmp_path):
+def test_corrupt_files_are_skipped_when_asked_and_reported(spark, sf, tmp_path, capsys):
     path = str(tmp_path / "s")
     write_store(packets(spark, sf).select(*PACKET_COLUMNS), path)
-    with open(os.path.join(path, "ts_date=2024-01-05", "part-bad.parquet"), "wb") as f:
+    assert unreadable(spark, path) is None
+    (batch,) = os.listdir(path)
+    with open(os.path.join(path, batch, "ts_date=2024-01-05", "part-bad.parquet"), "wb") as f:
         f.write(b"no parquet")
     assert read_store(spark, path, ignore_corrupt=True).df.count() == 1000
+    assert "part-bad" in unreadable(spark, path)
+    assert cli.query(spark, ["-i", path, "-o", str(tmp_path), "-agOp", "count"]) == 0
+    assert "part-bad" in capsys.readouterr().err
 
 
 def test_size(spark, store):
@@ -75,7 +82,10 @@ def test_command_line(spark, sf, store, tmp_path, capsys):
     write_pcap(PacketFrame(packets(spark, sf)), str(captures / "a.pcap"))
     out = str(tmp_path / "out")
     assert cli.ingest(spark, ["-f", str(captures), "-o", out, "-b", "-zzz"]) == 0
-    assert len(capsys.readouterr().out.strip().split(";")) == 13
+    line = capsys.readouterr().out.strip().split(";")
+    assert len(line) == 13 and line[:6] == [""] * 6 and line[9] == "1000" and float(line[11]) == int(line[10]) / 1000
+    assert cli.ingest(spark, ["-f", str(captures), "-o", str(tmp_path / "again")]) == 0
+    assert capsys.readouterr().out.startswith("1000 packets")
     assert rows(read_store(spark, out).df) == rows(read_store(spark, store).df)
     results = str(tmp_path / "results")
     assert cli.query(spark, ["-i", out, "-o", results, "-f", "tcp", "&&", "frame.len", ">", "100", "||", "icmp", "-p", "-v", "-benchmark"]) == 0
@@ -85,3 +95,34 @@ def test_command_line(spark, sf, store, tmp_path, capsys):
     assert cli.query(spark, ["-i", out, "-filter", "udp &&"]) == 1
     assert cli.query(spark, ["-i", out, "-agOp", "median"]) == 0
     assert cli.main([]) == 2
+
+
+def test_batches_replace_themselves_and_add_to_others(spark, sf, tmp_path):
+    path, some = str(tmp_path / "s"), packets(spark, sf).select(*PACKET_COLUMNS)
+    for batch, n in (("a", 10), ("b", 5), ("a", 7)):
+        write_store(some.limit(n), path, batch=batch, partitions=2)
+    assert read_store(spark, path).df.count() == 12 and read_store(spark, path).df.columns == PACKET_COLUMNS
+
+
+def test_a_stream_takes_files_whatever_their_names(spark, sf, tmp_path):
+    captures, store, progress = tmp_path / "captures", str(tmp_path / "s"), str(tmp_path / "progress")
+    captures.mkdir()
+    for name, text in (("m.pcap", "udp"), ("a.pcap", "icmp"), ("z.pcap", "tcp")):
+        write_pcap(PacketFrame(packets(spark, sf)).filter(text), str(captures / name))
+        stream_ingest(stream_packets(spark, str(captures)), store, progress, {"availableNow": True}).awaitTermination()
+    assert read_store(spark, store).df.count() == 1000
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        checkpoint_folder(Session())
