@@ -7,13 +7,13 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetlens.functions.ip import ip_to_long, packet_text
+from packetlens.functions.ip import ip_to_long, long_to_ip, packet_text
 from packetlens.operators.engine import PacketFrame
 from packetlens.operators.flows import flow_rollup, host_clusters
 from packetlens.plans.store import read_store, shared_path, write_store
 from packetlens.schema import AGGREGATE_FIELDS, PACKET_COLUMNS
-from packetlens.sinks.files import console_rows
-from packetlens.sources.pcap import local_path, register
+from packetlens.sinks.files import console_rows, csv_name, pcap_name
+from packetlens.sources.pcap import capture_statistics, local_path, open_captures, register
 from packetlens.streaming.live import stream_aggregate, stream_ingest, stream_packets
 from packetlens.testdata import packets, packets_cte
 
@@ -144,26 +144,118 @@ def stream_ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(read_store(spark, store).df)
 
 
-def stream_aggregated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file stream of packets aggregated by hour, in complete mode."""
+def stored_both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store that got TCP packets from capture files and the others from a live stream."""
+    register(spark)
+    files, live, store = local_path(shared_path(spark, "captures")), local_path(shared_path(spark, "captures")), shared_path(spark, "store")
+    rows = packets(spark, sf_dir).select(*[F.col(f.name).cast(f.dataType) for f in _schema()])
+    rows.where("proto = 6").write.format("pcap").mode("append").save(files)
+    rows.where("proto != 6").write.format("pcap").mode("append").save(live)
+    write_store(open_captures(spark, files), store)
+    stream_ingest(stream_packets(spark, live), store, shared_path(spark, "progress"), {"availableNow": True}).awaitTermination()
+    return _plain(read_store(spark, store).df)
+
+
+def uncompressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "store")
+    write_store(packets(spark, sf_dir).select(*PACKET_COLUMNS), path, compression="uncompressed")
+    return _plain(read_store(spark, path).df)
+
+
+def counted_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packet classes of all captures together."""
+    register(spark)
+    path = local_path(shared_path(spark, "captures"))
+    packets(spark, sf_dir).select(*[F.col(f.name).cast(f.dataType) for f in _schema()]).write.format("pcap").mode("append").save(path)
+    names = ["records", "ipv4", "ipv6", "kept", "dropped"]
+    return capture_statistics(spark, path).agg(*[F.sum(n).alias(n) for n in names])
+
+
+#: Streaming aggregates beside the sum of lengths: operator, field, window and slide in microseconds.
+STREAMS = {
+    "stream_agg": ("sum", "length", HOUR, None),
+    "stream_agg_mean": ("mean", "length", DAY, None),
+    "stream_agg_max": ("max", "portSrc", DAY, None),
+    "stream_agg_count": ("count", "protocol", HOUR // 2, None),
+    "stream_agg_count_dist": ("count_dist", "v4Src", DAY, None),
+    "stream_agg_sliding": ("sum", "length", DAY, DAY // 4),
+}
+
+
+def stream_aggregated(op: str, field: str, interval: int, slide: int | None, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file stream of packets aggregated by windows, in complete mode."""
     source, out = shared_path(spark, "packets"), shared_path(spark, "windows")
     packets(spark, sf_dir).select(*PACKET_COLUMNS).write.parquet(source)
     schema = spark.read.parquet(source).schema
-    windows = stream_aggregate(spark.readStream.schema(schema).parquet(source), "sum", "length", HOUR)
+    windows = stream_aggregate(spark.readStream.schema(schema).parquet(source), op, field, interval, slide=slide)
     write = lambda df, _: df.write.mode("overwrite").parquet(out)
     query = windows.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", shared_path(spark, "progress")).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(out)
 
 
+def _stream_sql(op: str, field: str, interval: int, slide: int | None) -> str:
+    if slide is None:
+        return _aggregate_sql(op, field, interval)
+    value = _SQL_OPERATORS[op].format(_SQL_FIELDS[field])
+    slots = f"unnest(range((ts_us // {slide}) * {slide} - {interval - slide}, ts_us + 1, {slide}))"
+    return _with(f"SELECT interval, {value} AS {op}_{field} FROM (SELECT *, {slots} AS interval FROM packets) GROUP BY 1")
+
+
+#: Filters and aggregates in compatibility mode.
+COMPAT_FILTERS = {
+    "compat_ip_lt": ("ip.src < 10.0.0.50", "{src} < {limit}"),
+    "compat_port_cut": ("port.src == 65979", "src_port = 443"),
+    "compat_len_cut": ("frame.len > 65600", "length > 64"),
+    "compat_proto_cut": ("proto == 273", "proto = 17"),
+    "compat_time_gt": ("frame.time > Jan 15, 2024 00:00:00", f"ts_us >= {JAN15}"),
+    "compat_time_le": ("frame.time <= Jan 15, 2024 00:00:00", f"ts_us < {JAN15 + 1_000_000}"),
+}
+
+
+def compat_filtered(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PacketFrame(packets(spark, sf_dir), compat=True).filter(text).df.select(*ROW)
+
+
+def compat_summed(op: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PacketFrame(packets(spark, sf_dir), compat=True).aggregate(op, "v4Dst", DAY)
+
+
+_SWAPPED = "((({0}) % 256) * 16777216 + (({0}) // 256 % 256) * 65536 + (({0}) // 65536 % 256) * 256 + ({0}) // 16777216)"
+
+
+def optioned(how: dict, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PacketFrame(packets(spark, sf_dir)).filter("ip.addr == 192.168.0.7").aggregate("mean", "length", HOUR, **how)
+
+
+#: Filter -> canonical text, written by hand.
+CANONICAL = {
+    "": "()",
+    "udp": "(proto == 17)",
+    "ip.addr == 88.221.154.110": "(ip.addr == 88.221.154.110)",
+    "ip.addr != 10.0.0.1 && udp": "((ip.addr != 10.0.0.1 and proto == 17))",
+    "icmp || udp && frame.len < 60": "((proto == 1 or (proto == 17 and length < 60)))",
+    "frame.time < Jan 15, 2024 00:00:00": "(frame.time: < 1705276800 0)",
+    "ip.addr != 10.0.0.1 && udp ||tcp": "((ip.addr != 10.0.0.1 and (proto == 17 or proto == 6)))",
+}
+
+
+def canonical_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical text of filters, and the names of the series and captures made from them."""
+    frame = PacketFrame(packets(spark, sf_dir))
+    made = [frame.filter(text) for text in CANONICAL]
+    rows = [(text, f.canonical(), csv_name(f, "sum", "length", HOUR), pcap_name(f)) for text, f in zip(CANONICAL, made, strict=True)]
+    return spark.createDataFrame(rows, "filter string, canonical string, csv string, pcap string")
+
+
 def console(spark: SparkSession, sf_dir: str) -> DataFrame:
     return console_rows(packets(spark, sf_dir))
 
 
 def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses to text and back."""
-    shown = console_rows(packets(spark, sf_dir).where("proto = 1"))
-    return shown.select("src", ip_to_long(F.col("src")).alias("src_ip"), "dst", ip_to_long(F.col("dst")).alias("dst_ip"))
+    shown = packets(spark, sf_dir).select("event_id", long_to_ip(F.col("src_ip")).alias("src"), long_to_ip(F.col("dst_ip")).alias("dst"))
+    return shown.select("event_id", "src", ip_to_long(F.col("src")).alias("src_ip"), "dst", ip_to_long(F.col("dst")).alias("dst_ip"))
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,10 +285,18 @@ def queries() -> dict:
         "filter_time_range_store": partial(store_filtered, FILTERS["filter_time_range"][0]),
         "pcap_roundtrip": pcap_roundtrip,
         "stream_ingest": stream_ingested,
-        "stream_agg": stream_aggregated,
+        "store_mixed_ingest": stored_both_ways,
+        "store_uncompressed": uncompressed,
+        "capture_statistics": counted_captures,
+        "canonical_names": canonical_names,
+        "agg_fill_gaps": partial(optioned, {"fill_gaps": True}),
+        "agg_exact_mean": partial(optioned, {"exact_mean": True}),
         "flow_rollup": lambda spark, d: flow_rollup(packets(spark, d)),
         "host_clusters": lambda spark, d: host_clusters(packets(spark, d)),
     }
+    out |= {name: partial(stream_aggregated, *how) for name, how in STREAMS.items()}
+    out |= {name: partial(compat_filtered, text) for name, (text, _) in COMPAT_FILTERS.items()}
+    out |= {f"compat_{op}_v4Dst": partial(compat_summed, op) for op in ("sum", "min")}
     return out
 
 
@@ -215,7 +315,7 @@ def oracle_sql() -> dict[str, str]:
         "console_rows": _with(
             f"SELECT {src} AS src, {dst} AS dst, CAST(proto AS VARCHAR) AS protocol, CAST(length AS VARCHAR) AS length, CAST(ts_us // 1000000 AS VARCHAR) AS sec, CAST(ts_us % 1000000 AS VARCHAR) AS usec FROM packets"
         ),
-        "address_text": _with(f"SELECT {_IP.format('src_ip')} AS src, src_ip, {_IP.format('dst_ip')} AS dst, dst_ip FROM packets WHERE proto = 1"),
+        "address_text": _with(f"SELECT event_id, {_IP.format('src_ip')} AS src, src_ip, {_IP.format('dst_ip')} AS dst, dst_ip FROM packets"),
         "packet_text": _with(
             f"SELECT event_id, ({src}) || ' -> ' || ({dst}) || ' proto=' || proto || ' length=' || length || ' time=' || (ts_us // 1000000) || '.' || lpad(CAST(ts_us % 1000000 AS VARCHAR), 6, '0') AS packet FROM packets"
         ),
@@ -225,7 +325,16 @@ def oracle_sql() -> dict[str, str]:
         "filter_time_range_store": stored(FILTERS["filter_time_range"][1]),
         "pcap_roundtrip": stored("TRUE"),
         "stream_ingest": stored("TRUE"),
-        "stream_agg": _aggregate_sql("sum", "length", HOUR),
+        "store_mixed_ingest": stored("TRUE"),
+        "store_uncompressed": stored("TRUE"),
+        "capture_statistics": _with("SELECT count(*) AS records, count(*) AS ipv4, CAST(0 AS BIGINT) AS ipv6, count(*) AS kept, CAST(0 AS BIGINT) AS dropped FROM packets"),
+        "canonical_names": "SELECT filter, canonical, canonical || '_sum_length_3600.000000secs.csv' AS csv, canonical || '.pcap' AS pcap FROM (VALUES "
+        + ", ".join(f"('{text}', '{canonical}')" for text, canonical in CANONICAL.items())
+        + ") t(filter, canonical)",
+        "agg_fill_gaps": f"WITH {packets_cte()},"
+            f" s AS (SELECT (ts_us // {HOUR}) * {HOUR} AS interval, CAST(sum(length) // count(*) AS BIGINT) AS mean_length FROM packets WHERE src_ip = 3232235527 OR dst_ip = 3232235527 GROUP BY 1)"
+            f" SELECT g.interval, mean_length FROM (SELECT unnest(range(min(interval), max(interval) + 1, {HOUR})) AS interval FROM s) g LEFT JOIN s USING (interval)",
+        "agg_exact_mean": _with(f"SELECT (ts_us // {HOUR}) * {HOUR} AS interval, sum(length)::DOUBLE / count(*) AS mean_length FROM packets WHERE src_ip = 3232235527 OR dst_ip = 3232235527 GROUP BY 1"),
         "flow_rollup": _with(
             "SELECT src_ip, dst_ip, src_port, dst_port, proto, count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes, min(ts_us) AS first_us, max(ts_us) AS last_us FROM packets GROUP BY 1, 2, 3, 4, 5"
         ),
@@ -233,4 +342,9 @@ def oracle_sql() -> dict[str, str]:
             "SELECT least(src_ip, dst_ip) AS host, count(*) AS packets, count(DISTINCT greatest(src_ip, dst_ip)) AS peers, min(ts_us) AS first_us, max(ts_us) AS last_us FROM packets GROUP BY 1"
         ),
     }
+    out |= {name: _stream_sql(*how) for name, how in STREAMS.items()}
+    out |= {name: _rows_sql(where.format(src=_SWAPPED.format("src_ip"), limit=_SWAPPED.format(167772210))) for name, (_, where) in COMPAT_FILTERS.items()}
+    swapped = _SWAPPED.format("dst_ip")
+    for op, value in (("sum", f"sum({swapped}) % 4294967296"), ("min", f"min({swapped})")):
+        out[f"compat_{op}_v4Dst"] = _with(f"SELECT (ts_us // {DAY}) * {DAY} AS interval, CAST({value} AS BIGINT) AS {op}_v4Dst FROM packets GROUP BY 1")
     return out
