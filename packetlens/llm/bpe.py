@@ -18,6 +18,9 @@ table for each worker. Decoding maps leaves of ids to bytes and concatenates up
 
 Distribution: a narrow map over Arrow batches, no shuffle; lost tasks are simply run again.
 
+The pattern's letter and number classes are the tokenizer library's own, asked of it once: the regular-expression module here
+knows other editions of Unicode. Texts without a character on which the two differ take the short pattern.
+
 Defined results: a null text is an empty one (no ids, no bytes). Rows are independent, so repeated rows
 and clashing ids do no harm; only the id and the text are read.
 """
@@ -40,7 +43,8 @@ from .common import ship, table
 LEAF = 4
 SMALL = 48
 PIECES_AT_ONCE = 1 << 18
-CACHED_PIECES = 150_000
+#: Entries of each of a worker's tables; pieces and windows are of at most 64 and 48 bytes, so a table takes some 10 MB.
+CACHED_PIECES = 50_000
 DECODE_LEAF = 4096
 OUT_BYTES = 4 << 20
 
@@ -50,10 +54,52 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines()) if a}
 
 
+def _ranges(points: list[int]) -> str:
+    """Sorted code points as the inside of a character class."""
+    out, start = [], 0
+    for i in range(1, len(points) + 1):
+        if i == len(points) or points[i] != points[i - 1] + 1:
+            out.append(f"\\U{points[start]:08x}-\\U{points[i - 1]:08x}")
+            start = i
+    return "".join(out)
+
+
+def library_pattern(pattern: str) -> tuple[str, str]:
+    r"""The pattern with \p{L} and \p{N} spelled out as the tokenizer library has them, and a class of the characters that make a difference (or "")."""
+    import tiktoken
+
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    spelled, differ = {}, set()
+    for kind in ("L", "N"):
+        if rf"\p{{{kind}}}" in pattern:
+            one = tiktoken.Encoding(kind, pat_str=rf"\p{{{kind}}}", mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+            theirs = set(map(ord, one.decode(one.encode_ordinary(every))))
+            differ |= theirs ^ set(map(ord, regex.findall(rf"\p{{{kind}}}", every)))
+            spelled[kind] = _ranges(sorted(theirs))
+    out, at, inside = [], 0, False
+    while at < len(pattern):
+        if pattern[at] == "\\":
+            kind = pattern[at + 3 : at + 4] if pattern.startswith("\\p{", at) and pattern[at + 4 : at + 5] == "}" else ""
+            if kind in spelled:
+                out.append(spelled[kind] if inside else f"[{spelled[kind]}]")
+                at += 5
+            else:
+                out.append(pattern[at : at + 2])
+                at += 2
+            continue
+        inside = pattern[at] == "[" or inside and pattern[at] != "]"
+        out.append(pattern[at])
+        at += 1
+    return "".join(out), f"[{_ranges(sorted(differ))}]" if differ else ""
+
+
 class Bpe:
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    """An encoder for one vocabulary; ``library`` is what ``library_pattern`` gives for the pattern."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, library: tuple[str, str] | None = None):
         self.ranks = ranks
-        self.pattern = regex.compile(pattern)
+        exact, differ = library or library_pattern(pattern)
+        self.short, self.exact, self.differ = regex.compile(pattern), regex.compile(exact), regex.compile(differ) if differ else None
         self.token = {i: b for b, i in ranks.items()}
         self.stable_pairs: dict[tuple[int, int], bool] = {}
         self.windows: dict[bytes, list[int]] = {}
@@ -148,14 +194,30 @@ class Bpe:
         half = len(data) // 2
         return self.join(self.encode_bytes(data[:half]), self.encode_bytes(data[half:]))
 
+    def forget(self) -> None:
+        """Free what only speeds up: workers live on while other stages need the memory."""
+        self.stable_pairs.clear()
+        self.windows.clear()
+        self.pieces.old = {}
+
     # --- texts --------------------------------------------------------------------------
 
+    def pattern_for(self, text: str):
+        """The short pattern, unless the text has a character on which it differs from the library's."""
+        if self.differ is None or text.isascii():
+            return self.short
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.exact if self.differ.search(text) else self.short
+        return self.short
+
     def encode_packed(self, text: str) -> bytes:
         """The ids of a text as little-endian 32-bit integers."""
-        look = self.pieces.__getitem__
+        look, pattern = self.pieces.__getitem__, self.pattern_for(text)
         if len(text) < PIECES_AT_ONCE:
-            return b"".join(map(look, self.pattern.findall(text)))
-        pieces, parts = (m.group() for m in self.pattern.finditer(text)), []
+            return b"".join(map(look, pattern.findall(text)))
+        pieces, parts = (m.group() for m in pattern.finditer(text)), []
         while part := list(islice(pieces, PIECES_AT_ONCE)):
             parts.append(b"".join(map(look, part)))
         return b"".join(parts)
@@ -194,11 +256,12 @@ class _Pieces(dict):
 _MADE: dict[tuple[int, str], Bpe] = {}
 
 
-def bpe_of(raw: bytes, pattern: str) -> Bpe:
-    """One encoder for each vocabulary and worker."""
+def bpe_of(raw: bytes, pattern: str, library: tuple[str, str]) -> Bpe:
+    """One encoder for each vocabulary and worker; a worker keeps the last one."""
     key = (hash(raw), pattern)
     if key not in _MADE:
-        _MADE[key] = Bpe(read_ranks(raw), pattern)
+        _MADE.clear()
+        _MADE[key] = Bpe(read_ranks(raw), pattern, library)
     return _MADE[key]
 
 
@@ -208,10 +271,16 @@ def bpe_tokens(df: DataFrame, ranks_file: str, pattern: str, doc_id: str = "doc_
     ship(spark)
     with open(ranks_file, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())  # a vocabulary file: its size does not depend on the data
-    kind = df.schema[doc_id].dataType.simpleString()
+    kind, library = df.schema[doc_id].dataType.simpleString(), library_pattern(pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = bpe_of(shared.value, pattern)
+        bpe = bpe_of(shared.value, pattern, library)
+        try:
+            yield from encoded(bpe, batches)
+        finally:
+            bpe.forget()
+
+    def encoded(bpe: Bpe, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, texts, start, size = batch.column(0), batch.column(1), 0, 0
             packed: list[bytes] = []
