@@ -3,7 +3,7 @@
 The codec works on many frames at once. Decoding unpacks the bits, finds every position's next set bit, and
 steps all frames side by side through their Rice codes and their linear prediction; a frame's CRC-8 (header)
 and CRC-16 (whole frame), and a stream's MD5, are verified. A seek table with a point for each frame gives the
-byte offset of any sample, so blocks can be read alone; streams without one are followed frame by frame.
+byte offset of any sample, so blocks can be read alone; streams without one, or with one too short for a point a frame, are followed frame by frame.
 
 Encoding tries fixed predictors of order 0 to 2 and a second-order quantised linear predictor, with a
 Rice parameter for each frame, and stores a frame as it is if that is smaller. Any subframe kind may be read:
@@ -37,6 +37,8 @@ FRAMES_AT_ONCE = 4096
 #: Coefficients of the fixed predictors (fixed values of the format).
 FIXED = [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]]
 MOST_RICE = 14
+#: Seek points that fit the length field of a metadata block; longer streams get every second, third, ... frame.
+MOST_POINTS = (2**24 - 1) // 18
 
 
 def _crc_table(poly: int, bits: int) -> np.ndarray:
@@ -182,9 +184,10 @@ def flac_stream(payload: bytes, frames: bytes, lengths: np.ndarray) -> bytes:
     pcm = (np.frombuffer(payload, np.uint8) ^ 0x80).tobytes()  # signed 8-bit samples
     info = struct.pack(">HH", BLOCK, BLOCK) + int(lengths.min()).to_bytes(3, "big") + int(lengths.max()).to_bytes(3, "big")
     info += (RATE << 44 | 7 << 36 | n).to_bytes(8, "big") + hashlib.md5(pcm).digest()
-    points = np.zeros(len(lengths), np.dtype([("sample", ">u8"), ("offset", ">u8"), ("size", ">u2")]))
-    points["sample"] = np.arange(len(lengths)) * BLOCK
-    points["offset"] = np.cumsum(lengths) - lengths
+    every = -(-len(lengths) // MOST_POINTS)
+    points = np.zeros(-(-len(lengths) // every), np.dtype([("sample", ">u8"), ("offset", ">u8"), ("size", ">u2")]))
+    points["sample"] = np.arange(len(points)) * BLOCK * every
+    points["offset"] = (np.cumsum(lengths) - lengths)[::every]
     points["size"] = BLOCK
     seek = points.tobytes()
     return b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(seek).to_bytes(3, "big") + seek + frames
@@ -196,11 +199,11 @@ def padded(data: bytes) -> bytes:
 
 def encode_payloads(payloads: list[bytes]) -> list[bytes]:
     """A stream for each payload; lengths are multiples of the block."""
-    samples = (np.frombuffer(b"".join(payloads), np.uint8).astype(np.int32) - 128).reshape(-1, BLOCK)
+    samples = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, BLOCK)
     per = np.array([len(p) // BLOCK for p in payloads])
     first = np.cumsum(per) - per
     numbers = np.arange(len(samples)) - np.repeat(first, per)
-    parts = [encode_frames(samples[i : i + FRAMES_AT_ONCE], numbers[i : i + FRAMES_AT_ONCE]) for i in range(0, len(samples), FRAMES_AT_ONCE)]
+    parts = [encode_frames(samples[i : i + FRAMES_AT_ONCE].astype(np.int32) - 128, numbers[i : i + FRAMES_AT_ONCE]) for i in range(0, len(samples), FRAMES_AT_ONCE)]
     data, lengths = b"".join(d for d, _ in parts), np.concatenate([n for _, n in parts])
     ends = np.concatenate([[0], np.cumsum(lengths)])
     return [flac_stream(p, data[ends[a] : ends[a + n]], lengths[a : a + n]) for p, a, n in zip(payloads, first, per, strict=True)]
@@ -388,7 +391,8 @@ def decode_streams(streams: list[bytes]) -> list[bytes]:
         for a in range(0, len(start), FRAMES_AT_ONCE):
             mine = start[a : a + FRAMES_AT_ONCE]
             high = start[a + FRAMES_AT_ONCE] if a + FRAMES_AT_ONCE < len(start) else len(data)
-            parts.append(decode_frames(data[mine[0] : high], mine - mine[0])[:2])
+            s, n, _ = decode_frames(data[mine[0] : high], mine - mine[0])
+            parts.append((s.astype(np.int8), n))
         samples, numbers = (np.concatenate(x) for x in zip(*parts, strict=True))
         ends = np.cumsum([0, *per])
         for i, a, b in zip(seek, ends[:-1], ends[1:], strict=True):
@@ -400,14 +404,14 @@ def decode_streams(streams: list[bytes]) -> list[bytes]:
             raw, at, parts = np.frombuffer(streams[i] + bytes(8), np.uint8), h.first, []
             while at < len(streams[i]):
                 s, _, size = decode_frames(raw, np.array([at]))
-                parts.append(s[0])
+                parts.append(s[0].astype(np.int8))
                 at += int(size[0])
-            out[i] = _checked(np.concatenate(parts) if parts else np.empty(0, np.int64), h)
+            out[i] = _checked(np.concatenate(parts) if parts else np.empty(0, np.int8), h)
     return out
 
 
 def _checked(samples: np.ndarray, head: Stream) -> bytes:
-    pcm = samples[: head.samples].astype(np.int8).tobytes()
+    pcm = samples[: head.samples].tobytes()
     if hashlib.md5(pcm).digest() != head.md5:
         raise FlacError("stream checksum")
     return (np.frombuffer(pcm, np.uint8) ^ 0x80).tobytes()
@@ -428,18 +432,64 @@ def read_blocks(stream: bytes, sample: int, count: int) -> bytes:
 # --- columns ------------------------------------------------------------------------------
 
 
+def _measured(pcm: np.ndarray, before: int) -> tuple[int, int, int]:
+    """Energy, sign changes and peak of samples after one of sign ``before`` (1: negative)."""
+    s = pcm.astype(np.int64) - 128
+    below = np.concatenate([[before], s < 0])
+    return int((s * s).sum()), int((below[1:] != below[:-1]).sum()), int(np.abs(s).max())
+
+
 def features(payloads: list[bytes]) -> list[str]:
-    """Energy, sign changes and peak of the samples of each payload."""
-    s = np.frombuffer(b"".join(payloads), np.uint8).astype(np.int64) - 128
-    first = np.cumsum([0] + [len(p) for p in payloads])[:-1]
-    energy = np.add.reduceat(s * s, first)
-    change = np.empty(len(s), np.int64)
-    change[0] = 0
-    change[1:] = (s[1:] < 0) != (s[:-1] < 0)
-    change[first] = 0
-    crossings = np.add.reduceat(change, first)
-    peak = np.maximum.reduceat(np.abs(s), first)
-    return [f"energy={e};crossings={c};peak={p}" for e, c, p in zip(energy.tolist(), crossings.tolist(), peak.tolist(), strict=True)]
+    """Energy, sign changes and peak of the samples of each payload, a long one piece by piece."""
+    out = []
+    for p in payloads:
+        raw, energy, crossings, peak = np.frombuffer(p, np.uint8), 0, 0, 0
+        for a in range(0, len(raw), AT_ONCE):
+            e, c, high = _measured(raw[a : a + AT_ONCE], int(raw[max(a - 1, 0)] < 128))
+            energy, crossings, peak = energy + e, crossings + c, max(peak, high)
+        out.append(f"energy={energy};crossings={crossings};peak={peak}")
+    return out
+
+
+def _frames(stream: bytes) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Groups of decoded frames: the first one's number, byte offsets, PCM."""
+    head = parse_stream(stream)
+    raw, number = np.frombuffer(stream + bytes(8), np.uint8), 0
+    if head.points is not None:
+        for a in range(0, len(head.points), FRAMES_AT_ONCE):
+            mine = head.points[a : a + FRAMES_AT_ONCE]
+            high = int(head.points[a + FRAMES_AT_ONCE]) + 8 if a + FRAMES_AT_ONCE < len(head.points) else len(raw)
+            s, _, _ = decode_frames(raw[int(mine[0]) : high], mine - mine[0])
+            yield a, mine, s.astype(np.int8)
+        return
+    at = head.first
+    while at < len(stream):
+        s, _, size = decode_frames(raw[at:], np.array([0]))
+        yield number, np.array([at]), s.astype(np.int8)
+        at, number = at + int(size[0]), number + 1
+
+
+def pcm_blocks(df: DataFrame, doc_id: str = "doc_id", media: str = "media") -> DataFrame:
+    """doc_id, sample, offset, pcm: each block of each FLAC stream as signed 8-bit PCM, with its first sample and its frame's byte offset.
+
+    Every frame's checksums are verified. Blocks leave in batches of bounded size, so a long stream needs no more than itself.
+    A null stream has no blocks.
+    """
+    ship(df.sparkSession)
+    kind = df.schema[doc_id].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                if not batch.column(1)[row].is_valid:
+                    continue
+                for first, offsets, pcm in _frames(batch.column(1)[row].as_py()):
+                    ids = batch.column(0).take(pa.array([row] * len(pcm)))
+                    samples = (first + np.arange(len(pcm))) * BLOCK
+                    blocks = pa.array([x.tobytes() for x in pcm], pa.binary())
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(samples), pa.array(offsets.astype(np.int64)), blocks], ["doc_id", "sample", "offset", "pcm"])
+
+    return df.select(F.col(doc_id).alias("doc_id"), F.col(media).alias("media")).mapInArrow(run, f"doc_id {kind}, sample long, offset long, pcm binary")
 
 
 SCHEMA = "n_bytes long, payload binary, media binary, feature string"
