@@ -5,7 +5,8 @@ taken ``k`` times whole and once more below a hash threshold that holds the rest
 threshold is found without sorting: word counts are summed by source and the first 12 hash bits, the one
 bucket in which the budget ends is opened by the next 12 bits, and again, so each round reads only what
 the round before left open. Sums are partial before every shuffle, so a hot source costs one row for
-each bucket and task. The per-source tables (one row a source) are the only global windows.
+each bucket and task. The table with a row for each source may be large too: its order comes from a range shuffle with the
+rows before each partition, and the common level from a few sums over it, so no task sees all sources.
 
 Defined results: a null text has size 0; sources are ordered by code point with null last and get the
 weights in turn. Documents with equal ids share a hash and are taken together. An empty table, or one
@@ -31,30 +32,37 @@ def doc_hash(doc_id: Column) -> Column:
     return F.conv(digits, 16, 10).cast("long")
 
 
+def _numbered(sums: DataFrame) -> DataFrame:
+    """``sums`` with the place ``n`` of each source in code point order, null last."""
+    ranged = settle(sums.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()))
+    before, starts = 0, []
+    for r in sorted(ranged.groupBy("part").count().collect()):  # a row for each partition
+        starts.append((r["part"], before))
+        before += r["count"]
+    place = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1
+    start = F.create_map(*[F.lit(x).cast("long") for pair in starts for x in pair]) if starts else F.create_map(F.lit(0).cast("long"), F.lit(0).cast("long"))
+    return ranged.withColumn("n", place + start[F.col("part").cast("long")]).drop("part")
+
+
 def source_targets(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """One row a source: source, source_size, target.
 
-    Water level: with sources in order of cap / weight, the first one whose cap the common level does not
-    reach sets the level; those before it get their cap, all others weight * level.
+    Water level: all sources get weight * level; those beyond their cap get their cap, what they leave raises the level
+    of the others, and so on until none is above. Each round is one sum over the sources.
     """
-    sums = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    w = F.element_at(F.array(*[F.lit(x).cast("long") for x in weights]), (rank % len(weights) + 1).cast("int"))
-    every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    by_cap = Window.orderBy((F.col("cap").cast("double") / F.col("w")), F.col("source").asc_nulls_last())
-    before = by_cap.rowsBetween(Window.unboundedPreceding, -1)
-    filled = (
-        sums.withColumn("w", w)
-        .withColumn("cap", F.col("source_size") * max_epochs)
-        .withColumn("total", F.sum("source_size").over(every))
-        .withColumn("left_size", F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0)))
-        .withColumn("left_w", F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0)))
-        .withColumn("open", F.col("left_size") * F.col("w") <= F.col("cap") * F.col("left_w"))
-        .withColumn("n", F.row_number().over(by_cap))
-        .withColumn("at", F.min(F.when(F.col("open"), F.struct("n", "left_size", "left_w"))).over(every))
-    )
-    share = (F.col("w") * F.col("at.left_size")).cast("double") / F.col("at.left_w")
-    return filled.select("source", "source_size", F.when(F.col("at.n").isNull() | (F.col("n") < F.col("at.n")), F.col("cap").cast("double")).otherwise(share).alias("target"))
+    numbered = _numbered(docs.groupBy("source").agg(F.sum("size").alias("source_size")))
+    w = F.element_at(F.array(*[F.lit(x).cast("long") for x in weights]), (F.col("n") % len(weights) + 1).cast("int"))
+    filled = settle(numbered.select("source", "source_size", w.alias("w"), (F.col("source_size") * max_epochs).alias("cap")))
+    total, all_w = filled.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0))).first()
+    left_size, left_w, capped = total, all_w, 0
+    while True:
+        over = F.lit(left_size).cast("decimal(20,0)") * F.col("w") > F.col("cap").cast("decimal(20,0)") * F.lit(left_w).cast("decimal(18,0)")
+        caps, ws, n = filled.where(over).agg(F.coalesce(F.sum("cap"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0)), F.count(F.lit(1))).first()
+        if n == capped or ws == all_w:
+            break
+        left_size, left_w, capped = total - caps, all_w - ws, n
+    share = (F.col("w") * F.lit(left_size)).cast("double") / F.lit(left_w or 1)
+    return filled.select("source", "source_size", F.when(over, F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
 def hash_thresholds(docs: DataFrame, targets: DataFrame) -> DataFrame:
