@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 ``documents``. Byte-level BPE cannot be said in SQL, so ``ORACLE_SQL`` is None and the tests hold the
-rows against SQL for the first four stages and a public tokenizer library for the last.
+rows against SQL for the first four stages and a public tokenizer library for the last. The first four stages
+are the query ``pipeline_mixed``, which has SQL.
 """
 
 import public_tokenizers
@@ -10,10 +11,10 @@ from pyspark.sql import functions as F
 
 from packetlens.llm.bpe import bpe_tokens, token_digests
 from packetlens.llm.common import OWN, settle, table
-from packetlens.llm.jaccard import near_dedup
-from packetlens.llm.lines import line_dedup
-from packetlens.llm.mixing import mixed_rows
-from packetlens.llm.quality import quality_rules
+from packetlens.llm.jaccard import jaccard_ctes, near_dedup
+from packetlens.llm.lines import line_dedup, lines_ctes
+from packetlens.llm.mixing import mixed_rows, mixing_ctes
+from packetlens.llm.quality import quality_rules, quality_sql
 
 
 def quality(spark, docs, sf_dir):
@@ -47,9 +48,34 @@ STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_dupli
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def _through(spark, sf_dir, stages):
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, stage in stages:
         out = stage(spark, docs, sf_dir)
-        docs = out if name == STAGES[-1][0] else settle(out)
+        docs = out if name == stages[-1][0] else settle(out)
     return docs
+
+
+def run(spark, sf_dir):
+    return _through(spark, sf_dir, STAGES)
+
+
+def run_mixed(spark, sf_dir):
+    """The rows that the last stage gets."""
+    return _through(spark, sf_dir, STAGES[:-1]).select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
+
+
+def mixed_sql() -> str:
+    """DuckDB SQL for the first four stages."""
+    return f"""
+WITH RECURSIVE s4 AS (SELECT doc_id, text, lang, source FROM ({quality_sql("documents", "doc_id, text, lang, source")}) WHERE kept),
+{lines_ctes("s4")},
+s10 AS (SELECT doc_id, clean AS text, lang, source FROM deduped),
+{jaccard_ctes("s10")},
+s7 AS (SELECT s10.* FROM s10 JOIN comp USING (doc_id) WHERE comp.component_id = doc_id),
+{mixing_ctes("s7")}
+SELECT doc_id, text, lang, source, CAST(length(text) AS BIGINT) AS n_chars FROM (SELECT *, unnest(range(copies)) FROM mixed)"""
+
+
+QUERIES = {"pipeline": run, "pipeline_mixed": run_mixed}
+ORACLES = {"pipeline_mixed": mixed_sql()}
