@@ -68,12 +68,12 @@ def run_mixed(spark, sf_dir):
 def mixed_sql() -> str:
     """DuckDB SQL for the first four stages."""
     return f"""
-WITH RECURSIVE s4 AS (SELECT doc_id, text, lang, source FROM ({quality_sql("documents", "doc_id, text, lang, source")}) WHERE kept),
-{lines_ctes("s4")},
-s10 AS (SELECT doc_id, clean AS text, lang, source FROM deduped),
-{jaccard_ctes("s10")},
-s7 AS (SELECT s10.* FROM s10 JOIN comp USING (doc_id) WHERE comp.component_id = doc_id),
-{mixing_ctes("s7")}
+WITH RECURSIVE good AS (SELECT doc_id, text, lang, source FROM ({quality_sql("documents", "doc_id, text, lang, source")}) WHERE kept),
+{lines_ctes("good")},
+clean_docs AS (SELECT doc_id, clean AS text, lang, source FROM deduped),
+{jaccard_ctes("clean_docs")},
+unlike AS (SELECT clean_docs.* FROM clean_docs JOIN comp USING (doc_id) WHERE comp.component_id = doc_id),
+{mixing_ctes("unlike")}
 SELECT doc_id, text, lang, source, CAST(length(text) AS BIGINT) AS n_chars FROM (SELECT *, unnest(range(copies)) FROM mixed)"""
 
 
