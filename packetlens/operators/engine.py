@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from packetlens.functions.ip import swap32_col
 from packetlens.plans import dsl
+from packetlens.plans.capture_filter import compile_capture_filter
 from packetlens.schema import ADDRESS_FIELDS, AGGREGATE_FIELDS
 
 OPERATORS = ("sum", "mean", "min", "max", "count", "count_dist")
@@ -57,6 +58,10 @@ class PacketFrame:
         out = self.df.where(dsl.compile_filter(tree, self.compat)) if tree.parts else self.df
         return PacketFrame(out, text, self.compat, self.zone)
 
+    def capture_filter(self, text: str) -> PacketFrame:
+        """The packets that a capture filter (pcap-filter syntax) lets through."""
+        return PacketFrame(self.df.where(compile_capture_filter(text)), self.filter_text, self.compat, self.zone)
+
     def canonical(self) -> str:
         return dsl.parse(self.filter_text, self.zone).canonical()
 

@@ -221,6 +221,19 @@ def compat_summed(op: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return PacketFrame(packets(spark, sf_dir), compat=True).aggregate(op, "v4Dst", DAY)
 
 
+#: Capture filters: text, predicate in SQL.
+CAPTURE_FILTERS = {
+    "capture_filter_ports": ("tcp port 80 or 443", "proto = 6 AND (src_port IN (80, 443) OR dst_port IN (80, 443))"),
+    "capture_filter_left_to_right": ("icmp or udp and less 60", "(proto = 1 OR proto = 17) AND length <= 60"),
+    "capture_filter_not_net": ("not (src net 10.0.0.0/26 or dst net 192.168) and greater 70", "NOT (src_ip BETWEEN 167772160 AND 167772223 OR dst_ip BETWEEN 3232235520 AND 3232301055) AND length >= 70"),
+    "capture_filter_hosts": ("host 192.168.0.7 and src or dst portrange 50-100", "(src_ip = 3232235527 OR dst_ip = 3232235527) AND proto IN (6, 17) AND (src_port BETWEEN 50 AND 100 OR dst_port BETWEEN 50 AND 100)"),
+}
+
+
+def captured(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PacketFrame(packets(spark, sf_dir)).capture_filter(text).df.select(*ROW)
+
+
 _SWAPPED = "((({0}) % 256) * 16777216 + (({0}) // 256 % 256) * 65536 + (({0}) // 65536 % 256) * 256 + ({0}) // 16777216)"
 
 
@@ -297,6 +310,7 @@ def queries() -> dict:
     out |= {name: partial(stream_aggregated, *how) for name, how in STREAMS.items()}
     out |= {name: partial(compat_filtered, text) for name, (text, _) in COMPAT_FILTERS.items()}
     out |= {f"compat_{op}_v4Dst": partial(compat_summed, op) for op in ("sum", "min")}
+    out |= {name: partial(captured, text) for name, (text, _) in CAPTURE_FILTERS.items()}
     return out
 
 
@@ -344,6 +358,7 @@ def oracle_sql() -> dict[str, str]:
     }
     out |= {name: _stream_sql(*how) for name, how in STREAMS.items()}
     out |= {name: _rows_sql(where.format(src=_SWAPPED.format("src_ip"), limit=_SWAPPED.format(167772210))) for name, (_, where) in COMPAT_FILTERS.items()}
+    out |= {name: _rows_sql(where) for name, (_, where) in CAPTURE_FILTERS.items()}
     swapped = _SWAPPED.format("dst_ip")
     for op, value in (("sum", f"sum({swapped}) % 4294967296"), ("min", f"min({swapped})")):
         out[f"compat_{op}_v4Dst"] = _with(f"SELECT (ts_us // {DAY}) * {DAY} AS interval, CAST({value} AS BIGINT) AS {op}_v4Dst FROM packets GROUP BY 1")
