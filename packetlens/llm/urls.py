@@ -136,10 +136,10 @@ def url_model(labelled: DataFrame) -> tuple[np.ndarray, float] | None:
     spark = labelled.sparkSession
     fold = labelled.withColumn("held", F.pmod(F.xxhash64("rest"), F.lit(HELD_OUT)) == 0)
     train = fold.where(~F.col("held")).select("rest", "label").mapInArrow(_counter, "key long, n long")
-    rows = train.groupBy("key").agg(F.sum("n").alias("n")).toPandas()  # at most 2 * 48**4 rows
+    rows = train.groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # at most 2 * 48**4 rows, as columns
     counts = np.zeros((2, SIZE**ORDER), np.float32)
-    keys = rows["key"].to_numpy(np.int64)
-    counts[keys // SIZE**ORDER, keys % SIZE**ORDER] = rows["n"].to_numpy(np.float32)
+    keys = rows["key"].to_numpy()
+    counts[keys // SIZE**ORDER, keys % SIZE**ORDER] = rows["n"].to_numpy()
     if not counts[0].any() or not counts[1].any():
         return None
     ratio = log_probabilities(counts[1])
