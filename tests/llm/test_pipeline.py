@@ -5,6 +5,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from conftest import rows
 
 import corpus_pipeline
 from packetlens.llm.jaccard import jaccard_ctes
@@ -39,11 +40,24 @@ def test_pipeline(spark, sf):
     assert got == expected(f"{sf}/documents.parquet")
 
 
-@pytest.mark.parametrize("step", range(len(corpus_pipeline.STAGES) - 1))
+def test_mixed_rows_equal_sql(spark, sf, oracle):
+    assert rows(corpus_pipeline.run_mixed(spark, sf)) == oracle(corpus_pipeline.ORACLES["pipeline_mixed"])
+
+
+CLASHING = "key string, label string, s string, n int, h string, bucket string, doc string, keys string, size string, copies string, th string, r string, col string"
+
+
+@pytest.mark.parametrize("step", range(len(corpus_pipeline.STAGES)))
 def test_stages_keep_the_columns_and_stand_nulls(spark, sf, step):
-    rows = [(1, None, "en", "a", 0), (2, "", None, None, None), (None, "the word of it " * 9, "en", "a", 3), (4, "the of and to a in is it was for on that by this with be as at from the", "en", "b", 9)]
-    docs = spark.createDataFrame(rows * 2, "doc_id long, text string, lang string, source string, n_chars long")
-    _, stage = corpus_pipeline.STAGES[step]
-    assert stage(spark, docs, sf).columns == docs.columns
-    stage(spark, docs, sf).collect()
+    text = [(1, None, "en", "a", 0), (2, "", None, None, None), (None, "the word of it " * 9, "en", "a", 3), (4, "the of and to a in is it was for on that by this with be as at from the", "en", "b", 9)]
+    extra = ("x", "y", "z", 7, *"abcdefghi")
+    docs = spark.createDataFrame([(*r, *extra) for r in text * 2], "doc_id long, text string, lang string, source string, n_chars long, " + CLASHING)
+    name, stage = corpus_pipeline.STAGES[step]
+    out = stage(spark, docs, sf)
+    if name == "tokens":
+        got = Counter((r.doc_id, r.n_tokens > 0) for r in out.collect())
+        assert got == Counter({(i, bool(t)): 2 for i, t, *_ in text})
+    else:
+        assert out.columns == docs.columns
+        assert all(tuple(r)[5:] == extra for r in out.collect())
     assert stage(spark, docs.where("false"), sf).count() == 0
