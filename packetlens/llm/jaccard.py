@@ -1,28 +1,30 @@
 """Exact n-gram Jaccard self-join in the metric space of shingle sets (distance d = 1 - J, links at d <= 1/4).
 
 1. *Sets.* A pass hashes each whole text's distinct 5-word shingles to 64 bits and names the set by a
-   88-bit digest; exact copies are one point of the space from here on.
+   88-bit digest; exact copies are one point of the space from here on. It also makes each set's bitmap,
+   two to four bits a shingle: bits that one bitmap has beyond another prove a distance from below.
 2. *Outer regions.* The outer pivots are single shingles. {s} is at distance below 1 of the sets that have s
    and at exactly 1 of all others, so a set's region windows are its shingles. Under any one global order of the
    shingles a linked pair shares one among the first n - ceil(3n/4) + 1 of each set: a set is replicated to
    these windows only. The order is rarest first: shingles that the first pass met more than MANY times come
    last, by a logarithmic class of their count, so common lines and passages open no regions for texts that merely
-   quote them and regions stay small. (It counts what a chunk of texts has twice or more; a wrong rank costs
-   time, never a link.) Since linked sizes differ by
-   a factor of 3/4 at most, a region falls into size classes of that width, each with its own sets and those of the
-   class below. Regions with one set vanish.
-3. *Inner regions.* In each region sets become pivots, 1, then 6, 36, ... of them, of different components as
-   far as links are known. Every other set of the region is compared with the pivots of other components; sets
-   within 1/4 of a pivot are linked to it and so to each other: no pair among them is looked at. Pivots
-   leave the region, and a region of one component vanishes. A set near a pivot q stays only if some set of another
-   component is inside its triangle window, d(B, q) <= d(A, q) + 1/4. The rest joins again until no region is
-   left. Sets that have too few window shingles from the region's on to be linked there leave at once. Pairs
-   whose sets share too few window shingles with any other are no links; the others intersect their whole sets.
+   quote them. (It counts what a chunk of texts has twice or more; a wrong rank costs
+   time, never a link.) Since linked sizes differ by a factor of 3/4 at most, a region falls into size classes
+   of that width, each with its own sets and those of the class below. Regions of the same members are one region.
+3. *Voronoi cells.* In each region 1, then 8, 512, ... sets become pivots, first of different components.
+   Every other set of the region is held against the pivots of other components, first by the bitmaps; what these
+   leave is measured exactly. Pivots leave the region; linked sets are one component and no pair of a component is
+   looked at again. A set within 1/4 of pivots is at home in the cell of the nearest one, q. With r the radius of the cell, a set
+   elsewhere can be linked into it only if d(b, q) <= r + 1/4: the sets of other components in this triangle window are
+   replicated into the cell. Sets without a home stay in the region. Cells and regions join again, until none has two components.
+   Sets with too few window shingles from the region's on to be linked there leave at once.
 4. *Components* of the links by alternating large and small stars.
 
-Nothing about all documents comes to the driver; the only broadcasts are the frequent shingles, at most
-2**22 since a shingle needs 1 / 2**22 of all occurrences, and
-lists of ids and sets after their size is measured.
+Keys are never gathered in one task: windows of frequent shingles are salted, pivots and bounds of regions are
+aggregates with partial sums, and the joins by region are ones that Spark can split. Cells of a region are made only for
+HUBS pivots a round and where they take at most as many copies as the region has sets, so that members grow linearly.
+Superseded tables are deleted. Nothing about all documents comes to the driver; broadcast are the frequent shingles, at most
+2**22 since a shingle needs 1 / 2**22 of all occurrences, and tables of a measured number of rows or bytes.
 
 Defined results: a null or wordless text has an empty set, links with nothing and is its own component.
 Fewer than five words are one shingle. Repeated rows and rows with equal ids are one class each; the
@@ -33,107 +35,138 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, ship, sized, table
+from .common import OWN, Scratch, ship, sized, table
 
 WORDS = 5
 PERCENT = 75
 MANY = 16
 MOST_FREQUENT = 1 << 22
-PIVOTS_TIMES = 6
+PIVOTS_TIMES = 8
+HUBS = 4
+#: Window rows of shingles with a count of 2**HOT or more are dealt to SALTS tasks.
+HOT = 12
+SALTS = 64
+#: Tables of a round are broadcast up to so many measured rows, whole sets and bitmaps up to so many bytes; beyond, joins shuffle.
+SMALL_ROWS = 100_000
+SMALL_BYTES = 4 << 20
 DIGEST_BYTES = 11
-#: Whole sets are broadcast up to this measured size; beyond it their joins shuffle.
-SMALL_BYTES = 10 << 20
 CHUNK = 1 << 22
 ROWS_AT_ONCE = 1 << 16
+#: Bytes of a text that are split into words at once.
+PIECE = 1 << 20
 
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = 0x9E3779B97F4A7C15
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 _M1 = np.uint64(0xD6E8FEB86659FD93)
 _S = np.uint64(32)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base % 2**64, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-class _Table:
-    """Powers of the base and of its inverse, grown to the longest piece seen."""
-
-    size = 0
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > self.size:
-            self.size = max(1 << 17, 1 << (n - 1).bit_length())
-            self.up, self.down = _powers(_BASE, self.size), _powers(pow(_BASE, -1, 2**64), self.size)
-        return self.up, self.down
-
-
-_TABLE = _Table()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _S)) * _M1
     x = (x ^ (x >> _S)) * _M1
     return x ^ (x >> _S)
 
 
-def word_hashes(raw: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the lower-cased words of UTF-8 bytes; long texts in pieces cut at white space."""
-    out, start, step = [], 0, 1 << 20
-    while start < len(raw):
-        end = min(len(raw), start + step)
-        if end < len(raw):
-            gaps = np.flatnonzero(_SPACE[raw[start:end]])
-            if not len(gaps):
-                step *= 2
-                continue
-            end = start + int(gaps[-1]) + 1
-        a = _LOWER[raw[start:end]]
-        inside = np.zeros(len(a) + 2, np.int8)
-        inside[1:-1] = ~_SPACE[a]
-        edge = np.diff(inside)
-        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        up, down = _TABLE.upto(len(a) + 1)
-        total = np.zeros(len(a) + 1, np.uint64)
-        np.cumsum(_BYTE[a] * up[: len(a)], out=total[1:])
-        out.append(_mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64)))
-        start, step = end, 1 << 20
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
-
-
-def shingle_set(raw: np.ndarray) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text."""
-    h = word_hashes(raw)
-    if not len(h):
-        return h
-    k = min(WORDS, len(h))
-    s = np.full(len(h) - k + 1, k, np.uint64)
-    for j in range(k):
-        s = s * np.uint64(_BASE) + h[j : len(h) - k + 1 + j]
-    return np.unique(_mix(s))
+def _hashed(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def word_hashes(raw: bytes | memoryview) -> np.ndarray:
+    """64-bit hashes of the lower-cased words of UTF-8 bytes; long texts in pieces, words never cut."""
+    if len(raw) <= PIECE:
+        return _hashed(bytes(raw).lower().split())  # of bytes: A-Z and ASCII white space only
+    out, rest, raw = [], b"", memoryview(raw)
+    for start in range(0, len(raw), PIECE):
+        piece = bytes(raw[start : start + PIECE])
+        words = piece.lower().split()
+        if words and not piece[:1].isspace():
+            words[0] = rest + words[0]
+        elif rest:
+            words.insert(0, rest)
+        rest = words.pop() if not piece[-1:].isspace() else b""
+        out.append(_hashed(words))
+    return np.concatenate([*out, _hashed([rest] if rest else [])])
+
+
+def shingle_sets(texts: list[bytes | memoryview]) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct shingle hashes of each text, one set after the other, and where each begins and the last ends."""
+    words = [word_hashes(t) for t in texts]
+    lengths = np.array([len(w) for w in words])
+    takes = np.where(lengths >= WORDS, WORDS, lengths)
+    counts = np.where(lengths > 0, lengths - takes + 1, 0)
+    h = np.concatenate([*words, np.zeros(WORDS, np.uint64)])
+    first = np.cumsum(lengths) - lengths
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    at = np.arange(ends[-1]) + np.repeat(first - ends[:-1], counts)
+    s = np.full(ends[-1], WORDS, np.uint64)
+    for j in range(WORDS):
+        s = s * _BASE + h[at + j]
+    for i in np.flatnonzero((lengths > 0) & (lengths < WORDS)):  # one shingle of all words there are
+        short = np.full(1, lengths[i], np.uint64)
+        for x in words[i]:
+            short = short * _BASE + x
+        s[ends[i]] = short[0]
+    s = _mix(s)
+    for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False):
+        s[a:b].sort()
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    new[ends[:-1][counts > 0]] = True
+    before = np.concatenate([[0], np.cumsum(new)])
+    return s[new], before[ends]
+
+
+def shingle_set(text: bytes | memoryview) -> np.ndarray:
+    """The sorted distinct shingle hashes of one text."""
+    return shingle_sets([text])[0]
+
+
+def _set_chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, list[int]]]:
+    """The first row, the sets and their bounds for some texts after the other, of bounded size but for one long text."""
+    some, size, first = [], 0, 0
+    for row in range(len(texts)):
+        some.append(_raw(texts, row))
+        size += len(some[-1])
+        if size > PIECE or row == len(texts) - 1:
+            s, ends = shingle_sets(some)
+            yield first, s, ends.tolist()
+            some, size, first = [], 0, row + 1
 
 
 def digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=DIGEST_BYTES).digest()
 
 
-def _raw(texts: pa.Array, row: int) -> np.ndarray:
+def bitmap(s: np.ndarray) -> bytes:
+    """Two to four bits a shingle, a power of two of them; the hash's low bits name the bit."""
+    size = max(64, 1 << (2 * len(s) - 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[(s & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def most_shared(a: bytes, b: bytes, an: int, bn: int) -> int:
+    """At most so many shingles are in both sets: each bit that one bitmap has beyond the other is a shingle of its own."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    return min(an - int(np.bitwise_count(x & ~y).sum()), bn - int(np.bitwise_count(y & ~x).sum()))
+
+
+def _raw(texts: pa.Array, row: int) -> memoryview:
     value = texts[row]
-    return np.frombuffer(value.as_buffer(), np.uint8) if value.is_valid else np.empty(0, np.uint8)
+    return memoryview(value.as_buffer() if value.is_valid else b"")
 
 
 def window_size(n):
@@ -142,122 +175,140 @@ def window_size(n):
 
 
 def _scan(kind: str):
-    """First pass, rows (r, doc_id, n, key, c): the texts (r spreads them, c is 1), and counts c of shingles r that a chunk of texts has twice."""
+    """First pass: rows of texts (doc_id, n, key, bits, th), and counts (s, c) of shingles that a chunk of texts has twice."""
+    names = ["doc_id", "n", "key", "bits", "th", "s", "c"]
+    types = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, filled, seen = np.empty(CHUNK, np.uint64), 0, set()
         id_type = pa.int64()
-        names = ["r", "doc_id", "n", "key", "c"]
 
         def counted() -> Iterator[pa.RecordBatch]:
             values = chunk[:filled]
             values.sort()
-            first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-            n = np.diff(np.append(first, filled))
-            s, c = values[first[n > 1]].view(np.int64), n[n > 1]
+            again = np.flatnonzero(values[1:] == values[:-1])  # few: memory goes to the values only
+            first = np.flatnonzero(np.diff(again, prepend=-2) != 1)
+            s, c = values[again[first]].view(np.int64), np.diff(np.append(first, len(again))) + 1
             for i in range(0, len(s), ROWS_AT_ONCE):
                 part = s[i : i + ROWS_AT_ONCE]
-                none = [pa.nulls(len(part), t) for t in (id_type, pa.int64(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array(part), *none, pa.array(c[i : i + ROWS_AT_ONCE], pa.int64())], names)
+                none = [pa.nulls(len(part), t) for t in (id_type, *types[:4])]
+                yield pa.RecordBatch.from_arrays([*none, pa.array(part), pa.array(c[i : i + ROWS_AT_ONCE], pa.int64())], names)
 
         for batch in batches:
-            id_type, n, keys = batch.column(0).type, [], []
-            for row in range(batch.num_rows):
-                s = shingle_set(_raw(batch.column(1), row))
-                n.append(len(s))
-                keys.append(key := digest(s))
-                if not len(s) or key in seen:
-                    continue
-                seen.add(key)
-                for i in range(0, len(s), CHUNK):
-                    part = s[i : i + CHUNK]
-                    if filled + len(part) > CHUNK:
-                        yield from counted()
-                        filled, seen = 0, {key}
-                    chunk[filled : filled + len(part)] = part
-                    filled += len(part)
-            spread = np.random.default_rng(len(keys)).integers(-(2**63), 2**63 - 1, len(keys))
-            yield pa.RecordBatch.from_arrays([pa.array(spread), batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(np.ones(len(n), np.int64))], names)
+            id_type, n, keys, bits = batch.column(0).type, [], [], []
+            for _, values, ends in _set_chunks(batch.column(1)):
+                for a, b in zip(ends, ends[1:], strict=False):
+                    s = values[a:b]
+                    n.append(len(s))
+                    keys.append(key := digest(s))
+                    bits.append(bitmap(s) if len(s) else None)
+                    if not len(s) or key in seen:
+                        continue
+                    seen.add(key)
+                    for i in range(0, len(s), CHUNK):
+                        part = s[i : i + CHUNK]
+                        if filled + len(part) > CHUNK:
+                            yield from counted()
+                            filled, seen = 0, {key}
+                        chunk[filled : filled + len(part)] = part
+                        filled += len(part)
+            none = [pa.nulls(len(keys), pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bits, pa.binary()), batch.column(2), *none], names)
         if filled:
             yield from counted()
 
-    return run, f"r long, doc_id {kind}, n long, key binary, c long"
+    return run, f"doc_id {kind}, n long, key binary, bits binary, th long, s long, c long"
 
 
 def _windows(frequent):
-    """Second pass: (s, key) for the shingles whose windows a set is replicated to."""
+    """Second pass: (s, key, n, after, hot) for the shingles whose windows a set is replicated to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, level = frequent.value
-        seen: set[bytes] = set()
+        parts, hot, keys, sizes, counts, size, seen = [], [], [], [], [], 0, set()
         for batch in batches:
-            parts, keys, sizes, counts, size = [], [], [], [], 0
-            for row in range(batch.num_rows):
-                s = shingle_set(_raw(batch.column(0), row))
-                if not len(s) or (key := digest(s)) in seen:
-                    continue
-                seen.add(key)
-                if len(often):
-                    at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-                    rank = np.where(often[at] == s, level[at], 0)
-                    if rank.any():
-                        s = s[np.argsort(rank, kind="stable")]
-                parts.append(s[: window_size(len(s))])
-                keys.append(key)
-                sizes.append(len(s))
-                counts.append(len(parts[-1]))
-                size += counts[-1]
-                if size > 1 << 18:
-                    yield _pairs(parts, keys, sizes, counts)
-                    parts, keys, sizes, counts, size = [], [], [], [], 0
-            if parts:
-                yield _pairs(parts, keys, sizes, counts)
+            for _, values, ends in _set_chunks(batch.column(0)):
+                at = np.minimum(np.searchsorted(often, values), max(len(often) - 1, 0))
+                rank = np.where(often[at] == values, level[at], 0).astype(np.int8) if len(often) else np.zeros(len(values), np.int8)
+                common = np.concatenate([[0], np.cumsum(rank > 0)])
+                for a, b in zip(ends, ends[1:], strict=False):
+                    if a == b or (key := digest(values[a:b])) in seen:
+                        continue
+                    if len(seen) >= ROWS_AT_ONCE:  # a repeat costs time only
+                        seen.clear()
+                    seen.add(key)
+                    counts.append(window_size(b - a))
+                    order = np.argsort(rank[a:b], kind="stable")[: counts[-1]] + a if common[b] > common[a] else slice(a, a + counts[-1])
+                    parts.append(values[order])
+                    hot.append(rank[order] >= HOT)
+                    keys.append(key)
+                    sizes.append(b - a)
+                    size += counts[-1]
+                    if size > 1 << 18:
+                        yield _window_rows(parts, hot, keys, sizes, counts)
+                        parts, hot, keys, sizes, counts, size = [], [], [], [], [], 0
+        if parts:
+            yield _window_rows(parts, hot, keys, sizes, counts)
 
     return run
 
 
-def _pairs(parts: list, keys: list, sizes: list, counts: list) -> pa.RecordBatch:
+def _window_rows(parts: list, hot: list, keys: list, sizes: list, counts: list) -> pa.RecordBatch:
     at = np.repeat(np.arange(len(keys)), counts)
     behind = np.concatenate([np.arange(c, 0, -1, dtype=np.int32) for c in counts])  # window shingles from this one on
-    cols = [pa.array(np.concatenate(parts).view(np.int64)), pa.array(keys, pa.binary()).take(pa.array(at)), pa.array(np.array(sizes, np.int32)[at]), pa.array(behind)]
-    return pa.RecordBatch.from_arrays(cols, ["s", "key", "n", "after"])
+    cols = [pa.array(np.concatenate(parts).view(np.int64)), pa.array(keys, pa.binary()).take(pa.array(at)), pa.array(np.array(sizes, np.int32)[at]), pa.array(behind), pa.array(np.concatenate(hot))]
+    return pa.RecordBatch.from_arrays(cols, ["s", "key", "n", "after", "hot"])
+
+
+def _bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, an, bn, most) of pairs with their bitmaps."""
+    for batch in batches:
+        most = [most_shared(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("abits", "bbits", "an", "bn")), strict=True)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "an", "bn")), pa.array(most, pa.int64())], ["a", "b", "an", "bn", "most"])
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole sets of the texts whose digest is the wanted one."""
+
+    def packed(keys: list, sets: list) -> pa.RecordBatch:
+        ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sets])]), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets), pa.int64()))], ["key", "items"])
+
     for batch in batches:
-        keys, sets, size = [], [], 0
-        for row in range(batch.num_rows):
-            s = shingle_set(_raw(batch.column(0), row))
-            if (key := digest(s)) == batch.column(1)[row].as_py():
-                keys.append(key)
-                sets.append(s.view(np.int64))
-                size += len(s)
-            if sets and (size > 1 << 20 or row == batch.num_rows - 1):
-                ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sets])]), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets), pa.int64()))], ["key", "items"])
-                keys, sets, size = [], [], 0
-        if sets:
-            ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sets])]), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets), pa.int64()))], ["key", "items"])
+        wanted = batch.column(1).to_pylist()
+        for first, values, ends in _set_chunks(batch.column(0)):
+            keys, sets = [], []
+            for row, (a, b) in enumerate(zip(ends, ends[1:], strict=False), first):
+                if (key := digest(values[a:b])) == wanted[row]:
+                    keys.append(key)
+                    sets.append(values[a:b].view(np.int64))
+            if sets:
+                yield packed(keys, sets)
+
+
+def _hint(rows: int):
+    """How to join a table that is known to have so many rows at most."""
+    return F.broadcast if rows <= SMALL_ROWS else lambda df: df
 
 
 def components(links: DataFrame) -> DataFrame:
     """(key, root) for every end of the links (a, b): connected components by alternating stars."""
+    kept = Scratch(links.sparkSession)
 
     def stamp(e: DataFrame):
         return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
-    e = settle(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
+    e = kept.keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     before = None
     while (now := stamp(e)) != before:
-        before = now
+        before, hint = now, _hint(2 * now[0])
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(hint(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = settle(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        small = large.join(hint(low), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = kept.keep(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        kept.only(e)
     roots = e.select(F.col("u").alias("key"), F.col("v").alias("root"))
     return roots.union(e.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct())
 
@@ -266,55 +317,111 @@ def _enough(inter: Column, total: Column) -> Column:
     return 100 * inter >= PERCENT * (total - inter)
 
 
-def jaccard_links(df: DataFrame, scan: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _distance(inter: Column, total: Column) -> Column:
+    return 1 - inter / (total - inter)
+
+
+def _need(n: Column, x: Column) -> Column:
+    """What the windows of a link of sizes n and x share, at least."""
+    return PERCENT * (n + x) / (100 + PERCENT) - F.greatest(n, x) * PERCENT / 100
+
+
+def _outer_regions(rows: DataFrame) -> DataFrame:
+    """(r, key, n, after, own) for the sets of each outer region and size class; r is null on rows that only count for the degree."""
+    rows = rows.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("key"), F.lit(SALTS))).otherwise(0).cast("int")).repartition("s", "salt")
+    place, region = Window.partitionBy("s", "salt"), Window.partitionBy("s", "salt", "c")
+    shared = lambda x: x.withColumn("m", F.count(F.lit(1)).over(place)).where("m > 1 OR hot").drop("m")
+    base = shared(shared(rows).dropDuplicates(["s", "salt", "key"]))
+    size_class = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / PERCENT) * (1 + 1e-9))).cast("int")
+    classed = base.withColumn("class", size_class).withColumn("c", F.explode(F.array(F.col("class"), F.col("class") + 1))).withColumn("own", F.col("class") == F.col("c"))
+    seen = classed.withColumn("low", F.min("n").over(region)).withColumn("high", F.max("n").over(region)).withColumn("m", F.count(F.lit(1)).over(region)).withColumn("owns", F.max("own").over(region))
+    n = F.col("n").cast("double")
+    low, high = F.greatest(F.col("low").cast("double"), n * PERCENT / 100), F.least(F.col("high").cast("double"), n * 100 / PERCENT)
+    able = (F.col("m") > 1) & F.col("owns") & (F.col("after") > F.least(_need(n, low), _need(n, high)) - 1e-6)
+    # a region is named by its members; a chance meeting of names only joins two regions
+    hashed = [F.bit_xor(F.when(F.col("able"), F.xxhash64("key", F.lit(i)))).over(region) for i in (0, 1)]
+    named = seen.withColumn("able", able).withColumn("left", F.count(F.when(F.col("able"), 1)).over(region))
+    r = F.when(F.col("hot"), F.xxhash64("s", "c")).when(F.col("able") & (F.col("left") > 1), F.xxhash64(*hashed, "c"))
+    return named.withColumn("r", r).where("own OR r IS NOT NULL").select("r", "key", "n", "after", "own")
+
+
+def jaccard_links(df: DataFrame, scan: DataFrame, kept: Scratch, doc_id: str, text: str) -> DataFrame:
     """Links (a, b) between set digests that connect all sets at distance 1/4 or less."""
     spark = df.sparkSession
     docs = scan.where("key IS NOT NULL")
     total = docs.agg(F.sum("n")).first()[0] or 0
-    found = scan.where(F.col("key").isNull() & (F.col("c") > max(MANY, total // MOST_FREQUENT))).select("r", "c").toPandas()
-    values, times = found["r"].to_numpy(np.int64).view(np.uint64), found["c"].to_numpy(np.float64)
+    counts = scan.where("s IS NOT NULL").groupBy("s").agg(F.sum("c").alias("c"))
+    found = counts.where(F.col("c") > max(MANY, total // MOST_FREQUENT)).toArrow()
+    values, times = found["s"].to_numpy().astype(np.int64).view(np.uint64), found["c"].to_numpy().astype(np.float64)
     order = np.argsort(values)
     frequent = spark.sparkContext.broadcast((values[order], np.log2(np.maximum(times[order], 1)).astype(np.int8)))
 
-    shingle, region = Window.partitionBy("s"), Window.partitionBy("s", "c")
-    rows = df.select(F.col(text).alias("text")).mapInArrow(_windows(frequent), "s long, key binary, n int, after int").repartition("s")
-    many = lambda x: x.withColumn("m", F.count(F.lit(1)).over(shingle)).where("m > 1").drop("m")
-    base = many(many(rows).dropDuplicates(["s", "key"]))
-    points = docs.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc"))
-    size_class = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / PERCENT) * (1 + 1e-9))).cast("int")
-    classed = base.withColumn("class", size_class).withColumn("c", F.explode(F.array(F.col("class"), F.col("class") + 1)))
-    classed = classed.select("s", "c", "key", "n", "after", (F.col("class") == F.col("c")).alias("own"), F.col("key").alias("label"), F.col("after").alias("degree"))
-    able = _able(_able(classed, region), region)
-    # one job, so that both parts come from one shuffle: the members of regions, and each set's number of shared window shingles
-    degrees = base.groupBy("key").agg(F.count(F.lit(1)).alias("degree"), F.max("n").alias("n"), F.max("after").alias("after"))
-    stacked = settle(able.drop("label", "degree").unionByName(degrees, allowMissingColumns=True))
-    degree = sized(stacked.where("degree IS NOT NULL").select("key", "degree"))
-    members = stacked.where("degree IS NULL").drop("degree").withColumn("label", F.col("key")).join(degree, "key")
-    members = _able(members.repartition("s", "c"), region)
-    links = None
-    pivots = 1
-    while True:
-        # the fewer rare shingles a set has before the region's, the more central it is
-        best = [~F.col("own"), (F.col("after") / F.col("n")).desc(), F.col("key")]
-        turn = F.lit(1) if links is None else F.row_number().over(Window.partitionBy("s", "c", "label").orderBy(*best))
-        ranked = members.withColumn("turn", turn).withColumn("pivot", F.row_number().over(region.orderBy("turn", *best)) <= pivots)
-        total = F.col("an") + F.col("bn")
-        edges = settle(_paired(ranked, region, _viable).where(~F.col("pivot") | (F.col("a") > F.col("b"))).select("a", "b", "an", "bn").distinct())
-        ends = edges.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        wanted = sized(settle(ends.join(points, "key").select("doc", "key")))
-        texts = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-        whole = settle(texts.join(wanted, texts["id"].eqNullSafe(wanted["doc"])).select("text", "key").mapInArrow(_whole, "key binary, items array<long>"))
-        size = whole.agg(F.coalesce(F.sum(64 + 8 * F.size("items")), F.lit(0))).first()[0]
-        whole = F.broadcast(whole) if size <= SMALL_BYTES else whole
-        exact = edges.join(whole.select(F.col("key").alias("a"), F.col("items").alias("ai")), "a").join(whole.select(F.col("key").alias("b"), F.col("items").alias("bi")), "b")
-        exact = settle(exact.select("a", "b", "an", "bn", F.size(F.array_intersect("ai", "bi")).cast("long").alias("inter")).distinct())  # repeated rows give a set twice
-        linked = exact.where(_enough(F.col("inter"), total)).select("a", "b")
-        links = settle(linked if links is None else links.union(linked))
-        members = settle(_rest(ranked, region, _labels(links), exact))
-        if members.isEmpty():
-            return links
-        members = members.repartition("s", "c")
-        pivots *= PIVOTS_TIMES
+    texts = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    rows = texts.select("text").mapInArrow(_windows(frequent), "s long, key binary, n int, after int, hot boolean")
+    outer = kept.keep(_outer_regions(rows))
+    degree = outer.where("own").groupBy("key").agg(F.count(F.lit(1)).alias("degree"))
+    members = outer.where("r IS NOT NULL").groupBy("r", "key").agg(F.max("after").alias("after"), F.max("n").alias("n"), F.max("own").alias("own"))
+    members = members.join(degree, "key").withColumn("label", F.col("key"))
+    members = kept.keep(_able(members, _hint(outer.count())))
+    kept.only(scan, members)
+    named = docs.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    sets = kept.keep(named.join(members.select("key").distinct(), "key", "left_semi"))
+    size = sets.agg(F.coalesce(F.sum(64 + F.length("bits")), F.lit(0))).first()[0]
+    sets = _Sets(sets, F.broadcast if size <= SMALL_BYTES else lambda df: df)
+    pivots, turn, links, labels = 1, 0, [], None
+    while rows := members.count():
+        hint = _hint(rows)  # every table of a round has a row for each member, pair with HUBS pivots, or link of one at most
+        chosen = kept.keep(_pivots(members, pivots, turn))
+        pairs = members.join(hint(chosen.select("r", F.struct("key", "n", "own", "label", "after", "degree").alias("p"))), "r").where(_viable(F.col("p")))
+        bounded = kept.keep(_bounded(pairs.select(F.greatest("key", "p.key").alias("a"), F.least("key", "p.key").alias("b")).distinct(), sets))
+        may = _enough(F.col("most"), F.col("an") + F.col("bn"))
+        exact = _exact(bounded.where(may), texts, sets, kept)
+        measured = kept.keep(bounded.where(~may).select("a", "b", "most", F.lit(False).alias("near")).union(exact))
+        found = measured.where("near").count()
+        if found:
+            links.append(measured)
+            labels = kept.keep(_labels(_linked(links, scan), _hint(2 * sum(x.where("near").count() for x in links))))
+        relabel = _relabel(labels)
+        rest = kept.keep(_able(relabel(members.join(hint(chosen.select("r", "key")), ["r", "key"], "left_anti")), hint))
+        members = _cells(rest, relabel(chosen), measured, sets, kept, hint) if found else rest
+        kept.only(scan, sets.table, labels, members, *links)
+        pivots, turn = pivots * (PIVOTS_TIMES if turn == 0 else PIVOTS_TIMES**2), turn + 1
+    return _linked(links, scan)
+
+
+class _Sets(NamedTuple):
+    """key, doc, n, bits of the sets that can have links, and how to join it."""
+
+    table: DataFrame
+    hint: Callable
+
+
+def _linked(links: list[DataFrame], scan: DataFrame) -> DataFrame:
+    """The links (a, b) among the pairs measured so far; none yet: no rows of ``scan``."""
+    parts = [measured.where("near").select("a", "b") for measured in links]
+    return reduce(DataFrame.union, parts) if parts else scan.where("false").select(F.col("key").alias("a"), F.col("key").alias("b"))
+
+
+def _bounded(pairs: DataFrame, sets: _Sets) -> DataFrame:
+    """(a, b, an, bn, most): the pairs (a, b) with an upper bound of their common shingles by their bitmaps."""
+    side = lambda x: sets.hint(sets.table.select(F.col("key").alias(x), F.col("n").alias(x + "n"), F.col("bits").alias(x + "bits")))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounds, "a binary, b binary, an long, bn long, most long")
+
+
+def _exact(pairs: DataFrame, texts: DataFrame, sets: _Sets, kept: Scratch) -> DataFrame:
+    """(a, b, most, near): the pairs with the size of their intersection, from their whole sets, and whether they are links."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    wanted = kept.keep(ends.join(sets.hint(sets.table.select("key", "doc")), "key").select("doc", "key"))
+    if wanted.isEmpty():
+        return pairs.where("false").select("a", "b", "most", F.lit(False).alias("near"))
+    wanted = sized(wanted)
+    whole = texts.join(wanted, texts["id"].eqNullSafe(wanted["doc"])).select("text", "key")
+    whole = kept.keep(whole.mapInArrow(_whole, "key binary, items array<long>"))
+    size = whole.agg(F.coalesce(F.sum(64 + 8 * F.size("items")), F.lit(0))).first()[0]
+    whole = F.broadcast(whole) if size <= SMALL_BYTES else whole
+    both = pairs.join(whole.select(F.col("key").alias("a"), F.col("items").alias("ai")), "a").join(whole.select(F.col("key").alias("b"), F.col("items").alias("bi")), "b")
+    shared = both.select("a", "b", F.size(F.array_intersect("ai", "bi")).cast("long").alias("most"), (F.col("an") + F.col("bn")).alias("total"))
+    return shared.select("a", "b", "most", _enough(F.col("most"), F.col("total")).alias("near")).distinct()  # repeated rows give a set twice
 
 
 def _behind(an: Column, bn: Column) -> Column:
@@ -322,25 +429,27 @@ def _behind(an: Column, bn: Column) -> Column:
     return F.ceil(F.greatest(an, bn) * PERCENT / 100) - 1
 
 
-def _able(members: DataFrame, region) -> DataFrame:
-    """Members that can have a link in their region by their sizes and their number of shared window shingles.
+def _able(members: DataFrame, hint: Callable) -> DataFrame:
+    """Members that can have a link in their region by its labels and sizes and their own number of shared window shingles.
 
     A pair needs to meet only in the region of its first common shingle; what its windows share is then at or after it.
     A link of sizes n and x needs more than g(x) = 3/7 (n + x) - 3/4 max(n, x) shared ones. g rises up to n and falls
     from there, so the region's smallest and largest size (within the factor of a link) tell the least need.
     """
     n = F.col("n").cast("double")
-
-    def need(x: Column) -> Column:
-        return PERCENT * (n + x) / (100 + PERCENT) - F.greatest(n, x) * PERCENT / 100
-
+    stats = members.groupBy("r").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.max("own").alias("owns"), F.min("n").alias("low"), F.max("n").alias("high"))
     low = F.greatest(F.col("low").cast("double"), n * PERCENT / 100)
     high = F.least(F.col("high").cast("double"), n * 100 / PERCENT)
-    one = members.withColumn("low", F.min("n").over(region)).withColumn("high", F.max("n").over(region))
-    one = one.where(F.least("after", "degree") > F.least(need(low), need(high)) - 1e-6).drop("low", "high")
-    live = one.withColumn("m", F.count(F.lit(1)).over(region)).withColumn("owns", F.max("own").over(region))
-    live = live.withColumn("low", F.min("label").over(region)).withColumn("high", F.max("label").over(region))
-    return live.where("m > 1 AND owns AND low != high").drop("m", "owns", "low", "high")
+    live = members.join(hint(stats.where("owns AND l0 != l1").select("r", "low", "high")), "r")
+    return live.where(F.least("after", "degree") > F.least(_need(n, low), _need(n, high)) - 1e-6).drop("low", "high")
+
+
+def _pivots(members: DataFrame, count: int, turn: int) -> DataFrame:
+    """Up to ``count`` sets of each region: the most central one of each of ``count`` slots, of components while there are few slots, then of sets."""
+    # the fewer rare shingles a set has before the region's, the more central it is
+    best = F.struct((~F.col("own")).alias("other"), (-F.col("after") / F.col("n")).alias("rare"), "key", "n", "own", "label", "after", "degree")
+    slot = F.pmod(F.xxhash64("label" if turn < 2 else "key", F.lit(turn)), F.lit(count))
+    return members.groupBy("r", slot.alias("slot")).agg(F.min(best).alias("p")).select("r", *[F.col("p." + c) for c in ("key", "n", "own", "label", "after", "degree")])
 
 
 def _viable(p: Column) -> Column:
@@ -350,73 +459,87 @@ def _viable(p: Column) -> Column:
     return (F.col("key") != p["key"]) & (F.col("label") != p["label"]) & (F.col("own") | p["own"]) & fits & _enough(F.least(F.col("after"), p["after"], F.col("degree"), p["degree"]) + _behind(n, p["n"]), total)
 
 
-def _paired(ranked: DataFrame, region, which) -> DataFrame:
-    """Each set of a region beside those of its pivots that ``which`` takes."""
-    pivots = F.collect_list(F.when(F.col("pivot"), F.struct("key", "n", "own", "label", "after", "degree"))).over(region)
-    return _sides(ranked.withColumn("ps", pivots).withColumn("p", F.explode(F.filter("ps", which))))
-
-
-def _sides(pairs: DataFrame) -> DataFrame:
-    sides = [F.col("key").alias("a"), F.col("n").alias("an"), "after", "degree", *[F.col(f"p.{c}").alias(x) for c, x in (("key", "b"), ("n", "bn"), ("label", "blabel"))]]
-    return pairs.select("s", "c", "pivot", "label", "own", *sides)
-
-
-def _labels(links: DataFrame) -> DataFrame:
-    """(a, b): for each linked set the least set within two links, as far as these show. Equal labels are connected."""
-    ends = links.select("a", "b").union(links.select("b", "a")).union(links.select("a", "a")).union(links.select("b", "b")).toDF("a", "b")
+def _labels(links: DataFrame, hint: Callable) -> DataFrame:
+    """(a, b): for each linked set a set that it is connected with, the least one as far as a few links show. Equal labels are connected."""
+    both = [F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ("ab", "ba", "aa", "bb")]
+    ends = links.select(F.explode(F.array(*both)).alias("e")).select("e.a", "e.b")
     low = ends.groupBy("a").agg(F.min("b").alias("m"))
-    step = low.select(F.col("a").alias("m"), F.col("m").alias("b"))
-    return sized(settle(low.join(step, "m").select("a", "b").where("a != b")))
-
-
-def _rest(ranked: DataFrame, region, roots: DataFrame, exact: DataFrame) -> DataFrame:
-    """What is left of the regions after a round: distances (or lower bounds of them), homes, triangle windows."""
-    total = F.col("an") + F.col("bn")
-    now = ranked.join(roots, ranked["key"] == roots["a"], "left").withColumn("label", F.coalesce("b", "key")).drop("a", "b", "turn")
-    rest = F.when(~F.col("pivot"), F.col("label"))
-    alive = now.withColumn("low", F.min(rest).over(region)).withColumn("high", F.max(rest).over(region)).withColumn("owns", F.max(F.when(~F.col("pivot"), F.col("own"))).over(region))
-    alive = alive.where("low != high AND owns")
-    # only pivots that got a link can be homes; a region without one keeps its other sets as they are
-    linked = exact.where(_enough(F.col("inter"), total))
-    hubs = sized(settle(linked.select(F.explode(F.array("a", "b")).alias("hub")).distinct()))
-    alive = alive.join(hubs, alive["key"] == hubs["hub"], "left").withColumn("pivot_of_links", F.col("pivot") & F.col("hub").isNotNull()).drop("hub")
-    home = F.collect_list(F.when(F.col("pivot_of_links"), F.struct("key", "n", "own", "label", "after", "degree"))).over(region)
-    pairs = _sides(alive.withColumn("ps", home).where(~F.col("pivot")).withColumn("p", F.explode_outer("ps")))
-    pairs = pairs.join(sized(exact.select("a", "b", "inter")), ["a", "b"], "left")
-    over = F.coalesce("inter", F.least("an", "bn"))  # not compared: what their sizes allow
-    pairs = pairs.withColumn("d", 1 - over / (total - over))
-    near = F.coalesce(_enough(F.col("inter"), total), F.lit(False))
-    pairs = pairs.withColumn("home", F.min(F.when(near, F.struct("d", "b"))).over(Window.partitionBy("s", "c", "a")))
-    pairs = pairs.withColumn("outside", F.min(F.when(F.col("label") != F.col("blabel"), F.col("d"))).over(Window.partitionBy("s", "c", "b")))
-    # without a hub beside it, a set has no home and stays
-    stays = F.col("home").isNull() | ((F.col("home.b") == F.col("b")) & (F.col("outside") <= F.col("home.d") + (100 - PERCENT) / 100 + 1e-9))
-    left = pairs.where(stays).groupBy("s", "c", F.col("a").alias("key")).agg(F.first("an").alias("n"), F.first("after").alias("after"), F.first("degree").alias("degree"), F.first("own").alias("own"), F.first("label").alias("label"))
-    return _able(left, region)
-
-
-def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id for every row."""
-    spark = df.sparkSession
-    ship(spark)
+    low = ends.join(hint(low.toDF("b", "m")), "b").groupBy("a").agg(F.min("m").alias("m"))
+    return low.join(hint(low.toDF("m", "b")), "m").select("a", "b").where("a != b")
+
+
+MEMBER = ["r", "key", "n", "after", "degree", "own", "label"]
+
+
+def _relabel(labels: DataFrame | None):
+    """A function that gives members the labels of what is linked."""
+    if labels is None:
+        return lambda x: x
+    labels = sized(labels)
+    return lambda x: x.join(labels, x["key"] == labels["a"], "left").withColumn("label", F.coalesce("b", "label")).select(*MEMBER)
+
+
+def _cells(rest: DataFrame, chosen: DataFrame, measured: DataFrame, sets: _Sets, kept: Scratch, hint: Callable) -> DataFrame:
+    """The regions ``rest`` after a round: Voronoi cells of the pivots that got links, with their triangle windows, and the sets without a home."""
+    ends = measured.where("near").select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    # HUBS pivots at most for each region: the nearest to the centre of each of HUBS slots
+    hubs = _pivots(chosen.join(hint(ends), "key", "left_semi"), HUBS, 0).select("r", F.col("key").alias("q"), F.col("n").alias("qn"), F.col("label").alias("qlabel"))
+    beside = rest.join(hint(hubs), "r").withColumns({"a": F.greatest("key", "q"), "b": F.least("key", "q")})
+    fits = 100 * F.least("n", "qn") >= (100 - 2 * (100 - PERCENT)) * F.greatest("n", "qn")
+    beside = kept.keep(beside.where(fits | (F.col("label") == F.col("qlabel"))))
+    if beside.isEmpty():
+        return rest
+    unknown = beside.where("label != qlabel").select("a", "b").distinct().join(measured, ["a", "b"], "left_anti")
+    measured = measured.union(_bounded(unknown, sets).select("a", "b", "most", F.lit(False).alias("near")))
+    beside = kept.keep(beside.join(measured, ["a", "b"], "left").withColumn("d", _distance(F.col("most"), F.col("n") + F.col("qn"))))
+    home = beside.where("near").groupBy("r", "key").agg(F.min(F.struct("d", "q")).alias("home"))
+    home = kept.keep(home.select("r", "key", F.col("home.d").alias("d"), F.col("home.q").alias("q")))
+    radius = home.groupBy("r", "q").agg(F.max("d").alias("radius"))
+    reach = F.col("radius") + (100 - PERCENT) / 100 + 1e-9
+    windows = beside.where("label != qlabel AND NOT near").join(hint(radius), ["r", "q"]).where(F.col("d") <= reach)
+    windows = kept.keep(windows.select("q", *MEMBER))
+    # a region whose cells would take more copies than it has sets stays whole
+    copies = windows.groupBy("r").agg(F.count(F.lit(1)).alias("copies"))
+    sizes = rest.groupBy("r").agg(F.count(F.lit(1)).alias("sets"))
+    whole = hint(copies.join(hint(sizes), "r").where("copies > sets").select("r"))
+    placed = rest.join(hint(home.select("r", "key", "q").join(whole, "r", "left_anti")), ["r", "key"], "left")
+    cell = F.xxhash64("r", "q")
+    stay = placed.withColumn("own", F.col("own") | F.col("q").isNotNull()).withColumn("r", F.when(F.col("q").isNull(), F.col("r")).otherwise(cell)).select(*MEMBER)
+    guests = windows.join(whole, "r", "left_anti").withColumn("r", cell).withColumn("own", F.lit(False)).select(*MEMBER)
+    return kept.keep(_able(stay.union(guests), hint))
+
+
+def jaccard_sets(df: DataFrame, kept: Scratch, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The written first pass over ``df``."""
+    ship(df.sparkSession)
     run, schema = _scan(df.schema[doc_id].dataType.simpleString())
-    scan = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
-    summed = scan.repartition("r").groupBy("r", "doc_id", "n", "key").agg(F.sum("c").alias("c"))
-    scan = settle(summed.where(F.col("key").isNotNull() | (F.col("c") > MANY)))
-    docs = scan.where("key IS NOT NULL").select("doc_id", "n", "key", F.explode(F.sequence(F.lit(1).cast("long"), "c"))).drop("col")
-    roots = components(jaccard_links(df, scan, doc_id, text))
+    return kept.keep(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("th")).mapInArrow(run, schema))
+
+
+def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text_hash: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row; ``with_text_hash`` adds ``th``, xxhash64 of the text."""
+    kept = Scratch(df.sparkSession)
+    scan = jaccard_sets(df, kept, doc_id, text)
+    roots = components(jaccard_links(df, scan, kept, doc_id, text))
+    docs = scan.where("key IS NOT NULL").select("doc_id", "n", "key", "th")
     points = docs.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("low"))
     rooted = points.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = rooted.join(lowest, "root").select("key", "component_id")
-    out = docs.where("n > 0").join(named, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out.union(docs.where("n = 0").select("doc_id", "n", "doc_id"))
+    out = docs.where("n > 0").join(named, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "th")
+    out = out.union(docs.where("n = 0").select("doc_id", "n", "doc_id", "th"))
+    return out if with_text_hash else out.drop("th")
 
 
 def near_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` with one document, the one of the smallest id, of each component; rows without an id stay."""
-    found = jaccard_components(df, doc_id, text)
-    drop = sized(settle(found.where("doc_id != component_id").select(F.col("doc_id").alias(doc_id)).distinct()))
-    return df.join(drop, doc_id, "left_anti")
+    """``df`` with one document, the one of the smallest id, of each component; rows without an id stay.
+
+    What goes is named by id and text, so another text of the same id stays.
+    """
+    found = jaccard_components(df, doc_id, text, with_text_hash=True)
+    go = found.where("doc_id != component_id").select(F.col("doc_id").alias(OWN + "id"), F.col("th").alias(OWN + "th")).distinct()
+    go = sized(Scratch(df.sparkSession).keep(go))
+    return df.join(go, (df[doc_id] == go[OWN + "id"]) & (F.xxhash64(df[text]) == go[OWN + "th"]), "left_anti")
 
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:
