@@ -540,7 +540,30 @@ def test_jaccard_of_one_large_group(spark):
         docs.append((i, " ".join(words)))
     docs += [(5000 + i, " ".join([f"q{i}w{j}" for j in range(60)] + base[20:80])) for i in range(200)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
-    assert Counter(tuple(r) for r in jaccard.jaccard_components(df).collect()) == brute_components(docs)
+    assert Counter(tuple(r) for r in jaccard.jaccard_components(df).collect()) == all_pairs_components(docs)
+
+
+def all_pairs_components(docs: list[tuple]) -> Counter:
+    """``brute_components`` for many texts of five words or more: all intersections at once, as products of rows of zeros and ones."""
+    words = [t.lower().split() for _, t in docs]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in words]
+    times = Counter(x for s in sets for x in s)
+    column = {x: i for i, x in enumerate(x for x, n in times.items() if n > 1)}
+    has = np.zeros((len(docs), len(column)), np.int32)
+    for i, s in enumerate(sets):
+        has[i, [column[x] for x in s if x in column]] = 1
+    size, inter = np.array([len(s) for s in sets]), has @ has.T
+    linked = 100 * inter >= 75 * (size[:, None] + size - inter)
+    out, free = Counter(), np.ones(len(docs), bool)
+    for i in range(len(docs)):
+        group, grown = free & (np.arange(len(docs)) == i), free[i]
+        while grown:
+            wider = linked[group].any(0)
+            grown, group = (wider != group).any(), wider
+        free &= ~group
+        low = min((docs[k][0] for k in np.flatnonzero(group)), default=None)
+        out.update((docs[k][0], len(sets[k]), low) for k in np.flatnonzero(group))
+    return out
 
 
 def test_texts_of_one_id_are_told_apart(spark):
