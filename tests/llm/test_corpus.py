@@ -553,7 +553,7 @@ def all_pairs_components(docs: list[tuple]) -> Counter:
     for i, s in enumerate(sets):
         has[i, [column[x] for x in s if x in column]] = 1
     size, inter = np.array([len(s) for s in sets]), has @ has.T
-    linked = 100 * inter >= 75 * (size[:, None] + size - inter)
+    linked = (100 * inter >= 75 * (size[:, None] + size - inter)) | np.eye(len(docs), dtype=bool)
     out, free = Counter(), np.ones(len(docs), bool)
     for i in range(len(docs)):
         group, grown = free & (np.arange(len(docs)) == i), free[i]
