@@ -48,9 +48,18 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the Python workers this package, once for each Spark application."""
+    """Give the Python workers this package, once for each Spark application.
+
+    Rows here are whole texts or captures, so Arrow batches have 1000 of them instead of Spark's 10000, unless the session says otherwise:
+    a batch is held several times over, outside of the heap.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, "1000")
     if getattr(sc, "_packetlens_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
