@@ -43,8 +43,9 @@ from .common import ship, table
 LEAF = 4
 SMALL = 48
 PIECES_AT_ONCE = 1 << 18
-#: Entries of each of a worker's tables; pieces and windows are of at most 64 and 48 bytes, so a table takes some 10 MB.
-CACHED_PIECES = 50_000
+#: Entries of a worker's tables: pieces of at most 64 characters (two generations), windows of at most 48 bytes, pairs; 100 MB together.
+CACHED_PIECES = 150_000
+CACHED_STEPS = 50_000
 DECODE_LEAF = 4096
 OUT_BYTES = 4 << 20
 
@@ -113,7 +114,7 @@ class Bpe:
             return self._merge_by_heap(data)
         known = self.windows.get(data)
         if known is None:
-            if len(self.windows) > CACHED_PIECES:
+            if len(self.windows) > CACHED_STEPS:
                 self.windows.clear()
             known = self.windows[data] = self._merge_by_scan(data)
         return known
@@ -167,7 +168,7 @@ class Bpe:
     def stable(self, a: int, b: int) -> bool:
         known = self.stable_pairs.get((a, b))
         if known is None:
-            if len(self.stable_pairs) > CACHED_PIECES:
+            if len(self.stable_pairs) > CACHED_STEPS:
                 self.stable_pairs.clear()
             known = self.stable_pairs[a, b] = self.merge(self.token[a] + self.token[b]) == [a, b]
         return known
@@ -195,10 +196,9 @@ class Bpe:
         return self.join(self.encode_bytes(data[:half]), self.encode_bytes(data[half:]))
 
     def forget(self) -> None:
-        """Free what only speeds up: workers live on while other stages need the memory."""
+        """Free what only pieces not seen before need: workers live on while other stages need the memory."""
         self.stable_pairs.clear()
         self.windows.clear()
-        self.pieces.old = {}
 
     # --- texts --------------------------------------------------------------------------
 
