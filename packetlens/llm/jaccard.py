@@ -57,7 +57,7 @@ HUBS = 4
 HOT = 12
 SALTS = 64
 #: Tables of a round are broadcast up to so many measured rows, whole sets and bitmaps up to so many bytes; beyond, joins shuffle.
-SMALL_ROWS = 100_000
+SMALL_ROWS = 50_000
 SMALL_BYTES = 4 << 20
 DIGEST_BYTES = 11
 CHUNK = 1 << 22
@@ -364,8 +364,7 @@ def jaccard_links(df: DataFrame, scan: DataFrame, kept: Scratch, doc_id: str, te
     members = members.join(degree, "key").withColumn("label", F.col("key"))
     members = kept.keep(_able(members, _hint(outer.count())))
     kept.only(scan, members)
-    named = docs.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("bits").alias("bits"))
-    sets = kept.keep(named.join(members.select("key").distinct(), "key", "left_semi"))
+    sets = kept.keep(_named(docs.where("n > 0").join(_hint(members.count())(members.select("key").distinct()), "key", "left_semi")))
     size = sets.agg(F.coalesce(F.sum(64 + F.length("bits")), F.lit(0))).first()[0]
     sets = _Sets(sets, F.broadcast if size <= SMALL_BYTES else lambda df: df)
     pivots, turn, links, labels = 1, 0, [], None
@@ -373,7 +372,7 @@ def jaccard_links(df: DataFrame, scan: DataFrame, kept: Scratch, doc_id: str, te
         hint = _hint(rows)  # every table of a round has a row for each member, pair with HUBS pivots, or link of one at most
         chosen = kept.keep(_pivots(members, pivots, turn))
         pairs = members.join(hint(chosen.select("r", F.struct("key", "n", "own", "label", "after", "degree").alias("p"))), "r").where(_viable(F.col("p")))
-        bounded = kept.keep(_bounded(pairs.select(F.greatest("key", "p.key").alias("a"), F.least("key", "p.key").alias("b")).distinct(), sets))
+        bounded = kept.keep(_bounded(pairs.select(F.greatest("key", "p.key").alias("a"), F.least("key", "p.key").alias("b")).distinct(), sets, kept))
         may = _enough(F.col("most"), F.col("an") + F.col("bn"))
         exact = _exact(bounded.where(may), texts, sets, kept)
         measured = kept.keep(bounded.where(~may).select("a", "b", "most", F.lit(False).alias("near")).union(exact))
@@ -389,6 +388,10 @@ def jaccard_links(df: DataFrame, scan: DataFrame, kept: Scratch, doc_id: str, te
     return _linked(links, scan)
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    return docs.groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+
+
 class _Sets(NamedTuple):
     """key, doc, n, bits of the sets that can have links, and how to join it."""
 
@@ -402,16 +405,22 @@ def _linked(links: list[DataFrame], scan: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, parts) if parts else scan.where("false").select(F.col("key").alias("a"), F.col("key").alias("b"))
 
 
-def _bounded(pairs: DataFrame, sets: _Sets) -> DataFrame:
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+
+
+def _bounded(pairs: DataFrame, sets: _Sets, kept: Scratch) -> DataFrame:
     """(a, b, an, bn, most): the pairs (a, b) with an upper bound of their common shingles by their bitmaps."""
-    side = lambda x: sets.hint(sets.table.select(F.col("key").alias(x), F.col("n").alias(x + "n"), F.col("bits").alias(x + "bits")))
+    pairs = kept.keep(pairs)
+    hint = _hint(2 * pairs.count())
+    of = sets.hint(sets.table.join(hint(_ends(pairs)), "key", "left_semi"))  # only what the pairs name is dealt out
+    side = lambda x: of.select(F.col("key").alias(x), F.col("n").alias(x + "n"), F.col("bits").alias(x + "bits"))
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounds, "a binary, b binary, an long, bn long, most long")
 
 
 def _exact(pairs: DataFrame, texts: DataFrame, sets: _Sets, kept: Scratch) -> DataFrame:
     """(a, b, most, near): the pairs with the size of their intersection, from their whole sets, and whether they are links."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    wanted = kept.keep(ends.join(sets.hint(sets.table.select("key", "doc")), "key").select("doc", "key"))
+    wanted = kept.keep(_ends(pairs).join(sets.hint(sets.table.select("key", "doc")), "key").select("doc", "key"))
     if wanted.isEmpty():
         return pairs.where("false").select("a", "b", "most", F.lit(False).alias("near"))
     wanted = sized(wanted)
@@ -481,7 +490,7 @@ def _relabel(labels: DataFrame | None):
 
 def _cells(rest: DataFrame, chosen: DataFrame, measured: DataFrame, sets: _Sets, kept: Scratch, hint: Callable) -> DataFrame:
     """The regions ``rest`` after a round: Voronoi cells of the pivots that got links, with their triangle windows, and the sets without a home."""
-    ends = measured.where("near").select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    ends = _ends(measured.where("near"))
     # HUBS pivots at most for each region: the nearest to the centre of each of HUBS slots
     hubs = _pivots(chosen.join(hint(ends), "key", "left_semi"), HUBS, 0).select("r", F.col("key").alias("q"), F.col("n").alias("qn"), F.col("label").alias("qlabel"))
     beside = rest.join(hint(hubs), "r").withColumns({"a": F.greatest("key", "q"), "b": F.least("key", "q")})
@@ -490,7 +499,7 @@ def _cells(rest: DataFrame, chosen: DataFrame, measured: DataFrame, sets: _Sets,
     if beside.isEmpty():
         return rest
     unknown = beside.where("label != qlabel").select("a", "b").distinct().join(measured, ["a", "b"], "left_anti")
-    measured = measured.union(_bounded(unknown, sets).select("a", "b", "most", F.lit(False).alias("near")))
+    measured = measured.union(_bounded(unknown, sets, kept).select("a", "b", "most", F.lit(False).alias("near")))
     beside = kept.keep(beside.join(measured, ["a", "b"], "left").withColumn("d", _distance(F.col("most"), F.col("n") + F.col("qn"))))
     home = beside.where("near").groupBy("r", "key").agg(F.min(F.struct("d", "q")).alias("home"))
     home = kept.keep(home.select("r", "key", F.col("home.d").alias("d"), F.col("home.q").alias("q")))
