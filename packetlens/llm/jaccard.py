@@ -17,7 +17,8 @@
    looked at again. A set within 1/4 of pivots is at home in the cell of the nearest one, q. With r the radius of the cell, a set
    elsewhere can be linked into it only if d(b, q) <= r + 1/4: the sets of other components in this triangle window are
    replicated into the cell. Sets without a home stay in the region. Cells and regions join again, until none has two components.
-   Sets with too few window shingles from the region's on to be linked there leave at once.
+   Sets with too few window shingles from the region's on to be linked there leave at once: a set must reach 3/7 of both sizes
+   with what it has from the region's shingle on, and share window shingles enough with sets of a fitting size.
 4. *Components* of the links by alternating large and small stars.
 
 Keys are never gathered in one task: windows of frequent shingles are salted, pivots and bounds of regions are
@@ -270,20 +271,20 @@ def _bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole sets of the texts whose digest is the wanted one."""
 
-    def packed(keys: list, sets: list) -> pa.RecordBatch:
+    def packed(batch: pa.RecordBatch, rows: list, sets: list) -> pa.RecordBatch:
         ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sets])]), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets), pa.int64()))], ["key", "items"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(rows)) for c in (1, 2, 3)), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets), pa.int64()))], ["key", "is_a", "is_b", "items"])
 
     for batch in batches:
         wanted = batch.column(1).to_pylist()
         for first, values, ends in _set_chunks(batch.column(0)):
-            keys, sets = [], []
+            rows, sets = [], []
             for row, (a, b) in enumerate(zip(ends, ends[1:], strict=False), first):
-                if (key := digest(values[a:b])) == wanted[row]:
-                    keys.append(key)
+                if digest(values[a:b]) == wanted[row]:
+                    rows.append(row)
                     sets.append(values[a:b].view(np.int64))
             if sets:
-                yield packed(keys, sets)
+                yield packed(batch, rows, sets)
 
 
 def _hint(rows: int):
@@ -326,23 +327,55 @@ def _need(n: Column, x: Column) -> Column:
     return PERCENT * (n + x) / (100 + PERCENT) - F.greatest(n, x) * PERCENT / 100
 
 
+def _fits(n: Column, x: Column) -> Column:
+    """Sets of these sizes can be linked."""
+    return 100 * F.least(n, x) >= PERCENT * F.greatest(n, x)
+
+
+def _reaches(after: Column, n: Column, x: Column) -> Column:
+    """What a set of size n has from a window shingle on is enough for a link with a set of size x that first meets it there."""
+    return after + _behind(n) >= PERCENT * (n + x) / (100 + PERCENT) - 1e-6
+
+
 def _outer_regions(rows: DataFrame) -> DataFrame:
-    """(r, key, n, after, own) for the sets of each outer region and size class; r is null on rows that only count for the degree."""
+    """(r, key, n, after, own, least) for the sets of each outer region and size class; r is null on rows that only count for the degree.
+
+    ``least`` is the degree that a link in the region takes. Only shingles that another set of a fitting size has are rows.
+    """
     rows = rows.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("key"), F.lit(SALTS))).otherwise(0).cast("int")).repartition("s", "salt")
-    place, region = Window.partitionBy("s", "salt"), Window.partitionBy("s", "salt", "c")
-    shared = lambda x: x.withColumn("m", F.count(F.lit(1)).over(place)).where("m > 1 OR hot").drop("m")
-    base = shared(shared(rows).dropDuplicates(["s", "salt", "key"]))
+    place, region = Window.partitionBy("s", "salt"), Window.partitionBy("s", "salt", "c").orderBy("n")
+    whole = region.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    base = rows.withColumn("m", F.count(F.lit(1)).over(place)).where("m > 1 OR hot").drop("m").dropDuplicates(["s", "salt", "key"])
+    base = base.withColumns({"below": F.lag("n").over(place.orderBy("n")), "above": F.lead("n").over(place.orderBy("n"))})
+    meets = [F.col(x).isNotNull() & _fits(F.col("n"), F.col(x)) for x in ("below", "above")]
+    base = base.where(F.col("hot") | meets[0] | meets[1])
     size_class = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / PERCENT) * (1 + 1e-9))).cast("int")
     classed = base.withColumn("class", size_class).withColumn("c", F.explode(F.array(F.col("class"), F.col("class") + 1))).withColumn("own", F.col("class") == F.col("c"))
-    seen = classed.withColumn("low", F.min("n").over(region)).withColumn("high", F.max("n").over(region)).withColumn("m", F.count(F.lit(1)).over(region)).withColumn("owns", F.max("own").over(region))
+    # the smallest and largest size that a set can meet: an own set meets all others, one of the class below the own ones
+    first, last = F.row_number().over(region) == 1, F.lead("n").over(region).isNull()
+    own_n = F.when(F.col("own"), F.col("n"))
+    low = F.when(~F.col("own"), F.min(own_n).over(whole)).when(first, F.lead("n").over(region)).otherwise(F.min("n").over(whole))
+    high = F.when(~F.col("own"), F.max(own_n).over(whole)).when(last, F.lag("n").over(region)).otherwise(F.max("n").over(whole))
+    seen = classed.withColumns({"low": low, "high": high})
     n = F.col("n").cast("double")
+    met = (F.col("low") <= n * 100 / PERCENT) & (F.col("high") >= n * PERCENT / 100)
     low, high = F.greatest(F.col("low").cast("double"), n * PERCENT / 100), F.least(F.col("high").cast("double"), n * 100 / PERCENT)
-    able = (F.col("m") > 1) & F.col("owns") & (F.col("after") > F.least(_need(n, low), _need(n, high)) - 1e-6)
+    need = F.least(_need(n, low), _need(n, high)) - 1e-6
+    able = F.coalesce(met & (F.col("after") > need) & _reaches(F.col("after"), n, low), F.lit(False))
     # a region is named by its members; a chance meeting of names only joins two regions
-    hashed = [F.bit_xor(F.when(F.col("able"), F.xxhash64("key", F.lit(i)))).over(region) for i in (0, 1)]
-    named = seen.withColumn("able", able).withColumn("left", F.count(F.when(F.col("able"), 1)).over(region))
+    hashed = [F.bit_xor(F.when(F.col("able"), F.xxhash64("key", F.lit(i)))).over(whole) for i in (0, 1)]
+    # a hot shingle's sets are in many tasks, none of which knows all sizes
+    least = F.when(F.col("hot"), 1).otherwise(F.floor(need).cast("int") + 1)
+    named = seen.withColumns({"able": able, "least": least}).withColumn("left", F.count(F.when(F.col("able"), 1)).over(whole))
     r = F.when(F.col("hot"), F.xxhash64("s", "c")).when(F.col("able") & (F.col("left") > 1), F.xxhash64(*hashed, "c"))
-    return named.withColumn("r", r).where("own OR r IS NOT NULL").select("r", "key", "n", "after", "own")
+    return named.withColumn("r", r).where("own OR r IS NOT NULL").select("r", "key", "n", "after", "own", "least")
+
+
+def _members(outer: DataFrame) -> DataFrame:
+    """(r, key, after, n, own, degree) of the sets with degree enough, which is how many of their window shingles a set of a fitting size has."""
+    counted = outer.repartition("key").withColumn("degree", F.count(F.when(F.col("own"), 1)).over(Window.partitionBy("key")))
+    able = counted.where("r IS NOT NULL AND degree >= least")
+    return able.groupBy("key", "r").agg(F.max("after").alias("after"), F.max("n").alias("n"), F.max("own").alias("own"), F.max("degree").alias("degree"))
 
 
 def jaccard_links(df: DataFrame, scan: DataFrame, kept: Scratch, doc_id: str, text: str) -> DataFrame:
@@ -358,19 +391,18 @@ def jaccard_links(df: DataFrame, scan: DataFrame, kept: Scratch, doc_id: str, te
 
     texts = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     rows = texts.select("text").mapInArrow(_windows(frequent), "s long, key binary, n int, after int, hot boolean")
-    outer = kept.keep(_outer_regions(rows))
-    degree = outer.where("own").groupBy("key").agg(F.count(F.lit(1)).alias("degree"))
-    members = outer.where("r IS NOT NULL").groupBy("r", "key").agg(F.max("after").alias("after"), F.max("n").alias("n"), F.max("own").alias("own"))
-    members = members.join(degree, "key").withColumn("label", F.col("key"))
-    members = kept.keep(_able(members, _hint(outer.count())))
+    members = kept.keep(_members(_outer_regions(rows)).withColumn("label", F.col("key")))
+    members = kept.keep(_able(members, _hint(members.count())))
     kept.only(scan, members)
-    sets = kept.keep(_named(docs.where("n > 0").join(_hint(members.count())(members.select("key").distinct()), "key", "left_semi")))
+    able = sized(kept.keep(members.select("key").distinct()))
+    sets = kept.keep(_named(docs.where("n > 0").join(able, "key", "left_semi")))
     size = sets.agg(F.coalesce(F.sum(64 + F.length("bits")), F.lit(0))).first()[0]
     sets = _Sets(sets, F.broadcast if size <= SMALL_BYTES else lambda df: df)
     pivots, turn, links, labels = 1, 0, [], None
-    while rows := members.count():
-        hint = _hint(rows)  # every table of a round has a row for each member, pair with HUBS pivots, or link of one at most
+    while not members.isEmpty():
         chosen = kept.keep(_pivots(members, pivots, turn))
+        regions = chosen.count()  # a region has a pivot and at most a cell for each: so many rows by region or cell at most
+        hint = _hint(regions)
         pairs = members.join(hint(chosen.select("r", F.struct("key", "n", "own", "label", "after", "degree").alias("p"))), "r").where(_viable(F.col("p")))
         bounded = kept.keep(_bounded(pairs.select(F.greatest("key", "p.key").alias("a"), F.least("key", "p.key").alias("b")).distinct(), sets, kept))
         may = _enough(F.col("most"), F.col("an") + F.col("bn"))
@@ -382,7 +414,7 @@ def jaccard_links(df: DataFrame, scan: DataFrame, kept: Scratch, doc_id: str, te
             labels = kept.keep(_labels(_linked(links, scan), _hint(2 * sum(x.where("near").count() for x in links))))
         relabel = _relabel(labels)
         rest = kept.keep(_able(relabel(members.join(hint(chosen.select("r", "key")), ["r", "key"], "left_anti")), hint))
-        members = _cells(rest, relabel(chosen), measured, sets, kept, hint) if found else rest
+        members = _cells(rest, relabel(chosen), measured, sets, kept, regions, found) if found else rest
         kept.only(scan, sets.table, labels, members, *links)
         pivots, turn = pivots * (PIVOTS_TIMES if turn == 0 else PIVOTS_TIMES**2), turn + 1
     return _linked(links, scan)
@@ -412,30 +444,34 @@ def _ends(pairs: DataFrame) -> DataFrame:
 def _bounded(pairs: DataFrame, sets: _Sets, kept: Scratch) -> DataFrame:
     """(a, b, an, bn, most): the pairs (a, b) with an upper bound of their common shingles by their bitmaps."""
     pairs = kept.keep(pairs)
-    hint = _hint(2 * pairs.count())
-    of = sets.hint(sets.table.join(hint(_ends(pairs)), "key", "left_semi"))  # only what the pairs name is dealt out
-    side = lambda x: of.select(F.col("key").alias(x), F.col("n").alias(x + "n"), F.col("bits").alias(x + "bits"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounds, "a binary, b binary, an long, bn long, most long")
+    hint = _hint(pairs.count())
+    of = lambda x: sets.hint(sets.table.join(hint(pairs.select(F.col(x).alias("key")).distinct()), "key", "left_semi"))  # noqa: E731  only what the pairs name is dealt out
+    side = lambda x: of(x).select(F.col("key").alias(x), F.col("n").alias(x + "n"), F.col("bits").alias(x + "bits"))
+    # few pairs go to where the sets b are; more meet them by a shuffle
+    return side("b").join(hint(pairs), "b").join(side("a"), "a").mapInArrow(_bounds, "a binary, b binary, an long, bn long, most long")
 
 
 def _exact(pairs: DataFrame, texts: DataFrame, sets: _Sets, kept: Scratch) -> DataFrame:
     """(a, b, most, near): the pairs with the size of their intersection, from their whole sets, and whether they are links."""
-    wanted = kept.keep(_ends(pairs).join(sets.hint(sets.table.select("key", "doc")), "key").select("doc", "key"))
+    sides = [F.struct(F.col(x).alias("key"), F.lit(x == "a").alias("is_a"), F.lit(x == "b").alias("is_b")) for x in "ab"]
+    ends = pairs.select(F.explode(F.array(*sides)).alias("e")).groupBy("e.key").agg(F.max("e.is_a").alias("is_a"), F.max("e.is_b").alias("is_b"))
+    wanted = kept.keep(ends.join(sets.hint(sets.table.select("key", "doc")), "key").select("doc", "key", "is_a", "is_b"))
     if wanted.isEmpty():
         return pairs.where("false").select("a", "b", "most", F.lit(False).alias("near"))
     wanted = sized(wanted)
-    whole = texts.join(wanted, texts["id"].eqNullSafe(wanted["doc"])).select("text", "key")
-    whole = kept.keep(whole.mapInArrow(_whole, "key binary, items array<long>"))
+    whole = texts.join(wanted, texts["id"].eqNullSafe(wanted["doc"])).select("text", "key", "is_a", "is_b")
+    whole = kept.keep(whole.mapInArrow(_whole, "key binary, is_a boolean, is_b boolean, items array<long>"))
     size = whole.agg(F.coalesce(F.sum(64 + 8 * F.size("items")), F.lit(0))).first()[0]
     whole = F.broadcast(whole) if size <= SMALL_BYTES else whole
-    both = pairs.join(whole.select(F.col("key").alias("a"), F.col("items").alias("ai")), "a").join(whole.select(F.col("key").alias("b"), F.col("items").alias("bi")), "b")
+    side = lambda x: whole.where("is_" + x).select(F.col("key").alias(x), F.col("items").alias(x + "i"))  # noqa: E731  a set is dealt out as what it is in pairs
+    both = side("b").join(_hint(pairs.count())(pairs.select("a", "b", "an", "bn")), "b").join(side("a"), "a")
     shared = both.select("a", "b", F.size(F.array_intersect("ai", "bi")).cast("long").alias("most"), (F.col("an") + F.col("bn")).alias("total"))
     return shared.select("a", "b", "most", _enough(F.col("most"), F.col("total")).alias("near")).distinct()  # repeated rows give a set twice
 
 
-def _behind(an: Column, bn: Column) -> Column:
-    """What two sets can share outside of their windows, at most."""
-    return F.ceil(F.greatest(an, bn) * PERCENT / 100) - 1
+def _behind(n: Column) -> Column:
+    """How many shingles a set of size n has behind its window."""
+    return F.ceil(n * PERCENT / 100) - 1
 
 
 def _able(members: DataFrame, hint: Callable) -> DataFrame:
@@ -450,7 +486,8 @@ def _able(members: DataFrame, hint: Callable) -> DataFrame:
     low = F.greatest(F.col("low").cast("double"), n * PERCENT / 100)
     high = F.least(F.col("high").cast("double"), n * 100 / PERCENT)
     live = members.join(hint(stats.where("owns AND l0 != l1").select("r", "low", "high")), "r")
-    return live.where(F.least("after", "degree") > F.least(_need(n, low), _need(n, high)) - 1e-6).drop("low", "high")
+    enough = F.least("after", "degree") > F.least(_need(n, low), _need(n, high)) - 1e-6
+    return live.where(enough & _reaches(F.col("after"), n, low)).drop("low", "high")
 
 
 def _pivots(members: DataFrame, count: int, turn: int) -> DataFrame:
@@ -464,8 +501,8 @@ def _pivots(members: DataFrame, count: int, turn: int) -> DataFrame:
 def _viable(p: Column) -> Column:
     """The pair is to be compared: other component, sizes that can link, one of the region's own class, shared windows enough."""
     n, total = F.col("n"), F.col("n") + p["n"]
-    fits = 100 * F.least(n, p["n"]) >= PERCENT * F.greatest(n, p["n"])
-    return (F.col("key") != p["key"]) & (F.col("label") != p["label"]) & (F.col("own") | p["own"]) & fits & _enough(F.least(F.col("after"), p["after"], F.col("degree"), p["degree"]) + _behind(n, p["n"]), total)
+    fits = _fits(n, p["n"]) & _reaches(F.col("after"), n, p["n"]) & _reaches(p["after"], p["n"], n)
+    return (F.col("key") != p["key"]) & (F.col("label") != p["label"]) & (F.col("own") | p["own"]) & fits & _enough(F.least(F.col("after"), p["after"], F.col("degree"), p["degree"]) + _behind(F.greatest(n, p["n"])), total)
 
 
 def _labels(links: DataFrame, hint: Callable) -> DataFrame:
@@ -488,11 +525,15 @@ def _relabel(labels: DataFrame | None):
     return lambda x: x.join(labels, x["key"] == labels["a"], "left").withColumn("label", F.coalesce("b", "label")).select(*MEMBER)
 
 
-def _cells(rest: DataFrame, chosen: DataFrame, measured: DataFrame, sets: _Sets, kept: Scratch, hint: Callable) -> DataFrame:
-    """The regions ``rest`` after a round: Voronoi cells of the pivots that got links, with their triangle windows, and the sets without a home."""
+def _cells(rest: DataFrame, chosen: DataFrame, measured: DataFrame, sets: _Sets, kept: Scratch, regions: int, found: int) -> DataFrame:
+    """The regions ``rest`` after a round: Voronoi cells of the pivots that got links, with their triangle windows, and the sets without a home.
+
+    There are at most ``regions`` rows by region or cell, and ``found`` links in this round.
+    """
+    hint = _hint(regions)
     ends = _ends(measured.where("near"))
     # HUBS pivots at most for each region: the nearest to the centre of each of HUBS slots
-    hubs = _pivots(chosen.join(hint(ends), "key", "left_semi"), HUBS, 0).select("r", F.col("key").alias("q"), F.col("n").alias("qn"), F.col("label").alias("qlabel"))
+    hubs = _pivots(chosen.join(_hint(2 * found)(ends), "key", "left_semi"), HUBS, 0).select("r", F.col("key").alias("q"), F.col("n").alias("qn"), F.col("label").alias("qlabel"))
     beside = rest.join(hint(hubs), "r").withColumns({"a": F.greatest("key", "q"), "b": F.least("key", "q")})
     fits = 100 * F.least("n", "qn") >= (100 - 2 * (100 - PERCENT)) * F.greatest("n", "qn")
     beside = kept.keep(beside.where(fits | (F.col("label") == F.col("qlabel"))))
@@ -511,11 +552,11 @@ def _cells(rest: DataFrame, chosen: DataFrame, measured: DataFrame, sets: _Sets,
     copies = windows.groupBy("r").agg(F.count(F.lit(1)).alias("copies"))
     sizes = rest.groupBy("r").agg(F.count(F.lit(1)).alias("sets"))
     whole = hint(copies.join(hint(sizes), "r").where("copies > sets").select("r"))
-    placed = rest.join(hint(home.select("r", "key", "q").join(whole, "r", "left_anti")), ["r", "key"], "left")
+    placed = rest.join(_hint(home.count())(home.select("r", "key", "q").join(whole, "r", "left_anti")), ["r", "key"], "left")
     cell = F.xxhash64("r", "q")
     stay = placed.withColumn("own", F.col("own") | F.col("q").isNotNull()).withColumn("r", F.when(F.col("q").isNull(), F.col("r")).otherwise(cell)).select(*MEMBER)
     guests = windows.join(whole, "r", "left_anti").withColumn("r", cell).withColumn("own", F.lit(False)).select(*MEMBER)
-    return kept.keep(_able(stay.union(guests), hint))
+    return kept.keep(_able(stay.union(guests), _hint(2 * regions)))
 
 
 def jaccard_sets(df: DataFrame, kept: Scratch, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

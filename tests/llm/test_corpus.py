@@ -543,6 +543,35 @@ def test_jaccard_of_one_large_group(spark):
     assert Counter(tuple(r) for r in jaccard.jaccard_components(df).collect()) == all_pairs_components(docs)
 
 
+def test_jaccard_regions_take_only_sets_that_reach(spark, monkeypatch):
+    """Texts of unlike length that share a phrase by chance get no region, unless the phrase comes first enough in both for a link."""
+    texts = []
+    for i in range(400):
+        phrase, sizes = [f"p{i}x{j}" for j in range(7)], (40, 31)
+        texts += [" ".join([f"a{i}y{k}w{j}" for j in range(n - 7)] + phrase) for k, n in enumerate(sizes)]
+    sets = [jaccard.shingle_set(t.encode()) for t in texts]
+    can, meet = set(), 0
+    for i in range(0, len(texts), 2):
+        a, b = sets[i : i + 2]
+        first = [set(x[: jaccard.window_size(len(x))].tolist()) for x in (a, b)]
+        common, least = sorted(first[0] & first[1]), 75 * (len(a) + len(b)) / 175
+        meet += bool(common)
+        if common and all(len(x) - np.searchsorted(x, np.uint64(common[0])) >= least for x in (a, b)):
+            can |= {jaccard.digest(a), jaccard.digest(b)}
+    members, keep = [], jaccard.Scratch.keep
+
+    def watched(self, df):
+        out = keep(self, df)
+        if "label" in out.columns and "after" in out.columns and not members:
+            members.append({bytes(r.key) for r in out.select("key").collect()})
+        return out
+
+    monkeypatch.setattr(jaccard.Scratch, "keep", watched)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert all(r.doc_id == r.component_id for r in jaccard.jaccard_components(df).collect())
+    assert meet > 40 and members[0] <= can and len(can) < meet
+
+
 def all_pairs_components(docs: list[tuple]) -> Counter:
     """``brute_components`` for many texts of five words or more: all intersections at once, as products of rows of zeros and ones."""
     words = [t.lower().split() for _, t in docs]
