@@ -19,6 +19,7 @@
    replicated into the cell. Sets without a home stay in the region. Cells and regions join again, until none has two components.
    Sets with too few window shingles from the region's on to be linked there leave at once: a set must reach 3/7 of both sizes
    with what it has from the region's shingle on, and share window shingles enough with sets of a fitting size.
+   A region whose sets all have the same region before goes too, and sets with the same one are not compared: they meet there.
 4. *Components* of the links by alternating large and small stars.
 
 Keys are never gathered in one task: windows of frequent shingles are salted, pivots and bounds of regions are
@@ -372,10 +373,17 @@ def _outer_regions(rows: DataFrame) -> DataFrame:
 
 
 def _members(outer: DataFrame) -> DataFrame:
-    """(r, key, after, n, own, degree) of the sets with degree enough, which is how many of their window shingles a set of a fitting size has."""
+    """(r, key, after, n, own, degree, before) of the sets with degree enough, which is how many of their window shingles a set of a fitting size has.
+
+    ``before`` is the set's region before this one. Sets with the same one meet there, so this is not the region of their first common shingle.
+    """
     counted = outer.repartition("key").withColumn("degree", F.count(F.when(F.col("own"), 1)).over(Window.partitionBy("key")))
     able = counted.where("r IS NOT NULL AND degree >= least")
-    return able.groupBy("key", "r").agg(F.max("after").alias("after"), F.max("n").alias("n"), F.max("own").alias("own"), F.max("degree").alias("degree"))
+    # two sets of the class below do not meet in a region: each of a set's two classes has an order of its own
+    able = able.withColumn("before", F.lag("r").over(Window.partitionBy("key", "own").orderBy(F.desc("after"))))
+    first = F.max(F.struct("after", "before")).alias("first")
+    out = able.groupBy("key", "r").agg(first, F.max("n").alias("n"), F.max("own").alias("own"), F.max("degree").alias("degree"))
+    return out.select("r", "key", F.col("first.after").alias("after"), "n", "own", "degree", F.col("first.before").alias("before"))
 
 
 def jaccard_links(df: DataFrame, scan: DataFrame, kept: Scratch, doc_id: str, text: str) -> DataFrame:
@@ -403,7 +411,7 @@ def jaccard_links(df: DataFrame, scan: DataFrame, kept: Scratch, doc_id: str, te
         chosen = kept.keep(_pivots(members, pivots, turn))
         regions = chosen.count()  # a region has a pivot and at most a cell for each: so many rows by region or cell at most
         hint = _hint(regions)
-        pairs = members.join(hint(chosen.select("r", F.struct("key", "n", "own", "label", "after", "degree").alias("p"))), "r").where(_viable(F.col("p")))
+        pairs = members.join(hint(chosen.select("r", F.struct("key", "n", "own", "label", "after", "degree", "before").alias("p"))), "r").where(_viable(F.col("p")))
         bounded = kept.keep(_bounded(pairs.select(F.greatest("key", "p.key").alias("a"), F.least("key", "p.key").alias("b")).distinct(), sets, kept))
         may = _enough(F.col("most"), F.col("an") + F.col("bn"))
         exact = _exact(bounded.where(may), texts, sets, kept)
@@ -482,10 +490,10 @@ def _able(members: DataFrame, hint: Callable) -> DataFrame:
     from there, so the region's smallest and largest size (within the factor of a link) tell the least need.
     """
     n = F.col("n").cast("double")
-    stats = members.groupBy("r").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.max("own").alias("owns"), F.min("n").alias("low"), F.max("n").alias("high"))
+    stats = members.groupBy("r").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.max("own").alias("owns"), F.min("n").alias("low"), F.max("n").alias("high"), (F.max("before").isNull() | (F.count("before") < F.count(F.lit(1))) | (F.min("before") != F.max("before"))).alias("first"))
     low = F.greatest(F.col("low").cast("double"), n * PERCENT / 100)
     high = F.least(F.col("high").cast("double"), n * 100 / PERCENT)
-    live = members.join(hint(stats.where("owns AND l0 != l1").select("r", "low", "high")), "r")
+    live = members.join(hint(stats.where("owns AND l0 != l1 AND first").select("r", "low", "high")), "r")
     enough = F.least("after", "degree") > F.least(_need(n, low), _need(n, high)) - 1e-6
     return live.where(enough & _reaches(F.col("after"), n, low)).drop("low", "high")
 
@@ -493,16 +501,16 @@ def _able(members: DataFrame, hint: Callable) -> DataFrame:
 def _pivots(members: DataFrame, count: int, turn: int) -> DataFrame:
     """Up to ``count`` sets of each region: the most central one of each of ``count`` slots, of components while there are few slots, then of sets."""
     # the fewer rare shingles a set has before the region's, the more central it is
-    best = F.struct((~F.col("own")).alias("other"), (-F.col("after") / F.col("n")).alias("rare"), "key", "n", "own", "label", "after", "degree")
+    best = F.struct((~F.col("own")).alias("other"), (-F.col("after") / F.col("n")).alias("rare"), "key", "n", "own", "label", "after", "degree", "before")
     slot = F.pmod(F.xxhash64("label" if turn < 2 else "key", F.lit(turn)), F.lit(count))
-    return members.groupBy("r", slot.alias("slot")).agg(F.min(best).alias("p")).select("r", *[F.col("p." + c) for c in ("key", "n", "own", "label", "after", "degree")])
+    return members.groupBy("r", slot.alias("slot")).agg(F.min(best).alias("p")).select("r", *[F.col("p." + c) for c in ("key", "n", "own", "label", "after", "degree", "before")])
 
 
 def _viable(p: Column) -> Column:
-    """The pair is to be compared: other component, sizes that can link, one of the region's own class, shared windows enough."""
+    """The pair is to be compared: other component, no common region before, sizes that can link, one of the region's own class, shared windows enough."""
     n, total = F.col("n"), F.col("n") + p["n"]
     fits = _fits(n, p["n"]) & _reaches(F.col("after"), n, p["n"]) & _reaches(p["after"], p["n"], n)
-    return (F.col("key") != p["key"]) & (F.col("label") != p["label"]) & (F.col("own") | p["own"]) & fits & _enough(F.least(F.col("after"), p["after"], F.col("degree"), p["degree"]) + _behind(F.greatest(n, p["n"])), total)
+    return (F.col("key") != p["key"]) & (F.col("label") != p["label"]) & (F.col("own") | p["own"]) & ~F.coalesce(F.col("before") == p["before"], F.lit(False)) & fits & _enough(F.least(F.col("after"), p["after"], F.col("degree"), p["degree"]) + _behind(F.greatest(n, p["n"])), total)
 
 
 def _labels(links: DataFrame, hint: Callable) -> DataFrame:
@@ -514,7 +522,7 @@ def _labels(links: DataFrame, hint: Callable) -> DataFrame:
     return low.join(hint(low.toDF("m", "b")), "m").select("a", "b").where("a != b")
 
 
-MEMBER = ["r", "key", "n", "after", "degree", "own", "label"]
+MEMBER = ["r", "key", "n", "after", "degree", "own", "label", "before"]
 
 
 def _relabel(labels: DataFrame | None):

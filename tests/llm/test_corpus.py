@@ -572,6 +572,15 @@ def test_jaccard_regions_take_only_sets_that_reach(spark, monkeypatch):
     assert meet > 40 and members[0] <= can and len(can) < meet
 
 
+def test_jaccard_sets_meet_in_their_first_common_region(spark):
+    """A region whose sets all come from one region before has no pair of its own; where a set joins later, it has."""
+    sets = {b"x": 1, b"y": 1, b"z": 1, b"w": 3}
+    outer = [(r, key, 100, 27 - r, True, 1) for key, first in sets.items() for r in range(first, 15)]
+    members = jaccard._members(spark.createDataFrame(outer, "r long, key binary, n int, after int, own boolean, least int").repartition(3))
+    left = jaccard._able(members.withColumn("label", F.col("key")), lambda df: df).groupBy("r").count()
+    assert sorted(tuple(r) for r in left.collect()) == [(1, 3), (3, 4)]
+
+
 def all_pairs_components(docs: list[tuple]) -> Counter:
     """``brute_components`` for many texts of five words or more: all intersections at once, as products of rows of zeros and ones."""
     words = [t.lower().split() for _, t in docs]
