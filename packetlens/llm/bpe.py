@@ -13,13 +13,15 @@ concatenation. Facts used (merges always take the lowest rank, leftmost first):
 
 A text is cut by the pattern first, over the whole text, and merges never cross such a cut: there the
 product is plain concatenation. Each piece is halved down to ``LEAF`` bytes and joined upwards, so a piece of a
-million bytes costs O(n log^2 n) and no merge loop sees more than a window. Pieces are memoised in a bounded
-table for each worker. Decoding maps leaves of ids to bytes and concatenates up the tree.
+million bytes costs O(n log^2 n) and no merge loop sees more than a window. Pieces, leaves and seams (pairs with the
+encoding of their bytes, which is the first window) are memoised in bounded tables for each worker. Decoding maps leaves of
+ids to bytes, a gather from the vocabulary, and concatenates up the tree; a text's bytes are a span of its batch's.
 
 Distribution: a narrow map over Arrow batches, no shuffle; lost tasks are simply run again.
 
-The pattern's letter and number classes are the tokenizer library's own, asked of it once: the regular-expression module here
-knows other editions of Unicode. Texts without a character on which the two differ take the short pattern.
+The pattern's letter, number and space classes are the tokenizer library's own, asked of it once: the regular-expression modules here
+know other editions of Unicode. Latin-1 texts are cut by Python's own module, which is faster on small classes, if the pattern has only literals,
+classes, repeats and lookaheads; other texts without a character on which the editions differ take the pattern as it is.
 
 Defined results: a null text is an empty one (no ids, no bytes). Rows are independent, so repeated rows
 and clashing ids do no harm; only the id and the text are read.
@@ -29,11 +31,14 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,10 +48,11 @@ from .common import ship, table
 LEAF = 4
 SMALL = 48
 PIECES_AT_ONCE = 1 << 18
-#: Entries of a worker's tables: pieces of at most 64 characters (two generations), windows of at most 48 bytes, pairs; 100 MB together.
+#: Entries of a worker's tables: pieces of at most 64 characters (two generations), windows of at most 48 bytes, seams; 100 MB together.
 CACHED_PIECES = 150_000
 CACHED_STEPS = 50_000
-DECODE_LEAF = 4096
+CACHED_SEAMS = 150_000
+DECODE_LEAF = 1 << 16
 OUT_BYTES = 4 << 20
 
 
@@ -71,22 +77,24 @@ def library_pattern(pattern: str) -> tuple[str, str]:
 
     every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
     spelled, differ = {}, set()
-    for kind in ("L", "N"):
-        if rf"\p{{{kind}}}" in pattern:
-            one = tiktoken.Encoding(kind, pat_str=rf"\p{{{kind}}}", mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+    for kind in (r"\p{L}", r"\p{N}", r"\s"):
+        if kind in pattern.replace(r"\S", r"\s"):
+            one = tiktoken.Encoding(kind, pat_str=kind, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
             theirs = set(map(ord, one.decode(one.encode_ordinary(every))))
-            differ |= theirs ^ set(map(ord, regex.findall(rf"\p{{{kind}}}", every)))
+            differ |= theirs ^ set(map(ord, regex.findall(kind, every)))
             spelled[kind] = _ranges(sorted(theirs))
     out, at, inside = [], 0, False
     while at < len(pattern):
         if pattern[at] == "\\":
-            kind = pattern[at + 3 : at + 4] if pattern.startswith("\\p{", at) and pattern[at + 4 : at + 5] == "}" else ""
+            kind = pattern[at : at + 5] if pattern.startswith("\\p{", at) else pattern[at : at + 2]
             if kind in spelled:
                 out.append(spelled[kind] if inside else f"[{spelled[kind]}]")
-                at += 5
+            elif kind == r"\S" and not inside:
+                out.append(f"[^{spelled[r'\s']}]")
             else:
-                out.append(pattern[at : at + 2])
-                at += 2
+                kind = pattern[at : at + 2]
+                out.append(kind)
+            at += len(kind)
             continue
         inside = pattern[at] == "[" or inside and pattern[at] != "]"
         out.append(pattern[at])
@@ -94,6 +102,16 @@ def library_pattern(pattern: str) -> tuple[str, str]:
     return "".join(out), f"[{_ranges(sorted(differ))}]" if differ else ""
 
 
+def latin_pattern(exact: str) -> re.Pattern | None:
+    """A pattern with spelled classes for Latin-1 texts on Python's own module, or None if it has what the modules may not agree on."""
+    span = re.compile(r"\\U([0-9a-f]{8})-\\U([0-9a-f]{8})")
+    rest = re.sub(r"\(\?[!:=]", "", span.sub("", exact))
+    if "\\" in rest or "(?" in rest or re.search(r"[+*?}]\+|\[\[|--|&&|\|\||~~", rest):
+        return None
+    latin = span.sub(lambda m: m.group() if int(m[1], 16) < 0x100 else "", exact)
+    return None if "[]" in latin or "[^]" in latin else re.compile(latin)
+
+
 class Bpe:
     """An encoder for one vocabulary; ``library`` is what ``library_pattern`` gives for the pattern."""
 
@@ -101,23 +119,18 @@ class Bpe:
         self.ranks = ranks
         exact, differ = library or library_pattern(pattern)
         self.short, self.exact, self.differ = regex.compile(pattern), regex.compile(exact), regex.compile(differ) if differ else None
+        self.latin = latin_pattern(exact) or (self.exact if self.differ and any(map(self.differ.match, map(chr, range(0x100)))) else self.short)
         self.token = {i: b for b, i in ranks.items()}
-        self.stable_pairs: dict[tuple[int, int], bool] = {}
-        self.windows: dict[bytes, list[int]] = {}
+        self.tokens = pa.array(map(self.token.get, range(max(self.token, default=-1) + 1)), pa.binary())
+        self.stable_pairs: dict[tuple[int, int], list[int] | None] = _Bounded(self._seam, CACHED_SEAMS)
+        self.windows: dict[bytes, list[int]] = _Bounded(self._merge_by_scan, CACHED_STEPS)
         self.pieces = _Pieces(self)
 
     # --- leaves and windows -------------------------------------------------------------
 
     def merge(self, data: bytes) -> list[int]:
         """The encoding of a leaf or window; short ones are memoised."""
-        if len(data) > SMALL:
-            return self._merge_by_heap(data)
-        known = self.windows.get(data)
-        if known is None:
-            if len(self.windows) > CACHED_STEPS:
-                self.windows.clear()
-            known = self.windows[data] = self._merge_by_scan(data)
-        return known
+        return self._merge_by_heap(data) if len(data) > SMALL else self.windows[data]
 
     def _merge_by_scan(self, data: bytes) -> list[int]:
         ranks = self.ranks
@@ -165,33 +178,35 @@ class Bpe:
             i = after[i]
         return out
 
+    def _seam(self, pair: tuple[int, int]) -> list[int] | None:
+        """None for a stable pair, else the encoding of its bytes."""
+        data = self.token[pair[0]] + self.token[pair[1]]
+        merged = self._merge_by_heap(data) if len(data) > SMALL else self._merge_by_scan(data)
+        return None if merged == [*pair] else merged
+
     def stable(self, a: int, b: int) -> bool:
-        known = self.stable_pairs.get((a, b))
-        if known is None:
-            if len(self.stable_pairs) > CACHED_STEPS:
-                self.stable_pairs.clear()
-            known = self.stable_pairs[a, b] = self.merge(self.token[a] + self.token[b]) == [a, b]
-        return known
+        return self.stable_pairs[a, b] is None
 
     # --- the monoid ---------------------------------------------------------------------
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
-        if not left or not right or self.stable(left[-1], right[0]):
+        seams = self.stable_pairs
+        if not left or not right or (window := seams[left[-1], right[0]]) is None:
             return left + right
         i = j = 1
         while True:
-            window = self.merge(b"".join(map(self.token.__getitem__, left[-i:] + right[:j])))
-            left_ok = i >= len(left) or self.stable(left[-i - 1], window[0])
-            right_ok = j >= len(right) or self.stable(window[-1], right[j])
+            left_ok = i >= len(left) or seams[left[-i - 1], window[0]] is None
+            right_ok = j >= len(right) or seams[window[-1], right[j]] is None
             if left_ok and right_ok:
                 return left[: len(left) - i] + window + right[j:]
             i = i if left_ok else min(len(left), 2 * i)
             j = j if right_ok else min(len(right), 2 * j)
+            window = self.merge(b"".join(map(self.token.__getitem__, left[-i:] + right[:j])))
 
     def encode_bytes(self, data: bytes) -> list[int]:
         """The tree reduction over one piece."""
         if len(data) <= LEAF:
-            return self.merge(data)
+            return self.windows[data]
         half = len(data) // 2
         return self.join(self.encode_bytes(data[:half]), self.encode_bytes(data[half:]))
 
@@ -203,14 +218,14 @@ class Bpe:
     # --- texts --------------------------------------------------------------------------
 
     def pattern_for(self, text: str):
-        """The short pattern, unless the text has a character on which it differs from the library's."""
-        if self.differ is None or text.isascii():
-            return self.short
+        """For Latin-1 texts that of Python's own module; else the short pattern, unless the text has a character on which it differs from the library's."""
+        if text.isascii():
+            return self.latin
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return self.exact if self.differ.search(text) else self.short
-        return self.short
+            return self.exact if self.differ and self.differ.search(text) else self.short
+        return self.latin
 
     def encode_packed(self, text: str) -> bytes:
         """The ids of a text as little-endian 32-bit integers."""
@@ -225,12 +240,35 @@ class Bpe:
     def encode(self, text: str) -> list[int]:
         return memoryview(self.encode_packed(text)).cast("i").tolist()
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: list[int] | np.ndarray) -> bytes:
         if len(ids) <= DECODE_LEAF:
-            return b"".join(map(self.token.__getitem__, ids))
+            some = self.tokens.take(pa.array(ids, pa.int32()))
+            _, ends, data = some.buffers()
+            return data[: np.frombuffer(ends, np.int32)[len(ids)]].to_pybytes() if len(ids) and data else b""
         half = len(ids) // 2
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
+    def decode_all(self, ids: np.ndarray, ends: list[int]) -> pa.Array:
+        """The bytes of texts whose ids follow each other; the first end is 0."""
+        sizes = pc.binary_length(self.tokens).fill_null(0).to_numpy()
+        parts = [int(sizes[ids[a:b]].sum()) for a, b in zip(ends, ends[1:], strict=False)]
+        at = pa.py_buffer(np.cumsum([0, *parts]).astype(np.int32))
+        return pa.Array.from_buffers(pa.binary(), len(parts), [None, at, pa.py_buffer(self.decode(ids))])
+
+
+class _Bounded(dict):
+    """Key -> what ``make`` gives for it; emptied when full."""
+
+    def __init__(self, make: Callable, most: int):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.clear()
+        made = self[key] = self.make(key)
+        return made
+
 
 class _Pieces(dict):
     """Piece -> packed ids. When full, it becomes the old generation and what is still used moves up again."""
@@ -284,22 +322,20 @@ def bpe_tokens(df: DataFrame, ranks_file: str, pattern: str, doc_id: str = "doc_
         for batch in batches:
             keys, texts, start, size = batch.column(0), batch.column(1), 0, 0
             packed: list[bytes] = []
-            back: list[bytes] = []
             for row in range(len(texts)):
                 packed.append(one := bpe.encode_packed(texts[row].as_py() or ""))
                 size += len(one) * 2
-                if decode:
-                    back.append(bpe.decode(memoryview(one).cast("i").tolist()))
                 if size > OUT_BYTES or row == len(texts) - 1:
                     ends = [0]
                     for x in packed:
                         ends.append(ends[-1] + len(x) // 4)
-                    ids = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(packed))])
+                    raw = b"".join(packed)
+                    ids = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(raw)])
                     cols = [keys.slice(start, len(packed)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)]
                     if decode:
-                        cols.append(pa.array(back, pa.binary()))
+                        cols.append(bpe.decode_all(np.frombuffer(raw, np.int32), ends))
                     yield pa.RecordBatch.from_arrays(cols, ["doc_id", "ids", "decoded"][: len(cols)])
-                    packed, back, start, size = [], [], row + 1, 0
+                    packed, start, size = [], row + 1, 0
 
     schema = f"doc_id {kind}, ids array<int>" + (", decoded binary" if decode else "")
     return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)

@@ -99,6 +99,38 @@ def test_bpe_cuts_where_the_library_does(encoder):
             assert own.encode(text) == library.encode_ordinary(text)
 
 
+def test_bpe_cuts_latin_texts_by_pythons_own_module(encoder):
+    own, library = encoder
+    assert all(isinstance(own.pattern_for(x), re.Pattern) for x in ("", "plain", "caf\xe9 \x1c\x85"))
+    assert not any(isinstance(own.pattern_for(x), re.Pattern) for x in ("\u0105", "\u4e00"))
+    chars = [chr(c) for c in range(0x100)]
+    text = "".join(f"{a} {b}{a}{a}  {b}1{a}'s{b}" for a in chars for b in chars)
+    assert own.encode(text) == library.encode_ordinary(text)
+    for pattern in (r"(?i:'s)|\p{L}+|\s", r"\p{L}++|.", r"\p{Lu}|\w"):  # the modules may not agree: none of it
+        assert not isinstance(bpe.Bpe(own.ranks, pattern).pattern_for("a"), re.Pattern)
+
+
+def test_bpe_keeps_the_window_of_a_seam(encoder, monkeypatch):
+    """A pair found not to be stable has its bytes' encoding at hand: no merge, no entry in the table of windows."""
+    own = bpe.Bpe(encoder[0].ranks, encoder[0].short.pattern)
+    pairs = [(own.ranks[a], own.ranks[b]) for a in (b"t", b"th", b" t", b"a") for b in (b"h", b"e", b"in", b"nd")]
+    unstable = [p for p in pairs if not own.stable(*p)]
+    assert len(unstable) > 5 and not own.windows
+    monkeypatch.setattr(own, "merge", lambda data: pytest.fail("merged again"))
+    for a, b in unstable:
+        assert own.join([a], [b]) == encoder[0].merge(own.token[a] + own.token[b])
+
+
+def test_bpe_decodes_texts_of_a_batch_at_once(encoder, monkeypatch):
+    own, _ = encoder
+    texts = ["", "some words", "é漢🙂" * 50, "", "x" * 999]
+    monkeypatch.setattr(bpe, "DECODE_LEAF", 7)
+    ids = [own.encode(x) for x in texts]
+    ends = np.cumsum([0, *map(len, ids)]).tolist()
+    assert own.decode_all(np.array(sum(ids, []), np.int32), ends).to_pylist() == [x.encode() for x in texts]
+    assert own.decode_all(np.zeros(0, np.int32), [0]).to_pylist() == []
+
+
 def test_bpe_forgets(encoder):
     own, _ = encoder
     before = own.encode("some words " * 50)
