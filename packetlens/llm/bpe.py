@@ -211,9 +211,11 @@ class Bpe:
         return self.join(self.encode_bytes(data[:half]), self.encode_bytes(data[half:]))
 
     def forget(self) -> None:
-        """Free what only pieces not seen before need: workers live on while other stages need the memory."""
+        """Free what only speeds up: workers live on while other stages need the memory, and most of a task's distinct pieces are new to it."""
         self.stable_pairs.clear()
         self.windows.clear()
+        self.pieces.clear()
+        self.pieces.old = {}
 
     # --- texts --------------------------------------------------------------------------
 

@@ -138,6 +138,15 @@ def test_bpe_forgets(encoder):
     assert not own.windows and not own.stable_pairs and own.encode("some words " * 50) == before
 
 
+def test_bpe_leaves_no_pieces_to_other_stages(encoder, monkeypatch):
+    own, theirs = encoder
+    monkeypatch.setattr(bpe, "CACHED_PIECES", 4)
+    text = "one two three four five six one seven"
+    assert own.encode(text) == theirs.encode_ordinary(text) and own.pieces and own.pieces.old
+    own.forget()
+    assert not own.pieces and not own.pieces.old and own.encode(text) == theirs.encode_ordinary(text)
+
+
 def test_bpe_query(spark, sf, encoder):
     _, theirs = encoder
     got = {r.doc_id: r for r in bpe.op1_byte_bpe(spark, sf).collect()}
