@@ -1,8 +1,8 @@
 """Queries and DuckDB SQL of the corpus operators."""
 
-from . import bpe, chat, infill, jaccard, licenses, lines, media, mixing, quality, repair, secrets, urls
+from . import bpe, chat, infill, jaccard, licenses, lines, media, mixing, quality, repair, scoring, secrets, urls
 
-MODULES = [bpe, chat, infill, jaccard, licenses, lines, media, mixing, quality, repair, secrets, urls]
+MODULES = [bpe, chat, infill, jaccard, licenses, lines, media, mixing, quality, repair, scoring, secrets, urls]
 
 
 def queries() -> dict:
