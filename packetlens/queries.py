@@ -12,7 +12,7 @@ from packetlens.operators.engine import PacketFrame
 from packetlens.operators.flows import flow_rollup, host_clusters
 from packetlens.plans.store import read_store, shared_path, write_store
 from packetlens.schema import AGGREGATE_FIELDS, PACKET_COLUMNS
-from packetlens.sinks.files import console_rows, csv_name, pcap_name
+from packetlens.sinks.files import console_rows, csv_name, pcap_name, write_pcap
 from packetlens.sources.pcap import capture_statistics, local_path, open_captures, register
 from packetlens.streaming.live import stream_aggregate, stream_ingest, stream_packets
 from packetlens.testdata import packets, packets_cte
@@ -128,6 +128,14 @@ def pcap_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(spark.read.format("pcap").load(path))
 
 
+def single_file(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packets of a filter through one capture file."""
+    register(spark)
+    path = local_path(shared_path(spark, "found")) + ".pcap"
+    write_pcap(PacketFrame(packets(spark, sf_dir)).filter(text), path)
+    return _plain(spark.read.format("pcap").load(path))
+
+
 def _schema():
     from packetlens.schema import PACKET_SCHEMA
 
@@ -297,6 +305,8 @@ def queries() -> dict:
         "filter_time_disjoint_store": partial(store_filtered, FILTERS["filter_time_disjoint"][0]),
         "filter_time_range_store": partial(store_filtered, FILTERS["filter_time_range"][0]),
         "pcap_roundtrip": pcap_roundtrip,
+        "pcap_single_file": partial(single_file, ""),
+        "pcap_single_file_filtered": partial(single_file, FILTERS["filter_or_and_nesting"][0]),
         "stream_ingest": stream_ingested,
         "store_mixed_ingest": stored_both_ways,
         "store_uncompressed": uncompressed,
@@ -338,6 +348,8 @@ def oracle_sql() -> dict[str, str]:
         "filter_time_disjoint_store": stored(FILTERS["filter_time_disjoint"][1]),
         "filter_time_range_store": stored(FILTERS["filter_time_range"][1]),
         "pcap_roundtrip": stored("TRUE"),
+        "pcap_single_file": stored("TRUE"),
+        "pcap_single_file_filtered": stored(FILTERS["filter_or_and_nesting"][1]),
         "stream_ingest": stored("TRUE"),
         "store_mixed_ingest": stored("TRUE"),
         "store_uncompressed": stored("TRUE"),

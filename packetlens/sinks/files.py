@@ -1,7 +1,7 @@
 """Results as console tables, CSV time series and single capture files.
 
-Rows stream through the driver one partition at a time, as a single file asks for; ``write.format("pcap")``
-and ``write.csv`` are the distributed forms.
+Console and CSV rows stream through the driver one partition at a time; a capture is written in place by its tasks.
+``write.format("pcap")`` and ``write.csv`` are the forms of many files.
 """
 
 from __future__ import annotations
@@ -9,19 +9,15 @@ from __future__ import annotations
 import csv
 import os
 import sys
-from collections.abc import Iterator
 from typing import TextIO
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packetlens.functions.ip import endpoint
 from packetlens.operators.engine import PacketFrame
-from packetlens.plans.session import ship
-from packetlens.schema import PACKET_COLUMNS
-from packetlens.sources.capture import FILE_HEADER
-from packetlens.sources.pcap import batch_records
+from packetlens.sinks.onefile import write_one_file
+from packetlens.sources.pcap import local_path
 
 WIDTHS = (25, 25, 10, 8, 15, 15)
 TITLES = ("src IP (: port)", "dst IP (: port)", "protocol", "length", "sec", "usec")
@@ -72,22 +68,8 @@ def write_csv(series: DataFrame, path: str) -> int:
 
 
 def write_pcap(frame: PacketFrame, path: str) -> int:
-    """The packets in time order as one capture file; returns their number."""
-    ship(frame.df.sparkSession)
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows], "records": pa.array([batch_records(batch)], pa.binary())})
-
-    n = 0
-    temporary = path + ".part"
-    with open(temporary, "wb") as f:
-        f.write(FILE_HEADER)
-        for row in frame.df.select(*PACKET_COLUMNS).orderBy("ts").mapInArrow(pack, "n long, records binary").toLocalIterator(prefetchPartitions=True):
-            f.write(row["records"])
-            n += row["n"]
-    os.replace(temporary, path)
-    return n
+    """The packets in time order as one capture file, written by all tasks at once; returns their number."""
+    return write_one_file(frame.df, local_path(path))
 
 
 def write_aggregate(frame: PacketFrame, folder: str, op: str = "sum", field: str = "length", interval: int = 1_000_000) -> str:

@@ -221,20 +221,32 @@ def _decoded(buf: memoryview, off: np.ndarray, captured: np.ndarray, original: n
 #: Raw IP link type; 20 bytes of IP header, and 4 of TCP or UDP.
 FILE_HEADER = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65536, 101)
 CAPTURED = {TCP: 24, UDP: 24, ICMP: 20}
+RECORD_BYTES = {proto: 16 + n for proto, n in CAPTURED.items()}
+#: A record: its header, an IP header without options, and two ports.
+_RECORD = np.dtype(
+    [("sec", "<u4"), ("usec", "<u4"), ("captured", "<u4"), ("original", "<u4"), ("version", "u1"), ("tos", "u1"), ("total", ">u2"), ("id", ">u2"), ("fragment", ">u2"),
+     ("ttl", "u1"), ("proto", "u1"), ("sum", ">u2"), ("src", ">u4"), ("dst", ">u4"), ("src_port", ">u2"), ("dst_port", ">u2")]
+)
 
 
-def packet_records(src_ip, dst_ip, src_port, dst_port, proto, length, ts_us) -> bytes:
+def record_bytes(src_ip, dst_ip, src_port, dst_port, proto, length, ts_us) -> bytes:
     """Pcap records with synthesised headers for the rows of these arrays."""
+    out = np.zeros(len(proto), _RECORD)
+    icmp = proto == ICMP
+    out["sec"], out["usec"] = ts_us // 1_000_000, ts_us % 1_000_000
+    out["captured"], out["original"] = np.where(icmp, CAPTURED[ICMP], CAPTURED[TCP]), length
+    out["version"], out["total"], out["proto"] = 0x45, np.minimum(length, 65535), proto
+    out["src"], out["dst"], out["src_port"], out["dst_port"] = src_ip, dst_ip, src_port, dst_port
+    if not icmp.any():
+        return out.tobytes()
+    words = np.ones((len(out), _RECORD.itemsize // 4), bool)
+    words[:, -1] = ~icmp  # no ports
+    return out.view(np.uint32).reshape(words.shape)[words].tobytes()
+
+
+def packet_records(src_ip, dst_ip, src_port, dst_port, proto, length, ts_us) -> bytes:
+    """Pcap records for columns of any number type; packets of other protocols are an error."""
     src_ip, dst_ip, src_port, dst_port, proto, length, ts_us = (np.asarray(x, np.int64) for x in (src_ip, dst_ip, src_port, dst_port, proto, length, ts_us))
     if not np.isin(proto, list(CAPTURED)).all():
         raise ValueError("only TCP, UDP and ICMP packets can be written")
-    captured = np.where(proto == ICMP, 20, 24)
-    out = np.zeros((len(proto), 40), np.uint8)
-    head = np.stack([ts_us // 1_000_000, ts_us % 1_000_000, captured, length], 1).astype("<u4")
-    out[:, :16] = head.view(np.uint8).reshape(-1, 16)
-    out[:, 16], out[:, 25] = 0x45, proto
-    total = np.minimum(length, 65535)
-    for at, value, width in ((18, total, 2), (28, src_ip, 4), (32, dst_ip, 4), (36, src_port, 2), (38, dst_port, 2)):
-        for k in range(width):
-            out[:, at + k] = (value >> (8 * (width - 1 - k))) & 255
-    return out[np.arange(40) < (16 + captured)[:, None]].tobytes()
+    return record_bytes(src_ip, dst_ip, src_port, dst_port, proto, length, ts_us)
