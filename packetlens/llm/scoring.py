@@ -40,7 +40,9 @@ FOLDS = 10
 #: Bytes of text of a group, n-grams of a bucket, code points of a piece.
 GROUP_BYTES, BUCKET_GRAMS, PIECE = 8 << 20, 1 << 20, 1 << 20
 BITS = 56
-END = np.uint64(0)
+END, NONE = np.uint64(0), np.uint64(2**64 - 1)
+#: Positions that the automaton reads side by side.
+TOGETHER = 1 << 17
 _A, _B, _S = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
 
 
@@ -58,15 +60,16 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S)
 
 
-def gram_hashes(words: np.ndarray, starts: np.ndarray, order: int = ORDER) -> list[np.ndarray]:
-    """For each order, the hash of the n-gram that ends at each position; ``starts`` says how many words before it in its text. 2**64 - 1 where there are too few."""
-    out, h = [], np.zeros_like(words)
+def gram_hashes(words: np.ndarray, before: np.ndarray, order: int = ORDER) -> Iterator[np.ndarray]:
+    """For each order in turn, the hash of the n-gram that ends at each position; ``before`` says how many words its text has before it. NONE where there are too few."""
+    h = np.zeros_like(words)
     for n in range(order):
         # an n-gram is its last n - 1 words after the word before them
-        shifted = np.concatenate([np.zeros(n, np.uint64), words[: len(words) - n]])
-        h = _mixed(h * _A + shifted + np.uint64(n + 1))
-        out.append(np.where(starts >= n, h >> np.uint64(64 - BITS), np.uint64(2**64 - 1)))
-    return out
+        h *= _A
+        h[n:] += words[: len(words) - n]
+        h += np.uint64(n + 1)
+        h = _mixed(h)
+        yield np.where(before >= n, h >> np.uint64(64 - BITS), NONE)
 
 
 def pieces_of(text: str, size: int = PIECE, context: int = ORDER - 1) -> Iterator[tuple[str, str]]:
@@ -121,23 +124,45 @@ class Texts:
         self.words = np.concatenate([*parts, np.zeros(0, np.uint64)])
         self.sizes, self.contexts = np.array(sizes, np.int64), np.array(contexts, np.int64)
         self.first = np.cumsum(self.sizes) - self.sizes
-        self.before = np.arange(len(self.words)) - np.repeat(self.first, self.sizes)
+        self.before = (np.arange(len(self.words)) - np.repeat(self.first, self.sizes)).astype(np.int32)
         #: positions that are the piece's own
         self.own = self.before >= np.repeat(self.contexts, self.sizes)
         self.train = np.repeat(np.array(get("train"), bool), self.sizes)
-        self.grams = gram_hashes(self.words, self.before, order)
+        self.order = order
 
+    def grams(self) -> Iterator[np.ndarray]:
+        return gram_hashes(self.words, self.before, self.order)
 
-NONE = np.uint64(2**64 - 1)
+    def runs(self) -> Iterator[slice]:
+        """Whole pieces together, about TOGETHER positions."""
+        start = 0
+        for stop in np.cumsum(self.sizes).tolist():
+            if stop - start >= TOGETHER:
+                yield slice(start, stop)
+                start = stop
+        yield slice(start, len(self.before))
+
+
+#: Low bytes of wide numbers, which are as good as random, are kept as they are.
+RANDOM_BYTES = 4
 
 
 def planes(values: np.ndarray) -> bytes:
-    """64-bit numbers byte by byte, the lowest of all first: compresses well where the high ones are 0."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Numbers byte by byte, the lowest of all first, as many bytes as the largest needs; what can be compressed is."""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    raw = RANDOM_BYTES if width > RANDOM_BYTES else 0
+    rows = values.astype("<u8").view(np.uint8).reshape(-1, 8)
+    head = bytes((width,)) + len(values).to_bytes(8, "little")
+    return b"".join((head, rows[:, :raw].T.tobytes(), zlib.compress(rows[:, raw:width].T.tobytes(), 1)))
 
 
 def from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+    width, n = data[0], int.from_bytes(data[1:9], "little")
+    raw = RANDOM_BYTES if width > RANDOM_BYTES else 0
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :raw] = np.frombuffer(data, np.uint8, n * raw, 9).reshape(raw, n).T
+    out[:, raw:width] = np.frombuffer(zlib.decompress(memoryview(data)[9 + n * raw :]), np.uint8).reshape(width - raw, n).T
+    return out.view("<u8").reshape(-1)
 
 
 def _asker(order: int, bits: int) -> Callable[[pa.Table], pa.Table]:
@@ -147,7 +172,7 @@ def _asker(order: int, bits: int) -> Callable[[pa.Table], pa.Table]:
         texts = Texts(rows, order)
         group = rows.column("g")[0].as_py()
         out = []
-        for n, grams in enumerate(texts.grams, 1):
+        for n, grams in enumerate(texts.grams(), 1):
             # a piece's context is asked for, since states need its counts, but counted where it is a piece's own
             counted = texts.own & texts.train
             some = grams != NONE
@@ -236,14 +261,17 @@ def _scorer(order: int, mu: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
         answers = answers.sort_by([("n", "ascending"), ("bucket", "ascending")])
         total, kinds = answers.column("total")[0].as_py(), answers.column("distinct")[0].as_py()
         orders, counts = np.asarray(answers.column("n")), []
-        for n, grams in enumerate(texts.grams, 1):
+        for n, grams in enumerate(texts.grams(), 1):
             found = [from_planes(x) for x in answers.filter(pa.array(orders == n)).column("counts").to_pylist()]
             some = grams != NONE
             here = np.zeros(len(grams), np.int64)
             here[some] = np.concatenate([*found, np.zeros(0, np.uint64)]).astype(np.int64)[np.unique(grams[some], return_inverse=True)[1]]
             counts.append(here)
-        weight = np.where(texts.own, traverse(counts, texts.before, total, kinds, mu), 0)
-        base = np.where(texts.own, np.log10((counts[0] + ALPHA) / (total + ALPHA * (kinds + 1))), 0)
+        texts.words = None
+        weight = np.concatenate([traverse([c[run] for c in counts], texts.before[run], total, kinds, mu) for run in texts.runs()])
+        weight[~texts.own] = 0
+        base = np.log10((counts[0] + ALPHA) / (total + ALPHA * (kinds + 1)))
+        base[~texts.own] = 0
         # a piece that is not the last may be all white space and have no position of its own
         ends = np.cumsum(texts.sizes)
         sums = [np.array([x[a:b].sum() for a, b in zip((ends - texts.sizes).tolist(), ends.tolist(), strict=True)]) for x in (base, weight)]

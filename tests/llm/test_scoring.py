@@ -110,6 +110,13 @@ def test_pieces_join_to_the_text():
                 read += piece.encode().split()
 
 
+def test_numbers_survive_packing():
+    rng = np.random.default_rng(7)
+    for values in ([], [0], [255, 0], [256], [2**32 - 1, 5], [2**33], [2**64 - 1, 0, 7], rng.integers(0, 2**44, 1000), rng.integers(0, 3, 1000)):
+        values = np.array(values, np.uint64)
+        assert (scoring.from_planes(scoring.planes(values)) == values).all()
+
+
 def test_nothing(spark):
     assert lm_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
