@@ -1,6 +1,7 @@
 """Command line: ``ingest`` captures into a store and ``query`` it.
 
     python -m packetlens.cli ingest -f captures -o store [-b] [-s]        (-l folder follows rotated captures)
+    python -m packetlens.cli compact -i store                              (joins the small batches of live ingest)
     python -m packetlens.cli query -i store [-f filter ...] [-p] [-a] [-agOp op] [-agF field] [-agI us] [-o folder] [-v] [-b]
 
 Flags have their short and long spellings; unknown ones are ignored with a warning. A filter is all tokens up to the next flag.
@@ -16,7 +17,8 @@ from pyspark.sql import Observation
 from packetlens import metrics
 from packetlens.operators.engine import OPERATORS, SECOND
 from packetlens.plans.dsl import FilterSyntaxError
-from packetlens.plans.store import read_store, unreadable, write_store
+from packetlens.plans.manifest import vacuum
+from packetlens.plans.store import compact_store, read_store, unreadable, write_store
 from packetlens.schema import AGGREGATE_FIELDS
 from packetlens.sinks.files import pcap_name, print_packets, write_aggregate, write_pcap
 from packetlens.sources.pcap import open_captures
@@ -27,6 +29,7 @@ QUERY = {
     "input": ("-i", "-input"), "output": ("-o", "-out", "-output"), "filter": ("-f", "-filter"), "pcap": ("-p", "-pcap"), "verbose": ("-v", "-verbose"), "aggregate": ("-a", "-aggregate"),
     "interval": ("-agI", "-interval", "-intervall"), "operator": ("-agOp", "-operator"), "field": ("-agF", "-field"), "benchmark": ("-b", "-benchmark"),
 }
+COMPACT = {"input": ("-i", "-input")}
 VALUES = {"output", "file", "live", "input", "interval", "operator", "field"}
 
 
@@ -95,7 +98,7 @@ def query(spark, argv: list[str]) -> int:
     try:
         with timer.step("plan"):
             frame = read_store(spark, o["input"], o.get("filter", ""), ignore_corrupt=True)
-            if problem := unreadable(spark, o["input"]):
+            if problem := unreadable(frame):
                 print(f"warning: the result lacks files that cannot be read: {problem}", file=sys.stderr)
     except FilterSyntaxError as e:
         print(e, file=sys.stderr)
@@ -117,10 +120,20 @@ def query(spark, argv: list[str]) -> int:
     return 0
 
 
+def compact(spark, argv: list[str]) -> int:
+    o = options(argv, COMPACT)
+    if not o.get("input"):
+        print(__doc__, file=sys.stderr)
+        return 2
+    joined = compact_store(spark, o["input"])
+    print(f"{joined} batches joined, {vacuum(spark, o['input'])} removed")
+    return 0
+
+
 def main(argv: list[str]) -> int:
     from packetlens.plans.session import local_session
 
-    commands = {"ingest": ingest, "query": query}
+    commands = {"ingest": ingest, "query": query, "compact": compact}
     if not argv or argv[0] not in commands:
         print(__doc__, file=sys.stderr)
         return 2

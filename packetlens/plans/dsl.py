@@ -199,7 +199,8 @@ def compile_filter(node: Node, compat: bool = False) -> Column:
     return reduce(lambda a, b: a | b, sides)
 
 
-def _balanced(parts: list[Column], kind: type) -> Column:
+def balanced(parts: list[Column], kind: type) -> Column:
+    """All parts connected, as a tree of small depth."""
     while len(parts) > 1:
         parts = [reduce(lambda a, b: a & b if kind is And else a | b, parts[i : i + 2]) for i in range(0, len(parts), 2)]
     return parts[0]
@@ -219,53 +220,120 @@ def _compile_chain(terms: list[Term], kinds: list[type], compat: bool) -> Column
         start = at - 1
         while start and kinds[start - 1] is kinds[at - 1]:
             start -= 1
-        out, at = _balanced([*columns[start:at], out], kinds[at - 1]), start
+        out, at = balanced([*columns[start:at], out], kinds[at - 1]), start
     return out
 
 
-def time_range(node: Node) -> tuple[int | None, int | None] | None:
-    """The closed range of epoch microseconds outside which nothing can match (None: open end); None: nothing matches.
+# --- what a filter implies ----------------------------------------------------------------
 
-    And intersects, Or takes the hull, a term without time is the full range. Sound for both modes.
-    """
+#: Epoch microseconds before and after all times.
+FIRST, LAST = -(2**63), 2**63 - 1
+Interval = tuple[int, int]
+ALWAYS: list[Interval] = [(FIRST, LAST)]
+#: Intervals that a predicate on partitions or files tests; a filter with more tests the hulls of neighbours.
+MOST_INTERVALS = 64
+
+
+def union(a: list[Interval], b: list[Interval]) -> list[Interval]:
+    """Sorted disjoint closed intervals that cover both; neighbours without a microsecond between are one."""
+    out: list[Interval] = []
+    for low, high in sorted([*a, *b]):
+        if out and low <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], high))
+        else:
+            out.append((low, high))
+    return out
+
+
+def intersection(a: list[Interval], b: list[Interval]) -> list[Interval]:
+    out, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        low, high = max(a[i][0], b[j][0]), min(a[i][1], b[j][1])
+        if low <= high:
+            out.append((low, high))
+        if a[i][1] < b[j][1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+def fewer(intervals: list[Interval], most: int = MOST_INTERVALS) -> list[Interval]:
+    """At most ``most`` intervals that cover these: the smallest gaps are closed."""
+    if len(intervals) <= most:
+        return intervals
+    gaps = sorted(range(1, len(intervals)), key=lambda i: intervals[i][0] - intervals[i - 1][1], reverse=True)
+    starts = [0, *sorted(gaps[: most - 1]), len(intervals)]
+    return [(intervals[a][0], intervals[b - 1][1]) for a, b in zip(starts, starts[1:], strict=False)]
+
+
+def _fold(node: Node, of_term, both, either):
+    """A value of a tree from those of its terms, for chains of any length."""
     if isinstance(node, Term):
-        return _term_range(node)
-    if not node.parts:
-        return (None, None)
+        return of_term(node)
     terms, kinds = chain(node)
-    out = _term_range(terms.pop())
+    out = of_term(terms.pop())
     while terms:
-        r = _term_range(terms.pop())
-        out = _intersection(r, out) if kinds.pop() is And else _hull(r, out)
+        out = (both if kinds.pop() is And else either)(of_term(terms.pop()), out)
     return out
 
 
-def _term_range(term: Term) -> tuple[int | None, int | None]:
+def time_intervals(node: Node) -> list[Interval]:
+    """The times, as sorted disjoint closed intervals of epoch microseconds, outside which nothing can match.
+
+    Exact for what a filter says of whole comparisons; a term without time allows all. Sound for both modes.
+    """
+    if not isinstance(node, Term) and not node.parts:
+        return ALWAYS
+    return _fold(node, _term_intervals, intersection, union)
+
+
+def _term_intervals(term: Term) -> list[Interval]:
     if FIELDS[term.field][1] != "time" or term.op == "!=":
-        return (None, None)
+        return ALWAYS
     second = term.value + 999_999
-    return {"==": (term.value, term.value), "<": (None, term.value), "<=": (None, second), ">": (term.value, None), ">=": (term.value, None)}[term.op]
+    return [{"==": (term.value, term.value), "<": (FIRST, term.value), "<=": (FIRST, second), ">": (term.value, LAST), ">=": (term.value, LAST)}[term.op]]
 
 
-def _intersection(a: tuple | None, b: tuple | None) -> tuple[int | None, int | None] | None:
-    if a is None or b is None:
-        return None
-    low = a[0] if b[0] is None else b[0] if a[0] is None else max(a[0], b[0])
-    high = a[1] if b[1] is None else b[1] if a[1] is None else min(a[1], b[1])
-    return None if low is not None and high is not None and low > high else (low, high)
+def host_sets(node: Node) -> list[frozenset[int]]:
+    """Sets of addresses: a matching packet has one of each set at one of its ends. Empty if the filter asks for none."""
 
+    def of_term(term: Term) -> list[frozenset[int]]:
+        return [frozenset([term.value])] if FIELDS[term.field][1] == "ip" and term.op == "==" else []
 
-def _hull(a: tuple | None, b: tuple | None) -> tuple[int | None, int | None] | None:
-    if a is None or b is None:
-        return b if a is None else a
-    return (None if a[0] is None or b[0] is None else min(a[0], b[0]), None if a[1] is None or b[1] is None else max(a[1], b[1]))
+    def either(a: list, b: list) -> list:
+        # one set from each side, the smallest, is enough to be sound
+        return [min(a, key=len) | min(b, key=len)] if a and b else []
+
+    if not isinstance(node, Term) and not node.parts:
+        return []
+    return list(dict.fromkeys(_fold(node, of_term, lambda a, b: [*a, *b], either)))
+
+
+def time_range(node: Node) -> tuple[int | None, int | None] | None:
+    """The hull of ``time_intervals`` (None: open end); None: nothing matches."""
+    found = time_intervals(node)
+    if not found:
+        return None
+    low, high = found[0][0], found[-1][1]
+    return (None if low == FIRST else low, None if high == LAST else high)
 
 
 def date_predicate(node: Node, column: str = "ts_date") -> Column | None:
-    """The range as a predicate on a UTC date partition column, or None if it says nothing."""
-    r = time_range(node)
-    if r is None:
+    """The intervals as a predicate on a UTC date partition column, or None if they say nothing."""
+    found = time_intervals(node)
+    if found == ALWAYS:
+        return None
+    if not found:
         return F.lit(False)
-    day = lambda us: date(1970, 1, 1) + timedelta(days=us // 86_400_000_000)
-    tests = ([F.col(column) >= F.lit(day(r[0]))] if r[0] is not None else []) + ([F.col(column) <= F.lit(day(r[1]))] if r[1] is not None else [])
-    return reduce(lambda a, b: a & b, tests) if tests else None
+    day = lambda us: us if us in (FIRST, LAST) else us // 86_400_000_000
+    days = fewer(union([(day(a), day(b)) for a, b in found], []))
+    if days == ALWAYS:
+        return None
+
+    def test(low: int, high: int) -> Column:
+        moment = lambda d: F.lit(date(1970, 1, 1) + timedelta(days=d))
+        ends = ([F.col(column) >= moment(low)] if low != FIRST else []) + ([F.col(column) <= moment(high)] if high != LAST else [])
+        return reduce(lambda a, b: a & b, ends)
+
+    return balanced([test(*d) for d in days], Or)

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from packetlens.functions.ip import ip_to_long, long_to_ip, packet_text
 from packetlens.operators.engine import PacketFrame
 from packetlens.operators.flows import flow_rollup, host_clusters
-from packetlens.plans.store import read_store, shared_path, write_store
+from packetlens.plans import dsl
+from packetlens.plans.manifest import vacuum
+from packetlens.plans.store import compact_store, read_store, shared_path, write_store
 from packetlens.schema import AGGREGATE_FIELDS, PACKET_COLUMNS
 from packetlens.sinks.files import console_rows, csv_name, pcap_name, write_pcap
 from packetlens.sources.pcap import capture_statistics, local_path, open_captures, register
@@ -113,6 +115,36 @@ def _stored(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+#: A filter whose hosts and times are in few of a store's files.
+MANIFEST_HOST = ("ip.addr == 192.168.0.7 && frame.time >= Jan 10, 2024 00:00:00 || ip.src == 10.0.0.1", "(src_ip = 3232235527 OR dst_ip = 3232235527) AND (ts_us >= 1704844800000000 OR src_ip = 167772161)")
+#: Batches of a store that is filled day by day.
+WEEKS = 5
+
+
+def _filled(spark: SparkSession, sf_dir: str) -> str:
+    """A store of a batch for each week, hosts of even and odd address apart."""
+    path, rows = shared_path(spark, "store"), packets(spark, sf_dir)
+    first = F.lit(1704067200000000)
+    week = F.least(F.call_function("div", F.unix_micros("ts") - first, F.lit(7 * DAY)), F.lit(WEEKS - 1))
+    for w in range(WEEKS):
+        for odd in (0, 1):
+            write_store(rows.where((week == w) & (F.col("dst_ip") % 2 == odd)).select(*PACKET_COLUMNS), path, partitions=2)
+    return path
+
+
+def filled_store(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter over a store of several batches, of which the manifest leaves some files."""
+    return _plain(read_store(spark, _filled(spark, sf_dir), text).df)
+
+
+def compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All packets of a store whose batches were compacted and removed."""
+    path = _filled(spark, sf_dir)
+    compact_store(spark, path)
+    vacuum(spark, path, older_than_seconds=0)
+    return _plain(read_store(spark, path).df)
+
+
 def _plain(df: DataFrame) -> DataFrame:
     return df.select(*[c for c in PACKET_COLUMNS if c != "ts"], F.unix_micros("ts").alias("ts_us"))
 
@@ -249,24 +281,26 @@ def optioned(how: dict, spark: SparkSession, sf_dir: str) -> DataFrame:
     return PacketFrame(packets(spark, sf_dir)).filter("ip.addr == 192.168.0.7").aggregate("mean", "length", HOUR, **how)
 
 
-#: Filter -> canonical text, written by hand.
+#: Filter -> canonical text and predicate in SQL, written by hand.
 CANONICAL = {
-    "": "()",
-    "udp": "(proto == 17)",
-    "ip.addr == 88.221.154.110": "(ip.addr == 88.221.154.110)",
-    "ip.addr != 10.0.0.1 && udp": "((ip.addr != 10.0.0.1 and proto == 17))",
-    "icmp || udp && frame.len < 60": "((proto == 1 or (proto == 17 and length < 60)))",
-    "frame.time < Jan 15, 2024 00:00:00": "(frame.time: < 1705276800 0)",
-    "ip.addr != 10.0.0.1 && udp ||tcp": "((ip.addr != 10.0.0.1 and (proto == 17 or proto == 6)))",
+    "": ("()", "TRUE"),
+    "udp": ("(proto == 17)", "proto = 17"),
+    "ip.addr == 88.221.154.110": ("(ip.addr == 88.221.154.110)", "src_ip = 1490918254 OR dst_ip = 1490918254"),
+    "ip.addr != 10.0.0.1 && udp": ("((ip.addr != 10.0.0.1 and proto == 17))", "(src_ip <> 167772161 OR dst_ip <> 167772161) AND proto = 17"),
+    "icmp || udp && frame.len < 60": ("((proto == 1 or (proto == 17 and length < 60)))", "proto = 1 OR (proto = 17 AND length < 60)"),
+    "frame.time < Jan 15, 2024 00:00:00": ("(frame.time: < 1705276800 0)", f"ts_us < {JAN15}"),
+    "ip.addr != 10.0.0.1 && udp ||tcp": ("((ip.addr != 10.0.0.1 and (proto == 17 or proto == 6)))", "(src_ip <> 167772161 OR dst_ip <> 167772161) AND (proto = 17 OR proto = 6)"),
 }
 
 
 def canonical_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical text of filters, and the names of the series and captures made from them."""
+    """Canonical text of filters, the names of the series and captures made from them, and how many packets these have."""
     frame = PacketFrame(packets(spark, sf_dir))
     made = [frame.filter(text) for text in CANONICAL]
-    rows = [(text, f.canonical(), csv_name(f, "sum", "length", HOUR), pcap_name(f)) for text, f in zip(CANONICAL, made, strict=True)]
-    return spark.createDataFrame(rows, "filter string, canonical string, csv string, pcap string")
+    counts = frame.df.agg(*[F.count_if(dsl.compile_filter(dsl.parse(text))).alias(f"f{i}") for i, text in enumerate(CANONICAL)])
+    names = ("filter", "canonical", "csv", "pcap", "packets")
+    rows = [(F.lit(t), F.lit(f.canonical()), F.lit(csv_name(f, "sum", "length", HOUR)), F.lit(pcap_name(f)), F.col(f"f{i}")) for i, (t, f) in enumerate(zip(CANONICAL, made, strict=True))]
+    return counts.select(F.explode(F.array(*[F.struct(*[c.alias(n) for c, n in zip(r, names, strict=True)]) for r in rows])).alias("r")).select("r.*")
 
 
 def console(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,6 +338,9 @@ def queries() -> dict:
         "filter_ip_or_proto_store": partial(store_filtered, "ip.src == 10.0.0.1 || udp"),
         "filter_time_disjoint_store": partial(store_filtered, FILTERS["filter_time_disjoint"][0]),
         "filter_time_range_store": partial(store_filtered, FILTERS["filter_time_range"][0]),
+        "store_manifest_host": partial(filled_store, MANIFEST_HOST[0]),
+        "store_disjoint_pruned": partial(filled_store, FILTERS["filter_time_disjoint"][0]),
+        "store_compacted": compacted,
         "pcap_roundtrip": pcap_roundtrip,
         "pcap_single_file": partial(single_file, ""),
         "pcap_single_file_filtered": partial(single_file, FILTERS["filter_or_and_nesting"][0]),
@@ -347,6 +384,9 @@ def oracle_sql() -> dict[str, str]:
         "filter_ip_or_proto_store": stored(FILTERS["filter_ip_or_proto"][1]),
         "filter_time_disjoint_store": stored(FILTERS["filter_time_disjoint"][1]),
         "filter_time_range_store": stored(FILTERS["filter_time_range"][1]),
+        "store_manifest_host": stored(MANIFEST_HOST[1]),
+        "store_disjoint_pruned": stored(FILTERS["filter_time_disjoint"][1]),
+        "store_compacted": stored("TRUE"),
         "pcap_roundtrip": stored("TRUE"),
         "pcap_single_file": stored("TRUE"),
         "pcap_single_file_filtered": stored(FILTERS["filter_or_and_nesting"][1]),
@@ -354,9 +394,12 @@ def oracle_sql() -> dict[str, str]:
         "store_mixed_ingest": stored("TRUE"),
         "store_uncompressed": stored("TRUE"),
         "capture_statistics": _with("SELECT count(*) AS records, count(*) AS ipv4, CAST(0 AS BIGINT) AS ipv6, count(*) AS kept, CAST(0 AS BIGINT) AS dropped FROM packets"),
-        "canonical_names": "SELECT filter, canonical, canonical || '_sum_length_3600.000000secs.csv' AS csv, canonical || '.pcap' AS pcap FROM (VALUES "
-        + ", ".join(f"('{text}', '{canonical}')" for text, canonical in CANONICAL.items())
-        + ") t(filter, canonical)",
+        "canonical_names": _with(
+            " UNION ALL ".join(
+                f"SELECT '{text}' AS filter, '{name}' AS canonical, '{name}_sum_length_3600.000000secs.csv' AS csv, '{name}.pcap' AS pcap, count(*) FILTER ({where}) AS packets FROM packets"
+                for text, (name, where) in CANONICAL.items()
+            )
+        ),
         "agg_fill_gaps": f"WITH {packets_cte()},"
             f" s AS (SELECT (ts_us // {HOUR}) * {HOUR} AS interval, CAST(sum(length) // count(*) AS BIGINT) AS mean_length FROM packets WHERE src_ip = 3232235527 OR dst_ip = 3232235527 GROUP BY 1)"
             f" SELECT g.interval, mean_length FROM (SELECT unnest(range(min(interval), max(interval) + 1, {HOUR})) AS interval FROM s) g LEFT JOIN s USING (interval)",
