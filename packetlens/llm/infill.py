@@ -312,8 +312,8 @@ def _arranged(chunks: DataFrame, plan: DataFrame, size: int) -> DataFrame:
     return heads.unionByName(pieces.select(*COLUMNS[:6], "s.ord", "s.at", "s.output"))
 
 
-def infill(df: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int = SEED, chunk: int = CHUNK) -> DataFrame:
-    """Output pieces of every row: own_row (null where one piece is all), doc_id, n, form, prefix_chars, middle_chars, ord, at, output."""
+def infill_parts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int = SEED, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """The outputs of short rows and the output pieces of long ones, with the columns of ``infill``."""
     spark = df.sparkSession
     ship(spark)
     kind = df.schema[doc_id].dataType.simpleString()
@@ -325,7 +325,13 @@ def infill(df: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int
     dealt = own.mapInArrow(_cutter(chunk), f"own_row long, doc_id {kind}, digest string, part long, chunk string").repartition("own_row", "part")
     chunks = Scratch(spark).keep(dealt)
     plan = Scratch(spark).keep(cut_documents(chunks, chunk))
-    return short.unionByName(_arranged(chunks, plan, chunk))
+    return short, _arranged(chunks, plan, chunk)
+
+
+def infill(df: DataFrame, **how) -> DataFrame:
+    """Output pieces of every row: own_row (null where one piece is all), doc_id, n, form, prefix_chars, middle_chars, ord, at, output. Options as in ``infill_parts``."""
+    short, long = infill_parts(df, **how)
+    return short.unionByName(long)
 
 
 # --- reading back -------------------------------------------------------------------------
@@ -419,21 +425,20 @@ def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows()
 
 
-def infill_digests(pieces: DataFrame) -> DataFrame:
-    """doc_id, n, prefix_chars, middle_chars, form, and the digests of the output and of the text restored from it, of what ``infill`` returns."""
-    kind = pieces.schema["doc_id"].dataType.simpleString()
-    short = pieces.where("own_row IS NULL").select("doc_id", "n", "prefix_chars", "middle_chars", "form", "output")
-    short = short.mapInArrow(_digests, f"doc_id {kind}, n long, prefix_chars long, middle_chars long, form string, output_sha256 string, restored_sha256 string")
-    long = pieces.where("own_row IS NOT NULL")
+def infill_digests(short: DataFrame, long: DataFrame) -> DataFrame:
+    """doc_id, n, prefix_chars, middle_chars, form, and the digests of the output and of the text restored from it, of what ``infill_parts`` returns."""
+    kind = short.schema["doc_id"].dataType.simpleString()
+    whole = short.select("doc_id", "n", "prefix_chars", "middle_chars", "form", "output")
+    whole = whole.mapInArrow(_digests, f"doc_id {kind}, n long, prefix_chars long, middle_chars long, form string, output_sha256 string, restored_sha256 string")
     about = long.groupBy("own_row").agg(*[F.first(c).alias(c) for c in COLUMNS[1:6]])
     stream = long.select("own_row", "form", "output", "ord", "at").repartition("own_row").sortWithinPartitions("own_row", "ord", "at").select("own_row", "form", "output")
     parts = stream.mapInArrow(_parsed, "own_row long, place int, seq long, piece string").sortWithinPartitions("own_row", "place", "seq")
     hashed = parts.mapInArrow(_streamed, "own_row long, output_sha256 string, restored_sha256 string")
-    return short.unionByName(about.join(hashed, "own_row").drop("own_row"))
+    return whole.unionByName(about.join(hashed, "own_row").drop("own_row"))
 
 
 def op13_fill_in_middle(spark, sf_dir: str) -> DataFrame:
-    out = infill_digests(infill(table(spark, sf_dir, "documents")))
+    out = infill_digests(*infill_parts(table(spark, sf_dir, "documents")))
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
 
 
