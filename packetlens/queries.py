@@ -17,7 +17,7 @@ from packetlens.schema import AGGREGATE_FIELDS, PACKET_COLUMNS
 from packetlens.sinks.files import console_rows, csv_name, pcap_name, write_pcap
 from packetlens.sources.pcap import capture_statistics, local_path, open_captures, register
 from packetlens.streaming.live import stream_aggregate, stream_ingest, stream_packets
-from packetlens.testdata import packets, packets_cte
+from packetlens.testdata import FRAME_FIELDS, frames, packets, packets_cte
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
 ROW = ["event_id", "src_ip", "dst_ip", "src_port", "dst_port", "proto", "length", "ts_us"]
@@ -211,6 +211,38 @@ def counted_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture_statistics(spark, path).agg(*[F.sum(n).alias(n) for n in names])
 
 
+#: Filters of raw captures: text, predicate in SQL over packets and their frames' fields, whether whole frames are asked for.
+RAW_FILTERS = {
+    "capture_raw_flags": ("tcp[tcpflags] & (tcp-syn|tcp-ack) = tcp-syn and vlan", "NOT v6 AND proto = 6 AND flags & 18 = 2 AND vid >= 0", False),
+    "capture_raw_vlan": ("vlan 101 or (vlan 103 and ip[8] > 60) and not icmp", "NOT v6 AND (vid = 101 OR vid = 103 AND ttl > 60) AND proto <> 1", False),
+    "capture_raw_ipv6": ("ip6 and (udp dst port 53 or icmp6) and ip6[7] - 32 < 48", "v6 AND (proto = 17 AND dst_port = 53 OR proto = 1) AND ttl - 32 < 48", True),
+    "capture_raw_payload": ("ip6 net 2001:db8::/32 and tcp and tcp[4:4] % 10 >= 5 or src net 192.168 and len > 200", "(v6 AND proto = 6 AND event_id % 10 >= 5 OR NOT v6 AND src_ip BETWEEN 3232235520 AND 3232301055) AND length > 100", True),
+}
+
+
+def raw_captured(text: str, whole: bool, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ethernet captures of the packets, filtered by what only the frames hold."""
+    register(spark)
+    path = local_path(shared_path(spark, "captures"))
+    frames(spark, sf_dir).write.format("pcap").mode("append").save(path)
+    found = open_captures(spark, path, capture_filter=text, frames=whole)
+    return found.select(F.unix_micros("ts").alias("ts_us"), "length", F.length("frame").alias("captured")) if whole else _plain(found)
+
+
+def _raw_sql(where: str, whole: bool) -> str:
+    size = "14 + CASE WHEN vid >= 0 THEN 4 ELSE 0 END + CASE WHEN v6 THEN 40 ELSE 20 END + CASE proto WHEN 6 THEN 20 ELSE 8 END"
+    columns = f"ts_us, length + 100 AS length, {size} AS captured" if whole else "src_ip, dst_ip, src_port, dst_port, proto, length + 100 AS length, ts_us"
+    return _with(f"SELECT {columns} FROM (SELECT *, {FRAME_FIELDS} FROM packets) WHERE {where}")
+
+
+def pushed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comparisons of columns that the capture source tests itself."""
+    register(spark)
+    path = local_path(shared_path(spark, "captures"))
+    packets(spark, sf_dir).select(*[F.col(f.name).cast(f.dataType) for f in _schema()]).write.format("pcap").mode("append").save(path)
+    return _plain(PacketFrame(open_captures(spark, path)).filter("proto != 1 && frame.len > 60 && port.dst == 443 && frame.time >= Jan 10, 2024 00:00:00").df)
+
+
 #: Streaming aggregates beside the sum of lengths: operator, field, window and slide in microseconds.
 STREAMS = {
     "stream_agg": ("sum", "length", HOUR, None),
@@ -358,6 +390,8 @@ def queries() -> dict:
     out |= {name: partial(compat_filtered, text) for name, (text, _) in COMPAT_FILTERS.items()}
     out |= {f"compat_{op}_v4Dst": partial(compat_summed, op) for op in ("sum", "min")}
     out |= {name: partial(captured, text) for name, (text, _) in CAPTURE_FILTERS.items()}
+    out |= {name: partial(raw_captured, text, whole) for name, (text, _, whole) in RAW_FILTERS.items()}
+    out["capture_pushed_filters"] = pushed
     return out
 
 
@@ -414,6 +448,8 @@ def oracle_sql() -> dict[str, str]:
     out |= {name: _stream_sql(*how) for name, how in STREAMS.items()}
     out |= {name: _rows_sql(where.format(src=_SWAPPED.format("src_ip"), limit=_SWAPPED.format(167772210))) for name, (_, where) in COMPAT_FILTERS.items()}
     out |= {name: _rows_sql(where) for name, (_, where) in CAPTURE_FILTERS.items()}
+    out |= {name: _raw_sql(where, whole) for name, (_, where, whole) in RAW_FILTERS.items()}
+    out["capture_pushed_filters"] = stored("proto <> 1 AND length > 60 AND dst_port = 443 AND ts_us >= 1704844800000000")
     swapped = _SWAPPED.format("dst_ip")
     for op, value in (("sum", f"sum({swapped}) % 4294967296"), ("min", f"min({swapped})")):
         out[f"compat_{op}_v4Dst"] = _with(f"SELECT (ts_us // {DAY}) * {DAY} AS interval, CAST({value} AS BIGINT) AS {op}_v4Dst FROM packets GROUP BY 1")

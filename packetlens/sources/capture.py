@@ -10,16 +10,16 @@ from __future__ import annotations
 
 import struct
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 
 from packetlens.schema import ICMP, TCP, UDP
+from packetlens.sources.frames import Frames
 
-ETHERNET, NULL, LOOP, RAW, SLL, SLL2 = 1, 0, 108, (12, 14, 101, 228), 113, 276
 CLASSIC = {b"\xd4\xc3\xb2\xa1": ("<", 1000), b"\xa1\xb2\xc3\xd4": (">", 1000), b"\x4d\x3c\xb2\xa1": ("<", 1), b"\xa1\xb2\x3c\x4d": (">", 1)}
 PCAPNG = b"\x0a\x0d\x0d\x0a"
-VLAN_TYPES = (0x8100, 0x88A8, 0x9100)
 
 
 class CaptureError(ValueError):
@@ -66,53 +66,116 @@ def _link(header: bytes | memoryview, order: str) -> int:
     return struct.unpack_from(order + "I", header, 20)[0] & 0x0FFFFFFF
 
 
-def _pcapng(buf: memoryview) -> tuple[np.ndarray, ...]:
-    rows, order, links, units, at = [], "<", [], [], 0
-    while at + 12 <= len(buf):
-        kind = struct.unpack_from(order + "I", buf, at)[0]
+@dataclass
+class Tables:
+    """What a pcapng reader has to know before a block: byte order, and link type and time unit of each interface of the section."""
+
+    order: str = "<"
+    links: list[int] = field(default_factory=list)
+    units: list[int] = field(default_factory=list)
+
+    def section(self, mark: bytes) -> None:
+        self.order, self.links, self.units = ("<" if mark == LITTLE else ">"), [], []
+
+    def interface(self, link: int, unit: int) -> None:
+        self.links.append(link)
+        self.units.append(unit)
+
+
+LITTLE, BIG = b"\x4d\x3c\x2b\x1a", b"\x1a\x2b\x3c\x4d"
+#: Kinds of block: section, interface, packet (obsolete), simple packet, enhanced packet.
+SECTION, INTERFACE, PACKET, SIMPLE, ENHANCED = 0x0A0D0D0A, 1, 2, 3, 6
+
+
+def _unit(buf: memoryview, order: str, at: int, end: int) -> int:
+    """Units a second of an interface, from the options of its block."""
+    while at + 4 <= end:
+        code, n = struct.unpack_from(order + "HH", buf, at)
+        if code == 0:
+            break
+        if code == 9:
+            return 2 ** (buf[at + 4] & 0x7F) if buf[at + 4] & 0x80 else 10 ** buf[at + 4]
+        at += 4 + (n + 3) // 4 * 4
+    return 10**6
+
+
+def _pcapng(buf: memoryview, tables: Tables | None = None, at: int = 0, stop: int | None = None, found: list | None = None) -> tuple:
+    """Records of the blocks that begin at ``at`` or later and before ``stop``; the last item is where the next block begins.
+
+    ``found`` gets the sections and interfaces instead, and no packet is read.
+    """
+    rows, tables = [], tables or Tables()
+    stop = len(buf) if stop is None else stop
+    while at < stop and at + 12 <= len(buf):
         if bytes(buf[at : at + 4]) == PCAPNG:
-            order = "<" if bytes(buf[at + 8 : at + 12]) == b"\x4d\x3c\x2b\x1a" else ">"
-            kind, links, units = 0x0A0D0D0A, [], []
-        size = struct.unpack_from(order + "I", buf, at + 4)[0]
+            mark = bytes(buf[at + 8 : at + 12])
+            tables.section(mark)
+            if found is not None:
+                found.append((at, "section", int(mark == LITTLE), 0))
+        kind, size = struct.unpack_from(tables.order + "II", buf, at)
         if size < 12 or at + size > len(buf):
             break
-        if kind == 1:
-            links.append(struct.unpack_from(order + "H", buf, at + 8)[0])
-            unit, opt = 10**6, at + 16
-            while opt + 4 <= at + size - 4:
-                code, n = struct.unpack_from(order + "HH", buf, opt)
-                if code == 0:
-                    break
-                if code == 9:
-                    unit = 2 ** (buf[opt + 4] & 0x7F) if buf[opt + 4] & 0x80 else 10 ** buf[opt + 4]
-                opt += 4 + (n + 3) // 4 * 4
-            units.append(unit)
-        elif kind in (2, 6) and size >= 32:
-            where, high, low, captured, original = struct.unpack_from(order + ("IIIII" if kind == 6 else "HxxIIII"), buf, at + 8)
-            if where < len(links) and captured <= size - 32:
-                rows.append((at + 28, captured, original, ((high << 32) | low) * 10**6 // units[where], links[where]))
-        elif kind == 3 and links:
-            original = struct.unpack_from(order + "I", buf, at + 8)[0]
-            rows.append((at + 12, min(original, size - 16), original, 0, links[0]))
+        if kind == INTERFACE:
+            link, unit = struct.unpack_from(tables.order + "H", buf, at + 8)[0], _unit(buf, tables.order, at + 16, at + size - 4)
+            tables.interface(link, unit)
+            if found is not None:
+                found.append((at, "interface", link, unit))
+        elif found is not None:
+            pass
+        elif kind in (PACKET, ENHANCED) and size >= 32:
+            where, high, low, captured, original = struct.unpack_from(tables.order + ("IIIII" if kind == ENHANCED else "HxxIIII"), buf, at + 8)
+            if where < len(tables.links) and captured <= size - 32:
+                rows.append((at + 28, captured, original, ((high << 32) | low) * 10**6 // tables.units[where], tables.links[where]))
+        elif kind == SIMPLE and tables.links:
+            original = struct.unpack_from(tables.order + "I", buf, at + 8)[0]
+            rows.append((at + 12, min(original, size - 16), original, 0, tables.links[0]))
         at += size
     table = np.array(rows, np.int64).reshape(-1, 5)
-    return tuple(table[:, i] for i in range(5))
+    return *(table[:, i] for i in range(5)), at
+
+
+#: A test of frames: which of them to keep.
+Keep = Callable[[Frames], np.ndarray]
 
 
-def read_packets(data: bytes) -> Packets:
-    """All packets of one capture file."""
+def _records(data: bytes) -> tuple:
+    """Buffer, offsets, captured and original lengths, times and link types of a whole capture file."""
     buf = memoryview(data)
     magic = bytes(buf[:4])
     if magic in CLASSIC:
         if len(buf) < 24:
             raise CaptureError("file header is cut off")
         order, per_us = CLASSIC[magic]
-        off, captured, original, us, link, _ = _classic(buf, order, per_us, _link(buf, order))
+        *records, _ = _classic(buf, order, per_us, _link(buf, order))
     elif magic == PCAPNG:
-        off, captured, original, us, link = _pcapng(buf)
+        *records, _ = _pcapng(buf)
     else:
         raise CaptureError("neither pcap nor pcapng")
-    return _decoded(buf, off, captured, original, us, link)
+    return buf, *records
+
+
+def read_packets(data: bytes, keep: Keep | None = None) -> Packets:
+    """The packets of one capture file whose frames pass ``keep``."""
+    return _decoded(*_records(data), keep)
+
+
+@dataclass
+class RawFrames:
+    """Frames as they were captured."""
+
+    ts_us: np.ndarray
+    length: np.ndarray
+    link: np.ndarray
+    data: list[bytes]
+
+
+def read_frames(data: bytes, keep: Keep | None = None) -> RawFrames:
+    return _raw(*_records(data), keep)
+
+
+def _raw(buf: memoryview, off: np.ndarray, captured: np.ndarray, original: np.ndarray, us: np.ndarray, link: np.ndarray, keep: Keep | None = None) -> RawFrames:
+    some = np.arange(len(off)) if keep is None else np.flatnonzero(keep(Frames(buf, off, captured, original, link)))
+    return RawFrames(us[some], original[some], link[some], [bytes(buf[a : a + n]) for a, n in zip(off[some].tolist(), captured[some].tolist(), strict=True)])
 
 
 def can_split(header: bytes) -> bool:
@@ -157,69 +220,110 @@ def first_record(header: bytes, seconds: int, data: memoryview, to_end: bool) ->
     raise CaptureError("no record found where a split begins; read the file whole with splitbytes=0")
 
 
-def read_split(header: bytes, seconds: int, data: bytes, at_start: bool, size: int, to_end: bool) -> Packets:
-    """Packets of the records that begin in the first ``size`` bytes of ``data``, which holds OVERLAP bytes more or the rest of the file."""
+def split_records(header: bytes, seconds: int, data: bytes, at_start: bool, size: int, to_end: bool) -> tuple:
+    """The records that begin in the first ``size`` bytes of ``data``, which holds OVERLAP bytes more or the rest of the file."""
     buf = memoryview(data)
     order, per_us = CLASSIC[header[:4]]
     at = 0 if at_start else first_record(header, seconds, buf[:OVERLAP], to_end and len(buf) <= OVERLAP)
     last = to_end and size >= len(buf)
-    off, captured, original, us, link, end = _classic(buf, order, per_us, _link(header, order), at, None if last else size)
+    *records, end = _classic(buf, order, per_us, _link(header, order), at, None if last else size)
     if not last and end != size + first_record(header, seconds, buf[size:], to_end):
-        raise CaptureError("a split does not begin where the one before ends; read the file whole with splitbytes=0")
-    return _decoded(buf, off, captured, original, us, link)
+        raise CaptureError(APART)
+    return buf, *records
+
+
+def read_split(header: bytes, seconds: int, data: bytes, at_start: bool, size: int, to_end: bool, keep: Keep | None = None) -> Packets:
+    return _decoded(*split_records(header, seconds, data, at_start, size, to_end), keep)
+
+
+APART = "a split does not begin where the one before ends; read the file whole with splitbytes=0"
+#: Blocks in a row whose lengths fore and aft agree where a pcapng split begins, and the longest block.
+BLOCKS_IN_A_ROW, LONGEST_BLOCK, ALL = 16, 1 << 24, 1 << 30
+
+
+def first_block(data: memoryview, to_end: bool) -> int:
+    """Where the first block at or after the start of ``data`` begins, in either byte order: lengths stand at both ends of a block, so a row of blocks is unmistakable."""
+
+    def blocks(at: int, order: str) -> int:
+        """How many blocks in a row begin at ``at``, ALL for a full row or one that ends where the file does; 0 if one is none."""
+        read, n = struct.Struct(order + "I").unpack_from, 0
+        while n < BLOCKS_IN_A_ROW:
+            if at == len(data) and to_end:
+                return ALL
+            if at + 8 > len(data):
+                return n if to_end else 0
+            if bytes(data[at : at + 4]) == PCAPNG and at + 12 <= len(data):
+                order = "<" if bytes(data[at + 8 : at + 12]) == LITTLE else ">"
+                read = struct.Struct(order + "I").unpack_from
+            size = read(data, at + 4)[0]
+            if size < 12 or size % 4 or size > LONGEST_BLOCK:
+                return 0
+            if at + size > len(data):
+                return n if to_end else 0
+            if read(data, at + size - 4)[0] != size:
+                return 0
+            at, n = at + size, n + 1
+        return ALL
+
+    # blocks begin at multiples of four of the file, and so of a part
+    words = np.frombuffer(data[: min(len(data), OVERLAP) // 4 * 4], np.uint8).view("<u4")
+    size = words[1:]
+    swapped = size.byteswap()
+    likely = ((size >= 12) & (size <= LONGEST_BLOCK) & (size % 4 == 0)) | ((swapped >= 12) & (swapped <= LONGEST_BLOCK) & (swapped % 4 == 0))
+    best, where = 0, len(data)
+    for i in np.flatnonzero(likely):
+        n = max(blocks(4 * int(i), order) for order in "<>")
+        if n == ALL:
+            return 4 * int(i)
+        if n > best:  # the file's end is cut off: the longest row that runs into it
+            best, where = n, 4 * int(i)
+    if to_end:
+        return where
+    raise CaptureError("no block found where a split begins; read the file whole with splitbytes=0")
 
 
-def _decoded(buf: memoryview, off: np.ndarray, captured: np.ndarray, original: np.ndarray, us: np.ndarray, link: np.ndarray) -> Packets:
-    """Packets of the records whose data begin at ``off``."""
+def pcapng_split(data: bytes, at_start: bool, size: int, to_end: bool, tables: Tables | None = None, found: list | None = None) -> tuple:
+    """The records of the blocks that begin in the first ``size`` bytes of ``data``, after ``tables``; with ``found`` only its sections and interfaces."""
+    buf = memoryview(data)
+    at = 0 if at_start else first_block(buf[: 2 * OVERLAP], to_end and len(buf) <= 2 * OVERLAP)
+    if tables is None:
+        # the byte order until the first section in this part: that in which its first block's lengths agree
+        tables = Tables(order=next((o for o in "<>" if at + 8 <= len(buf) and _agrees(buf, at, o)), "<"))
+    last = to_end and size >= len(buf)
+    *records, end = _pcapng(buf, tables, at, len(buf) if last else size, found)
+    if not last and end != size + first_block(buf[size:], to_end):
+        raise CaptureError(APART)
+    return buf, *records
+
+
+def _agrees(buf: memoryview, at: int, order: str) -> bool:
+    size = struct.unpack_from(order + "I", buf, at + 4)[0]
+    return 12 <= size <= len(buf) - at and struct.unpack_from(order + "I", buf, at + size - 4)[0] == size
+
+
+def _decoded(buf: memoryview, off: np.ndarray, captured: np.ndarray, original: np.ndarray, us: np.ndarray, link: np.ndarray, keep: Keep | None = None) -> Packets:
+    """Packets of the records whose data begin at ``off``; ``seen`` counts all of them."""
+    f = Frames(buf, off, captured, original, link)
     seen = Counter(records=len(off))
-    raw = np.concatenate([np.frombuffer(buf, np.uint8), np.zeros(64, np.uint8)])
-    end = off + captured
-    last = len(raw) - 1
-
-    def byte(at: np.ndarray) -> np.ndarray:
-        return raw[np.minimum(at, last)].astype(np.int64)
-
-    def short(at: np.ndarray) -> np.ndarray:
-        return byte(at) << 8 | byte(at + 1)
-
-    def word(at: np.ndarray) -> np.ndarray:
-        return short(at) << 16 | short(at + 2)
-
-    # where the IP header starts; -1 where the link layer carries something else
-    ip = np.full(len(off), -1, np.int64)
-    is_raw = np.isin(link, RAW)
-    ip[is_raw] = off[is_raw]
-    ether = link == ETHERNET
-    at = off + 12
-    for _ in range(3):
-        tagged = ether & np.isin(short(at), VLAN_TYPES) & (at + 4 <= end)
-        at = np.where(tagged, at + 4, at)
-    kind = np.where(ether, short(at), 0)
-    ip = np.where(ether & (kind == 0x0800), at + 2, ip)
-    sll = link == SLL
-    ip = np.where(sll & (short(off + 14) == 0x0800), off + 16, ip)
-    sll2 = link == SLL2
-    ip = np.where(sll2 & (short(off) == 0x0800), off + 20, ip)
-    null = (link == NULL) | (link == LOOP)
-    ip = np.where(null & np.isin(word(off), (2, 0x02000000)), off + 4, ip)
-    v6 = (kind == 0x86DD) | (is_raw & (byte(off) >> 4 == 6))
-    ok = (ip >= 0) & (ip + 20 <= end) & (byte(ip) >> 4 == 4)
-    seen["ipv4"], seen["ipv6"] = int(ok.sum()), int(v6.sum())
-    size = (byte(ip) & 15) * 4
-    proto = byte(ip + 9)
-    body = ip + size
-    known = np.isin(proto, (TCP, UDP, ICMP)) & (size >= 20) & (short(ip + 6) & 0x1FFF == 0)
-    ok &= known & np.where(proto == ICMP, body <= end, body + 4 <= end)
+    seen["ipv4"], seen["ipv6"] = int((f.ip >= 0).sum()), int(f.ip6_any.sum())
+    proto, body = f.proto, f.body
+    ok = (f.ip >= 0) & np.isin(proto, (TCP, UDP, ICMP)) & (body >= 0) & np.where(proto == ICMP, body <= f.end, body + 4 <= f.end)
     seen["kept"], seen["dropped"] = int(ok.sum()), int((~ok).sum())
-    ip, body, proto = ip[ok], body[ok], proto[ok]
+    if keep is not None:
+        ok &= keep(f)
+    ip, body, proto = f.ip[ok], body[ok], proto[ok]
     port = proto != ICMP
-    return Packets(word(ip + 12), word(ip + 16), np.where(port, short(body), 0), np.where(port, short(body + 2), 0), proto, original[ok], us[ok], seen)
+    return Packets(f.word(ip + 12), f.word(ip + 16), np.where(port, f.short(body), 0), np.where(port, f.short(body + 2), 0), proto, original[ok], us[ok], seen)
 
 
 # --- writing ------------------------------------------------------------------------------
 
 #: Raw IP link type; 20 bytes of IP header, and 4 of TCP or UDP.
-FILE_HEADER = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65536, 101)
+def file_header(link: int) -> bytes:
+    return struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65536, link)
+
+
+FILE_HEADER = file_header(101)
 CAPTURED = {TCP: 24, UDP: 24, ICMP: 20}
 RECORD_BYTES = {proto: 16 + n for proto, n in CAPTURED.items()}
 #: A record: its header, an IP header without options, and two ports.
@@ -250,3 +354,9 @@ def packet_records(src_ip, dst_ip, src_port, dst_port, proto, length, ts_us) ->
     if not np.isin(proto, list(CAPTURED)).all():
         raise ValueError("only TCP, UDP and ICMP packets can be written")
     return record_bytes(src_ip, dst_ip, src_port, dst_port, proto, length, ts_us)
+
+
+def frame_records(ts_us: list[int], length: list[int], data: list[bytes]) -> bytes:
+    """Pcap records of whole frames; a length that is missing or too small is that of the frame."""
+    head = struct.Struct("<IIII").pack
+    return b"".join(x for t, n, d in zip(ts_us, length, data, strict=True) for x in (head(t // 1_000_000, t % 1_000_000, len(d), max(n or 0, len(d))), d))

@@ -1,36 +1,59 @@
 """Capture files as Spark tables: batch and streaming data source ``pcap``, and a reader for any store.
 
-``spark.read.format("pcap").load(path)`` reads a folder, glob or file on a file
-system that executors see; classic captures beyond ``splitbytes`` (0: never) are read in parts, whose ends are checked against
-each other. ``read_pcap`` goes through Spark's own ``binaryFile`` reader instead and so
-reaches every store Spark does, a file a task. ``open_captures`` takes the first where it can.
+``spark.read.format("pcap").load(path)`` reads a folder, glob or file on a file system whose byte ranges tasks can read; captures beyond
+``splitbytes`` (0: never) are read in parts, whose ends are checked against each other. A pcapng part also has to know the interfaces before it: ``open_captures`` has the
+parts looked through for them by a first, small job; without that (option ``tables``) pcapng is read a file a task. ``read_pcap`` goes through Spark's own
+``binaryFile`` reader instead and so reaches every store Spark does, a file a task. ``open_captures`` takes the first where it can.
+
+Option ``capturefilter`` is a filter in pcap-filter syntax that is tested on the raw frames before rows are made; comparisons of columns
+are pushed down too. Option ``frames`` ("true") returns the frames themselves, of any protocol: ts, length, link, frame.
 """
 
 from __future__ import annotations
 
-import glob
+import json
 import os
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import (
+    DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, Not, WriterCommitMessage
+)
+from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType, TimestampType
 
 from packetlens.plans.session import ship
 from packetlens.schema import PACKET_SCHEMA
-from packetlens.sources.capture import CLASSIC, FILE_HEADER, OVERLAP, CaptureError, Packets, can_split, packet_records, read_packets, read_split
+from packetlens.sources.capture import (
+    CLASSIC, FILE_HEADER, OVERLAP, PCAPNG, CaptureError, Packets, RawFrames, Tables, _decoded, _raw, can_split, file_header, frame_records, packet_records, pcapng_split, read_frames, read_packets, split_records
+)
+from packetlens.sources.packet_filter import compile_packet_filter
+from packetlens.sources.ranges import file_size, files_at, is_remote, local_path, reachable, read_range
 
 SUFFIXES = (".pcap", ".pcapng", ".cap")
 BATCH = 1 << 20
 SPLIT_BYTES = 64 << 20
+PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
 ARROW_SCHEMA = pa.schema(
     [("src_ip", pa.int64()), ("dst_ip", pa.int64()), ("src_port", pa.int32()), ("dst_port", pa.int32()), ("proto", pa.int16()), ("length", pa.int32()), ("ts", pa.timestamp("us", tz="UTC"))]
 )
 
 
-def to_arrow(p: Packets) -> Iterator[pa.RecordBatch]:
+FRAME_SCHEMA = StructType([StructField("ts", TimestampType()), StructField("length", IntegerType()), StructField("link", IntegerType()), StructField("frame", BinaryType())])
+ARROW_FRAMES = pa.schema([("ts", pa.timestamp("us", tz="UTC")), ("length", pa.int32()), ("link", pa.int32()), ("frame", pa.binary())])
+
+
+def to_arrow(p: Packets | RawFrames) -> Iterator[pa.RecordBatch]:
+    if isinstance(p, RawFrames):
+        for start in range(0, max(1, len(p.data)), BATCH_FRAMES):
+            some = slice(start, start + BATCH_FRAMES)
+            columns = [pa.array(p.ts_us[some], pa.int64()).cast(ARROW_FRAMES.field("ts").type), pa.array(p.length[some]).cast(pa.int32()), pa.array(p.link[some]).cast(pa.int32()), pa.array(p.data[some], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, schema=ARROW_FRAMES)
+        return
     columns = [p.src_ip, p.dst_ip, p.src_port, p.dst_port, p.proto, p.length]
     arrays = [pa.array(c).cast(f.type) for c, f in zip(columns, ARROW_SCHEMA, strict=False)] + [pa.array(p.ts_us, pa.int64()).cast(ARROW_SCHEMA.field("ts").type)]
     table = pa.RecordBatch.from_arrays(arrays, schema=ARROW_SCHEMA)
@@ -38,77 +61,155 @@ def to_arrow(p: Packets) -> Iterator[pa.RecordBatch]:
         yield table.slice(start, BATCH)
 
 
-def local_path(path: str) -> str:
-    if path.startswith("file:"):
-        return "/" + path[5:].lstrip("/")
-    if "://" in path:
-        raise ValueError(f"format pcap reads file systems that executors see; use read_pcap for {path}")
-    return path
+BATCH_FRAMES = 1 << 14
 
 
 def capture_files(path: str) -> list[str]:
     """The capture files of a folder, glob or single path, in name order."""
-    path = local_path(path)
-    if os.path.isdir(path):
-        found = [os.path.join(path, n) for n in os.listdir(path) if n.endswith(SUFFIXES) and n[0] not in "._"]
-    else:
-        found = [p for p in glob.glob(path) if os.path.isfile(p)]
-    return sorted(found)
+    return files_at(path, SUFFIXES)
 
 
 class FilePartition(InputPartition):
-    """A capture file, or the records of one that begin in bytes [start, stop)."""
+    """A capture file, or the records of one that begin in bytes [start, stop); for pcapng with the tables before them."""
 
-    def __init__(self, path: str, start: int = 0, stop: int = 0):
-        self.path, self.start, self.stop = path, start, stop
+    def __init__(self, path: str, start: int = 0, stop: int = 0, tables: Tables | None = None):
+        self.path, self.start, self.stop, self.tables = path, start, stop, tables
 
 
-def splits(path: str, split_bytes: int) -> list[FilePartition]:
-    """A large classic capture in parts of about ``split_bytes``; any other file whole."""
-    size = os.path.getsize(path)
-    n = (size - 24) // split_bytes if split_bytes else 1
+def splits(path: str, split_bytes: int, found: list | None = None) -> list[FilePartition]:
+    """A large capture in parts of about ``split_bytes``; pcapng only with its tables (``found``), any other file whole."""
+    size = file_size(path)
+    n = size // split_bytes if split_bytes else 1
     if n < 2:
         return [FilePartition(path)]
-    with open(path, "rb") as f:
-        if not can_split(f.read(24)):
-            return [FilePartition(path)]
-    ends = [24 + (size - 24) * i // n for i in range(n)] + [size]
-    return [FilePartition(path, a, b) for a, b in zip(ends, ends[1:], strict=False)]
+    head = read_range(path, 0, 24)
+    if can_split(head):
+        ends = [24 + (size - 24) * i // n for i in range(n)] + [size]
+        return [FilePartition(path, a, b) for a, b in zip(ends, ends[1:], strict=False)]
+    if head[:4] != PCAPNG or found is None:
+        return [FilePartition(path)]
+    out, todo, tables = [], sorted(found), Tables()
+    for start, stop in block_parts(size, n):
+        while todo and todo[0][0] < start:
+            _, kind, a, b = todo.pop(0)
+            if kind == "section":
+                tables = Tables(order="<" if a else ">")
+            else:
+                tables = Tables(tables.order, [*tables.links, a], [*tables.units, b])
+        out.append(FilePartition(path, start, stop, tables))
+    return out
+
+
+def block_parts(size: int, n: int) -> list[tuple[int, int]]:
+    """A pcapng file's bytes in n parts that begin at multiples of four, as blocks do."""
+    ends = [size * i // n // 4 * 4 for i in range(n)] + [size]
+    return list(zip(ends, ends[1:], strict=False))
+
+
+def _part(partition: FilePartition) -> tuple:
+    """The records of a part of a file."""
+    size = partition.stop - partition.start
+    if partition.tables is not None:
+        data = read_range(partition.path, partition.start, size + 2 * OVERLAP)
+        tables = Tables(partition.tables.order, list(partition.tables.links), list(partition.tables.units))
+        return pcapng_split(data, partition.start == 0, size, partition.start + len(data) >= file_size(partition.path), tables)
+    head = read_range(partition.path, 0, 40)
+    data = read_range(partition.path, partition.start, size + OVERLAP)
+    seconds = int.from_bytes(head[24:28], "little" if CLASSIC[head[:4]][0] == "<" else "big")
+    return split_records(head[:24], seconds, data, partition.start == 24, size, partition.start + len(data) >= file_size(partition.path))
+
+
+class Reading:
+    """What a reader does with records: options ``capturefilter`` and ``frames``, and pushed filters."""
+
+    def __init__(self, options: dict):
+        self.path, self.strict = options["path"], options.get("ignorecorrupt", "false").lower() != "true"
+        self.split_bytes = int(options.get("splitbytes", SPLIT_BYTES))
+        self.filter, self.frames = options.get("capturefilter", ""), options.get("frames", "false").lower() == "true"
+        self.tables = json.loads(options.get("tables", "{}"))
+        self.pushed: list[Filter] = []
+        compile_packet_filter(self.filter)  # a syntax error is raised before any task runs
 
+    def parts(self, files: list[str]) -> list[FilePartition]:
+        return [p for f in files for p in splits(f, self.split_bytes, self.tables.get(f))]
 
-def _read(partition: FilePartition, strict: bool) -> Iterator[pa.RecordBatch]:
-    with open(partition.path, "rb") as f:
+    def rows(self, partition: FilePartition) -> Iterator[pa.RecordBatch]:
+        keep = compile_packet_filter(self.filter) if self.filter else None
+        make = _raw if self.frames else _decoded
         if partition.stop:
-            header, first = f.read(24), f.read(16)
-            f.seek(partition.start)
-            size, end = partition.stop - partition.start, os.fstat(f.fileno()).st_size
-            data = f.read(size + OVERLAP)
             # a file whose splits do not meet is never skipped: that would lose records
-            seconds = int.from_bytes(first[:4], "little" if CLASSIC[header[:4]][0] == "<" else "big")
-            yield from to_arrow(read_split(header, seconds, data, partition.start == 24, size, partition.start + len(data) >= end))
-            return
-        data = f.read()
-    try:
-        yield from to_arrow(read_packets(data))
-    except CaptureError:
-        if strict:
-            raise
-        print(f"not critical: {partition.path} is no readable capture, skipped")
+            return self.passed(to_arrow(make(*_part(partition), keep)))
+        try:
+            return self.passed(to_arrow((read_frames if self.frames else read_packets)(read_range(partition.path, 0), keep)))
+        except CaptureError:
+            if self.strict:
+                raise
+            print(f"not critical: {partition.path} is no readable capture, skipped")
+            return iter(())
+
+    def passed(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if self.pushed:
+                mask = np.ones(batch.num_rows, bool)
+                for f in self.pushed:
+                    mask &= filter_mask(f, batch)
+                batch = batch.filter(pa.array(mask))
+            yield batch
+
+
+_COMPARE = {EqualTo: np.equal, GreaterThan: np.greater, GreaterThanOrEqual: np.greater_equal, LessThan: np.less, LessThanOrEqual: np.less_equal}
+
+
+def can_push(f: Filter) -> bool:
+    """Whether the source tests a filter itself: comparisons of numbers and times."""
+    if isinstance(f, Not):
+        return can_push(f.child)
+    if isinstance(f, IsNotNull):
+        return True
+    values = f.value if isinstance(f, In) else [f.value] if type(f) in _COMPARE else [None]
+    return len(f.attribute) == 1 and all(isinstance(v, (int, datetime)) and not isinstance(v, bool) for v in values)
+
+
+def _number(value: int | datetime) -> int:
+    if not isinstance(value, datetime):
+        return value
+    moment = value.astimezone(timezone.utc) if value.tzinfo else value.replace(tzinfo=timezone.utc)
+    since = moment - datetime(1970, 1, 1, tzinfo=timezone.utc)
+    return (since.days * 86_400 + since.seconds) * 1_000_000 + since.microseconds
+
+
+def filter_mask(f: Filter, batch: pa.RecordBatch) -> np.ndarray:
+    """The rows of a batch, which has no nulls, that pass a pushed filter."""
+    if isinstance(f, Not):
+        return ~filter_mask(f.child, batch)
+    if isinstance(f, IsNotNull):
+        return np.ones(batch.num_rows, bool)
+    column = batch.column(batch.schema.get_field_index(f.attribute[0]))
+    values = (column.cast(pa.int64()) if pa.types.is_timestamp(column.type) else column).to_numpy(zero_copy_only=False).astype(np.int64)
+    if isinstance(f, In):
+        return np.isin(values, [_number(v) for v in f.value])
+    return _COMPARE[type(f)](values, _number(f.value))
 
 
 class PcapReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.strict = options["path"], options.get("ignorecorrupt", "false").lower() != "true"
-        self.split_bytes = int(options.get("splitbytes", SPLIT_BYTES))
+        self.reading = Reading(options)
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if can_push(f):
+                self.reading.pushed.append(f)
+            else:
+                yield f
 
     def partitions(self):
-        files = capture_files(self.path)
+        files = capture_files(self.reading.path)
         if not files:
-            raise FileNotFoundError(f"no capture file at {self.path}")
-        return [p for f in files for p in splits(f, self.split_bytes)]
+            raise FileNotFoundError(f"no capture file at {self.reading.path}")
+        return self.reading.parts(files)
 
     def read(self, partition):
-        yield from _read(partition, self.strict)
+        yield from self.reading.rows(partition)
 
 
 class PcapStreamReader(DataSourceStreamReader):
@@ -118,8 +219,8 @@ class PcapStreamReader(DataSourceStreamReader):
     """
 
     def __init__(self, options: dict):
-        self.path, self.strict = options["path"], options.get("ignorecorrupt", "false").lower() != "true"
-        self.split_bytes = int(options.get("splitbytes", SPLIT_BYTES))
+        self.reading = Reading(options)
+        self.path = self.reading.path
 
     def initialOffset(self):
         return {"names": []}
@@ -129,10 +230,10 @@ class PcapStreamReader(DataSourceStreamReader):
 
     def partitions(self, start, end):
         new = set(end["names"]) - set(start["names"])
-        return [p for f in capture_files(self.path) if os.path.basename(f) in new for p in splits(f, self.split_bytes)]
+        return self.reading.parts([f for f in capture_files(self.path) if os.path.basename(f) in new])
 
     def read(self, partition):
-        yield from _read(partition, self.strict)
+        yield from self.reading.rows(partition)
 
 
 class PartMessage(WriterCommitMessage):
@@ -141,10 +242,10 @@ class PartMessage(WriterCommitMessage):
 
 
 class PcapWriter(DataSourceArrowWriter):
-    """A capture for each task, under a temporary name until the job commits."""
+    """A capture for each task, under a temporary name until the job commits: of packets, or of whole frames with ts and length (option ``link``, Ethernet if not said)."""
 
-    def __init__(self, options: dict, overwrite: bool):
-        self.path, self.overwrite = local_path(options["path"]), overwrite
+    def __init__(self, options: dict, overwrite: bool, frames: bool = False):
+        self.path, self.overwrite, self.frames, self.link = local_path(options["path"]), overwrite, frames, int(options.get("link", 1))
 
     def write(self, iterator):
         from pyspark import TaskContext
@@ -154,9 +255,9 @@ class PcapWriter(DataSourceArrowWriter):
         name = f"part-{context.partitionId():05d}-{context.taskAttemptId()}.pcap"
         temporary, rows = os.path.join(self.path, "." + name), 0
         with open(temporary, "wb") as f:
-            f.write(FILE_HEADER)
+            f.write(file_header(self.link) if self.frames else FILE_HEADER)
             for batch in iterator:
-                f.write(batch_records(batch))
+                f.write(frame_batch_records(batch) if self.frames else batch_records(batch))
                 rows += batch.num_rows
         return PartMessage(temporary, os.path.join(self.path, name), rows)
 
@@ -182,13 +283,18 @@ def batch_records(batch: pa.RecordBatch) -> bytes:
     return packet_records(*[get(n).to_numpy(zero_copy_only=False) for n in ("src_ip", "dst_ip", "src_port", "dst_port", "proto", "length")], us)
 
 
+def frame_batch_records(batch: pa.RecordBatch) -> bytes:
+    get = lambda n: batch.column(batch.schema.get_field_index(n))
+    return frame_records(get("ts").cast(pa.int64()).to_pylist(), get("length").to_pylist(), get("frame").to_pylist())
+
+
 class PcapDataSource(DataSource):
     @classmethod
     def name(cls):
         return "pcap"
 
     def schema(self):
-        return PACKET_SCHEMA
+        return FRAME_SCHEMA if self.options.get("frames", "false").lower() == "true" else PACKET_SCHEMA
 
     def reader(self, schema: StructType):
         return PcapReader(self.options)
@@ -197,32 +303,66 @@ class PcapDataSource(DataSource):
         return PcapStreamReader(self.options)
 
     def writer(self, schema: StructType, overwrite: bool):
-        return PcapWriter(self.options, overwrite)
+        return PcapWriter(self.options, overwrite, "frame" in schema.names)
 
 
 def register(spark: SparkSession) -> None:
     ship(spark)
+    spark.conf.set(PUSHDOWN, "true")
     spark.dataSource.register(PcapDataSource)
 
 
-def open_captures(spark: SparkSession, path: str) -> DataFrame:
-    """Packets of the captures at ``path``, in parts of large files where the path allows it."""
-    if "://" in path and not path.startswith("file:"):
-        return read_pcap(spark, path)
+def pcapng_tables(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> dict[str, list]:
+    """The sections and interfaces of large pcapng files: (offset, kind, byte order or link type, time unit) by file.
+
+    One job looks through all parts side by side; what comes back are a few rows a file.
+    """
+    parts = []
+    for file in capture_files(path):
+        size = file_size(file)
+        if split_bytes and size >= 2 * split_bytes and read_range(file, 0, 4) == PCAPNG:
+            parts += [(file, a, b, size) for a, b in block_parts(size, size // split_bytes)]
+    if not parts:
+        return {}
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, start, stop, size, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data, found = read_range(file, start, stop - start + 2 * OVERLAP), []
+                pcapng_split(data, start == 0, stop - start, start + len(data) >= size, found=found)
+                if found:
+                    at, kind, a, b = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_pydict({"file": [file] * len(at), "at": [start + x for x in at], "kind": list(kind), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    table = spark.createDataFrame([(*p, i) for i, p in enumerate(parts)], "file string, start long, stop long, size long, part int").repartitionById(len(parts), F.col("part"))
+    out: dict[str, list] = {file: [] for file, *_ in parts}
+    for r in table.mapInArrow(look, "file string, at long, kind string, a long, b long").collect():
+        out[r["file"]].append([r["at"], r["kind"], r["a"], r["b"]])
+    return {file: sorted(found) for file, found in out.items()}
+
+
+def open_captures(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, capture_filter: str = "", frames: bool = False) -> DataFrame:
+    """Packets (or frames) of the captures at ``path``, in parts of large files where the path allows it."""
+    if is_remote(path) and not reachable(path):
+        return read_pcap(spark, path, capture_filter, frames)
     register(spark)
-    return spark.read.format("pcap").load(path)
+    how = {"splitbytes": split_bytes, "capturefilter": capture_filter, "frames": str(frames).lower(), "tables": json.dumps(pcapng_tables(spark, path, split_bytes))}
+    return spark.read.format("pcap").options(**how).load(path)
 
 
-def read_pcap(spark: SparkSession, path: str) -> DataFrame:
-    """Packets of the captures at ``path`` in any store that Spark reads."""
+def read_pcap(spark: SparkSession, path: str, capture_filter: str = "", frames: bool = False) -> DataFrame:
+    """Packets (or frames) of the captures at ``path`` in any store that Spark reads, a file a task."""
     ship(spark)
+    compile_packet_filter(capture_filter)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = compile_packet_filter(capture_filter) if capture_filter else None
         for batch in batches:
             for content in batch.column(0):
-                yield from to_arrow(read_packets(content.as_py()))
+                yield from to_arrow((read_frames if frames else read_packets)(content.as_py(), keep))
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(parse, PACKET_SCHEMA)
+    content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
+    return content.mapInArrow(parse, FRAME_SCHEMA if frames else PACKET_SCHEMA)
 
 
 def capture_statistics(spark: SparkSession, path: str) -> DataFrame:

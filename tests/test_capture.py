@@ -126,6 +126,10 @@ def test_data_source_batch_and_stream(spark, tmp_path):
     assert spark.read.format("pcap").option("ignoreCorrupt", "true").load(str(folder)).count() == 4
 
 
+def read_part(part):
+    return pcap_source.Reading({"path": part.path}).rows(part)
+
+
 def many_packets(n, seed=5):
     """Packets of many sizes, some with what looks like a record header inside."""
     rng, fake = random.Random(seed), struct.pack("<IIII", 1_700_000_000, 5, 40, 40)
@@ -138,10 +142,10 @@ def test_splits_give_the_packets_of_the_whole_file(tmp_path, monkeypatch, order,
     monkeypatch.setattr(pcap_source, "OVERLAP", overlap)
     path = tmp_path / "a.pcap"
     path.write_bytes(pcap(many_packets(1500), order=order, nano=nano) + b"\1" * 30)  # and a cut-off record
-    whole = [r for b in pcap_source._read(pcap_source.FilePartition(str(path)), True) for r in b.to_pylist()]
+    whole = [r for b in read_part(pcap_source.FilePartition(str(path))) for r in b.to_pylist()]
     for size in (70_000, 200_000):
         parts = pcap_source.splits(str(path), size)
-        got = [r for p in parts for b in pcap_source._read(p, True) for r in b.to_pylist()]
+        got = [r for p in parts for b in read_part(p) for r in b.to_pylist()]
         assert len(parts) > 2 and len(whole) == 1500 and got == whole
     assert len(pcap_source.splits(str(path), 0)) == 1
 
@@ -151,7 +155,7 @@ def test_splits_that_do_not_meet_are_an_error(tmp_path, monkeypatch):
     path.write_bytes(pcap(many_packets(600)))
     monkeypatch.setattr(capture, "first_record", lambda header, seconds, data, to_end: 7)
     with pytest.raises(capture.CaptureError, match="splitbytes=0"):
-        list(pcap_source._read(pcap_source.splits(str(path), 50_000)[0], True))
+        list(read_part(pcap_source.splits(str(path), 50_000)[0]))
 
 
 def test_split_option(spark, tmp_path):
@@ -159,3 +163,108 @@ def test_split_option(spark, tmp_path):
     register(spark)
     read = spark.read.format("pcap").option("splitbytes", "60000").load(str(tmp_path))
     assert read.rdd.getNumPartitions() > 3 and rows(read) == rows(read_pcap(spark, str(tmp_path / "a.pcap")))
+
+
+# --- pcapng in parts ----------------------------------------------------------------------
+
+
+def mixed_pcapng(rng, n, order="<"):
+    """Sections of either byte order, interfaces of two link types and units anywhere, unknown blocks, packets that look like blocks."""
+    out, links = b"", []
+
+    def block(kind, body):
+        body += b"\0" * (-len(body) % 4)
+        return struct.pack(order + "II", kind, 12 + len(body)) + body + struct.pack(order + "I", 12 + len(body))
+
+    for i in range(n):
+        if i == 0 or rng.random() < 0.003:
+            order, links = rng.choice("<>"), []
+            out += block(0x0A0D0D0A, struct.pack(order + "IHHq", 0x1A2B3C4D, 1, 0, -1))
+        if not links or rng.random() < 0.01:
+            unit = rng.choice([6, 9, 0x80 | 20])
+            links.append(rng.choice([1, 101]))
+            out += block(1, struct.pack(order + "HHI", links[-1], 0, 0) + struct.pack(order + "HHBxxx", 9, 1, unit) + struct.pack(order + "HH", 0, 0))
+        if rng.random() < 0.05:
+            out += block(5, rng.randbytes(rng.randrange(0, 40)))
+        where = rng.randrange(len(links))
+        fake = struct.pack("<II", 6, 40) * 5
+        data = ipv4(rng.choice([6, 17]), body=ports(rng.randrange(65536), i % 65536, fake[: rng.choice([0, 40])] + rng.randbytes(rng.randrange(0, 300))))
+        data = ether(data) if links[where] == 1 else data
+        ticks = 1_700_000_000_000_000 + rng.randrange(10**9)
+        out += block(6, struct.pack(order + "IIIII", where, ticks >> 32, ticks & 0xFFFFFFFF, len(data), len(data)) + data)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_pcapng_in_parts_equals_the_whole(spark, tmp_path, monkeypatch, seed):
+    monkeypatch.setattr(capture, "OVERLAP", 40_000)
+    monkeypatch.setattr(pcap_source, "OVERLAP", 40_000)
+    path = tmp_path / "a.pcapng"
+    path.write_bytes(mixed_pcapng(random.Random(seed), 1501)[: None if seed % 2 else -5])  # every other one with its last packet cut off
+    whole = [r for b in read_part(pcap_source.FilePartition(str(path))) for r in b.to_pylist()]
+    assert len(whole) == 1500 + seed % 2
+    for size in (30_000, 111_111):
+        found = []
+        for a, b in pcap_source.block_parts(path.stat().st_size, path.stat().st_size // size):
+            here, data = [], pcap_source.read_range(str(path), a, b - a + 80_000)
+            capture.pcapng_split(data, a == 0, b - a, a + len(data) >= path.stat().st_size, found=here)
+            found += [[a + x, *rest] for x, *rest in here]
+        parts = pcap_source.splits(str(path), size, found)
+        assert len(parts) > 2 and [r for p in parts for b in read_part(p) for r in b.to_pylist()] == whole
+
+
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_pcapng_parts_by_spark(spark, tmp_path, scheme):
+    for i in range(2):
+        (tmp_path / f"{i}.pcapng").write_bytes(mixed_pcapng(random.Random(i), 3000))
+    (tmp_path / "c.pcap").write_bytes(pcap(many_packets(500)))
+    path = scheme + str(tmp_path)
+    tables = pcap_source.pcapng_tables(spark, path, 100_000)
+    assert len(tables) == 2 and all(len(found) > 2 for found in tables.values())
+    read = pcap_source.open_captures(spark, path, split_bytes=100_000)
+    assert read.rdd.getNumPartitions() > 8 and rows(read) == rows(read_pcap(spark, path))
+
+
+def test_ranges_of_remote_files(tmp_path):
+    from packetlens.sources import ranges
+
+    (tmp_path / "a.pcap").write_bytes(bytes(range(100)))
+    uri = (tmp_path / "a.pcap").as_uri()
+    remote = lambda path: ranges._remote(path)
+    fs, inner = remote(uri)
+    with fs.open_input_file(inner) as f:
+        assert f.read_at(5, 90) == bytes(range(90, 95))
+    assert ranges.read_range(uri, 10, 5) == bytes(range(10, 15)) and ranges.file_size(uri) == 100 and ranges.read_range(uri, 98) == b"bc"
+    assert not ranges.reachable("unknown://host/a.pcap") and ranges.is_remote("s3://b/a") and not ranges.is_remote(uri)
+
+
+# --- filters of raw frames and of columns -------------------------------------------------
+
+
+def test_pushed_filters_reach_the_source(spark, tmp_path):
+    (tmp_path / "a.pcap").write_bytes(pcap(many_packets(900)))
+    read = pcap_source.open_captures(spark, str(tmp_path))
+    some = read.where("proto = 6 AND dst_port = 80 AND length > 300 AND NOT src_port <= 1000 AND src_port IN (%s) AND ts >= TIMESTAMP'2023-11-14 22:15:00'" % ", ".join(map(str, range(0, 65536, 7))))
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    scan = plan[plan.index("BatchScan") :]
+    assert "Filter" not in plan[: plan.index("BatchScan")] or "PushedFilters" in scan or "pushed" in scan.lower()
+    plain = [r for r in read.collect() if r.proto == 6 and r.dst_port == 80 and r.length > 300 and not r.src_port <= 1000 and r.src_port % 7 == 0 and r.ts.timestamp() >= 1_700_000_100]
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, plain)) and plain
+
+
+def test_pushed_filter_semantics():
+    from datetime import datetime, timezone
+
+    from pyspark.sql import datasource as d
+
+    (batch,) = read_part_of(pcap([(ether(TCP),), (ether(UDP),), (ether(ICMP),)]))
+    at = lambda f: pcap_source.filter_mask(f, batch).tolist()
+    assert at(d.EqualTo(("proto",), 6)) == [True, False, False] and at(d.Not(d.In(("proto",), (6, 1)))) == [False, True, False]
+    second = datetime(2023, 11, 14, 22, 13, 21, 5, tzinfo=timezone.utc)
+    assert at(d.GreaterThan(("ts",), second)) == [False, False, True] and at(d.LessThanOrEqual(("ts",), second)) == [True, True, False]
+    assert at(d.IsNotNull(("ts",))) == [True] * 3
+    assert not pcap_source.can_push(d.EqualTo(("proto",), "x")) and not pcap_source.can_push(d.IsNull(("proto",))) and pcap_source.can_push(d.Not(d.LessThan(("length",), 5)))
+
+
+def read_part_of(data):
+    return list(pcap_source.to_arrow(capture.read_packets(data)))
