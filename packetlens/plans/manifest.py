@@ -64,15 +64,16 @@ def host_bit(host: Column) -> Column:
 
 def file_rows(packets: DataFrame, batch: str, replaces: list[str]) -> DataFrame:
     """The manifest of a written batch, from its packets."""
-    file = F.regexp_extract("_metadata.file_path", r"[^/]+/[^/]+/[^/]+$", 0)
-    seen = packets.select(file.alias("file"), F.col("_metadata.file_size").alias("bytes"), F.unix_micros("ts").alias("us"), "src_ip", "dst_ip")
-    about = seen.groupBy("file").agg(F.count(F.lit(1)).alias("packets"), F.max("bytes").alias("bytes"), F.min("us").alias("low"), F.max("us").alias("high"))
-    pairs = seen.groupBy("file", "src_ip", "dst_ip").agg(F.lit(1))
-    bits = pairs.select("file", F.explode(F.array(host_bit(F.col("src_ip")), host_bit(F.col("dst_ip")))).alias("bit"))
-    maps = bits.groupBy("file", F.expr(f"cast(bit div {BITS} AS int)").alias("bucket")).agg(F.bitmap_construct_agg(F.col("bit") % BITS).alias("bitmap"))
-    hosts = maps.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "bitmap"))).alias("hosts"))
+    path, size = F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")
+    us = F.unix_micros("ts")
+    about = packets.groupBy(path, size).agg(F.count(F.lit(1)).alias("packets"), F.min(us).alias("low"), F.max(us).alias("high")).withColumn("key", F.xxhash64("path"))
+    # distinct bits first, by partial aggregates on numbers: what moves is at most BUCKETS * BITS rows a file, and only those are made bitmaps
+    bits = packets.select(F.xxhash64("_metadata.file_path").alias("key"), F.explode(F.array(host_bit(F.col("src_ip")), host_bit(F.col("dst_ip")))).alias("bit")).distinct()
+    maps = bits.groupBy("key", F.expr(f"cast(bit div {BITS} AS int)").alias("bucket")).agg(F.bitmap_construct_agg(F.col("bit") % BITS).alias("bitmap"))
+    hosts = maps.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "bitmap"))).alias("hosts"))
     replaced = F.lit(replaces).cast("array<string>") if replaces else F.array().cast("array<string>")
-    return about.join(hosts, "file").select(F.lit(batch).alias("batch"), "file", replaced.alias("replaces"), "packets", "bytes", "low", "high", "hosts")
+    file = F.substring_index("path", "/", -3).alias("file")
+    return about.join(hosts, "key").select(F.lit(batch).alias("batch"), file, replaced.alias("replaces"), "packets", "bytes", "low", "high", "hosts")
 
 
 def write_manifest(spark: SparkSession, store: str, batch: str, replaces: list[str] | None = None) -> None:
