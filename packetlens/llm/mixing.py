@@ -111,8 +111,9 @@ def mixing_plan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
     return sized_docs, hash_thresholds(sized_docs, source_targets(sized_docs, weights, max_epochs)).withColumnRenamed("source", OWN + "s")
 
 
-def _copies(h: Column) -> Column:
-    return F.col("epochs") + (h < F.col("threshold")).cast("long")
+def _copies(h: Column, epochs: str, threshold: str, max_epochs: int) -> Column:
+    """How often a document is taken; a document without words is below any threshold, so the limit is stated."""
+    return F.least(F.col(epochs) + (h < F.col(threshold)).cast("long"), F.lit(max_epochs).cast("long"))
 
 
 def mix_sources(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -120,7 +121,7 @@ def mix_sources(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
     docs, plan = mixing_plan(df, doc_id, text, source, weights, max_epochs)
     return (
         docs.join(sized(plan), docs["source"].eqNullSafe(F.col(OWN + "s")))
-        .withColumn("copies", _copies(F.col("h")))
+        .withColumn("copies", _copies(F.col("h"), "epochs", "threshold", max_epochs))
         .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
     )
 
@@ -129,7 +130,7 @@ def mixed_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     """``df`` as the mix takes it: rows left out, kept or repeated. The texts are not shuffled."""
     _, plan = mixing_plan(df, doc_id, text, source, weights, max_epochs)
     plan = sized(plan.select(OWN + "s", F.col("epochs").alias(OWN + "e"), F.col("threshold").alias(OWN + "t")))
-    copies = F.col(OWN + "e") + (doc_hash(F.col(doc_id)) < F.col(OWN + "t")).cast("long")
+    copies = _copies(doc_hash(F.col(doc_id)), OWN + "e", OWN + "t", max_epochs)
     rows = df.join(plan, F.col(source).cast("string").eqNullSafe(F.col(OWN + "s"))).withColumn(OWN + "n", copies).where(F.col(OWN + "n") > 0)
     return rows.withColumn(OWN + "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col(OWN + "n")))).select(*df.columns)
 
@@ -159,7 +160,7 @@ j AS (SELECT d.*, p.source_size, p.target, p.epochs, p.target - p.epochs * p.sou
              sum(size) OVER (PARTITION BY d.source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
              sum(size) OVER (PARTITION BY d.source, h) AS own
       FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
-mixed AS (SELECT *, size * copies AS taken FROM (SELECT *, epochs + CASE WHEN upto + upto - own <= 2 * budget THEN 1 ELSE 0 END AS copies FROM j))"""
+mixed AS (SELECT *, size * copies AS taken FROM (SELECT *, least(epochs + CASE WHEN upto + upto - own <= 2 * budget THEN 1 ELSE 0 END, {MAX_EPOCHS}) AS copies FROM j))"""
 
 
 def mixing_sql() -> str:
