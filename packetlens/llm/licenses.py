@@ -1,22 +1,20 @@
-"""License scans: an exact set-similarity join of text blocks with license templates.
+"""License scans: an exact set-similarity join of text windows with license templates.
 
-A block is a line of a text, or a window of consecutive words over any number of lines, as long as the template
-divided by ``CONTAINMENT``, so a wrapped notice is found whatever the width. A block matches a template when it
-contains at least ``CONTAINMENT`` of the template's distinct words. The join finds every such pair: words are put in one global order, rarest
+A block is a window of consecutive words of a text, as long as the template divided by ``CONTAINMENT``, on one line or over several. A block
+matches a template when it contains at least ``CONTAINMENT`` of the template's distinct words, among them all the words that
+name the license, and none that would make it another one (``lesser`` in a GPL notice). The join finds every such pair: words are put in one global order, rarest
 first, by their counts over the whole corpus; a template with o words to find has its first |T| - o + 1 words
 as prefix, a block's words of the template vocabulary likewise, and a matching pair shares a prefix word
 (prefix filter), has at least o vocabulary words (length filter), and at the shared word's positions
 still enough words behind it in both (positional filter). What passes is verified by intersecting the sets.
 
 Windows are joined as runs of words: runs overlap so that each window lies in one, a run has the words of its windows,
-so no filter loses a window, and what passes is verified window by window.
-
-Only lines and runs with a prefix word leave the scan; the template side is a fixed table of a few hundred rows, so its
-broadcast does not grow with the data and a line that a third of all texts share joins where it is read.
+so no filter loses a window, and what passes is verified window by window. Only runs with a prefix word leave the scan; the template side is a fixed table of a few
+hundred rows, so its broadcast does not grow with the data and a notice that a third of all texts share joins where it is read.
 Places of the base phrases are found in the text's own row.
 
 Defined results: a null text is empty: no words, no places, null first and last word, empty labels, score 0.
-Case is folded for A-Z only. Repeated rows get the same results each; other columns are not read.
+A text shorter than a template's window is one block. Case is folded for A-Z only. Repeated rows get the same results each; other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,24 +35,33 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 
 CONTAINMENT = 0.8
-#: Openings and notices of well-known licenses, as words.
+_BY = "sharealike share sa noncommercial non nc noderivatives noderivs nd"
+#: Notices and namings of well-known licenses (fixed values): label, words, words that must be there, words that must not.
 TEMPLATES = [
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("apache-2", "licensed under the apache license version 2 0"),
-    ("gpl-3", "licensed under the gnu general public license version 3"),
-    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", "under the terms of the gnu lesser general public license"),
-    ("agpl-3", "under the terms of the gnu affero general public license version 3"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license"),
-    ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-    ("all-rights-reserved", "all rights reserved"),
+    ("mit", "released under the mit license", "mit license", ""),
+    ("mit", "licensed under the mit license", "mit license", ""),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission granted charge obtaining software", ""),
+    ("apache-2", "licensed under the apache license version 2 0", "apache license 2", ""),
+    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license", "redistribute gnu general public license", "lesser library affero"),
+    ("gpl-2", "gnu general public license version 2", "gnu general license version 2", "lesser library affero"),
+    ("gpl-2", "gnu general public license as published by the free software foundation either version 2 of the license", "gnu general either version 2", "lesser library affero"),
+    ("gpl-3", "gnu general public license version 3", "gnu general license version 3", "lesser library affero"),
+    ("gpl-3", "gnu general public license as published by the free software foundation either version 3 of the license", "gnu general either version 3", "lesser library affero"),
+    ("lgpl", "under the terms of the gnu lesser general public license", "gnu lesser license", ""),
+    ("lgpl", "gnu lesser general public license version", "gnu lesser license", ""),
+    ("agpl-3", "gnu affero general public license version 3", "gnu affero license 3", ""),
+    ("agpl-3", "gnu affero general public license as published by the free software foundation either version 3 of the license", "gnu affero either version 3", ""),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license 2", ""),
+    ("bsd", "released under the bsd license", "bsd license", ""),
+    ("bsd", "licensed under the bsd license", "bsd license", ""),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution source binary forms conditions", ""),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission distribute purpose fee granted", ""),
+    ("cc-by", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution", _BY),
+    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike", "noncommercial nc"),
+    ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial", "sharealike noderivatives noderivs"),
+    ("cc-by-nc", "licensed under cc by nc 4 0", "licensed cc by nc", "sa nd"),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software public domain", ""),
+    ("all-rights-reserved", "all rights reserved", "all rights reserved", ""),
 ]
 
 
@@ -70,6 +77,11 @@ def _needed(n: int, containment: float) -> int:
     return math.ceil(containment * n - 1e-9)
 
 
+def reach(template: str, containment: float) -> int:
+    """Words of a template's windows."""
+    return math.ceil(len(template.split()) / containment - 1e-9)
+
+
 def word_order(df: DataFrame, text: str, vocabulary: list[str]) -> dict[str, int]:
     """Rank of each template word by its count over all texts, rarest first; ties by the word."""
     ws = F.array_remove(F.split(F.col(text), RAW_GAP), "")
@@ -79,12 +91,12 @@ def word_order(df: DataFrame, text: str, vocabulary: list[str]) -> dict[str, int
 
 
 def _prefixes(rank: dict[str, int], templates, containment: float) -> list[tuple]:
-    """One row for each template and prefix word; the last column is the length of a window."""
+    """One row for each template and prefix word."""
     index = []
-    for i, (label, t) in enumerate(templates):
+    for i, (label, t, must, never) in enumerate(templates):
         s = sorted(set(t.split()), key=rank.__getitem__)
         o = _needed(len(s), containment)
-        index += [(i, label, w, pos, o, len(s), s, math.ceil(len(t.split()) / containment - 1e-9)) for pos, w in enumerate(s[: len(s) - o + 1])]
+        index += [(i, label, w, pos, o, len(s), s, reach(t, containment), must.split(), never.split()) for pos, w in enumerate(s[: len(s) - o + 1])]
     return index
 
 
@@ -95,48 +107,40 @@ def _has_prefix(index: list[tuple]) -> str:
 
 def _pairs(blocks: DataFrame, words: Column, rank: dict[str, int], index: list[tuple]) -> DataFrame:
     """``blocks`` beside each template of which their ``words`` hold enough, with the overlap; a pair for each prefix word shared."""
-    prefix = F.broadcast(blocks.sparkSession.createDataFrame(index, "template int, label string, w string, pos int, o int, size int, words array<string>, reach int"))
+    prefix = F.broadcast(blocks.sparkSession.createDataFrame(index, "template int, label string, w string, pos int, o int, size int, words array<string>, reach int, must array<string>, never array<string>"))
     ranks = F.create_map(*[F.lit(x) for w, r in rank.items() for x in (w, r)])
     known = F.array_distinct(F.filter(words, lambda w: w.isin(list(rank))))
     ordered = F.transform(F.sort_array(F.transform(known, lambda w: F.struct(F.element_at(ranks, w).alias("r"), w.alias("w")))), lambda x: x["w"])
     at = blocks.withColumn("bw", ordered).select("*", F.size("bw").alias("n"), F.posexplode("bw").alias("j", "w"))
     pairs = at.join(prefix, "w").where("n >= o AND j <= n - o AND 1 + least(size - pos - 1, n - j - 1) >= o")
-    return pairs.withColumn("overlap", F.size(F.array_intersect("bw", "words"))).where("overlap >= o")
+    return pairs.withColumn("overlap", F.size(F.array_intersect("bw", "words"))).where("overlap >= o AND size(array_except(must, bw)) = 0")
 
 
 def _vocabulary(templates) -> list[str]:
-    return sorted({w for _, t in templates for w in t.split()})
-
-
-def license_blocks(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=None, containment: float = CONTAINMENT, rank: dict[str, int] | None = None) -> DataFrame:
-    """One row for each matching line and template: doc_id, text_hash, block, label, template, score."""
-    templates = templates or TEMPLATES
-    rank = rank or word_order(df, text, _vocabulary(templates))
-    index = _prefixes(rank, templates, containment)
-    line = _has_prefix(index)
-    lines = F.filter(F.transform(F.split(F.col(text), "\n"), lambda x, i: F.struct(i.alias("block"), x.alias("line"))), lambda x: x["line"].rlike(line))
-    blocks = df.where(F.col(text).rlike(line)).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.explode(lines).alias("b"))
-    blocks = blocks.select("doc_id", "text_hash", F.col("b.block").alias("block"), F.col("b.line").alias("line"))
-    hits = _pairs(blocks, license_words(fold(F.col("line"))), rank, index)
-    return hits.select("doc_id", "text_hash", "block", "label", "template", (F.col("overlap") / F.col("size")).alias("score")).distinct()
+    return sorted({w for _, t, must, _ in templates for w in (t + " " + must).split()})
 
 
 def license_windows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=None, containment: float = CONTAINMENT, rank: dict[str, int] | None = None) -> DataFrame:
-    """Rows for each template that a window of a text of several lines matches: doc_id, text_hash, label, template, score (the best of a run)."""
+    """Rows for each template that a window of a text matches: doc_id, text_hash, label, template, score (the best of a run)."""
     templates = templates or TEMPLATES
     rank = rank or word_order(df, text, _vocabulary(templates))
     index = _prefixes(rank, templates, containment)
-    step, firsts = max(row[-1] for row in index), sorted({row[2] for row in index})
+    step, firsts = max(row[7] for row in index), sorted({row[2] for row in index})
 
     def runs(ws: Column) -> Column:
         starts = F.sequence(F.lit(0), F.size(ws), F.lit(step))
         return F.filter(F.transform(starts, lambda i: F.slice(ws, i + 1, 2 * step - 1)), lambda run: F.exists(run, lambda w: w.isin(firsts)))
 
-    docs = df.where(F.col(text).contains("\n") & F.col(text).rlike(_has_prefix(index)))
+    docs = df.where(F.col(text).rlike(_has_prefix(index)))
     blocks = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.explode(let(license_words(fold(F.col(text))), runs)).alias("run"))
-    found = _pairs(blocks, F.col("run"), rank, index)
+    found = _pairs(blocks, F.col("run"), rank, index).dropDuplicates(["doc_id", "text_hash", "run", "template"])
     starts = F.sequence(F.lit(1), F.greatest(F.size("run") - F.col("reach") + 1, F.lit(1)))
-    best = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("run", i, F.col("reach")), F.col("words")))))
+
+    def holds(window: Column) -> Column:
+        named = (F.size(F.array_except("must", window)) == 0) & ~F.arrays_overlap("never", window)
+        return F.when(named, F.size(F.array_intersect(window, "words"))).otherwise(0)
+
+    best = F.array_max(F.transform(starts, lambda i: holds(F.slice("run", i, F.col("reach")))))
     return found.withColumn("best", best).where("best >= o").select("doc_id", "text_hash", "label", "template", (F.col("best") / F.col("size")).alias("score"))
 
 
@@ -169,8 +173,7 @@ def _joined(labels: Column) -> Column:
 def license_scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", containment: float = CONTAINMENT) -> DataFrame:
     """One row a document: n_words, n_base, first_word, last_word, base_labels, labels, score."""
     rank = word_order(df, text, _vocabulary(TEMPLATES))
-    hits = license_blocks(df, doc_id, text, containment=containment, rank=rank).drop("block")
-    hits = hits.union(license_windows(df, doc_id, text, containment=containment, rank=rank))
+    hits = license_windows(df, doc_id, text, containment=containment, rank=rank)
     best = hits.groupBy("doc_id", "text_hash").agg(F.collect_set("label").alias("more"), F.max("score").alias("best"))
     best = sized(settle(best.withColumnRenamed("doc_id", "hit_id").withColumnRenamed("text_hash", "hit_hash")))
     docs = phrase_places(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).withColumn("text_hash", F.xxhash64("text")).drop("text")
@@ -194,17 +197,18 @@ def op6_license_scan(spark, sf_dir: str) -> DataFrame:
 
 
 def licenses_sql() -> str:
-    """DuckDB: every line against every template, without filters."""
-    rows = ", ".join(f"('{label}', list_distinct(string_split('{t}', ' ')))" for label, t in TEMPLATES)
+    """DuckDB: every window of every text that has a template's required words, without other filters."""
+    words = lambda t: f"CAST(string_split('{t}', ' ') AS VARCHAR[])" if t else "CAST([] AS VARCHAR[])"
+    rows = ", ".join(f"('{label}', list_distinct({words(t)}), {words(must)}, {words(never)}, {reach(t, CONTAINMENT)})" for label, t, must, never in TEMPLATES)
     phrases = ", ".join(f"('{label}', string_split('{p}', ' '))" for p, label in PHRASES)
     low = f"translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}')"
     word = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
     return f"""
-WITH t(label, ts) AS (VALUES {rows}), p(label, ps) AS (VALUES {phrases}),
+WITH t(label, ts, need, bans, reach) AS (VALUES {rows}), p(label, ps) AS (VALUES {phrases}),
 d AS (SELECT doc_id, row_number() OVER () AS rid, {low} AS low, regexp_extract_all({low}, '{word}') AS ws FROM documents),
-l AS (SELECT DISTINCT rid, line FROM (SELECT rid, unnest(string_split(low, chr(10))) AS line FROM d)),
-b AS (SELECT rid, list_distinct(regexp_extract_all(line, '{word}')) AS bw FROM l),
-m AS (SELECT rid, label, len(list_intersect(bw, ts)) / len(ts) AS score FROM b, t WHERE len(list_intersect(bw, ts)) >= ceil({CONTAINMENT} * len(ts) - 1e-9)),
+c AS (SELECT rid, label, ts, need, bans, unnest(list_transform(range(1, greatest(len(ws) - reach + 1, 1) + 1), lambda i: ws[i:i + reach - 1])) AS w FROM d, t WHERE len(list_intersect(need, ws)) = len(need)),
+m AS (SELECT rid, label, len(list_intersect(list_distinct(w), ts)) / len(ts) AS score FROM c
+      WHERE len(list_intersect(need, w)) = len(need) AND len(list_intersect(bans, w)) = 0 AND len(list_intersect(list_distinct(w), ts)) >= ceil({CONTAINMENT} * len(ts) - 1e-9)),
 h AS (SELECT rid, list(DISTINCT label) AS more, max(score) AS best FROM m GROUP BY rid),
 i AS (SELECT rid, ws, unnest(range(1, len(ws) + 1)) AS i FROM d WHERE len(ws) > 0),
 a AS (SELECT rid, label, i - 1 AS pos FROM i, p WHERE ws[i] = ps[1] AND ws[i:i + len(ps) - 1] = ps),
