@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetlens.functions.ip import ip_to_long, long_to_ip, packet_text
-from packetlens.operators.engine import PacketFrame
-from packetlens.operators.flows import flow_rollup, host_clusters
+from packetlens.operators.engine import PacketFrame, slot
+from packetlens.operators.flows import address_bitmaps, bitmap_counts, flow_rollup, flow_sessions, host_clusters, merged_bitmaps, packet_groups, ungrouped
 from packetlens.plans import dsl
 from packetlens.plans.manifest import vacuum
 from packetlens.plans.store import compact_store, read_store, shared_path, write_store
 from packetlens.schema import AGGREGATE_FIELDS, PACKET_COLUMNS
 from packetlens.sinks.files import console_rows, csv_name, pcap_name, write_pcap
 from packetlens.sources.pcap import capture_statistics, local_path, open_captures, register
-from packetlens.streaming.live import stream_aggregate, stream_ingest, stream_packets
+from packetlens.streaming.live import stream_aggregate, stream_bitmaps, stream_ingest, stream_packets, stream_sessions
 from packetlens.testdata import FRAME_FIELDS, frames, packets, packets_cte
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
@@ -274,6 +274,76 @@ def _stream_sql(op: str, field: str, interval: int, slide: int | None) -> str:
     return _with(f"SELECT interval, {value} AS {op}_{field} FROM (SELECT *, {slots} AS interval FROM packets) GROUP BY 1")
 
 
+#: A server's traffic by protocol: flows of many packets; sessions end after two idle hours.
+SERVER, SERVER_IDLE, LATE = ["dst_ip", "dst_port", "proto"], 2 * HOUR, "1 hour"
+
+
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flow_sessions(packets(spark, sf_dir), SERVER, SERVER_IDLE)
+
+
+def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grouped packet vectors of servers, arrays as text."""
+    made = packet_groups(packets(spark, sf_dir).select(*SERVER, "length", "ts"), SERVER, SERVER_IDLE, size=4, slot_us=DAY)
+    text = lambda c: F.array_join(F.transform("items", lambda x: x[c].cast("string")), ",").alias(c)
+    return made.select(*SERVER, "first_us", "packets", text("offset_us"), text("length"))
+
+
+def groups_and_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All packets through grouped vectors of their flows and servers."""
+    rows = packets(spark, sf_dir).select(*PACKET_COLUMNS)
+    return _plain(ungrouped(packet_groups(ungrouped(packet_groups(rows)), SERVER, SERVER_IDLE)))
+
+
+def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finished sessions of a stream in append mode."""
+    source, out = shared_path(spark, "packets"), shared_path(spark, "sessions")
+    packets(spark, sf_dir).select(*PACKET_COLUMNS).write.parquet(source)
+    found = stream_sessions(spark.readStream.schema(spark.read.parquet(source).schema).parquet(source), SERVER, SERVER_IDLE, LATE)
+    query = found.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", shared_path(spark, "progress")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(found.schema).parquet(out)
+
+
+def distinct_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct sources of each day, from the bitmaps of its hours."""
+    return bitmap_counts(merged_bitmaps(address_bitmaps(packets(spark, sf_dir), "src_ip", slot(interval=HOUR)), DAY), "count_dist_v4Src")
+
+
+def distinct_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct destinations of each day of a stream, from bitmaps in its state."""
+    source, out = shared_path(spark, "packets"), shared_path(spark, "bitmaps")
+    packets(spark, sf_dir).select(*PACKET_COLUMNS).write.parquet(source)
+    bitmaps = stream_bitmaps(spark.readStream.schema(spark.read.parquet(source).schema).parquet(source), "v4Dst", DAY)
+    write = lambda df, _: df.write.mode("overwrite").parquet(out)
+    query = bitmaps.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", shared_path(spark, "progress")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return bitmap_counts(spark.read.parquet(out), "count_dist_v4Dst")
+
+
+def _sessions_sql(where: str = "TRUE") -> str:
+    keys = ", ".join(SERVER)
+    return _with(
+        f"SELECT {keys}, count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes, min(ts_us) AS first_us, max(ts_us) AS last_us FROM ("
+        f" SELECT *, sum(pause) OVER (PARTITION BY {keys} ORDER BY ts_us, event_id) AS session FROM ("
+        f"  SELECT *, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY {keys} ORDER BY ts_us, event_id) > {SERVER_IDLE} THEN 1 ELSE 0 END AS pause FROM packets))"
+        f" GROUP BY {keys}, session HAVING {where}"
+    )
+
+
+def _groups_sql() -> str:
+    keys, flow = ", ".join(SERVER), f"PARTITION BY {', '.join(SERVER)}, day"
+    return _with(
+        f"SELECT {keys}, min(ts_us) AS first_us, count(*) AS packets, string_agg(CAST(ts_us - first AS VARCHAR), ',' ORDER BY n) AS offset_us, string_agg(CAST(length AS VARCHAR), ',' ORDER BY n) AS length FROM ("
+        f" SELECT *, min(ts_us) OVER ({flow}, session, part) AS first FROM ("
+        f"  SELECT *, (n - min(n) OVER ({flow}, session)) // 4 AS part FROM ("
+        f"   SELECT *, sum(pause) OVER ({flow} ORDER BY n) AS session FROM ("
+        f"    SELECT *, row_number() OVER ({flow} ORDER BY ts_us, length) AS n, CASE WHEN ts_us - lag(ts_us) OVER ({flow} ORDER BY ts_us, length) > {SERVER_IDLE} THEN 1 ELSE 0 END AS pause"
+        f"    FROM (SELECT *, ts_us // {DAY} AS day FROM packets)))))"
+        f" GROUP BY {keys}, day, session, part"
+    )
+
+
 #: Filters and aggregates in compatibility mode.
 COMPAT_FILTERS = {
     "compat_ip_lt": ("ip.src < 10.0.0.50", "{src} < {limit}"),
@@ -385,6 +455,12 @@ def queries() -> dict:
         "agg_exact_mean": partial(optioned, {"exact_mean": True}),
         "flow_rollup": lambda spark, d: flow_rollup(packets(spark, d)),
         "host_clusters": lambda spark, d: host_clusters(packets(spark, d)),
+        "flow_sessions": sessions,
+        "gpv_groups": groups,
+        "gpv_roundtrip": groups_and_back,
+        "stream_flow_sessions": streamed_sessions,
+        "distinct_bitmap_days": distinct_days,
+        "stream_distinct_bitmap": distinct_streamed,
     }
     out |= {name: partial(stream_aggregated, *how) for name, how in STREAMS.items()}
     out |= {name: partial(compat_filtered, text) for name, (text, _) in COMPAT_FILTERS.items()}
@@ -445,6 +521,14 @@ def oracle_sql() -> dict[str, str]:
             "SELECT least(src_ip, dst_ip) AS host, count(*) AS packets, count(DISTINCT greatest(src_ip, dst_ip)) AS peers, min(ts_us) AS first_us, max(ts_us) AS last_us FROM packets GROUP BY 1"
         ),
     }
+    out |= {
+        "flow_sessions": _sessions_sql(),
+        "gpv_groups": _groups_sql(),
+        "gpv_roundtrip": stored("TRUE"),
+        "stream_flow_sessions": _sessions_sql(f"max(ts_us) + {SERVER_IDLE} <= (SELECT max(ts_us) FROM packets) - {HOUR}"),
+        "distinct_bitmap_days": _aggregate_sql("count_dist", "v4Src", DAY),
+        "stream_distinct_bitmap": _aggregate_sql("count_dist", "v4Dst", DAY),
+    }
     out |= {name: _stream_sql(*how) for name, how in STREAMS.items()}
     out |= {name: _rows_sql(where.format(src=_SWAPPED.format("src_ip"), limit=_SWAPPED.format(167772210))) for name, (_, where) in COMPAT_FILTERS.items()}
     out |= {name: _rows_sql(where) for name, (_, where) in CAPTURE_FILTERS.items()}

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from packetlens.operators.engine import SECOND, aggregate_column
+from packetlens.operators.flows import FIVE_TUPLE, IDLE, flow_sessions
 from packetlens.plans.store import write_store
 from packetlens.schema import AGGREGATE_FIELDS
 from packetlens.sources.pcap import register
@@ -54,3 +55,16 @@ def stream_aggregate(
     else:
         value = aggregate_column(op, field, approximate=approximate)
     return kept.agg(value).select(F.unix_micros("w.start").alias("interval"), f"{op}_{field}")
+
+
+def stream_sessions(packets: DataFrame, keys: list[str] = FIVE_TUPLE, idle_us: int = IDLE, watermark: str = "10 minutes") -> DataFrame:
+    """Finished sessions of the flows of a stream, for append mode: each once, when the watermark has passed its idle time; later packets of it are dropped."""
+    return flow_sessions(packets.withWatermark("ts", watermark), keys, idle_us)
+
+
+def stream_bitmaps(packets: DataFrame, field: str, interval: int, watermark: str = "10 minutes") -> DataFrame:
+    """interval, bucket, bitmap of the distinct addresses of a stream: state of at most 4 KB for each 32768 addresses and slot, exact; count with ``flows.bitmap_counts``."""
+    value = F.col(AGGREGATE_FIELDS[field]).cast("long")
+    window = F.window("ts", f"{interval} microseconds").alias("w")
+    kept = packets.withWatermark("ts", watermark).groupBy(window, F.bitmap_bucket_number(value).alias("bucket"))
+    return kept.agg(F.bitmap_construct_agg(F.bitmap_bit_position(value)).alias("bitmap")).select(F.unix_micros("w.start").alias("interval"), "bucket", "bitmap")
