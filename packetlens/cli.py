@@ -21,7 +21,7 @@ from packetlens.plans.manifest import vacuum
 from packetlens.plans.store import compact_store, read_store, unreadable, write_store
 from packetlens.schema import AGGREGATE_FIELDS
 from packetlens.sinks.files import pcap_name, print_packets, write_aggregate, write_pcap
-from packetlens.sources.pcap import open_captures
+from packetlens.sources.pcap import counted_captures
 from packetlens.streaming.live import stream_ingest, stream_packets
 
 INGEST = {"output": ("-o", "-out", "-output"), "file": ("-f", "-file"), "live": ("-l", "-live"), "sequential": ("-s", "-sequential"), "benchmark": ("-b", "-benchmark")}
@@ -68,16 +68,15 @@ def ingest(spark, argv: list[str]) -> int:
             query.processAllAvailable()
             query.stop()
         return 0
-    timer = metrics.Timer()
-    with timer.step("ingest"):
-        seen = Observation("ingest")
-        write_store(open_captures(spark, o["file"]), o["output"], observation=seen)
+    timer, counts = metrics.Timer(), Observation("captures")
+    with timer.step("ingest"), metrics.measured(spark, "ingest") as stages:
+        write_store(counted_captures(spark, o["file"], counts, strict=False), o["output"])
     size, files = metrics.store_size(spark, o["output"])
-    packets = seen.get["rows"]
+    seen = counts.get
     if o.get("benchmark"):
-        print(metrics.writer_line(timer.total(), packets, size, files))
+        print(metrics.writer_line(stages, timer.total(), seen["kept"], size, files))
     else:
-        print(f"{packets} packets in {timer.total() / 1e9:.3f} s, {size} bytes in {files} files")
+        print(f"{seen['kept']} packets in {timer.total() / 1e9:.3f} s, {size} bytes in {files} files; {seen['dropped']} of {seen['records']} records dropped, {seen['ipv6']} of them IPv6; {seen['unreadable']} files are no captures")
     return 0
 
 
@@ -104,19 +103,20 @@ def query(spark, argv: list[str]) -> int:
         print(e, file=sys.stderr)
         return 1
     os.makedirs(folder, exist_ok=True)
-    with timer.step("write"):
+    with timer.step("output"):
         if o.keys() & {"aggregate", "operator", "field", "interval"}:
-            print(write_aggregate(frame, folder, operator, field, int(o.get("interval", SECOND))))
+            print(write_aggregate(frame, folder, operator, field, int(o.get("interval", SECOND)), timer))
         elif o.get("pcap"):
             path = os.path.join(folder, pcap_name(frame))
-            print(f"{write_pcap(frame, path)} packets: {path}")
+            print(f"{write_pcap(frame, path, timer)} packets: {path}")
         else:
-            print_packets(frame)
+            print_packets(frame, timer=timer)
+    handling, output = timer.ns["handling"], timer.ns["output"] - timer.ns["handling"]
     if o.get("verbose"):
         size, files = metrics.store_size(spark, o["input"])
-        print(f"{files} files, {size} bytes; planning {timer.ns['plan'] / 1e9:.3f} s, reading and writing {timer.ns['write'] / 1e9:.3f} s")
+        print(f"{files} files, {size} bytes; planning {timer.ns['plan'] / 1e9:.3f} s, reading and filtering {handling / 1e9:.3f} s, output {output / 1e9:.3f} s")
     if o.get("benchmark"):
-        print(metrics.reader_line(timer.ns["plan"], timer.ns["write"]))
+        print(metrics.reader_line(handling, output))
     return 0
 
 

@@ -9,12 +9,14 @@ from __future__ import annotations
 import csv
 import os
 import sys
+from collections.abc import Iterator
 from typing import TextIO
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from packetlens.functions.ip import endpoint
+from packetlens.metrics import Timer
 from packetlens.operators.engine import PacketFrame
 from packetlens.sinks.onefile import write_one_file
 from packetlens.sources.pcap import local_path
@@ -36,12 +38,12 @@ def console_rows(df: DataFrame) -> DataFrame:
     )
 
 
-def print_packets(frame: PacketFrame, out: TextIO = sys.stdout) -> int:
+def print_packets(frame: PacketFrame, out: TextIO = sys.stdout, timer: Timer | None = None) -> int:
     """The packets in time order under a header; returns their number."""
     line = lambda cells: "".join(str(c).ljust(w) for c, w in zip(cells, WIDTHS, strict=True)) + "\n"
     out.write(line(TITLES))
     n = 0
-    for row in console_rows(frame.df.orderBy("ts")).toLocalIterator(prefetchPartitions=True):
+    for row in _handled(console_rows(frame.df.orderBy("ts")).toLocalIterator(prefetchPartitions=True), timer):
         out.write(line(row))
         n += 1
     return n
@@ -55,24 +57,33 @@ def pcap_name(frame: PacketFrame) -> str:
     return f"{frame.canonical()}.pcap"
 
 
-def write_csv(series: DataFrame, path: str) -> int:
+def write_csv(series: DataFrame, path: str, timer: Timer | None = None) -> int:
     """An aggregate as one CSV file with header, in slot order."""
     n = 0
     with open(path, "w", newline="") as f:
         w = csv.writer(f, lineterminator="\n")
         w.writerow(series.columns)
-        for row in series.orderBy("interval").toLocalIterator(prefetchPartitions=True):
+        for row in _handled(series.orderBy("interval").toLocalIterator(prefetchPartitions=True), timer):
             w.writerow(row)
             n += 1
     return n
 
 
-def write_pcap(frame: PacketFrame, path: str) -> int:
+def write_pcap(frame: PacketFrame, path: str, timer: Timer | None = None) -> int:
     """The packets in time order as one capture file, written by all tasks at once; returns their number."""
-    return write_one_file(frame.df, local_path(path))
+    return write_one_file(frame.df, local_path(path), timer=timer)
 
 
-def write_aggregate(frame: PacketFrame, folder: str, op: str = "sum", field: str = "length", interval: int = 1_000_000) -> str:
+def _handled(rows: Iterator[Row], timer: Timer | None) -> Iterator[Row]:
+    """Sorted rows; all have been read and filtered when the first one comes."""
+    with (timer or Timer()).step("handling"):
+        first = next(rows, None)
+    if first is not None:
+        yield first
+        yield from rows
+
+
+def write_aggregate(frame: PacketFrame, folder: str, op: str = "sum", field: str = "length", interval: int = 1_000_000, timer: Timer | None = None) -> str:
     path = os.path.join(folder, csv_name(frame, op, field, interval))
-    write_csv(frame.aggregate(op, field, interval, ordered=False), path)
+    write_csv(frame.aggregate(op, field, interval, ordered=False), path, timer)
     return path

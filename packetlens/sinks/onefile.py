@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packetlens.metrics import Timer
 from packetlens.plans.session import ARROW_ROWS, ship
 from packetlens.schema import ICMP, PACKET_COLUMNS, TCP, UDP
 from packetlens.sources.capture import FILE_HEADER, RECORD_BYTES, record_bytes
@@ -188,15 +189,16 @@ def _writer(path: str, parts: list[Part]):
     return write
 
 
-def write_one_file(df: DataFrame, path: str, rows: int = ROWS, slots: int = SLOTS) -> int:
+def write_one_file(df: DataFrame, path: str, rows: int = ROWS, slots: int = SLOTS, timer: Timer | None = None) -> int:
     """The packets of ``df`` as one capture in time order, at a path that the driver and all executors see; returns their number.
 
-    The file has its name once it is whole.
+    The file has its name once it is whole. ``timer`` gets the time of the counts, which read and filter all packets, as "handling".
     """
     spark = df.sparkSession
     ship(spark)
     timed = df.select(*PACKET_COLUMNS, F.unix_micros("ts").alias("us"))
-    parts = parts_of(time_slots(timed, rows, slots), rows)
+    with (timer or Timer()).step("handling"):
+        parts = parts_of(time_slots(timed, rows, slots), rows)
     temporary = os.path.join(os.path.dirname(path), f".{os.path.basename(path)}.{uuid.uuid4().hex}")
     n = 0
     try:

@@ -6,11 +6,13 @@ parts looked through for them by a first, small job; without that (option ``tabl
 ``binaryFile`` reader instead and so reaches every store Spark does, a file a task. ``open_captures`` takes the first where it can.
 
 Option ``capturefilter`` is a filter in pcap-filter syntax that is tested on the raw frames before rows are made; comparisons of columns
-are pushed down too. Option ``frames`` ("true") returns the frames themselves, of any protocol: ts, length, link, frame.
+are pushed down too. Option ``frames`` ("true") returns the frames themselves, of any protocol: ts, length, link, frame. Option ``counts`` ("true") adds a row for each
+file or part with what was seen there (``COUNTS``), packet columns null, so one read gives packets and counts.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 from collections.abc import Iterator
@@ -18,12 +20,12 @@ from datetime import datetime, timezone
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, Not, WriterCommitMessage
 )
-from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType, TimestampType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType, TimestampType
 
 from packetlens.plans.session import ship
 from packetlens.schema import PACKET_SCHEMA
@@ -62,6 +64,20 @@ def to_arrow(p: Packets | RawFrames) -> Iterator[pa.RecordBatch]:
 
 
 BATCH_FRAMES = 1 << 14
+#: What is counted of a file or part: records, by kind, and files that are no captures.
+COUNTS = ["records", "ipv4", "ipv6", "kept", "dropped", "unreadable"]
+COUNTED_SCHEMA = StructType([*PACKET_SCHEMA.fields, *[StructField(c, LongType()) for c in COUNTS]])
+
+
+def count_row(seen: dict[str, int]) -> pa.RecordBatch:
+    columns = [pa.nulls(1, f.type) for f in ARROW_SCHEMA] + [pa.array([seen.get(c, 0)], pa.int64()) for c in COUNTS]
+    return pa.RecordBatch.from_arrays(columns, [*ARROW_SCHEMA.names, *COUNTS])
+
+
+def with_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packets with null counts."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.nulls(batch.num_rows, pa.int64())] * len(COUNTS)], [*ARROW_SCHEMA.names, *COUNTS])
 
 
 def capture_files(path: str) -> list[str]:
@@ -126,7 +142,7 @@ class Reading:
         self.path, self.strict = options["path"], options.get("ignorecorrupt", "false").lower() != "true"
         self.split_bytes = int(options.get("splitbytes", SPLIT_BYTES))
         self.filter, self.frames = options.get("capturefilter", ""), options.get("frames", "false").lower() == "true"
-        self.tables = json.loads(options.get("tables", "{}"))
+        self.tables, self.counts = json.loads(options.get("tables", "{}")), options.get("counts", "false").lower() == "true"
         self.pushed: list[Filter] = []
         compile_packet_filter(self.filter)  # a syntax error is raised before any task runs
 
@@ -136,16 +152,19 @@ class Reading:
     def rows(self, partition: FilePartition) -> Iterator[pa.RecordBatch]:
         keep = compile_packet_filter(self.filter) if self.filter else None
         make = _raw if self.frames else _decoded
-        if partition.stop:
-            # a file whose splits do not meet is never skipped: that would lose records
-            return self.passed(to_arrow(make(*_part(partition), keep)))
         try:
-            return self.passed(to_arrow((read_frames if self.frames else read_packets)(read_range(partition.path, 0), keep)))
+            if partition.stop:
+                # a file whose splits do not meet is never skipped: that would lose records
+                found = make(*_part(partition), keep)
+            else:
+                found = (read_frames if self.frames else read_packets)(read_range(partition.path, 0), keep)
         except CaptureError:
-            if self.strict:
+            if self.strict or partition.stop:
                 raise
             print(f"not critical: {partition.path} is no readable capture, skipped")
-            return iter(())
+            return iter([count_row({"unreadable": 1})] if self.counts else [])
+        rows = self.passed(to_arrow(found))
+        return itertools.chain(with_counts(rows), [count_row(found.seen)]) if self.counts else rows
 
     def passed(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,7 +216,7 @@ class PcapReader(DataSourceReader):
 
     def pushFilters(self, filters):
         for f in filters:
-            if can_push(f):
+            if can_push(f) and not self.reading.counts:
                 self.reading.pushed.append(f)
             else:
                 yield f
@@ -294,7 +313,10 @@ class PcapDataSource(DataSource):
         return "pcap"
 
     def schema(self):
-        return FRAME_SCHEMA if self.options.get("frames", "false").lower() == "true" else PACKET_SCHEMA
+        asked = {name for name in ("frames", "counts") if self.options.get(name, "false").lower() == "true"}
+        if len(asked) > 1:
+            raise ValueError("options frames and counts exclude each other")
+        return FRAME_SCHEMA if "frames" in asked else COUNTED_SCHEMA if asked else PACKET_SCHEMA
 
     def reader(self, schema: StructType):
         return PcapReader(self.options)
@@ -350,6 +372,17 @@ def open_captures(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES
     return spark.read.format("pcap").options(**how).load(path)
 
 
+def counted_captures(spark: SparkSession, path: str, observation: Observation, strict: bool = True) -> DataFrame:
+    """Packets of the captures at ``path``; when they have been read once, ``observation`` has the sums of ``COUNTS``."""
+    if is_remote(path) and not reachable(path):
+        raise ValueError(f"no ranges can be read at {path}; use capture_statistics")
+    register(spark)
+    how = {"counts": "true", "ignorecorrupt": str(not strict).lower(), "tables": json.dumps(pcapng_tables(spark, path))}
+    read = spark.read.format("pcap").options(**how).load(path)
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS]
+    return read.observe(observation, *sums).where(F.col(COUNTS[0]).isNull()).drop(*COUNTS)
+
+
 def read_pcap(spark: SparkSession, path: str, capture_filter: str = "", frames: bool = False) -> DataFrame:
     """Packets (or frames) of the captures at ``path`` in any store that Spark reads, a file a task."""
     ship(spark)

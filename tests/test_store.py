@@ -11,6 +11,7 @@ from packetlens.plans.store import read_store, unreadable, write_store
 from packetlens.plans.session import checkpoint_folder
 from packetlens.schema import PACKET_COLUMNS
 from packetlens.sinks.files import csv_name, pcap_name, print_packets, write_aggregate, write_pcap
+from packetlens.sources.capture import file_header, frame_records
 from packetlens.sources.pcap import read_pcap
 from packetlens.streaming.live import stream_ingest, stream_packets
 from packetlens.testdata import packets
@@ -83,13 +84,22 @@ def test_command_line(spark, sf, store, tmp_path, capsys):
     out = str(tmp_path / "out")
     assert cli.ingest(spark, ["-f", str(captures), "-o", out, "-b", "-zzz"]) == 0
     line = capsys.readouterr().out.strip().split(";")
-    assert len(line) == 13 and line[:6] == [""] * 6 and line[9] == "1000" and float(line[11]) == int(line[10]) / 1000
+    assert len(line) == 13 and line[1:5] == [""] * 4 and line[9] == "1000" and float(line[11]) == int(line[10]) / 1000
+    assert 0 < int(line[0]) < int(line[6]) and 0 < int(line[5]) < int(line[6])
     assert cli.ingest(spark, ["-f", str(captures), "-o", str(tmp_path / "again")]) == 0
-    assert capsys.readouterr().out.startswith("1000 packets")
+    (captures / "b.pcap").write_bytes(b"no capture")
+    v6 = b"\xaa" * 12 + b"\x86\xdd\x60" + bytes(39)
+    (captures / "c.pcap").write_bytes(file_header(1) + frame_records([0, 1], [0, 0], [v6, bytes(30)]))
+    assert cli.ingest(spark, ["-f", str(captures), "-o", str(tmp_path / "more")]) == 0
+    said = capsys.readouterr().out.splitlines()
+    assert said[0].startswith("1000 packets") and "; 0 of 1000 records dropped, 0 of them IPv6; 0 files" in said[0]
+    assert said[-1].startswith("1000 packets") and "; 2 of 1002 records dropped, 1 of them IPv6; 1 files" in said[-1]
     assert rows(read_store(spark, out).df) == rows(read_store(spark, store).df)
     results = str(tmp_path / "results")
     assert cli.query(spark, ["-i", out, "-o", results, "-f", "tcp", "&&", "frame.len", ">", "100", "||", "icmp", "-p", "-v", "-benchmark"]) == 0
-    assert "168 packets" in capsys.readouterr().out
+    said = capsys.readouterr().out
+    handling, writing, total = map(int, said.strip().splitlines()[-1].split(";"))
+    assert "168 packets" in said and handling > 0 and writing > 0 and total == handling + writing
     assert cli.query(spark, ["-i", out, "-o", results, "-a", "-agOp", "max", "-intervall", "3600000000"]) == 0
     assert os.path.exists(capsys.readouterr().out.strip())
     assert cli.query(spark, ["-i", out, "-filter", "udp &&"]) == 1
