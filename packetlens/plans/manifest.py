@@ -5,7 +5,7 @@ sketch of its hosts. The sketch is a bitmap of hashed addresses in BUCKETS parts
 time intervals and the addresses that it asks for are tested against these rows by Spark, before any file is listed or opened; what the
 driver gets is the list of files to read, which it needs for any scan.
 
-A batch is visible without a manifest (an older store, a writer that died before it); then it is read whole. A table is written aside
+A committed batch is visible without a manifest (an older store, a writer that died before it); then it is read whole. A table is written aside
 and renamed, so it is there or not. That makes compaction atomic: the manifest of a compacted batch names the batches that it replaces, and
 from its rename on readers see the new batch instead of those. Replaced batches stay until ``vacuum``, for readers that began before.
 """
@@ -111,7 +111,9 @@ def visible_batches(spark: SparkSession, store: str) -> tuple[list[str], set[str
             described.add(r["batch"])
             replaced |= set(r["replaces"])
     batches = [name.partition("=")[2] for name, _ in folder.names() if name.startswith("batch=")]
-    seen = [b for b in batches if b not in replaced and (b in described or not b.startswith(COMPACTED))]
+    # without a manifest a batch must at least be committed: one that is being written is not seen
+    whole = lambda b: b in described or (not b.startswith(COMPACTED) and folder.exists(f"batch={b}", "_SUCCESS"))
+    seen = [b for b in batches if b not in replaced and whole(b)]
     return seen, described & set(seen), rows
 
 

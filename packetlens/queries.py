@@ -274,32 +274,32 @@ def _stream_sql(op: str, field: str, interval: int, slide: int | None) -> str:
     return _with(f"SELECT interval, {value} AS {op}_{field} FROM (SELECT *, {slots} AS interval FROM packets) GROUP BY 1")
 
 
-#: A server's traffic by protocol: flows of many packets; sessions end after two idle hours.
-SERVER, SERVER_IDLE, LATE = ["dst_ip", "dst_port", "proto"], 2 * HOUR, "1 hour"
+#: A service's traffic: flows of many packets; sessions end after a quarter of an hour.
+SERVICE, SERVICE_IDLE, LATE = ["dst_port", "proto"], HOUR // 4, "1 hour"
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flow_sessions(packets(spark, sf_dir), SERVER, SERVER_IDLE)
+    return flow_sessions(packets(spark, sf_dir), SERVICE, SERVICE_IDLE)
 
 
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grouped packet vectors of servers, arrays as text."""
-    made = packet_groups(packets(spark, sf_dir).select(*SERVER, "length", "ts"), SERVER, SERVER_IDLE, size=4, slot_us=DAY)
+    """Grouped packet vectors of services, arrays as text."""
+    made = packet_groups(packets(spark, sf_dir).select(*SERVICE, "length", "ts"), SERVICE, SERVICE_IDLE, size=4, slot_us=DAY)
     text = lambda c: F.array_join(F.transform("items", lambda x: x[c].cast("string")), ",").alias(c)
-    return made.select(*SERVER, "first_us", "packets", text("offset_us"), text("length"))
+    return made.select(*SERVICE, "first_us", "packets", text("offset_us"), text("length"))
 
 
 def groups_and_back(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All packets through grouped vectors of their flows and servers."""
+    """All packets through grouped vectors of their flows and services."""
     rows = packets(spark, sf_dir).select(*PACKET_COLUMNS)
-    return _plain(ungrouped(packet_groups(ungrouped(packet_groups(rows)), SERVER, SERVER_IDLE)))
+    return _plain(ungrouped(packet_groups(ungrouped(packet_groups(rows)), SERVICE, SERVICE_IDLE)))
 
 
 def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finished sessions of a stream in append mode."""
     source, out = shared_path(spark, "packets"), shared_path(spark, "sessions")
     packets(spark, sf_dir).select(*PACKET_COLUMNS).write.parquet(source)
-    found = stream_sessions(spark.readStream.schema(spark.read.parquet(source).schema).parquet(source), SERVER, SERVER_IDLE, LATE)
+    found = stream_sessions(spark.readStream.schema(spark.read.parquet(source).schema).parquet(source), SERVICE, SERVICE_IDLE, LATE)
     query = found.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", shared_path(spark, "progress")).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(found.schema).parquet(out)
@@ -322,23 +322,23 @@ def distinct_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sessions_sql(where: str = "TRUE") -> str:
-    keys = ", ".join(SERVER)
+    keys = ", ".join(SERVICE)
     return _with(
         f"SELECT {keys}, count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes, min(ts_us) AS first_us, max(ts_us) AS last_us FROM ("
         f" SELECT *, sum(pause) OVER (PARTITION BY {keys} ORDER BY ts_us, event_id) AS session FROM ("
-        f"  SELECT *, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY {keys} ORDER BY ts_us, event_id) > {SERVER_IDLE} THEN 1 ELSE 0 END AS pause FROM packets))"
+        f"  SELECT *, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY {keys} ORDER BY ts_us, event_id) > {SERVICE_IDLE} THEN 1 ELSE 0 END AS pause FROM packets))"
         f" GROUP BY {keys}, session HAVING {where}"
     )
 
 
 def _groups_sql() -> str:
-    keys, flow = ", ".join(SERVER), f"PARTITION BY {', '.join(SERVER)}, day"
+    keys, flow = ", ".join(SERVICE), f"PARTITION BY {', '.join(SERVICE)}, day"
     return _with(
         f"SELECT {keys}, min(ts_us) AS first_us, count(*) AS packets, string_agg(CAST(ts_us - first AS VARCHAR), ',' ORDER BY n) AS offset_us, string_agg(CAST(length AS VARCHAR), ',' ORDER BY n) AS length FROM ("
         f" SELECT *, min(ts_us) OVER ({flow}, session, part) AS first FROM ("
         f"  SELECT *, (n - min(n) OVER ({flow}, session)) // 4 AS part FROM ("
         f"   SELECT *, sum(pause) OVER ({flow} ORDER BY n) AS session FROM ("
-        f"    SELECT *, row_number() OVER ({flow} ORDER BY ts_us, length) AS n, CASE WHEN ts_us - lag(ts_us) OVER ({flow} ORDER BY ts_us, length) > {SERVER_IDLE} THEN 1 ELSE 0 END AS pause"
+        f"    SELECT *, row_number() OVER ({flow} ORDER BY ts_us, length) AS n, CASE WHEN ts_us - lag(ts_us) OVER ({flow} ORDER BY ts_us, length) > {SERVICE_IDLE} THEN 1 ELSE 0 END AS pause"
         f"    FROM (SELECT *, ts_us // {DAY} AS day FROM packets)))))"
         f" GROUP BY {keys}, day, session, part"
     )
@@ -525,7 +525,7 @@ def oracle_sql() -> dict[str, str]:
         "flow_sessions": _sessions_sql(),
         "gpv_groups": _groups_sql(),
         "gpv_roundtrip": stored("TRUE"),
-        "stream_flow_sessions": _sessions_sql(f"max(ts_us) + {SERVER_IDLE} <= (SELECT max(ts_us) FROM packets) - {HOUR}"),
+        "stream_flow_sessions": _sessions_sql(f"max(ts_us) + {SERVICE_IDLE} <= (SELECT max(ts_us) FROM packets) - {HOUR}"),
         "distinct_bitmap_days": _aggregate_sql("count_dist", "v4Src", DAY),
         "stream_distinct_bitmap": _aggregate_sql("count_dist", "v4Dst", DAY),
     }
