@@ -12,7 +12,7 @@ and URLs that differ only in such bytes score alike. The broadcast table of log
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, fits no rule and scores 0.
 Without allowed or without blocked examples every URL without a rule is allowed. Repeated rows are judged
-one by one; other columns stay untouched.
+one by one; columns named host, path, rule, score or verdict are replaced, other columns stay untouched.
 """
 
 from __future__ import annotations
