@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import glob
 import os
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyarrow import fs as arrow_fs
 
@@ -67,3 +69,21 @@ def read_range(path: str, start: int, size: int | None = None) -> bytes:
     with open(local_path(path), "rb") as f:
         f.seek(start)
         return f.read() if size is None else f.read(size)
+
+
+@contextmanager
+def opened(path: str) -> Iterator[tuple[Callable[[int, int], bytes], int]]:
+    """A function that reads so many bytes from an offset on, fewer at the file's end, and the file's size."""
+    if is_remote(path):
+        fs, inner = _remote(path)
+        with fs.open_input_file(inner) as f:
+            size = f.size()
+            yield lambda start, n: f.read_at(max(0, min(n, size - start)), min(start, size)), size
+        return
+    with open(local_path(path), "rb") as f:
+
+        def load(start: int, n: int) -> bytes:
+            f.seek(start)
+            return f.read(n)
+
+        yield load, os.fstat(f.fileno()).st_size

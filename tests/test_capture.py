@@ -268,3 +268,38 @@ def test_pushed_filter_semantics():
 
 def read_part_of(data):
     return list(pcap_source.to_arrow(capture.read_packets(data)))
+
+
+# --- pieces -------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("piece", [16, 40, 700, 5_000, 1 << 20])
+def test_pieces_give_the_records_of_the_whole_file(tmp_path, monkeypatch, piece):
+    from packetlens.sources.packet_filter import compile_packet_filter
+
+    keep = compile_packet_filter("udp or less 300")
+    monkeypatch.setattr(capture, "PIECE", piece)
+    for name, data in {"a.pcap": pcap(many_packets(300)) + b"\1" * 30, "b.pcap": pcap(many_packets(300), order=">", nano=True)[:-7], "c.pcapng": mixed_pcapng(random.Random(7), 300), "d.pcapng": mixed_pcapng(random.Random(8), 300)[:-5], "e.pcap": pcap([])}.items():
+        (tmp_path / name).write_bytes(data)
+        for frames in ("false", "true"):
+            whole = (capture.read_frames if frames == "true" else capture.read_packets)(data, keep)
+            reading = pcap_source.Reading({"path": str(tmp_path / name), "capturefilter": "udp or less 300", "frames": frames})
+            got = [r for b in reading.rows(pcap_source.FilePartition(str(tmp_path / name))) for r in b.to_pylist()]
+            assert got == [r for b in pcap_source.to_arrow(whole) for r in b.to_pylist()] and (got or name == "e.pcap")
+        counted = [r for b in pcap_source.Reading({"path": "", "counts": "true"}).rows(pcap_source.FilePartition(str(tmp_path / name))) for r in b.to_pylist()]
+        assert [{c: r[c] for c in capture.read_packets(data).seen} for r in counted if r["records"] is not None] == [dict(capture.read_packets(data).seen)]
+
+
+@pytest.mark.parametrize("kind", ["pcap", "pcapng"])
+def test_a_task_holds_a_piece_of_its_file(tmp_path, kind):
+    import tracemalloc
+
+    frame = ether(TCP)
+    path = tmp_path / f"a.{kind}"
+    path.write_bytes(pcap([(frame,)] * 2) + pcap([(frame,)])[24:] * 200_000 if kind == "pcap" else pcapng([frame]) + pcapng([frame])[48:] * 200_000)
+    reading = pcap_source.Reading({"path": str(path), "capturefilter": "tcp and port 80"})
+    tracemalloc.start()
+    n = sum(b.num_rows for b in reading.rows(pcap_source.FilePartition(str(path))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == (200_002 if kind == "pcap" else 200_001) and peak < 50e6, peak
