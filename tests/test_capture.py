@@ -303,3 +303,32 @@ def test_a_task_holds_a_piece_of_its_file(tmp_path, kind):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert n == (200_002 if kind == "pcap" else 200_001) and peak < 50e6, peak
+
+
+def test_statistics_read_ranges_of_large_files(spark, tmp_path):
+    """A file is not read as one value, which Spark has a limit for, and the parts of one are counted apart."""
+    (tmp_path / "a b.pcap").write_bytes(pcap(many_packets(900)))
+    (tmp_path / "b.pcapng").write_bytes(mixed_pcapng(random.Random(3), 1500))
+    (tmp_path / "c.pcap").write_bytes(pcap([]))
+    (tmp_path / "unnamed").write_bytes(pcap([(ether(TCP),), (ether(UDP),)])[:-3])
+    want = {f"file:{f}": capture.read_packets(f.read_bytes()).seen for f in tmp_path.iterdir()}
+    limit = "spark.sql.sources.binaryFile.maxLength"
+    spark.conf.set(limit, "1000")
+    try:
+        for split in (pcap_source.SPLIT_BYTES, 60_000, 0):
+            got = capture_statistics(spark, str(tmp_path), **({} if split == pcap_source.SPLIT_BYTES else {"split_bytes": split})).collect()
+            assert {r["path"]: {n: r[n] for n in r.asDict() if n != "path"} for r in got} == {path: dict(seen) for path, seen in want.items()} and len(got) == 4
+    finally:
+        spark.conf.unset(limit)
+    (tmp_path / "d.pcap").write_bytes(b"broken")
+    with pytest.raises(Exception, match="neither pcap nor pcapng"):
+        capture_statistics(spark, str(tmp_path)).collect()
+
+
+def test_statistics_where_no_ranges_can_be_read(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.pcap").write_bytes(pcap(many_packets(300)))
+    (tmp_path / "b.pcapng").write_bytes(mixed_pcapng(random.Random(3), 300))
+    want = rows(capture_statistics(spark, str(tmp_path)))
+    monkeypatch.setattr(pcap_source, "is_remote", lambda path: True)
+    monkeypatch.setattr(pcap_source, "reachable", lambda path: False)
+    assert rows(capture_statistics(spark, str(tmp_path))) == want and len(want) == 2
